@@ -9,6 +9,9 @@ as they occur; a null doc_id is carried through; an empty table gives an empty r
 
 from __future__ import annotations
 
+import json
+import os
+import re
 import zlib
 
 import numpy as np
@@ -16,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, text_bytes
+from .common import cut, pieces, text_bytes
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
@@ -26,19 +29,20 @@ class WordIds:
     """Token ids, as little-endian bytes, of words between ASCII white space.
 
     A tokenizer that drops white space splits there, so the ids of a text are those of its words in a row. Words of
-    a-z with closing marks go through the same vocabulary and merges without the normaliser; all others through the
-    tokenizer itself. ``limit`` bounds the number of words that are remembered.
+    Latin-1 letters, with or without closing marks, go many at a time through the same vocabulary and merges without
+    the normaliser; all others through the tokenizer itself. ``limit`` bounds the number of words that are remembered.
     """
 
-    def __init__(self, path: str, limit: int = 300_000):
-        import json
-        import os
+    LETTERS = re.compile(r"^([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*)(.*)$", re.M)
+    MARKS = re.compile(r"[.,;:!?|*$%&#]+")
 
+    def __init__(self, path: str, limit: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        plan = json.loads(open(path, encoding="utf-8").read())
+        with open(path, encoding="utf-8") as file:
+            plan = json.load(file)
         suffix = plan["model"].get("end_of_word_suffix") or ""
         self.plain = None
         if suffix:
@@ -47,43 +51,56 @@ class WordIds:
             self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
             plan |= {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": [], "post_processor": None}
             self.plain = Tokenizer.from_str(json.dumps(plan))
+            # In such vocabularies printable bytes stand for themselves; the others are the letters from 256 on.
+            hidden = [x for x in range(256) if not (33 <= x <= 126 or 161 <= x <= 172 or x >= 174)]
+            self.as_letters = {x: 256 + k for k, x in enumerate(hidden) if x != 32}
         self.limit, self.ids = limit, {}
 
-    def learn(self, words: set[bytes]) -> None:
-        plain, rest = [], []
-        for w in words:
-            (plain if self.plain is not None and w.isalpha() and w.isascii() else rest).append(w)
-        for at in range(0, len(plain), 1000):
-            some = plain[at : at + 1000]
-            got = np.array(self.plain.encode(b" ".join(some).decode().lower(), add_special_tokens=False).ids, "<u4")
-            stops = np.flatnonzero(self.ends[got]) + 1
-            if len(stops) != len(some):
-                rest += some
-                continue
-            raw, start = got.tobytes(), 0
-            for w, stop in zip(some, (4 * stops).tolist(), strict=True):
-                self.ids[w] = raw[start:stop]
-                start = stop
-        for w, e in zip(rest, self.whole.encode_batch_fast([w.decode("utf-8", "replace") for w in rest], add_special_tokens=False), strict=True):
+    def whole_words(self, words: list[bytes]) -> None:
+        for w, e in zip(words, self.whole.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False), strict=True):
             self.ids[w] = np.array(e.ids, "<u4").tobytes()
 
-    def of(self, text: bytes) -> bytes:
-        words = text.split()
+    def plain_words(self, words: list[bytes]) -> None:
+        for at in range(0, len(words), 20_000):
+            some = [words[k : k + 500] for k in range(at, min(at + 20_000, len(words)), 500)]
+            joined = [b" ".join(x).decode().lower().encode().decode("latin-1") for x in some]
+            joined = [x if x.isascii() else x.translate(self.as_letters) for x in joined]
+            for part, e in zip(some, self.plain.encode_batch_fast(joined, add_special_tokens=False), strict=True):
+                got = np.array(e.ids, "<u4")
+                stops = (4 * (np.flatnonzero(self.ends[got]) + 1)).tolist()
+                if len(stops) != len(part):
+                    self.whole_words(part)
+                    continue
+                raw = got.tobytes()
+                self.ids.update(zip(part, (raw[i:j] for i, j in zip([0, *stops], stops, strict=False)), strict=True))
+
+    def learn(self, new: list[bytes]) -> None:
+        if self.plain is None:
+            return self.whole_words(new)
+        known, stems, rest, both, closing = self.ids, set(), [], [], {}
+        for w, (stem, marks) in zip(new, self.LETTERS.findall(b"\n".join(new).decode("utf-8", "replace")), strict=True):
+            if not marks:
+                stems.add(w)
+            elif stem and (closing[marks] if marks in closing else closing.setdefault(marks, self.MARKS.fullmatch(marks) is not None)):
+                both.append((w, w[: -len(marks)], marks))
+            else:
+                rest.append(w)
+        stems.update([stem for _, stem, _ in both if stem not in known])
+        self.whole_words(rest)
+        self.whole_words([m for m in (x.encode() for x, good in closing.items() if good) if m not in known])
+        self.plain_words(list(stems))
+        ending = {x: known[x.encode()] for x, good in closing.items() if good}
+        for w, stem, marks in both:
+            known[w] = known[stem] + ending[marks]
+
+    def of(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of each text."""
+        split = [x.split() for x in texts]
         if len(self.ids) > self.limit:
             self.ids.clear()
-        new = set(words).difference(self.ids)
-        if new:
-            stems = {}
-            if self.plain is not None:
-                for w in new:
-                    stem = w.rstrip(b".,;:!?|*$%&#")
-                    if stem and len(stem) < len(w) and stem.isalpha() and stem.isascii():
-                        stems[w] = stem, w[len(stem) :]
-            parts = {p for pair in stems.values() for p in pair} | new.difference(stems)
-            self.learn(parts.difference(self.ids))
-            for w, (stem, marks) in stems.items():
-                self.ids[w] = self.ids[stem] + self.ids[marks]
-        return b"".join(map(self.ids.__getitem__, words))
+        if new := set().union(*split).difference(self.ids):
+            self.learn(list(new))
+        return [b"".join(map(self.ids.__getitem__, words)) for words in split]
 
 
 def cut_documents(docs: DataFrame, tokenizer: str, length: int = 2048, end: int = 0) -> DataFrame:
@@ -92,10 +109,10 @@ def cut_documents(docs: DataFrame, tokenizer: str, length: int = 2048, end: int
     def run(batches):
         ids = WordIds(tokenizer)
         stop = np.array([end], "<u4").tobytes()
-        for batch in batches:
+        for batch in (part for whole in batches for part in pieces(whole, "text")):
             out = [[], [], [], [], []]
-            for doc_id, text in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), strict=True):
-                raw = ids.of(text) + stop
+            for doc_id, raw in zip(batch.column(0).to_pylist(), ids.of(text_bytes(batch.column(1))), strict=True):
+                raw += stop
                 for k, at in enumerate(range(0, len(raw), 4 * length)):
                     part = raw[at : at + 4 * length]
                     for column, value in zip(out, (doc_id, k, k * length, len(part) // 4, zlib.crc32(part)), strict=True):
