@@ -11,8 +11,8 @@ first; then, with the components that these and all other links give, each node
 is compared with the nodes of other components. Links inside a component change nothing, so none is lost.
 
 Defined cases: a text shorter than a shingle is one shingle; null and blank texts are equal to each other; rows of
-equal doc_id and text stay or go together; null ids count as the largest; an empty table gives an empty result; columns
-of other names are kept.
+equal doc_id stay or go together, and go only if all their texts do; null ids count as the largest, each text as one of
+its own; an empty table gives an empty result; columns of other names are kept.
 """
 
 from __future__ import annotations
@@ -111,7 +111,7 @@ def groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, bands: int =
 
 def one_of_each(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of ``docs`` without those whose document is in the group of a smaller doc_id."""
-    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
+    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST) - F.pmod(F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))), F.lit(1 << 40)))
     keyed = docs.select(doc.alias("doc"), F.col("text").cast("string").alias("text"))
     gone = groups(keyed, size, similarity).groupBy("doc").agg(F.min(F.col("node")).alias("node"), F.max("node").alias("last")).filter("last < doc").select(F.col("doc").alias("_gone"))
     return docs.join(gone, doc == F.col("_gone"), "left_anti")
