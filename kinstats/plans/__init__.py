@@ -1 +1,5 @@
+"""Whole analyses, put together from operators."""
 
+from .heritability import heritability, run_metrics
+
+__all__ = ["heritability", "run_metrics"]
