@@ -176,6 +176,6 @@ def write_tsv(df: DataFrame, path: str, order_by: list[str] | None = None, decim
     if order_by:
         df = df.orderBy(*(F.col(f"`{x}`") for x in order_by))
     if decimals is not None:
-        df = df.select(*(F.format_string(f"%.{decimals}f", F.col(f"`{c}`")).alias(c) if t == "double" else F.col(f"`{c}`") for c, t in df.dtypes))
-        df = df.replace("null", None)
+        fixed = lambda c: F.when(F.col(f"`{c}`").isNotNull(), F.format_string(f"%.{decimals}f", F.col(f"`{c}`"))).alias(c)
+        df = df.select(*(fixed(c) if t == "double" else F.col(f"`{c}`") for c, t in df.dtypes))
     df.write.option("sep", "\t").option("header", True).option("nullValue", "NA").csv(path)
