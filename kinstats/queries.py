@@ -6,6 +6,9 @@ Roles: ``embeddings`` gives genotypes (sample ``vec_id``, 64 variants) and, by e
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +17,7 @@ from .operators import he, residuals
 from .operators import pairs as p
 from .operators.binning import binned_stats
 from .plans.heritability import heritability, run_metrics
+from .sources import read_covariates, read_grm, read_joined_pairs, read_phenotypes, write_tsv
 
 CUTS = [(-0.5, -0.05), (-0.05, 0.05), (0.05, 0.2), (0.0, 0.2), (0.2, 0.6), (5.0, 6.0)]
 LINE_CUTS = [(0.0, 0.05), (0.05, 0.1), (0.02, 0.2), (3.0, 4.0)]
@@ -200,13 +204,45 @@ def heritability_pipeline(spark, sf):
     return heritability(grm, people(spark, sf), "acctbal", ["sex", "age", "pc1"], he.intervals(spark, CUTS), replicates=200)
 
 
+def as_file(spark, df):
+    """Path of ``df`` as delimited text, where all executors find it."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="kinstats-")
+    path = f"{folder}/{uuid.uuid4().hex}"
+    write_tsv(df, path)
+    return path
+
+
+def read_grm_file(spark, sf):
+    """Relatedness written as text and read again."""
+    grm = g.grm_for_pairs(pairs(spark, sf), genotypes(spark, sf), freqs(spark, sf))
+    return read_grm(spark, as_file(spark, grm.select("id1", "id2", "n_snps", F.col("grm").alias("GRM")))).select(F.col("iid1").alias("id1"), F.col("iid2").alias("id2"), "n_snps", *r6("grm"))
+
+
+def read_phenotype_file(spark, sf):
+    """Phenotypes with missing values, written as text and read again; people without any value drop out."""
+    some = people(spark, sf).select("iid", F.when(F.col("acctbal") > 0, F.col("acctbal")).alias("acctbal"), F.when(F.col("age") > 5, F.col("pc1")).alias("pc1"))
+    return read_phenotypes(spark, as_file(spark, some)).select("iid", *r6("acctbal", "pc1"))
+
+
+def read_covariate_file(spark, sf):
+    some = people(spark, sf).select("iid", "sex", F.when(F.col("age") > 5, F.col("age")).alias("age"))
+    return read_covariates(spark, as_file(spark, some)).select("iid", "sex", "age", "row_complete")
+
+
+def read_joined_file(spark, sf):
+    """Pairs with relatedness and product, found by column names."""
+    out = read_joined_pairs(spark, as_file(spark, lines(spark, sf).select("iid1", "iid2", F.col("y").alias("price_product"), F.col("grm").alias("GRM_value"))))
+    return out.select("iid1", "iid2", *r6("grm", "y"))
+
+
 QUERIES = {
     "grm_he_ols": grm_he_ols, "allele_freqs": allele_freqs, "align_freqs": align_freqs, "standardise": standardise, "grm_pairs_long": grm_pairs_long,
     "grm_packed": grm_packed, "needed_samples": needed_samples, "unknown_ids": unknown_ids, "resolve_pairs": resolve_pairs, "crossprods": crossprods,
     "complete_cases": complete_cases, "fit_linear": fit_linear, "residuals": residual_values, "drop_outliers": drop_outliers,
     "zscore_by_group": zscore_by_group, "residualise": residualise, "join_pairs": join_pairs, "binned_stats": binned,
     "interval_counts": interval_counts, "he_ols": he_ols, "he_summary": he_summary, "dedup_first": dedup_first, "dedup_last": dedup_last,
-    "run_metrics": metrics, "bootstrap_ci": bootstrap_ci, "heritability_pipeline": heritability_pipeline,
+    "run_metrics": metrics, "read_grm": read_grm_file, "read_phenotypes": read_phenotype_file,
+    "read_covariates": read_covariate_file, "read_joined_pairs": read_joined_file, "bootstrap_ci": bootstrap_ci, "heritability_pipeline": heritability_pipeline,
 }
 
 _GENO = """geno AS (SELECT vec_id AS sample_id, CAST(i - 1 AS INTEGER) AS variant_id, CASE WHEN abs(v) < 0.002::DOUBLE THEN NULL WHEN v < -0.08::DOUBLE THEN 0 WHEN v < 0.08::DOUBLE THEN 1 ELSE 2 END AS a1
@@ -272,5 +308,9 @@ ORACLES = {
         (slope - 1.96 * slope_se > 0 OR slope + 1.96 * slope_se < 0) AS significant, round(lo + (hi - lo) / 2, 6) AS midpoint FROM fit JOIN cuts ON cuts.interval = fit.interval WHERE slope IS NOT NULL AND n_pairs >= 2""",
     "dedup_first": "SELECT o_custkey AS iid, arg_min(CAST(o_totalprice AS DOUBLE), o_orderkey) AS value, min(o_orderkey) AS o FROM orders GROUP BY o_custkey",
     "dedup_last": "SELECT o_custkey AS iid, arg_max(CAST(o_totalprice AS DOUBLE), o_orderkey) FILTER (WHERE o_orderkey % 2 = 0) AS value, max(o_orderkey) AS o FROM orders GROUP BY o_custkey",
+    "read_grm": f"WITH {_GRM} SELECT CAST(id1 AS VARCHAR) AS id1, CAST(id2 AS VARCHAR) AS id2, n_snps, round(grm, 6) AS grm FROM grm",
+    "read_phenotypes": f"WITH {_PEOPLE}, s AS (SELECT CAST(iid AS VARCHAR) AS iid, CASE WHEN acctbal > 0 THEN acctbal END AS acctbal, CASE WHEN age > 5 THEN pc1 END AS pc1 FROM ppl) SELECT iid, round(acctbal, 6) AS acctbal, round(pc1, 6) AS pc1 FROM s WHERE acctbal IS NOT NULL OR pc1 IS NOT NULL",
+    "read_covariates": f"WITH {_PEOPLE} SELECT CAST(iid AS VARCHAR) AS iid, sex, CASE WHEN age > 5 THEN age END AS age, age > 5 AS row_complete FROM ppl",
+    "read_joined_pairs": f"WITH {_LINES} SELECT CAST(iid1 AS VARCHAR) AS iid1, CAST(iid2 AS VARCHAR) AS iid2, round(x, 6) AS grm, round(y, 6) AS y FROM ln",
     "run_metrics": f"WITH {_PAIRS}, {_PEOPLE} SELECT count(*) AS n_pairs, count(*) FILTER (WHERE id1 % 2 = 0) AS n_grm, count(*) FILTER (WHERE a.acctbal * b.acctbal IS NOT NULL OR a.spend * b.spend IS NOT NULL) AS n_with_value, count(*) FILTER (WHERE a.acctbal * b.acctbal IS NULL AND a.spend * b.spend IS NULL) AS n_without_value FROM prs LEFT JOIN ppl a ON a.iid = id1 LEFT JOIN ppl b ON b.iid = id2",
 }
