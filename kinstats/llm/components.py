@@ -14,16 +14,16 @@ def components(links: DataFrame, rounds: int = 50) -> DataFrame:
     Each round hangs every node on the smallest of its neighbours, first the larger ones, then the smaller ones; only
     minima are grouped, so a node with very many neighbours is one row for each task. Rounds end when nothing changes.
     """
-    both = links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    links = cut(both)
+    links = cut(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     seen = None
     for _ in range(rounds):
-        sides = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        sides = links.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("x")).select("x.*")
         low = sides.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-        large = sides.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.union(links.join(low.select(F.col("u").alias("x"), "m"), F.col("u") == F.col("x")).select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
+        # Larger neighbours go to the least of the neighbourhood, and so does the node itself.
+        large = sides.join(low, "u").select(F.greatest("u", "v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        links = cut(large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct())
+        small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.*")
+        links = cut(small.filter("u <> v").distinct())
         now = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
             break

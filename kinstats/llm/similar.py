@@ -97,13 +97,12 @@ def groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, bands: int =
     sets = saved(shingle_sets(docs.join(wanted, "doc", "left_semi"), size).dropDuplicates(["doc"]))
     links = saved(verified(pairs, sets, similarity))
     if not crowded.isEmpty():
-        held = crowded.select("node", "draw", "fp", "table").join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
-        held = saved(held)
+        held = saved(crowded.select("node", "draw", "fp", "table").join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node")))
         largest = held.groupBy("draw", "component").agg(F.count("*").alias("n")).groupBy("draw").agg(F.max_by("component", F.struct("n", "component")).alias("largest"))
-        held = held.join(largest, "draw").join(sets.select(F.col("doc").alias("node"), "set"), "node")
+        held = saved(held.join(largest, "draw").join(sets.select(F.col("doc").alias("node"), "set"), "node"))
         outside = held.filter("component <> largest")
         apart = (F.col("a.draw") == F.col("b.draw")) & (F.col("a.component") != F.col("b.component")) & near & similar(F.col("a.set"), F.col("b.set"), similarity)
-        links = links.union(outside.alias("a").join(held.alias("b"), apart).select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")))
+        links = saved(links.union(outside.alias("a").join(held.alias("b"), apart).select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b"))))
     found = components(links)
     classes = nodes.select("same", "other", "node").join(found, "node", "left").select("same", "other", F.coalesce("component", "node").alias("node"))
     return sketched.select("doc", "same", "other").join(classes, ["same", "other"]).select("doc", "node").distinct()
