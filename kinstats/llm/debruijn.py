@@ -94,7 +94,8 @@ def _within(n: np.ndarray) -> np.ndarray:
 
 def repeated_runs(docs: DataFrame, width: int) -> DataFrame:
     """doc, t and ``runs``: (run, mask) of the windows to remove; mask bit k is the window k of the run."""
-    again = occurrences(docs, width).groupBy("node").agg(F.count("*").alias("n")).filter("n > 1").select("node")
+    # A table of its own, so that the join below deals out both sides anew and can split a node with very many places.
+    again = saved(occurrences(docs, width).groupBy("node").agg(F.count("*").alias("n")).filter("n > 1").select("node"))
     found = saved(occurrences(docs, width).join(again, "node", "left_semi"))
     paths = saved(found.groupBy("node", "path").agg(F.min(F.struct("doc", "t", "run")).alias("first"), F.count("*").alias("n")))
     branching = paths.groupBy("node").agg(F.count("*").alias("ways")).filter("ways > 1").select("node")
