@@ -20,13 +20,14 @@ import json
 import re
 import uuid
 import zlib
+from bisect import bisect_right
 
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import saved
 
 READ = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, digest_ok boolean"
 NO_ID = "none"
@@ -47,11 +48,13 @@ def record(kind: str, record_id: str, date: str, block: bytes, content_type: str
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head.items()).encode() + b"\r\n" + block + b"\r\n\r\n"
 
 
-def page_record(page_id, url, payload: bytes, refers_to, date: str) -> bytes:
-    """The record of a page; ``refers_to`` is the page_id of the response with the same payload, null if it is this one."""
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+def page_record(page_id, url, payload: bytes | None, refers_to, date: str, size: int = 0, digest: str = "") -> bytes:
+    """The record of a page; ``refers_to`` is the page_id of the response with the same payload, whose ``size`` and ``digest`` then stand for it; null if it is this one."""
+    if payload is not None:
+        size, digest = len(payload), base32_sha1(payload)
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     more = {} if url is None else {"WARC-Target-URI": re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url)}
-    more["WARC-Payload-Digest"] = f"sha1:{base32_sha1(payload)}"
+    more["WARC-Payload-Digest"] = f"sha1:{digest}"
     name = f"urn:page:{NO_ID if page_id is None else page_id}"
     if refers_to is None:
         return record("response", name, date, http + payload, "application/http; msgtype=response", more)
@@ -59,42 +62,94 @@ def page_record(page_id, url, payload: bytes, refers_to, date: str) -> bytes:
     return record("revisit", name, date, http, "application/http; msgtype=response", more)
 
 
-def with_first(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """page_id, url, payload and refers_to: the smallest page_id with the same payload, where that is another one."""
-    pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload")).withColumn("sha", F.unhex(F.sha1("payload")))
-    firsts = pages.filter(F.length("payload") >= min_bytes).groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("sha", "first")
-    return pages.join(firsts, "sha", "left").select("page_id", "url", "payload", F.when(F.col("page_id").isNull() | (F.col("page_id") != F.col("first")), F.col("first")).alias("refers_to"))
+def revisits(pages: DataFrame, min_bytes: int) -> DataFrame:
+    """(page_id, sha, first) of pages with the payload of a smaller page_id; only ids and digests take part."""
+    large = pages.filter(F.length("payload") >= min_bytes).select("page_id", "sha")
+    firsts = large.groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("sha", "first")
+    return large.join(firsts, "sha").filter((F.col("page_id").isNull() | (F.col("page_id") != F.col("first"))) & F.col("first").isNotNull()).distinct()
+
+
+def key_of(page_id, sha: bytes, url) -> tuple:
+    """Place of a page in the order of records."""
+    return (page_id is not None, page_id or 0, bytes(sha), url is not None, url or "")
 
 
 def write_warc(pages: DataFrame, folder: str, roll_bytes: int = 16 << 20, min_bytes: int = 0, date: str = "2000-01-01T00:00:00Z") -> str:
-    """Writes ``pages`` as WARC files below ``folder`` and returns ``folder``; files hold about ``roll_bytes``."""
+    """Writes ``pages`` as WARC files below ``folder`` and returns ``folder``; files hold about ``roll_bytes``.
+
+    A first job sorts only ids, digests and record sizes and gives the first key of each file; a second one sends each
+    record, compressed, to its file. Payloads are shuffled once, in that form.
+    """
     spark = pages.sparkSession
+    pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload")).withColumn("sha", F.unhex(F.sha1("payload")))
+    later = saved(revisits(pages, min_bytes))
+    partitions = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    order = [F.col("page_id").asc_nulls_first(), F.col("sha").asc(), F.col("url").asc_nulls_first()]
+
+    def compressed(keep: bool):
+        def run(batches):
+            for batch in batches:
+                rows = list(zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True))
+                data = [member(page_record(page_id, url, payload, None, date)) for page_id, url, payload, _ in rows]
+                columns = [batch.column(0), batch.column(3), batch.column(1), pa.array([len(x[2]) for x in rows], pa.int64()), pa.array([len(x) for x in data], pa.int64())]
+                names = ["page_id", "sha", "url", "bytes", "size"]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(data, pa.binary())] if keep else columns, [*names, "data"] if keep else names)
+
+        return pages.select("page_id", "url", "payload", "sha").mapInArrow(run, "page_id long, sha binary, url string, bytes long, size long" + ", data binary" * keep)
 
-    def compress(batches):
+    def revisit(page_id, url, size: int, sha: bytes, first) -> bytes:
+        return member(page_record(page_id, url, None, first, date, size, base64.b32encode(sha).decode()))
+
+    def measured(batches):
         part, at = TaskContext.get().partitionId(), 0
         for batch in batches:
             out = []
-            for page_id, url, payload, refers_to in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                data = member(page_record(page_id, url, payload, refers_to, date))
-                out.append((at, len(data), page_id, data))
-                at += len(data)
-            yield pa.RecordBatch.from_arrays([pa.array([part] * len(out), pa.int32()), *(pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary())))], ["part", "at", "size", "page_id", "data"])
-
-    partitions = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ordered = with_first(pages, min_bytes).repartitionByRange(partitions, F.col("page_id").asc_nulls_first(), "url").sortWithinPartitions(F.col("page_id").asc_nulls_first(), "url", "payload")
-    packed = cut(ordered.mapInArrow(compress, "part int, at long, size long, page_id long, data binary"))
+            for page_id, sha, url, n, size, first in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
+                size = size if first is None else len(revisit(page_id, url, n, sha, first))
+                out.append((part, at, size, page_id, sha, url))
+                at += size
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string()))], ["part", "at", "size", "page_id", "sha", "url"])
+
+    same = (F.col("s.page_id").eqNullSafe(F.col("l.page_id"))) & (F.col("s.sha") == F.col("l.sha"))
+    sizes = compressed(False).alias("s").join(later.alias("l"), same, "left").select("s.*", "l.first")
+    sizes = saved(sizes.repartitionByRange(partitions, *order).sortWithinPartitions(*order).mapInArrow(measured, "part int, at long, size long, page_id long, sha binary, url string"))
     base, starts = 0, []
-    for part, size in sorted(map(tuple, packed.groupBy("part").agg(F.sum("size")).collect())):  # a row for each partition
+    for part, size in sorted(map(tuple, sizes.groupBy("part").agg(F.sum("size")).collect())):  # a row for each partition
         starts.append((part, base))
         base += size
     starts = F.broadcast(spark.createDataFrame(starts, "part int, base long"))
-    placed = packed.join(starts, "part").withColumn("start", F.col("base") + F.col("at")).withColumn("shard", (F.col("start") / roll_bytes).cast("long"))
-    files = [x.asDict() for x in placed.groupBy("shard").agg(F.count("*").alias("records"), F.sum("size").alias("record_bytes"), F.min("page_id").alias("first"), F.max("page_id").alias("last")).orderBy("shard").collect()]  # a row for each file
-    info = [(x["shard"], -1, bytearray(member(record("warcinfo", f"urn:file:{x['shard']}", date, b"format: WARC File Format 1.1\r\n", "application/warc-fields", {"WARC-Filename": name_of(x["shard"])})))) for x in files]
-    rows = placed.select("shard", "start", "data").unionByName(spark.createDataFrame(info, "shard long, start long, data binary"))
-    text = F.expr("cast(substring(data, 1, length(data) - 1) as string)").alias("value")  # the writer ends each line with the zero byte again
+    placed = sizes.join(starts, "part").withColumn("start", F.col("base") + F.col("at")).withColumn("shard", (F.col("start") / roll_bytes).cast("long"))
+    files = [x.asDict() for x in placed.groupBy("shard").agg(F.count("*").alias("records"), F.sum("size").alias("record_bytes"), F.min("page_id").alias("first"), F.max("page_id").alias("last"), F.min_by(F.struct("page_id", "sha", "url"), "start").alias("key")).orderBy("shard").collect()]  # a row for each file
+    keys, shards = [key_of(*x.pop("key")) for x in files], [x["shard"] for x in files]
+
+    def deal(batches):
+        for batch in batches:
+            found = [shards[max(0, bisect_right(keys, key_of(*x)) - 1)] for x in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), *batch.columns], ["shard", *batch.schema.names])
+
+    def finish(batches):
+        at, said = 0, None
+        for batch in batches:
+            out = []
+            for shard, page_id, sha, url, n, _, data, first in zip(*(batch.column(k).to_pylist() for k in range(8)), strict=True):
+                at += 1
+                if data is None:
+                    said = page_id, sha, first
+                    continue
+                if said and said[:2] == (page_id, sha):
+                    data = revisit(page_id, url, n, sha, said[2])
+                out.append((shard, at, data[:-1]))  # the writer ends each line with the zero byte again
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], ["shard", "at", "data"])
+
+    # A page's revisit row goes where its records go: to every url of the page that has the payload.
+    urls = later.join(sizes.select("page_id", "sha", "url").distinct().alias("s"), later["page_id"].eqNullSafe(F.col("s.page_id")) & (later["sha"] == F.col("s.sha"))).select("s.page_id", "s.sha", "s.url", "first")
+    none = F.lit(None)
+    rows = compressed(True).withColumn("first", none.cast("long")).unionByName(urls.select("page_id", "sha", "url", none.cast("long").alias("bytes"), none.cast("long").alias("size"), none.cast("binary").alias("data"), "first"))
+    columns = "page_id long, sha binary, url string, bytes long, size long, data binary, first long"
+    within = rows.mapInArrow(deal, f"shard long, {columns}").repartition(max(1, min(len(files), partitions)), "shard").sortWithinPartitions("shard", *order, F.col("data").isNull().desc())
+    done = within.mapInArrow(_with_info(finish, date), "shard long, at long, data binary")
     temporary = f"{folder}/_temporary-{uuid.uuid4().hex}"
-    rows.repartition(max(1, min(len(files), partitions)), "shard").sortWithinPartitions("shard", "start").select(text, "shard").write.partitionBy("shard").option("lineSep", "\0").option("compression", "none").text(temporary)
+    done.sortWithinPartitions("shard", "at").select(F.col("data").cast("string").alias("value"), "shard").write.partitionBy("shard").option("lineSep", "\0").option("compression", "none").text(temporary)
     jvm = spark._jvm
     path = jvm.org.apache.hadoop.fs.Path
     fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
@@ -112,6 +167,22 @@ def write_warc(pages: DataFrame, folder: str, roll_bytes: int = 16 << 20, min_by
     return folder
 
 
+def _with_info(finish, date: str):
+    """``finish``, with a file's own record before its first."""
+
+    def run(batches):
+        seen = set()
+        for batch in finish(batches):
+            for shard in batch.column(0).to_pylist():
+                if shard not in seen:
+                    seen.add(shard)
+                    own = member(record("warcinfo", f"urn:file:{shard}", date, b"format: WARC File Format 1.1\r\n", "application/warc-fields", {"WARC-Filename": name_of(shard)}))
+                    yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([-1], pa.int64()), pa.array([own[:-1]], pa.binary())], ["shard", "at", "data"])
+            yield batch
+
+    return run
+
+
 def name_of(shard: int) -> str:
     return f"pages-{shard:06d}.warc.gz"
 
@@ -120,10 +191,12 @@ def members(data: bytes):
     """Uncompressed members of a gzip file, in turn."""
     view, at = memoryview(data), 0
     while at < len(view):
-        one = zlib.decompressobj(31)
-        out = one.decompress(view[at:])
-        at = len(view) - len(one.unused_data)
-        yield out
+        one, parts = zlib.decompressobj(31), []
+        while not one.eof and at < len(view):  # a little at a time: what a member leaves over is copied
+            parts.append(one.decompress(view[at : at + 65536]))
+            at += min(65536, len(view) - at)
+        at -= len(one.unused_data)
+        yield b"".join(parts)
 
 
 def records(data: bytes):
