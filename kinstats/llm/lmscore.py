@@ -37,18 +37,20 @@ def entries(words: list[bytes], cache: dict, vocabulary_bits: int, pair_bits: in
 
 
 def count(docs: DataFrame, vocabulary_bits: int, pair_bits: int) -> DataFrame:
-    """(range, counts): occurrences of words, then of pairs, for each range of entries that has any."""
-    words, pairs = 1 << vocabulary_bits, 1 << pair_bits
+    """(range, counts): occurrences of words and of pairs in the rows with ``is_target``, then in all rows, for each range of entries that has any."""
+    words, size = 1 << vocabulary_bits, (1 << vocabulary_bits) + (1 << pair_bits)
 
     def run(batches):
-        cache, total = {}, np.zeros(words + pairs, np.int64)
+        cache, total = {}, np.zeros((2, size), np.int64)
         for batch in batches:
             for part in pieces(batch, "text"):
-                for text in text_bytes(part.column(0)):
+                for text, target in zip(text_bytes(part.column(0)), part.column(1).to_pylist(), strict=True):
                     if tokens := text.lower().split():
                         w, _, p = entries(tokens, cache, vocabulary_bits, pair_bits)
-                        np.add.at(total, w, 1)
-                        np.add.at(total, words + p, 1)
+                        for row in total[0 if target else 1 :]:
+                            np.add.at(row, w, 1)
+                            np.add.at(row, words + p, 1)
+        total = total.ravel()
         for at in range(0, len(total), RANGE):
             if (some := total[at : at + RANGE]).any():
                 yield pa.RecordBatch.from_arrays([pa.array([at // RANGE], pa.int32()), pa.array([some.tobytes()], pa.binary())], ["range", "counts"])
@@ -56,18 +58,22 @@ def count(docs: DataFrame, vocabulary_bits: int, pair_bits: int) -> DataFrame:
     def add(key, rows):
         total = np.zeros(RANGE, np.int64)
         for x in rows["counts"]:
-            total += np.frombuffer(x.as_py(), np.int64)
+            some = np.frombuffer(x.as_py(), np.int64)
+            total[: len(some)] += some
         return pa.table({"range": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
 
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "range int, counts binary").groupBy("range").applyInArrow(add, "range int, counts binary")
+    rows = docs.select(F.col("text").cast("string").alias("text"), F.coalesce("is_target", F.lit(False)).alias("is_target"))
+    return rows.mapInArrow(run, "range int, counts binary").groupBy("range").applyInArrow(add, "range int, counts binary")
 
 
-def tables(docs: DataFrame, vocabulary_bits: int, pair_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of words and of pairs; their size does not depend on the data."""
-    out = np.zeros((1 << vocabulary_bits) + (1 << pair_bits), np.float64)
-    for row in count(docs, vocabulary_bits, pair_bits).collect():
-        out[row["range"] * RANGE :][:RANGE] = np.frombuffer(row["counts"], np.int64)
-    return out[: 1 << vocabulary_bits].astype(np.float32), out[1 << vocabulary_bits :].astype(np.float32)
+def tables(docs: DataFrame, vocabulary_bits: int, pair_bits: int) -> list[tuple[np.ndarray, np.ndarray, float]]:
+    """Counts of words and of pairs, and all words, of the target and of the background; their size does not depend on the data."""
+    words, size = 1 << vocabulary_bits, (1 << vocabulary_bits) + (1 << pair_bits)
+    out = np.zeros(2 * size, np.float32)
+    for row in count(docs, vocabulary_bits, pair_bits).toLocalIterator():
+        some = out[row["range"] * RANGE :][:RANGE]
+        some[:] = np.frombuffer(row["counts"], np.int64)[: len(some)]
+    return [(x[:words], x[words:], float(x[:words].sum(dtype=np.float64))) for x in out.reshape(2, size)]
 
 
 def losses(w: np.ndarray, before: np.ndarray, pair: np.ndarray, words: np.ndarray, pairs: np.ndarray, total: float, mu: float) -> np.ndarray:
@@ -78,13 +84,12 @@ def losses(w: np.ndarray, before: np.ndarray, pair: np.ndarray, words: np.ndarra
     return -np.log((pairs[pair] + mu * prior) / (np.maximum(context, pairs[pair]) + mu))
 
 
-def score(docs: DataFrame, target: DataFrame, vocabulary_bits: int = 19, pair_bits: int = 21, mu: float = 20.0) -> DataFrame:
-    """doc_id, n_tokens, both mean losses and the score of every document; ``target`` holds the texts of the target model."""
-    models = []
-    for texts in (target, docs):
-        words, pairs = tables(texts, vocabulary_bits, pair_bits)
-        models.append((words, pairs, float(words.sum(dtype=np.float64))))
-    shared = docs.sparkSession.sparkContext.broadcast(models)
+def score(docs: DataFrame, marked: DataFrame, vocabulary_bits: int = 19, pair_bits: int = 21, mu: float = 20.0) -> DataFrame:
+    """doc_id, n_tokens, both mean losses and the score of every document.
+
+    ``marked`` has each document once, with ``is_target``: whether the target model learns from it (null: no).
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(tables(marked, vocabulary_bits, pair_bits))
 
     def run(batches):
         cache = {}
