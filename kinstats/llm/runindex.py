@@ -37,7 +37,7 @@ KMER = 16
 HOT = 64
 WHOLE = 255  # in the place of an anchor: a single window, which is its own anchor
 SENT = "bucket int, block int, keys binary"
-PIECE = 1 << 20
+PIECE = 1 << 19
 
 
 class RunIndex:
@@ -135,23 +135,22 @@ def earlier_windows(strings: np.ndarray, lengths: np.ndarray, documents: np.ndar
 
 
 class Contexts:
-    """Anchors and contexts of the documents of a block, a piece at a time."""
+    """Anchors of the documents of a block: for each piece its rows, joined text, lengths of texts, and, by anchor, hash, document, doc_id, place, first window and number of windows."""
 
     def __init__(self, rows, width: int):
-        self.width = width
-        self.pieces = [part for batch in rows.to_batches() for part in pieces(batch, "text", PIECE)]
-
-    def __iter__(self):
-        for part in self.pieces:
+        self.width, self.parts = width, []
+        for part in (x for batch in rows.to_batches() for x in pieces(batch, "text", PIECE)):
             texts = text_bytes(part.column(part.schema.get_field_index("text")))
             joined = b"".join(texts)
-            symbols = np.frombuffer(joined, np.uint8).astype(np.uint64)
             lengths = np.array([len(x) for x in texts], np.int64)
-            rolling = Rolling(symbols)
-            hashes = rolling.fixed(KMER)
-            document, place, first, n = anchors(hashes, lengths, self.width, KMER)
+            hashes = Rolling(np.frombuffer(joined, np.uint8).astype(np.uint64)).fixed(KMER)
+            document, place, first, n = anchors(hashes, lengths, width, KMER)
             doc = part.column(part.schema.get_field_index("doc")).to_numpy()
-            yield part, joined, symbols, lengths, hashes[place] if len(place) else np.zeros(0, np.uint64), document, doc, place, first, n
+            own = hashes[place] if len(place) else np.zeros(0, np.uint64)
+            self.parts.append((part, joined, lengths, own, doc[document], place, first, n))
+
+    def units(self, again: np.ndarray, hot: np.ndarray) -> list[tuple]:
+        return [units(joined, own, doc, place, first, n, self.width, again, hot) for _, joined, _, own, doc, place, first, n in self.parts]
 
 
 def path_hash(runs: Rolling, place, first, n, width: int) -> np.ndarray:
@@ -163,13 +162,10 @@ def dealt(keys: np.ndarray, buckets: int) -> np.ndarray:
     return (mixed(keys) % np.uint64(buckets)).astype(np.int64)
 
 
-def own_keys(rows, width: int, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def own_keys(contexts: Contexts, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct anchor hashes of a block in order of (bucket, hash), which of them several of its documents have, and the bucket of each."""
-    keys, docs = [], []
-    for _, _, _, _, node, document, doc, *_ in Contexts(rows, width):
-        keys.append(node)
-        docs.append(doc[document])
-    keys, docs = np.concatenate([np.zeros(0, np.uint64), *keys]), np.concatenate([np.zeros(0, np.int64), *docs])
+    keys = np.concatenate([np.zeros(0, np.uint64), *(x[3] for x in contexts.parts)])
+    docs = np.concatenate([np.zeros(0, np.int64), *(x[4] for x in contexts.parts)])
     order = np.argsort(keys, kind="stable")
     keys, docs = keys[order], docs[order]
     heads = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
@@ -189,43 +185,35 @@ def by_bucket(bucket: np.ndarray):
         yield int(bucket[i]), slice(int(i), int(j))
 
 
-def units(symbols, own, place, first, n, width: int, again: np.ndarray, hot: np.ndarray):
+def units(joined: bytes, own, doc, place, first, n, width: int, again: np.ndarray, hot: np.ndarray):
     """What is compared in a piece: contexts of anchors in ``again``, and the single windows of those in ``hot`` (both sorted).
 
-    Hashes of anchor and path, first window, number of windows, the anchor's place in the context, and the number of the occurrence.
+    Hashes of anchor and path, first window, number of windows, the anchor's place in the context, and the doc_id.
     """
     at = np.flatnonzero(np.isin(own, again, kind="sort")) if len(again) else np.zeros(0, np.int64)
+    if not len(at):
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), at, at, at, at
     cut = np.isin(own[at], hot, kind="sort") if len(hot) else np.zeros(len(at), bool)
     a, b = at[~cut], at[cut]
     single = np.repeat(b, n[b])
     start = np.repeat(first[b], n[b]) + np.arange(len(single)) - np.repeat(np.cumsum(n[b]) - n[b], n[b])
-    if not len(at):
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), at, at, at, at
-    runs = Rolling(symbols, BASES[1])
+    runs = Rolling(np.frombuffer(joined, np.uint8).astype(np.uint64), BASES[1])
     whole = runs.of(start, start + width)
     path = path_hash(runs, place[a], first[a], n[a], width)
-    return np.concatenate((own[a], whole)), np.concatenate((path, ~whole)), np.concatenate((first[a], start)), np.concatenate((n[a], np.ones(len(single), np.int64))), np.concatenate((place[a] - first[a], np.full(len(single), WHOLE))), np.concatenate((a, single))
-
-
-def own_contexts(rows, width: int, again: np.ndarray, hot: np.ndarray, buckets: int):
-    """The distinct units of a block in order of (bucket, anchor, path): anchor and path hashes, buckets, bytes of each,
-    lengths, anchors' places, smallest documents."""
-    node, path, size, off, docs, text = ([] for _ in range(6))
-    for _, joined, symbols, _, own, document, doc, place, first, n in Contexts(rows, width):
-        anchor, way, start, windows, where, at = units(symbols, own, place, first, n, width, again, hot)
-        node.append(anchor)
-        path.append(way)
-        size.append(windows + width - 1)
-        off.append(where)
-        docs.append(doc[document[at]])
-        text += [joined[i:j] for i, j in zip(start.tolist(), (start + windows + (width - 1)).tolist(), strict=True)]
-    node, path = (np.concatenate([np.zeros(0, np.uint64), *x]) for x in (node, path))
-    size, off, docs = (np.concatenate([np.zeros(0, np.int64), *x]).astype(np.int64) for x in (size, off, docs))
+    return np.concatenate((own[a], whole)), np.concatenate((path, ~whole)), np.concatenate((first[a], start)), np.concatenate((n[a], np.ones(len(single), np.int64))), np.concatenate((place[a] - first[a], np.full(len(single), WHOLE))), doc[np.concatenate((a, single))]
+
+
+def own_contexts(contexts: Contexts, compared: list[tuple], buckets: int):
+    """The distinct units of a block in order of (bucket, anchor, path): anchor and path hashes, buckets, piece and first
+    window of each, lengths, anchors' places, smallest documents."""
+    node, path, start, windows, off, docs = (np.concatenate([np.zeros(0, kind), *(x[k] for x in compared)]).astype(kind) for k, kind in enumerate((np.uint64, np.uint64, np.int64, np.int64, np.int64, np.int64)))
+    piece = np.repeat(np.arange(len(compared)), [len(x[0]) for x in compared])
     bucket = dealt(node, buckets)
     order = np.lexsort((docs, path, node, bucket))
-    node, path, bucket, size, off, docs = (x[order] for x in (node, path, bucket, size, off, docs))
+    node, path = node[order], path[order]
     one = np.flatnonzero(np.concatenate(([True], (node[1:] != node[:-1]) | (path[1:] != path[:-1])))) if len(node) else np.zeros(0, np.int64)
-    return node[one], path[one], bucket[one], [text[i] for i in order[one]], size[one], off[one], docs[one]
+    order = order[one]
+    return node[one], path[one], bucket[order], piece[order], start[order], windows[order] + contexts.width - 1, off[order], docs[order]
 
 
 def sent(bucket, block, payload):
@@ -239,9 +227,9 @@ def told(replies, dtype) -> np.ndarray:
     return np.concatenate([np.zeros(0, dtype), *(np.frombuffer(parts[i], dtype) for i in order)])
 
 
-def repeated(rows, replies, width: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+def repeated(contexts: Contexts, replies, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted anchors of a block that repeat, from what it has itself and from the answers, and those in very many blocks."""
-    keys, several, _ = own_keys(rows, width, buckets)
+    keys, several, _ = own_keys(contexts, buckets)
     said = told(replies, np.uint8)
     return np.sort(keys[several | (said > 0)]), np.sort(keys[said > 1])
 
@@ -250,11 +238,11 @@ def marks(docs: DataFrame, width: int, finish, schema: str, bytes_a_block: int =
     """``finish(part, gone)`` for each piece of the documents: an Arrow batch from its rows and, for each text, which bytes to remove."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // bytes_a_block))
-    buckets = max(8, blocks // 8)
+    buckets, context_buckets = max(8, blocks // 8), max(8, blocks)
     docs = docs.withColumn("block", F.pmod(F.xxhash64("doc"), F.lit(blocks)).cast("int"))
 
     def ask(key, rows):
-        keys, _, bucket = own_keys(rows, width, buckets)
+        keys, _, bucket = own_keys(Contexts(rows, width), buckets)
         cuts = list(by_bucket(bucket))
         return sent([b for b, _ in cuts], [key[0].as_py()] * len(cuts), [keys[s].tobytes() for _, s in cuts])
 
@@ -267,9 +255,11 @@ def marks(docs: DataFrame, width: int, finish, schema: str, bytes_a_block: int =
         return sent([key[0].as_py()] * len(parts), rows["block"], [x.tobytes() for x in said])
 
     def show(key, rows, replies):
-        again, hot = repeated(rows, replies, width, buckets)
-        node, path, bucket, text, size, off, doc = own_contexts(rows, width, again, hot, buckets)
+        contexts = Contexts(rows, width)
+        node, path, bucket, piece, start, size, off, doc = own_contexts(contexts, contexts.units(*repeated(contexts, replies, buckets)), context_buckets)
         cuts = list(by_bucket(bucket))
+        texts = [x[1] for x in contexts.parts]
+        text = [texts[p][i:j] for p, i, j in zip(piece.tolist(), start.tolist(), (start + size).tolist(), strict=True)]
         payload = [np.int64(s.stop - s.start).tobytes() + doc[s].tobytes() + size[s].astype(np.uint8).tobytes() + off[s].astype(np.uint8).tobytes() + b"".join(text[s]) for _, s in cuts]
         return sent([b for b, _ in cuts], [key[0].as_py()] * len(cuts), payload)
 
@@ -288,8 +278,9 @@ def marks(docs: DataFrame, width: int, finish, schema: str, bytes_a_block: int =
         return sent([key[0].as_py()] * len(counts), rows["block"], [np.concatenate((smallest[i:j], mask[i:j])).tobytes() for i, j in zip(cuts[:-1], cuts[1:], strict=True)])
 
     def mark(key, rows, replies, more):
-        again, hot = repeated(rows, replies, width, buckets)
-        node, path, *_ = own_contexts(rows, width, again, hot, buckets)
+        contexts = Contexts(rows, width)
+        compared = contexts.units(*repeated(contexts, replies, buckets))
+        node, path, *_ = own_contexts(contexts, compared, context_buckets)
         parts = more.sort_by("bucket")["keys"].to_pylist()
         halves = [np.frombuffer(x, np.int64).reshape(2, -1) for x in parts]
         smallest, mask = np.concatenate([np.zeros((2, 0), np.int64), *halves], 1)
@@ -297,12 +288,11 @@ def marks(docs: DataFrame, width: int, finish, schema: str, bytes_a_block: int =
         order = np.argsort(both, kind="stable")
         both, smallest, mask = both[order], smallest[order], mask[order]
         out = []
-        for part, joined, symbols, lengths, own, document, doc, place, first, n in Contexts(rows, width):
-            anchor, way, start, windows, _, at = units(symbols, own, place, first, n, width, again, hot)
+        for (part, joined, lengths, *_), (anchor, way, start, windows, _, doc) in zip(contexts.parts, compared, strict=True):
             starts = np.zeros(0, np.int64)
-            if len(at):
+            if len(anchor):
                 k = np.searchsorted(both, mixed(anchor) ^ way)
-                bits = np.where(smallest[k] < doc[document[at]], np.int64(-1), mask[k])
+                bits = np.where(smallest[k] < doc, np.int64(-1), mask[k])
                 some = bits != 0
                 bits, start, windows = bits[some], start[some], windows[some]
                 step = np.arange(int(windows.sum())) - np.repeat(np.cumsum(windows) - windows, windows)
@@ -328,7 +318,7 @@ def marks(docs: DataFrame, width: int, finish, schema: str, bytes_a_block: int =
     return by_block.cogroup(both.groupBy("block")).applyInArrow(last, schema)
 
 
-def resolve(text: np.ndarray, size: np.ndarray, off: np.ndarray, doc: np.ndarray, width: int, symbols_an_index: int = 4 << 20) -> tuple[np.ndarray, np.ndarray]:
+def resolve(text: np.ndarray, size: np.ndarray, off: np.ndarray, doc: np.ndarray, width: int, symbols_an_index: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
     """For each context of a bucket: the smallest document with that very context, and the mask of its windows that a
     smaller document has in another context of the anchor."""
     first = np.cumsum(size) - size

@@ -14,20 +14,35 @@ from .common import mixed
 BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 
 
+_KNOWN: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_KEEP = 1 << 20
+
+
+def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """base**k and base**-k modulo 2**64 for k to n; those of short runs are kept."""
+    known = _KNOWN.get(base)
+    if known is None or len(known[0]) <= n:
+        size = max(n, 1024) + 1 if n >= _KEEP else _KEEP
+        out = []
+        for x in (base, pow(base, -1, 1 << 64)):
+            p = np.full(size, x, np.uint64)
+            p[0] = 1
+            with np.errstate(over="ignore"):
+                out.append(np.multiply.accumulate(p))
+        known = out[0], out[1]
+        if size <= _KEEP:
+            _KNOWN[base] = known
+    return known[0][:n], known[1][: n + 1]
+
+
 class Rolling:
     """Hashes of any run of a sequence of 64-bit symbols: equal runs have equal hashes."""
 
     def __init__(self, symbols: np.ndarray, base: int = BASES[0]):
         n = len(symbols)
+        power, self.back = powers(base, n)
+        self.sums = np.zeros(n + 1, np.uint64)
         with np.errstate(over="ignore"):
-            power = np.full(n, base, np.uint64)
-            back = np.full(n + 1, pow(base, -1, 1 << 64), np.uint64)
-            if n:
-                power[0] = 1
-            back[0] = 1
-            np.multiply.accumulate(power, out=power)
-            self.back = np.multiply.accumulate(back)
-            self.sums = np.zeros(n + 1, np.uint64)
             np.cumsum(symbols * power, out=self.sums[1:])
 
     def of(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
@@ -66,17 +81,16 @@ def anchors(hashes: np.ndarray, lengths: np.ndarray, width: int, k: int) -> tupl
     if total < width:
         return empty, empty, empty, empty
     keys = (hashes & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(hashes), dtype=np.uint64)
-    chosen = (least(keys, width - k + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    chosen = least(keys, width - k + 1) & np.uint64(0xFFFFFFFF)
     stops = np.cumsum(lengths)
-    document = np.repeat(np.arange(len(lengths)), lengths)[: len(chosen)]
-    good = np.arange(len(chosen)) + width <= stops[document]
-    start = np.flatnonzero(good)
-    if not len(start):
-        return empty, empty, empty, empty
-    place = chosen[start]
-    new = np.concatenate(([True], (place[1:] != place[:-1]) | (start[1:] != start[:-1] + 1)))
-    first = np.flatnonzero(new)
-    return document[start[first]], place[first], start[first], np.diff(np.append(first, len(start)))
+    begins = stops - lengths
+    # Runs of windows with one anchor, cut where documents begin; what reaches over a document's end is clipped off.
+    first = np.unique(np.concatenate(([0], np.flatnonzero(chosen[1:] != chosen[:-1]) + 1, begins[begins < len(chosen)])))
+    document = np.searchsorted(stops, first, "right")
+    n = np.minimum(np.append(first[1:], len(chosen)), stops[document] - width + 1) - first
+    good = n > 0
+    first = first[good]
+    return document[good], chosen[first].astype(np.int64), first, n[good]
 
 
 def covered(length: int, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
