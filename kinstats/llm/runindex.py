@@ -22,6 +22,7 @@ result; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ from .common import mixed, pieces, text_bytes
 from .spans import BASES, Rolling, anchors, covered
 
 LAST = (1 << 63) - 1
-KMER = 16
+KMER = 24
 HOT = 64
 WHOLE = 255  # in the place of an anchor: a single window, which is its own anchor
 SENT = "bucket int, block int, keys binary"
@@ -158,6 +159,13 @@ def path_hash(runs: Rolling, place, first, n, width: int) -> np.ndarray:
         return runs.of(first, first + n + (width - 1)) + (place - first).astype(np.uint64) * np.uint64(BASES[0])
 
 
+def among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which of ``x`` are in ``known``, which is sorted."""
+    if not len(known):
+        return np.zeros(len(x), bool)
+    return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x
+
+
 def dealt(keys: np.ndarray, buckets: int) -> np.ndarray:
     return (mixed(keys) % np.uint64(buckets)).astype(np.int64)
 
@@ -190,10 +198,10 @@ def units(joined: bytes, own, doc, place, first, n, width: int, again: np.ndarra
 
     Hashes of anchor and path, first window, number of windows, the anchor's place in the context, and the doc_id.
     """
-    at = np.flatnonzero(np.isin(own, again, kind="sort")) if len(again) else np.zeros(0, np.int64)
+    at = np.flatnonzero(among(own, again))
     if not len(at):
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64), at, at, at, at
-    cut = np.isin(own[at], hot, kind="sort") if len(hot) else np.zeros(len(at), bool)
+    cut = among(own[at], hot)
     a, b = at[~cut], at[cut]
     single = np.repeat(b, n[b])
     start = np.repeat(first[b], n[b]) + np.arange(len(single)) - np.repeat(np.cumsum(n[b]) - n[b], n[b])
@@ -251,7 +259,7 @@ def marks(docs: DataFrame, width: int, finish, schema: str, bytes_a_block: int =
         everything = np.sort(np.concatenate(parts))
         again = np.unique(everything[1:][everything[1:] == everything[:-1]])
         hot = np.unique(everything[HOT - 1 :][everything[HOT - 1 :] == everything[: len(everything) - HOT + 1]])
-        said = [np.isin(x, again, kind="sort").astype(np.uint8) + np.isin(x, hot, kind="sort").astype(np.uint8) for x in parts]
+        said = [among(x, again).astype(np.uint8) + among(x, hot) for x in parts]
         return sent([key[0].as_py()] * len(parts), rows["block"], [x.tobytes() for x in said])
 
     def show(key, rows, replies):
@@ -260,12 +268,12 @@ def marks(docs: DataFrame, width: int, finish, schema: str, bytes_a_block: int =
         cuts = list(by_bucket(bucket))
         texts = [x[1] for x in contexts.parts]
         text = [texts[p][i:j] for p, i, j in zip(piece.tolist(), start.tolist(), (start + size).tolist(), strict=True)]
-        payload = [np.int64(s.stop - s.start).tobytes() + doc[s].tobytes() + size[s].astype(np.uint8).tobytes() + off[s].astype(np.uint8).tobytes() + b"".join(text[s]) for _, s in cuts]
+        payload = [zlib.compress(np.int64(s.stop - s.start).tobytes() + doc[s].tobytes() + size[s].astype(np.uint8).tobytes() + off[s].astype(np.uint8).tobytes() + b"".join(text[s]), 1) for _, s in cuts]
         return sent([b for b, _ in cuts], [key[0].as_py()] * len(cuts), payload)
 
     def compare(key, rows):
         doc, size, off, text = [], [], [], []
-        for x in rows["keys"].to_pylist():
+        for x in map(zlib.decompress, rows["keys"].to_pylist()):
             n = int.from_bytes(x[:8], "little")
             doc.append(np.frombuffer(x, np.int64, n, 8))
             size.append(np.frombuffer(x, np.uint8, n, 8 + 8 * n).astype(np.int64))
