@@ -208,6 +208,29 @@ def test_decontamination(spark):
     assert lsa.matches(frame.limit(0), passages).count() == 0 and lsa.matches(frame, passages.limit(0)).count() == 0
 
 
+def test_decontamination_keeps_every_axis_of_many_passages(spark):
+    rng = random.Random(13)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(4, 8))) for _ in range(6000)]
+    items = [(k, " ".join(rng.choice(words) for _ in range(rng.randint(15, 50))) + ".") for k in range(300)]
+    docs = []
+    for k in range(80):
+        passage = rng.choice(items)[1].split()
+        if k % 2:  # a paraphrase
+            passage = [w if rng.random() > 0.15 else rng.choice(words) for w in passage]
+        noise = lambda n: [rng.choice(words) + "x" for _ in range(n)]
+        docs.append((k, " ".join(noise(rng.randint(0, 60)) + passage + noise(rng.randint(0, 60)))))
+    whole = [(i, lsa.plain(t.encode().split())) for i, t in items]
+    bits = [(i, len(w), set(w), lsa.places(w)) for i, w in whole]
+    want = set()
+    for d, t in docs:
+        own = lsa.plain(t.encode().split())
+        have = set(own)
+        want |= {(d, i) for i, n, some, at in bits if len(some & have) >= 0.6 * len(some) and lsa.common_subsequence(at, own) >= 0.7 * n}
+    assert len(want) > 70
+    found = {(x.doc_id, x.item_id) for x in lsa.matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), rank=32).collect()}
+    assert found >= want
+
+
 def test_latent_axes_are_singular_vectors(spark):
     rng = random.Random(10)
     texts = [" ".join(f"w{rng.randrange(40)}" for _ in range(12)) for _ in range(25)]
