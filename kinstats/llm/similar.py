@@ -3,8 +3,8 @@
 ``near_duplicates`` (``simhash``) links fingerprints at two bits; documents whose shingle sets have a Jaccard similarity
 of 0.8 lie some ten bits apart. Here texts of equal words are one node; nodes that agree in two minima of their
 shingle hashes, in one of ``bands`` draws, are candidates (a pair at 0.8 misses all ten draws once in 27,000); candidates
-whose pivot distances or fingerprints differ by more than ``max_bits`` are discarded (a pair at 0.8 does so once in
-30,000), and the rest is verified on the shingle sets.
+whose pivot distances or fingerprints, of distinct shingles, differ by more than ``max_bits`` are discarded (a pair at
+0.8 does so once in 30,000), and the rest is verified on the shingle sets.
 
 A draw that more than ``hot`` nodes share is not paired all with all. Its nodes are compared with ``sampled`` of them
 first; then, with the components that these and all other links give, each node outside the draw's largest component
@@ -41,7 +41,7 @@ def sketches(docs: DataFrame, size: int, bands: int, seed: int = 3) -> DataFrame
             for batch in pieces(whole, "text"):
                 out = [[], [], [], []]
                 for text in text_bytes(batch.column(1)):
-                    hashes = np.array(shingle_hashes(text, size), np.uint64)
+                    hashes = np.unique(np.array(shingle_hashes(text, size), np.uint64))  # a set, as the similarity is of sets
                     words = b" ".join(text.lower().split())
                     with np.errstate(over="ignore"):
                         least = np.array([(hashes * f).min() if len(hashes) else 0 for f in factors], np.uint64)

@@ -59,6 +59,20 @@ def test_groups_match_brute_force(spark):
         assert got == want, hot
 
 
+def test_groups_of_texts_that_repeat_phrases_match_brute_force(spark):
+    rng = random.Random(8)
+    docs = []
+    for k in range(20):
+        words = [f"r{rng.randrange(10**6)}" for _ in range(100)]
+        docs += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words + words[-5:] * 16))]
+    sets = [(i, set(shingles(t, 5))) for i, t in docs]
+    want = classes([i for i, _ in docs], [(i, j) for k, (i, a) in enumerate(sets) for j, b in sets[:k] if len(a & b) >= 0.8 * len(a | b)])
+    assert len(set(want.values())) == 20
+    frame = spark.createDataFrame(docs, "doc long, text string")
+    for hot in (64, 1):
+        assert dict(map(tuple, similar.groups(frame, hot=hot, sampled=2).collect())) == want, hot
+
+
 def test_one_of_each_keeps_columns_and_least_ids(spark):
     rows = [(5, "a b c d e f g", "x"), (3, "A b c d e  f g", "y"), (9, "z z z", None), (9, "z z z", None), (None, "a b c d e f g", "n"), (None, None, "n")]
     frame = spark.createDataFrame(rows, "doc_id long, text string, same string")
