@@ -231,6 +231,29 @@ def test_decontamination_keeps_every_axis_of_many_passages(spark):
     assert found >= want
 
 
+def test_decontamination_finds_passages_that_leak_often(spark):
+    rng = random.Random(14)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(4, 8)))
+    often = ["so", "we", "go", "on", "and", "then", "it", "is", "all", "of", "the", "day", "to", "him", "for"]
+    items = [(k, " ".join(word() for _ in range(20)) + ".") for k in range(5)] + [(5, " ".join(often) + ".")]
+    docs, want = [], set()
+    for k in range(200):
+        words = [word() if rng.random() < 0.6 else rng.choice(often) for _ in range(60)]
+        at = rng.randint(0, 60)
+        if k % 2:  # one passage in half of the documents
+            words[at:at] = items[0][1].split()
+            want.add((k, 0))
+        elif k % 10 == 0:  # a passage of words that most documents have
+            words = [word() for _ in range(60)]
+            words[at:at] = items[5][1].split()
+            want.add((k, 5))
+        docs.append((k, " ".join(words)))
+    copies = [(k, docs[1][1]) for k in range(200, 300)]
+    want |= {(k, 0) for k, _ in copies}
+    frame = spark.createDataFrame(docs + copies, "doc_id long, text string")
+    assert {(x.doc_id, x.item_id) for x in lsa.matches(frame, spark.createDataFrame(items, "item_id long, text string")).collect()} >= want
+
+
 def test_latent_axes_are_singular_vectors(spark):
     rng = random.Random(10)
     texts = [" ".join(f"w{rng.randrange(40)}" for _ in range(12)) for _ in range(25)]
