@@ -1,15 +1,17 @@
 """Language identification with hyperdimensional profiles.
 
-Every letter has a random vector of +1 and -1. A trigram is the product of its letters' vectors, rotated by two, one
-and no places; a text or a language is the sum (bundle) of the vectors of its trigrams. A text gets the language whose
-prototype has the largest cosine with it.
+Every letter has a random vector of +1 and -1, drawn from its own code point. A trigram is the product of its letters'
+vectors, rotated by two, one and no places; a text or a language is the sum (bundle) of the vectors of its trigrams. A
+text gets the language whose prototype has the largest cosine with it.
 
-The bundle of a text is never laid out: its inner product with a prototype is the sum, over its trigrams, of one entry
-of a table (trigram x language), and its length is that of independent trigram vectors, the root of the sum of squared
-counts times the dimension. Only the table (fixed number of trigram codes, one column a language) goes to the tasks.
+The bundle of a text is never laid out: its inner product with a prototype is the sum of its trigrams' products with it,
+and its length is taken as that of independent trigram vectors, the root of the sum of squared counts times the
+dimension (off by some hundredths; the order of the languages does not depend on it). Tasks get one vector a language
+and remember the products of ``REMEMBERED`` trigrams.
 
 Defined cases: a null text, and one without letters, is ``und`` with score 0; languages that are null are not learned;
-with no language learned all is ``und``; of equal cosines the alphabetically first language wins; other columns are
+with no language learned all is ``und``; of equal cosines the alphabetically first language wins; texts of any length
+are read whole, and what else is in their batch never matters; an empty table gives an empty result; other columns are
 ignored and repeated rows are judged alike.
 """
 
@@ -22,119 +24,147 @@ from pyspark.sql import functions as F
 
 from .common import pieces
 
-SYMBOLS = 64  # 0 is any gap between words; letters beyond the basic ones share the rest by code point
-CODES = SYMBOLS**3
 UNDECIDED = "und"
+REMEMBERED = 400_000
+POINT = 21  # bits of a code point
 
 
-def symbol_table() -> np.ndarray:
-    """Symbol of each code point of the basic plane: 0 no letter, 1-26 a-z, others 27-63; capitals count as small letters."""
-    out = np.zeros(0x10000, np.uint8)
-    for c in range(0x10000):
-        x = chr(c)
-        if x.isalpha():
-            low = ord(x.lower()[0])
-            out[c] = low - 96 if 97 <= low <= 122 else 27 + low % 37
-    return out
+def letter_of(point: int) -> int:
+    """Code point of the small letter, or 0 for what is no letter."""
+    x = chr(point)
+    return ord(x.lower()[0]) if x.isalpha() else 0
+
 
+def trigrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct trigrams as three code points in one number (0 is a gap), the place among them of every trigram of the
+    texts end to end, and the number of each text's trigrams.
 
-def trigram_codes(texts: list[str | None], symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of all trigrams of symbols (runs of gaps are one, and each text ends with one) and the number of each text's trigrams; trigrams without a letter in the middle are left out."""
+    Runs of what is no letter are one gap, texts begin and end with one, and trigrams have a letter in the middle.
+    """
     joined = "\0\0".join(" " if x is None else x for x in texts) + "\0\0"
     points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-    lengths = np.array([1 if x is None else len(x) for x in texts], np.int64) + 2
-    row = np.repeat(np.arange(len(texts)), lengths)
-    s = symbols[np.minimum(points, 0xFFFF)].astype(np.int32)
-    for high in np.unique(points[points > 0xFFFF]):
-        s[points == high] = 27 + int(high) % 37 if chr(high).isalpha() else 0
+    row = np.repeat(np.arange(len(texts)), np.array([1 if x is None else len(x) for x in texts], np.int64) + 2)
+    used, s = _distinct(points.astype(np.int64))
+    letters, number = np.unique(np.array([0, *map(letter_of, used.tolist())], np.int64), return_inverse=True)
+    s = number[1:][s]
     keep = np.ones(len(s), bool)
     keep[1:] = (s[1:] > 0) | (s[:-1] > 0) | (row[1:] != row[:-1])
     s, row = s[keep], row[keep]
-    if len(s) < 3:
-        return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
+    new = row[1:] != row[:-1]
     before, after = np.concatenate(([0], s[:-1])), np.concatenate((s[1:], [0]))
-    before[np.concatenate(([True], row[1:] != row[:-1]))] = 0
+    before[1:][new] = 0
+    after[:-1][new] = 0
     at = s > 0
-    return ((before * SYMBOLS + s) * SYMBOLS + after)[at], np.bincount(row[at], minlength=len(texts))
+    codes, place = _distinct(((before * len(letters) + s) * len(letters) + after)[at])
+    a, b, c = codes // len(letters) ** 2, codes // len(letters) % len(letters), codes % len(letters)
+    return (letters[a] << (2 * POINT)) | (letters[b] << POINT) | letters[c], place, np.bincount(row[at], minlength=len(texts))
+
 
+def _distinct(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes in order and the place of each code; by counting where they are small."""
+    if len(codes) and int(codes.max()) < 1 << 22:
+        there = np.bincount(codes) > 0
+        return np.flatnonzero(there), (np.cumsum(there) - 1)[codes]
+    return np.unique(codes, return_inverse=True)
 
-def trigram_vectors(dimension: int, seed: int, codes: np.ndarray) -> np.ndarray:
+
+def trigram_vectors(dimension: int, seed: int, keys: np.ndarray) -> np.ndarray:
     """The vectors of the given trigrams, one a row."""
-    letters = np.random.default_rng(seed).choice(np.array([-1, 1], np.int8), (SYMBOLS, dimension))
-    a, b, c = codes // SYMBOLS**2, codes // SYMBOLS % SYMBOLS, codes % SYMBOLS
+    three = np.stack([keys >> (2 * POINT), keys >> POINT, keys]) & ((1 << POINT) - 1)
+    used, place = np.unique(three, return_inverse=True)
+    letters = np.array([np.random.default_rng([seed, int(x)]).choice(np.array([-1, 1], np.int8), dimension) for x in used], np.int8).reshape(len(used), dimension)
+    a, b, c = place.reshape(three.shape)
     return np.roll(letters, 2, 1)[a] * np.roll(letters, 1, 1)[b] * letters[c]
 
 
 def learn(train: DataFrame, dimension: int = 2048, seed: int = 7) -> dict[str, np.ndarray]:
     """Language -> prototype, from ``text`` and ``lang`` of all rows of ``train``.
 
-    Tasks count trigrams by language, Spark adds the counts up, and one group for each language bundles them; the
+    Tasks count trigrams by language, Spark adds the counts up, tasks bundle them and Spark adds up the bundles; the
     driver gets one vector a language.
     """
-    symbols = symbol_table()
 
     def count(batches):
-        sums = {}
         for batch in batches:
             for part in pieces(batch, "text"):
                 langs = part.column(1).to_pylist()
-                codes, n = trigram_codes(part.column(0).to_pylist(), symbols)
+                keys, place, n = trigrams(part.column(0).to_pylist())
                 order = sorted(set(langs))
                 which = np.repeat(np.searchsorted(order, langs), n)
                 for k, lang in enumerate(order):
-                    sums[lang] = sums.get(lang, 0) + np.bincount(codes[which == k], minlength=CODES)
-        for lang, counts in sums.items():
-            used = np.flatnonzero(counts)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(used), pa.string()), pa.array(used.astype(np.int32)), pa.array(counts[used].astype(np.int64))], ["lang", "code", "n"])
-
-    def bundle(key, rows):
-        counts = rows["n"].to_numpy().astype(np.float64)
-        codes = rows["code"].to_numpy()
-        total = np.zeros(dimension)
-        for at in range(0, len(codes), 4096):
-            total += (counts[at : at + 4096] / counts.sum()) @ trigram_vectors(dimension, seed, codes[at : at + 4096]).astype(np.float64)
-        return pa.table({"lang": pa.array([key[0].as_py()], pa.string()), "vector": pa.array([total.tolist()], pa.list_(pa.float64()))})
+                    counts = np.bincount(place[which == k], minlength=len(keys))
+                    some = np.flatnonzero(counts)
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array(keys[some]), pa.array(counts[some].astype(np.int64))], ["lang", "trigram", "n"])
 
-    rows = train.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    counts = rows.mapInArrow(count, "lang string, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
-    return {x["lang"]: np.array(x["vector"]) for x in counts.groupBy("lang").applyInArrow(bundle, "lang string, vector array<double>").collect()}
+    def bundle(batches):
+        sums = {}
+        for batch in batches:
+            langs = np.array(batch.column(0).to_pylist(), object)
+            for at in range(0, len(langs), 1024):
+                some = slice(at, at + 1024)
+                vectors = trigram_vectors(dimension, seed, batch.column(1).to_numpy()[some]).astype(np.float64)
+                counts = batch.column(2).to_numpy()[some].astype(np.float64)
+                for lang in set(langs[some]):
+                    sums[lang] = sums.get(lang, 0) + np.where(langs[some] == lang, counts, 0) @ vectors
+        for lang, total in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * dimension, pa.string()), pa.array(range(dimension), pa.int32()), pa.array(total)], ["lang", "k", "x"])
 
+    rows = train.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    counts = rows.mapInArrow(count, "lang string, trigram long, n long").groupBy("lang", "trigram").agg(F.sum("n").alias("n"))
+    out: dict[str, np.ndarray] = {}
+    for lang, k, x in counts.mapInArrow(bundle, "lang string, k int, x double").groupBy("lang", "k").agg(F.sum("x")).collect():  # languages x dimension
+        out.setdefault(lang, np.zeros(dimension))[k] = x
+    return out
 
-def score_table(prototypes: dict[str, np.ndarray], dimension: int, seed: int) -> tuple[list[str], np.ndarray]:
-    """Languages in order, and trigram x language: inner products of trigram vectors with prototypes, over both lengths.
 
-    What all prototypes have in common tells nothing about a text and is taken off first.
-    """
+def centred(prototypes: dict[str, np.ndarray]) -> tuple[list[str], np.ndarray]:
+    """Languages in order and their prototypes, one a row, of length one; what all have in common tells nothing and is taken off."""
     names = sorted(prototypes)
-    vectors = np.array([prototypes[x] for x in names])
+    vectors = np.array([prototypes[x] / max(np.linalg.norm(prototypes[x]), 1e-12) for x in names])
     if len(names) > 1:
         vectors = vectors - vectors.mean(0)
-    vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
-    out = np.empty((CODES, len(names)), np.float32)
-    for at in range(0, CODES, 8192):
-        out[at : at + 8192] = trigram_vectors(dimension, seed, np.arange(at, at + 8192)).astype(np.float32) @ vectors.T.astype(np.float32) / np.sqrt(dimension)
-    return names, out
+    return names, vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12) if names else vectors
+
+
+class Products:
+    """Inner products of trigrams' vectors with prototypes, over both lengths; those of trigrams once met are remembered."""
+
+    def __init__(self, vectors: np.ndarray, seed: int):
+        self.vectors, self.seed, self.dimension = vectors.astype(np.float32), seed, vectors.shape[1]
+        self.keys, self.values = np.zeros(0, np.int64), np.zeros((0, len(vectors)), np.float32)
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        """A row for each of ``keys``, which are sorted and distinct."""
+        new = np.setdiff1d(keys, self.keys, assume_unique=True)
+        if len(new):
+            if len(self.keys) > REMEMBERED:
+                self.keys, self.values, new = self.keys[:0], self.values[:0], keys
+            made = [trigram_vectors(self.dimension, self.seed, new[at : at + 4096]).astype(np.float32) @ self.vectors.T for at in range(0, len(new), 4096)]
+            every = np.concatenate((self.keys, new))
+            order = np.argsort(every)
+            self.keys, self.values = every[order], np.concatenate((self.values, np.concatenate(made) / np.float32(np.sqrt(self.dimension))))[order]
+        return self.values[np.searchsorted(self.keys, keys)]
 
 
-def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], keep: list[str], dimension: int = 2048, seed: int = 7) -> DataFrame:
+def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], keep: list[str], seed: int = 7) -> DataFrame:
     """``keep`` columns of ``docs``, ``lang_pred`` and ``score``: the cosine, from 0 to 1."""
-    spark = docs.sparkSession
-    names, weights = score_table(prototypes, dimension, seed) if prototypes else ([], None)
-    shared = spark.sparkContext.broadcast((names, weights))
-    symbols = symbol_table()
+    names, vectors = centred(prototypes)
+    shared = docs.sparkSession.sparkContext.broadcast(vectors)
 
     def run(batches):
-        names, weights = shared.value
+        products = Products(shared.value, seed) if names else None
         for batch in batches:
             for part in pieces(batch, "text"):
                 texts = part.column(part.schema.get_field_index("text")).to_pylist()
-                codes, n = trigram_codes(texts, symbols)
                 langs, scores = [UNDECIDED] * len(texts), np.zeros(len(texts))
                 if names:
+                    keys, place, n = trigrams(texts)
+                    order = np.argsort(keys)
+                    weights = np.empty((len(keys), len(names)), np.float32)
+                    weights[order] = products.of(keys[order])
                     stops = np.cumsum(n)
                     for i in np.flatnonzero(n):
-                        own = codes[stops[i] - n[i] : stops[i]]
-                        used, counts = np.unique(own, return_counts=True)
+                        used, counts = np.unique(place[stops[i] - n[i] : stops[i]], return_counts=True)
                         cosines = counts @ weights[used] / np.sqrt(np.square(counts, dtype=np.float64).sum())
                         best = int(np.argmax(cosines))
                         langs[i], scores[i] = names[best], min(1.0, max(0.0, float(cosines[best])))

@@ -42,21 +42,31 @@ def test_language(spark):
     rows = [(k, make(syllables[lang]), lang) for k, lang in enumerate(sorted(syllables) * 30)]
     train = spark.createDataFrame(rows[:60] + [(900, "x", None), (901, None, "aa")], "doc_id long, text string, lang string")
     model = langid.learn(train, dimension=512)
-    odd = [(1000, None), (1001, "12 !!"), (1002, ""), (1003, "\U0001f600"), (1004, "q")]
+    odd = [(1000, None), (1001, "12 !!"), (1002, ""), (1003, "\U0001f600"), (1004, "q"), (1005, rows[60][1] * 300), (1006, rows[61][1]), (1006, rows[61][1]), (1007, "\u0436\u0438 \U00010400\U00010401")]
     frame = spark.createDataFrame([(i, t, "zz") for i, t, _ in rows[60:]] + [(i, t, "zz") for i, t in odd], "doc_id long, text string, score string")
-    got = {x.doc_id: x for x in langid.predict(frame, model, ["doc_id"], dimension=512).collect()}
+    found = langid.predict(frame, model, ["doc_id"]).collect()
+    got = {x.doc_id: x for x in found}
+    assert len(found) == frame.count() and got[1005].lang_pred == rows[60][2] and got[1006].lang_pred == rows[61][2]
     assert all(got[i].lang_pred == lang for i, _, lang in rows[60:])
-    assert all(got[i].lang_pred == "und" and got[i].score == 0 for i in (1000, 1001, 1002, 1003)) and got[1004].lang_pred != "und"
+    assert all(got[i].lang_pred == "und" and got[i].score == 0 for i in (1000, 1001, 1002, 1003)) and got[1004].lang_pred != "und" != got[1007].lang_pred
     assert all(0 <= x.score <= 1 for x in got.values())
-    # The table gives the same cosines as bundles of whole vectors do.
-    names, table = langid.score_table(model, 512, 7)
-    codes, _ = langid.trigram_codes([rows[60][1]], langid.symbol_table())
-    bundle = langid.trigram_vectors(512, 7, codes).astype(float).sum(0)
-    vectors = np.array([model[n] for n in names])
-    vectors -= vectors.mean(0)
-    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
-    assert np.allclose(table[codes].sum(0) * math.sqrt(512), vectors @ bundle, rtol=1e-3, atol=0.5)
+    # A text alone in its batch is judged as beside others.
+    alone = langid.predict(frame.filter("doc_id = 1004").coalesce(1), model, ["doc_id"]).first()
+    assert alone.lang_pred == got[1004].lang_pred and alone.score == pytest.approx(got[1004].score, abs=1e-6)
+    # Brute force: whole bundles of vectors put together letter by letter.
+    names, vectors = langid.centred(model)
+    letter = lambda c: np.random.default_rng([7, ord(c)]).choice(np.array([-1, 1], np.int8), 512).astype(float)
+    for i, text in [(i, t) for i, t, _ in rows[60:70]] + odd[4:]:
+        marked = "\0" + re.sub(r"[\W\d_]+", "\0", text.lower()).strip("\0") + "\0"
+        windows = [marked[k : k + 3] for k in range(len(marked) - 2) if marked[k + 1] != "\0"]
+        bundle = sum(np.roll(letter(a), 2) * np.roll(letter(b), 1) * letter(c) for a, b, c in windows)
+        products = vectors @ bundle
+        size = math.sqrt(512 * sum(n * n for n in collections.Counter(windows).values()))
+        assert got[i].lang_pred == names[int(np.argmax(products))] and got[i].score == pytest.approx(max(0.0, products.max() / size), abs=1e-4)
+    # Equal prototypes are a tie: the first name wins.
+    assert {x.lang_pred for x in langid.predict(frame, {"b": model["aa"], "a": model["aa"]}, ["doc_id"]).filter("score > 0").collect()} <= {"a"}
     assert langid.learn(train.limit(0)) == {} and langid.predict(frame, {}, ["doc_id"]).filter("lang_pred <> 'und'").count() == 0
+    assert langid.predict(frame.limit(0), model, ["doc_id"]).count() == 0
 
 
 def test_model_scores_match_brute_force(spark):
