@@ -1,162 +1,190 @@
 """Removal of byte spans that a smaller document has too, with a run-length index of the contexts that repeat.
 
 Every window of ``width`` bytes chooses an anchor (``spans``); the bytes that consecutive windows with one anchor cover
-are its context. Documents are dealt to blocks and anchors to buckets, in five linked jobs:
-
-1. each block sends the hashes of its anchors, each once, to the anchors' buckets;
-2. a bucket answers which of them other blocks have as well, and which very many blocks have;
-3. each block sends the contexts of the anchors that repeat, each once, with the smallest document that has it;
-4. a bucket builds a run-length index (``RunIndex``) of the contexts of anchors that have several, streams those contexts
-   through it, and answers for each the smallest document that has it, and which of its windows a smaller one has;
-5. each block marks its documents.
-
-All occurrences of a window have the same anchor and so meet in one bucket. A context that many documents share reaches
-a bucket once a block, so no key gathers rows in proportion to its copies. An anchor in ``HOT`` or more blocks could
-have as many different contexts, so these are cut into their single windows, which are dealt by their own hashes.
+are its context. Documents lie in blocks, compressed; anchors are dealt to buckets. In linked jobs
+
+1. each block sends the keys of its anchors, each once, to the anchors' buckets, which answer which of them other blocks
+   have as well, and which very many blocks have;
+2. each block sends, for the anchors that repeat, the hashes of the distinct contexts and the smallest document that has
+   each; a bucket answers which contexts a smaller document has too (these are decided), and which texts it needs:
+   those of anchors with several contexts, once each;
+3. those texts go to the bucket, which builds run-length indexes of them (``rindex``), streams the contexts of larger
+   documents against those of smaller ones, and answers the windows with matching statistics of ``width`` or more;
+4. each block marks its documents.
+
+All occurrences of a window have the same anchor and so meet in one bucket. A context that many documents share is one
+row a block, so no key gathers rows in proportion to its copies. An anchor in ``HOT`` or more blocks could have as many
+different contexts, so these are cut into their single windows, which are dealt and decided by their own hashes. Keys are
+shortened to a few bits more than the corpus needs: two anchors with one key only mean more work, contexts are told apart
+by 64 bits.
 
 Defined cases: a null text is empty; texts shorter than a window lose nothing; rows of equal doc_id are one document
-for the comparison, since only smaller ids count; a null doc_id counts as the largest; an empty table gives an empty
-result; other columns are ignored.
+for the comparison, since only smaller ids count; a null doc_id counts as the largest; very long texts are a block of
+their own and are anchored in parts; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
-import zlib
+import math
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mixed, pieces, text_bytes
+from .common import mixed, text_bytes
+from .rindex import later_windows
 from .spans import BASES, Rolling, anchors, covered
 
 LAST = (1 << 63) - 1
 KMER = 24
 HOT = 64
-WHOLE = 255  # in the place of an anchor: a single window, which is its own anchor
-SENT = "bucket int, block int, keys binary"
+SENT = "bucket int, block long, step int, data binary"
 PIECE = 1 << 19
+BLOCK = 4 << 20
+#: Steps that rows of ``SENT`` belong to.
+REPEATS, STATE, DECIDED, MASKS = 0, 1, 2, 3
+
+
+def squeezed(*arrays: np.ndarray) -> bytes:
+    """Arrays of one length, byte plane by byte plane, compressed."""
+    import zstandard
+
+    n = len(arrays[0])
+    planes = [np.ascontiguousarray(x).view(np.uint8).reshape(n, x.itemsize).T.tobytes() for x in arrays]
+    return zstandard.compress(n.to_bytes(8, "little") + b"".join(planes), 3)
+
+
+def unsqueezed(data: bytes, *kinds: str) -> list[np.ndarray]:
+    import zstandard
+
+    data = zstandard.decompress(data)
+    n, at, out = int.from_bytes(data[:8], "little"), 8, []
+    for kind in map(np.dtype, kinds):
+        size = n * kind.itemsize
+        out.append(np.ascontiguousarray(np.frombuffer(data, np.uint8, size, at).reshape(kind.itemsize, n).T).view(kind).ravel())
+        at += size
+    return out
+
+
+def steps(x: np.ndarray) -> np.ndarray:
+    """Differences of numbers in order."""
+    return np.diff(x, prepend=x.dtype.type(0))
+
+
+def packed_bits(*flags: np.ndarray) -> bytes:
+    return squeezed(np.sum([x.astype(np.uint8) << k for k, x in enumerate(flags)], 0, np.uint8))
+
+
+def packed(docs: DataFrame, bytes_a_block: int) -> DataFrame:
+    """(block, data): rows of documents (doc, doc_id, text) put together to blocks, as they come."""
+    import zstandard
+
+    def run(batches):
+        held, size, k = [], 0, 0
+        part = TaskContext.get().partitionId() << 32
+
+        def block():
+            doc = np.array([x[0] for x in held], np.int64)
+            named = np.array([x[1] is not None for x in held], np.uint8)
+            lengths = np.array([len(x[2]) for x in held], np.int64)
+            head = squeezed(doc, named, lengths)
+            body = zstandard.compress(b"".join([x[2] for x in held]), 3)
+            return pa.RecordBatch.from_arrays([pa.array([part + k]), pa.array([len(head).to_bytes(8, "little") + head + body], pa.binary())], ["block", "data"])
+
+        for batch in batches:
+            for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), text_bytes(batch.column(2)), strict=True):
+                held.append(row)
+                size += len(row[2]) + 16
+                if size >= bytes_a_block:
+                    yield block()
+                    held, size, k = [], 0, k + 1
+        if held:
+            yield block()
+
+    return docs.select("doc", "doc_id", "text").mapInArrow(run, "block long, data binary")
+
+
+class Block:
+    """Documents of a block: ids, whether they have one, lengths, and the texts end to end."""
+
+    def __init__(self, rows):
+        import zstandard
+
+        data = rows["data"][0].as_py()
+        size = 8 + int.from_bytes(data[:8], "little")
+        self.doc, self.named, self.lengths = unsqueezed(data[8:size], "i8", "u1", "i8")
+        self.text = zstandard.decompress(data[size:])
+        self.starts = np.cumsum(self.lengths) - self.lengths
+
+    def pieces(self, width: int):
+        """(bytes, lengths, starts in the block) of runs of documents; long ones are cut, with what windows at the cut need."""
+        own, size = [], 0
+        for start, length in zip(self.starts.tolist(), self.lengths.tolist(), strict=True):
+            for at in range(0, max(1, length - width + 1), PIECE):
+                part = (start + at, min(PIECE + width - 1, length - at))
+                if own and size + part[1] > PIECE:
+                    yield self._piece(own)
+                    own, size = [], 0
+                own.append(part)
+                size += part[1]
+        if own:
+            yield self._piece(own)
+
+    def _piece(self, own):
+        return np.frombuffer(b"".join([self.text[i : i + n] for i, n in own]), np.uint8), np.array([n for _, n in own], np.int64), np.array([i for i, _ in own], np.int64)
+
+    def anchors(self, width: int, shift: int, chosen=None):
+        """Key, start in the block and number of windows of every context, and what ``chosen(key)`` is not 0 for also the
+        path hash; with ``chosen`` only those, and single windows where it is 2."""
+        out = []
+        for text, lengths, starts in self.pieces(width):
+            symbols = text.astype(np.uint64)
+            hashes = Rolling(symbols).fixed(KMER)
+            document, place, first, n = anchors(hashes, lengths, width, KMER)
+            key = mixed(hashes[place]) >> np.uint64(shift) if len(place) else np.zeros(0, np.uint64)
+            real = starts - (np.cumsum(lengths) - lengths)
+            if chosen is None:
+                out.append((key, first + real[document], n))
+                continue
+            said = chosen(key)
+            runs = Rolling(symbols, BASES[1])
+            a, b = np.flatnonzero(said == 1), np.flatnonzero(said == 2)
+            with np.errstate(over="ignore"):
+                path = runs.of(first[a], first[a] + n[a] + (width - 1)) + (place[a] - first[a]).astype(np.uint64) * np.uint64(BASES[0])
+            single = np.repeat(b, n[b])
+            start = np.repeat(first[b], n[b]) + np.arange(len(single)) - np.repeat(np.cumsum(n[b]) - n[b], n[b])
+            whole = runs.of(start, start + width)
+            out.append((np.concatenate((key[a], mixed(whole) >> np.uint64(shift))), np.concatenate((first[a] + real[document[a]], start + real[document[single]])), np.concatenate((n[a], np.ones(len(single), np.int64))), np.concatenate((path, whole))))
+        kinds = (np.uint64, np.int64, np.int64) + (() if chosen is None else (np.uint64,))
+        return [np.concatenate([np.zeros(0, kind), *(x[k] for x in out)]).astype(kind) for k, kind in enumerate(kinds)]
+
+    def documents(self, start: np.ndarray) -> np.ndarray:
+        """doc of the places in the block."""
+        return self.doc[np.searchsorted(self.starts + self.lengths, start, "right")]
 
 
-class RunIndex:
-    """Run-length Burrows-Wheeler index of strings, each with a number; the last step to each suffix is kept by runs.
-
-    Rows are the suffixes of all strings in order, equal ones by string. ``starts`` and ``chars`` are the runs of the
-    transform, ``targets`` the row before each run's first one (LF), ``samples`` the text places at run starts.
-    """
+def by_bucket(bucket: np.ndarray):
+    """(bucket, slice) for each run of an ordered array."""
+    if not len(bucket):
+        return
+    heads = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+    for i, j in zip(heads, [*heads[1:], len(bucket)], strict=True):
+        yield int(bucket[i]), slice(int(i), int(j))
 
-    def __init__(self, strings: np.ndarray, lengths: np.ndarray):
-        """``strings``: bytes end to end; ``lengths``: of each string."""
-        stops = np.cumsum(lengths + 1)
-        self.text = np.zeros(int(stops[-1]), np.uint64)
-        keep = np.ones(len(self.text), bool)
-        keep[stops - 1] = False
-        self.text[keep] = strings.astype(np.uint64) + np.uint64(1)
-        self.stops, self.lengths = stops, lengths
-        which = np.repeat(np.arange(len(lengths)), lengths + 1)
-        self.left = stops[which] - np.arange(len(self.text))  # symbols up to the end of the string, the end mark included
-        self.which = which
-        self.order, self.ranks = self._sorted()
-        before = self.text[self.order - 1]
-        heads = np.flatnonzero(np.concatenate(([True], before[1:] != before[:-1])))
-        self.starts, self.chars = heads, before[heads].astype(np.int64)
-        sizes = np.diff(np.append(heads, len(before)))
-        by_char = np.argsort(self.chars, kind="stable")
-        self.targets = np.empty(len(heads), np.int64)
-        self.targets[by_char] = np.cumsum(sizes[by_char]) - sizes[by_char]
-        self.samples = self.order[heads]
-
-    def _sorted(self) -> tuple[np.ndarray, dict[int, np.ndarray]]:
-        """Suffix order, and the ranks by the first 7, 14, 28 symbols (end marks end the comparison)."""
-        n = len(self.text)
-        key = np.zeros(n, np.uint64)
-        for k in range(7):
-            symbols = np.zeros(n, np.uint64)
-            symbols[: n - k] = self.text[k:]
-            symbols[self.left <= k] = 0
-            key = (key << np.uint64(9)) | symbols
-        size, ranks = 7, {}
-        longest = int(self.lengths.max()) + 1
-        while True:
-            order = np.argsort(key, kind="stable")
-            ordered = key[order]
-            new = np.concatenate(([0], np.cumsum(ordered[1:] != ordered[:-1])))
-            rank = np.empty(n, np.int64)
-            rank[order] = new
-            ranks[size] = rank
-            if size >= longest:
-                return order, ranks
-            rest = np.zeros(n, np.int64)
-            rest[: n - size] = rank[size:] + 1
-            rest[self.left <= size] = 0
-            key = (rank.astype(np.uint64) << np.uint64(32)) | rest.astype(np.uint64)
-            size *= 2
-
-    def step(self, rows: np.ndarray) -> np.ndarray:
-        """Rows of the suffixes that are one symbol longer."""
-        run = np.searchsorted(self.starts, rows, "right") - 1
-        return self.targets[run] + rows - self.starts[run]
-
-    def groups(self, width: int) -> np.ndarray:
-        """A number for each row: rows whose suffixes begin with the same ``width`` (28 to 56) symbols share it; -1 where the string ends before."""
-        half = self.ranks[28]
-        pair = np.stack((half, half[np.minimum(np.arange(len(half)) + (width - 28), len(half) - 1)]))[:, self.order]
-        full = (self.left > width)[self.order]
-        same = np.concatenate(([False], (pair[:, 1:] == pair[:, :-1]).all(0) & full[1:] & full[:-1]))
-        return np.where(full, np.cumsum(~same) - 1, -1)
-
-
-def earlier_windows(strings: np.ndarray, lengths: np.ndarray, documents: np.ndarray, width: int) -> np.ndarray:
-    """Masks: bit k of string i is set if a string of a smaller document holds its window k.
-
-    The strings are streamed backwards through the index, all at once. The row of a suffix tells by its group which
-    rows match it over ``width`` symbols, and hence the smallest document that does.
-    """
-    index = RunIndex(strings, lengths)
-    group = index.groups(width)
-    full = np.flatnonzero(group >= 0)
-    masks = np.zeros(len(lengths), np.int64)
-    if not len(full):
-        return masks
-    heads = np.flatnonzero(np.concatenate(([True], group[full][1:] != group[full][:-1])))
-    smallest = np.full(int(group.max()) + 1, LAST, np.int64)
-    smallest[group[full][heads]] = np.minimum.reduceat(documents[index.which[index.order[full]]], heads)
-    rows = np.arange(len(lengths))  # the end marks sort first, in turn
-    active = np.arange(len(lengths))
-    for done in range(1, int(lengths.max()) + 1):
-        live = lengths[active] >= done
-        active, rows = active[live], index.step(rows[live])
-        at = group[rows]
-        hit = (at >= 0) & (smallest[np.maximum(at, 0)] < documents[active])
-        masks[active[hit]] |= np.int64(1) << (lengths[active[hit]] - done).astype(np.int64)
-    return masks
-
-
-class Contexts:
-    """Anchors of the documents of a block: for each piece its rows, joined text, lengths of texts, and, by anchor, hash, document, doc_id, place, first window and number of windows."""
-
-    def __init__(self, rows, width: int):
-        self.width, self.parts = width, []
-        for part in (x for batch in rows.to_batches() for x in pieces(batch, "text", PIECE)):
-            texts = text_bytes(part.column(part.schema.get_field_index("text")))
-            joined = b"".join(texts)
-            lengths = np.array([len(x) for x in texts], np.int64)
-            hashes = Rolling(np.frombuffer(joined, np.uint8).astype(np.uint64)).fixed(KMER)
-            document, place, first, n = anchors(hashes, lengths, width, KMER)
-            doc = part.column(part.schema.get_field_index("doc")).to_numpy()
-            own = hashes[place] if len(place) else np.zeros(0, np.uint64)
-            self.parts.append((part, joined, lengths, own, doc[document], place, first, n))
 
-    def units(self, again: np.ndarray, hot: np.ndarray) -> list[tuple]:
-        return [units(joined, own, doc, place, first, n, self.width, again, hot) for _, joined, _, own, doc, place, first, n in self.parts]
+def sent(rows: list[tuple]):
+    return pa.table([pa.array([x[k] for x in rows], t) for k, t in enumerate((pa.int32(), pa.int64(), pa.int32(), pa.binary()))], ["bucket", "block", "step", "data"])
 
 
-def path_hash(runs: Rolling, place, first, n, width: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return runs.of(first, first + n + (width - 1)) + (place - first).astype(np.uint64) * np.uint64(BASES[0])
+def told(replies, step: int, *kinds: str) -> list[np.ndarray]:
+    """What arrived of a step, in order of buckets."""
+    own = replies.filter(pc.equal(replies["step"], step)).sort_by("bucket")["data"].to_pylist()
+    parts = [unsqueezed(x, *kinds) for x in own]
+    return [np.concatenate([np.zeros(0, kind), *(x[k] for x in parts)]) for k, kind in enumerate(kinds)]
 
 
 def among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -166,200 +194,170 @@ def among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x
 
 
-def dealt(keys: np.ndarray, buckets: int) -> np.ndarray:
-    return (mixed(keys) % np.uint64(buckets)).astype(np.int64)
-
+def marks(docs: DataFrame, width: int, finish, schema: str, bytes_a_block: int = 0) -> DataFrame:
+    """``finish(block, gone)`` for each block of the documents: an Arrow batch, given which bytes to remove.
 
-def own_keys(contexts: Contexts, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct anchor hashes of a block in order of (bucket, hash), which of them several of its documents have, and the bucket of each."""
-    keys = np.concatenate([np.zeros(0, np.uint64), *(x[3] for x in contexts.parts)])
-    docs = np.concatenate([np.zeros(0, np.int64), *(x[4] for x in contexts.parts)])
-    order = np.argsort(keys, kind="stable")
-    keys, docs = keys[order], docs[order]
-    heads = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
-    several = np.minimum.reduceat(docs, heads) != np.maximum.reduceat(docs, heads) if len(heads) else np.zeros(0, bool)
-    keys = keys[heads]
-    bucket = dealt(keys, buckets)
-    order = np.argsort(bucket, kind="stable")
-    return keys[order], several[order], bucket[order]
-
-
-def by_bucket(bucket: np.ndarray):
-    """(bucket, slice) for each run of an ordered array."""
-    if not len(bucket):
-        return
-    heads = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
-    for i, j in zip(heads, [*heads[1:], len(bucket)], strict=True):
-        yield int(bucket[i]), slice(int(i), int(j))
-
-
-def units(joined: bytes, own, doc, place, first, n, width: int, again: np.ndarray, hot: np.ndarray):
-    """What is compared in a piece: contexts of anchors in ``again``, and the single windows of those in ``hot`` (both sorted).
-
-    Hashes of anchor and path, first window, number of windows, the anchor's place in the context, and the doc_id.
+    Blocks hold ``bytes_a_block``; 0: ``BLOCK``, and more, up to 16 times, where the corpus exceeds 64 GB.
     """
-    at = np.flatnonzero(among(own, again))
-    if not len(at):
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), at, at, at, at
-    cut = among(own[at], hot)
-    a, b = at[~cut], at[cut]
-    single = np.repeat(b, n[b])
-    start = np.repeat(first[b], n[b]) + np.arange(len(single)) - np.repeat(np.cumsum(n[b]) - n[b], n[b])
-    runs = Rolling(np.frombuffer(joined, np.uint8).astype(np.uint64), BASES[1])
-    whole = runs.of(start, start + width)
-    path = path_hash(runs, place[a], first[a], n[a], width)
-    return np.concatenate((own[a], whole)), np.concatenate((path, ~whole)), np.concatenate((first[a], start)), np.concatenate((n[a], np.ones(len(single), np.int64))), np.concatenate((place[a] - first[a], np.full(len(single), WHOLE))), doc[np.concatenate((a, single))]
-
-
-def own_contexts(contexts: Contexts, compared: list[tuple], buckets: int):
-    """The distinct units of a block in order of (bucket, anchor, path): anchor and path hashes, buckets, piece and first
-    window of each, lengths, anchors' places, smallest documents."""
-    node, path, start, windows, off, docs = (np.concatenate([np.zeros(0, kind), *(x[k] for x in compared)]).astype(kind) for k, kind in enumerate((np.uint64, np.uint64, np.int64, np.int64, np.int64, np.int64)))
-    piece = np.repeat(np.arange(len(compared)), [len(x[0]) for x in compared])
-    bucket = dealt(node, buckets)
-    order = np.lexsort((docs, path, node, bucket))
-    node, path = node[order], path[order]
-    one = np.flatnonzero(np.concatenate(([True], (node[1:] != node[:-1]) | (path[1:] != path[:-1])))) if len(node) else np.zeros(0, np.int64)
-    order = order[one]
-    return node[one], path[one], bucket[order], piece[order], start[order], windows[order] + contexts.width - 1, off[order], docs[order]
-
-
-def sent(bucket, block, payload):
-    return pa.table({"bucket": pa.array(bucket, pa.int32()), "block": pa.array(block, pa.int32()), "keys": pa.array(payload, pa.binary())})
-
-
-def told(replies, dtype) -> np.ndarray:
-    """What the buckets answered to a block, in order of buckets."""
-    order = np.argsort(replies["bucket"].to_numpy(), kind="stable")
-    parts = replies["keys"].to_pylist()
-    return np.concatenate([np.zeros(0, dtype), *(np.frombuffer(parts[i], dtype) for i in order)])
-
-
-def repeated(contexts: Contexts, replies, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted anchors of a block that repeat, from what it has itself and from the answers, and those in very many blocks."""
-    keys, several, _ = own_keys(contexts, buckets)
-    said = told(replies, np.uint8)
-    return np.sort(keys[several | (said > 0)]), np.sort(keys[said > 1])
-
-
-def marks(docs: DataFrame, width: int, finish, schema: str, bytes_a_block: int = 4 << 20) -> DataFrame:
-    """``finish(part, gone)`` for each piece of the documents: an Arrow batch from its rows and, for each text, which bytes to remove."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bytes_a_block = bytes_a_block or int(BLOCK * min(16.0, max(1.0, math.sqrt(total / (64 << 30)))))
     blocks = max(1, -(-total // bytes_a_block))
-    buckets, context_buckets = max(8, blocks // 8), max(8, blocks)
-    docs = docs.withColumn("block", F.pmod(F.xxhash64("doc"), F.lit(blocks)).cast("int"))
+    buckets = max(8, blocks // 16)
+    bits = min(64, max(24, total.bit_length() + 6))
+    shift = 64 - bits
+
+    def dealt(keys: np.ndarray) -> np.ndarray:
+        """Buckets of keys; they do not fall where the keys do not."""
+        return ((keys >> np.uint64(max(0, bits - 32))) * np.uint64(buckets) >> np.uint64(min(32, bits))).astype(np.int64)
+
+    def block_keys(block: Block) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct anchor keys of a block in order, and which of them several of its documents have."""
+        key, start, _ = block.anchors(width, shift)
+        doc = block.documents(start)
+        order = np.argsort(key)
+        key, doc = key[order], doc[order]
+        heads = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+        several = np.minimum.reduceat(doc, heads) != np.maximum.reduceat(doc, heads) if len(heads) else np.zeros(0, bool)
+        return key[heads], several
 
     def ask(key, rows):
-        keys, _, bucket = own_keys(Contexts(rows, width), buckets)
-        cuts = list(by_bucket(bucket))
-        return sent([b for b, _ in cuts], [key[0].as_py()] * len(cuts), [keys[s].tobytes() for _, s in cuts])
+        keys, several = block_keys(Block(rows))
+        me = key[0].as_py()
+        return sent([(b, me, REPEATS, squeezed(steps(keys[s]), several[s])) for b, s in by_bucket(dealt(keys))])
 
     def answer(key, rows):
-        parts = [np.frombuffer(x, np.uint64) for x in rows["keys"].to_pylist()]
-        everything = np.sort(np.concatenate(parts))
-        again = np.unique(everything[1:][everything[1:] == everything[:-1]])
-        hot = np.unique(everything[HOT - 1 :][everything[HOT - 1 :] == everything[: len(everything) - HOT + 1]])
-        said = [among(x, again).astype(np.uint8) + among(x, hot) for x in parts]
-        return sent([key[0].as_py()] * len(parts), rows["block"], [x.tobytes() for x in said])
+        me, whom = key[0].as_py(), rows["block"].to_pylist()
+        parts = [unsqueezed(x, "u8", "u1") for x in rows["data"].to_pylist()]
+        keys = [np.cumsum(x, dtype=np.uint64) for x, _ in parts]
+        everything = np.sort(np.concatenate(keys))
+        again = everything[1:][everything[1:] == everything[:-1]]
+        hot = everything[HOT - 1 :][everything[HOT - 1 :] == everything[: max(0, len(everything) - HOT + 1)]]
+        out = []
+        for block, k, (_, several) in zip(whom, keys, parts, strict=True):
+            some = (several > 0) | among(k, again)
+            out.append((me, block, REPEATS, squeezed(steps(k[some]), among(k[some], hot).astype(np.uint8))))
+        return sent(out)
+
+    def tell(key, rows, replies):
+        """The distinct contexts of anchors that repeat: key, path and smallest document; and, for the block itself, which contexts its places have."""
+        block, me = Block(rows), key[0].as_py()
+        again, hot = [], []
+        for x in replies.sort_by("bucket")["data"].to_pylist():
+            k, h = unsqueezed(x, "u8", "u1")
+            again.append(np.cumsum(k, dtype=np.uint64))
+            hot.append(h)
+        again, hot = np.concatenate([np.zeros(0, np.uint64), *again]), np.concatenate([np.zeros(0, np.uint8), *hot])
+        known = lambda x: np.where(among(x, again), 1 + hot[np.minimum(np.searchsorted(again, x), max(0, len(again) - 1))], 0) if len(again) else np.zeros(len(x), np.int64)
+        node, start, windows, path = block.anchors(width, shift, known)
+        doc = block.documents(start)
+        order = np.lexsort((doc, path, node))
+        new = np.concatenate(([True], (node[order][1:] != node[order][:-1]) | (path[order][1:] != path[order][:-1]))) if len(node) else np.zeros(0, bool)
+        unit = np.empty(len(node), np.int64)
+        unit[order] = np.cumsum(new) - 1
+        one = order[new]
+        node, path, doc = node[one], path[one], doc[one]
+        out = [(b, me, DECIDED, squeezed(steps(node[s]), path[s], doc[s])) for b, s in by_bucket(dealt(node))]
+        at = np.argsort(start, kind="stable")
+        return sent([*out, (-1, me, STATE, squeezed(steps(start[at]).astype(np.uint32), windows[at].astype(np.uint8), unit[at].astype(np.uint32)))])
+
+    def decide(key, rows):
+        """Of each context of a block: whether a smaller document has it too, and whether its text is needed."""
+        me, whom = key[0].as_py(), rows["block"].to_pylist()
+        parts = [unsqueezed(x, "u8", "u8", "i8") for x in rows["data"].to_pylist()]
+        node = np.concatenate([np.cumsum(x[0], dtype=np.uint64) for x in parts])
+        path, doc = (np.concatenate([x[k] for x in parts]) for k in (1, 2))
+        order = np.lexsort((doc, path, node))
+        n, p = node[order], path[order]
+        new_node = np.concatenate(([True], n[1:] != n[:-1]))
+        new = new_node | np.concatenate(([True], p[1:] != p[:-1]))
+        kind, group = np.cumsum(new) - 1, np.cumsum(new_node) - 1
+        late = np.empty(len(doc), bool)
+        late[order] = doc[order] > doc[order][new][kind]
+        several = np.empty(len(doc), bool)
+        several[order] = (np.bincount(group[new]) > 1)[group]
+        stops = np.cumsum([len(x[0]) for x in parts])
+        return sent([(me, block, DECIDED, packed_bits(late[j - len(x[0]) : j], (several & ~late)[j - len(x[0]) : j])) for block, x, j in zip(whom, parts, stops.tolist(), strict=True)])
+
+    def state_of(block: Block, replies):
+        start, windows, unit = told(replies, STATE, "u4", "u1", "u4")
+        (said,) = told(replies, DECIDED, "u1")
+        return np.cumsum(start, dtype=np.int64), windows.astype(np.int64), unit.astype(np.int64), (said & 1) > 0, said > 1
 
     def show(key, rows, replies):
-        contexts = Contexts(rows, width)
-        node, path, bucket, piece, start, size, off, doc = own_contexts(contexts, contexts.units(*repeated(contexts, replies, buckets)), context_buckets)
-        cuts = list(by_bucket(bucket))
-        texts = [x[1] for x in contexts.parts]
-        text = [texts[p][i:j] for p, i, j in zip(piece.tolist(), start.tolist(), (start + size).tolist(), strict=True)]
-        payload = [zlib.compress(np.int64(s.stop - s.start).tobytes() + doc[s].tobytes() + size[s].astype(np.uint8).tobytes() + off[s].astype(np.uint8).tobytes() + b"".join(text[s]), 1) for _, s in cuts]
-        return sent([b for b, _ in cuts], [key[0].as_py()] * len(cuts), payload)
-
-    def compare(key, rows):
-        doc, size, off, text = [], [], [], []
-        for x in map(zlib.decompress, rows["keys"].to_pylist()):
-            n = int.from_bytes(x[:8], "little")
-            doc.append(np.frombuffer(x, np.int64, n, 8))
-            size.append(np.frombuffer(x, np.uint8, n, 8 + 8 * n).astype(np.int64))
-            off.append(np.frombuffer(x, np.uint8, n, 8 + 9 * n).astype(np.int64))
-            text.append(x[8 + 10 * n :])
-        counts = [len(x) for x in doc]
-        doc, size, off = np.concatenate(doc), np.concatenate(size), np.concatenate(off)
-        smallest, mask = resolve(np.frombuffer(b"".join(text), np.uint8), size, off, doc, width)
-        cuts = np.cumsum([0, *counts])
-        return sent([key[0].as_py()] * len(counts), rows["block"], [np.concatenate((smallest[i:j], mask[i:j])).tobytes() for i, j in zip(cuts[:-1], cuts[1:], strict=True)])
-
-    def mark(key, rows, replies, more):
-        contexts = Contexts(rows, width)
-        compared = contexts.units(*repeated(contexts, replies, buckets))
-        node, path, *_ = own_contexts(contexts, compared, context_buckets)
-        parts = more.sort_by("bucket")["keys"].to_pylist()
-        halves = [np.frombuffer(x, np.int64).reshape(2, -1) for x in parts]
-        smallest, mask = np.concatenate([np.zeros((2, 0), np.int64), *halves], 1)
-        both = mixed(node) ^ path  # one number for anchor and path
-        order = np.argsort(both, kind="stable")
-        both, smallest, mask = both[order], smallest[order], mask[order]
+        import zstandard
+
+        block, me = Block(rows), key[0].as_py()
+        start, windows, unit, late, needed = state_of(block, replies)
+        doc = block.documents(start)
+        order = np.lexsort((doc, unit))
+        one = order[np.concatenate(([True], unit[order][1:] != unit[order][:-1]))] if len(order) else order
+        one = one[needed[unit[one]]]
+        # Keys are taken from the bucket's own rows again: contexts come in the order in which they were told.
+        sizes = replies.filter(pc.equal(replies["step"], DECIDED)).sort_by("bucket")
+        counts = np.cumsum([len(unsqueezed(x, "u1")[0]) for x in sizes["data"].to_pylist()])
+        bucket = np.searchsorted(counts, unit[one], "right")
+        names = sizes["bucket"].to_pylist()
         out = []
-        for (part, joined, lengths, *_), (anchor, way, start, windows, _, doc) in zip(contexts.parts, compared, strict=True):
-            starts = np.zeros(0, np.int64)
-            if len(anchor):
-                k = np.searchsorted(both, mixed(anchor) ^ way)
-                bits = np.where(smallest[k] < doc, np.int64(-1), mask[k])
-                some = bits != 0
-                bits, start, windows = bits[some], start[some], windows[some]
-                step = np.arange(int(windows.sum())) - np.repeat(np.cumsum(windows) - windows, windows)
-                starts = (np.repeat(start, windows) + step)[(np.repeat(bits, windows) >> step) & 1 == 1]
-            gone = covered(len(joined), starts, starts + width)
-            out.append(finish(part, joined, lengths, gone))
-        return pa.Table.from_batches(out)
-
-    asked = docs.groupBy("block").applyInArrow(ask, SENT)
-    known = asked.groupBy("bucket").applyInArrow(answer, SENT)
-    by_block = docs.groupBy("block")
-    shown = by_block.cogroup(known.groupBy("block")).applyInArrow(show, SENT)
-    found = shown.groupBy("bucket").applyInArrow(compare, SENT)
-    # The last step needs both answers; they share their columns and are told apart by the sign of the bucket.
-    both = known.unionByName(found.withColumn("bucket", -1 - F.col("bucket")))
-
-    def last(key, rows, replies):
-        first = replies.filter(pc.greater_equal(replies["bucket"], 0))
-        second = replies.filter(pc.less(replies["bucket"], 0))
-        second = second.set_column(0, "bucket", pc.subtract(pa.scalar(-1, pa.int32()), second["bucket"]))
-        return mark(key, rows, first, second)
-
-    return by_block.cogroup(both.groupBy("block")).applyInArrow(last, schema)
-
-
-def resolve(text: np.ndarray, size: np.ndarray, off: np.ndarray, doc: np.ndarray, width: int, symbols_an_index: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
-    """For each context of a bucket: the smallest document with that very context, and the mask of its windows that a
-    smaller document has in another context of the anchor."""
-    first = np.cumsum(size) - size
-    symbols = text.astype(np.uint64)
-    whole = off == WHOLE
-    node = Rolling(symbols).of(np.where(whole, first, first + off), np.where(whole, first + size, first + off + KMER))
-    path = path_hash(Rolling(symbols, BASES[1]), first + off, first, size - (width - 1), width)
-    order = np.lexsort((doc, path, node))
-    new_node = np.concatenate(([True], node[order][1:] != node[order][:-1]))
-    new = new_node | np.concatenate(([True], path[order][1:] != path[order][:-1]))
-    kind = np.cumsum(new) - 1
-    one = order[new]  # of each distinct context, the one in the smallest document
-    group = np.cumsum(new_node)[new]
-    several = np.bincount(group)[group] > 1
-    masks = np.zeros(len(one), np.int64)
-    at = np.flatnonzero(several)
-    # Anchors in turn fill indexes of bounded size; one with more contexts than that has an index of its own.
-    symbols_before = np.cumsum(size[one[at]])
-    batch = symbols_before // symbols_an_index
-    if len(at):
-        heads = np.concatenate(([True], group[at][1:] != group[at][:-1]))
-        batch = batch[np.maximum.accumulate(np.where(heads, np.arange(len(at)), 0))]
-    for b in np.unique(batch):
-        some = at[batch == b]
-        some = some[np.argsort(doc[one[some]], kind="stable")]
-        chosen = one[some]
-        n = size[chosen]
-        take = np.repeat(first[chosen], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        masks[some] = earlier_windows(text[take], n, doc[chosen], width)
-    smallest, mask = np.empty(len(doc), np.int64), np.empty(len(doc), np.int64)
-    smallest[order] = doc[one][kind]
-    mask[order] = masks[kind]
-    return smallest, mask
+        for b, s in by_bucket(bucket):
+            head = squeezed(doc[one[s]], windows[one[s]].astype(np.uint8))
+            text = b"".join([block.text[i : i + w + width - 1] for i, w in zip(start[one[s]].tolist(), windows[one[s]].tolist(), strict=True)])
+            out.append((names[b], me, MASKS, len(head).to_bytes(8, "little") + head + zstandard.compress(text, 3)))
+        return sent(out)
+
+    def compare(key, told_rows, shown):
+        """Windows of the contexts shown that a smaller document has in another context of the anchor."""
+        import zstandard
+
+        me = key[0].as_py()
+        if not shown.num_rows:
+            return sent([])
+        decided = decide(key, told_rows)
+        flags = {b: unsqueezed(x, "u1")[0] > 1 for b, x in zip(decided["block"].to_pylist(), decided["data"].to_pylist(), strict=True)}
+        keys = {b: np.cumsum(unsqueezed(x, "u8", "u8", "i8")[0], dtype=np.uint64) for b, x in zip(told_rows["block"].to_pylist(), told_rows["data"].to_pylist(), strict=True)}
+        whom, node, doc, windows, text = shown["block"].to_pylist(), [], [], [], []
+        for block, x in zip(whom, shown["data"].to_pylist(), strict=True):
+            size = 8 + int.from_bytes(x[:8], "little")
+            d, w = unsqueezed(x[8:size], "i8", "u1")
+            node.append(keys[block][flags[block]])
+            doc.append(d)
+            windows.append(w.astype(np.int64))
+            text.append(zstandard.decompress(x[size:]))
+        counts = [len(x) for x in doc]
+        node, doc, size = np.concatenate(node), np.concatenate(doc), np.concatenate(windows) + width - 1
+        text = np.frombuffer(b"".join(text), np.uint8)
+        first = np.cumsum(size) - size
+        order = np.argsort(node, kind="stable")
+        take = np.repeat(first[order], size[order]) + np.arange(len(text)) - np.repeat(np.cumsum(size[order]) - size[order], size[order])
+        mask = np.empty(len(doc), np.int64)
+        mask[order] = later_windows(text[take], size[order], node[order], doc[order], width)
+        stops = np.cumsum(counts)
+        return sent([(me, block, MASKS, squeezed(mask[j - n : j])) for block, n, j in zip(whom, counts, stops.tolist(), strict=True)])
+
+    def mark(key, rows, replies):
+        block = Block(rows)
+        start, windows, unit, late, needed = state_of(block, replies)
+        (shown,) = told(replies, MASKS, "i8")
+        doc = block.documents(start)
+        mask = np.where(late, np.int64(-1), 0)
+        mask[needed] = shown
+        least = np.full(len(mask), LAST, np.int64)
+        np.minimum.at(least, unit, doc)
+        bits = np.where(doc > least[unit], np.int64(-1), mask[unit])
+        some = bits != 0
+        bits, start, windows = bits[some], start[some], windows[some]
+        step = np.arange(int(windows.sum())) - np.repeat(np.cumsum(windows) - windows, windows)
+        starts = (np.repeat(start, windows) + step)[(np.repeat(bits, windows) >> step) & 1 == 1]
+        return pa.Table.from_batches([finish(block, covered(len(block.text), starts, starts + width))])
+
+    held = packed(docs, bytes_a_block).groupBy("block")
+    asked = held.applyInArrow(ask, SENT)
+    repeats = asked.groupBy("bucket").applyInArrow(answer, SENT)
+    told_of = held.cogroup(repeats.groupBy("block")).applyInArrow(tell, SENT)
+    state, contexts = told_of.filter("bucket < 0"), told_of.filter("bucket >= 0").groupBy("bucket")
+    known = state.union(contexts.applyInArrow(decide, SENT))
+    shown = held.cogroup(known.groupBy("block")).applyInArrow(show, SENT)
+    masks = contexts.cogroup(shown.groupBy("bucket")).applyInArrow(compare, SENT)
+    return held.cogroup(known.union(masks).groupBy("block")).applyInArrow(mark, schema)
 
 
 def sources(docs: DataFrame) -> DataFrame:
@@ -370,16 +368,15 @@ def digest(docs: DataFrame, width: int = 50) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and the SHA-256 of the bytes kept."""
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
-    def finish(part, joined, lengths, gone):
-        stops = np.cumsum(lengths)
+    def finish(block: Block, gone: np.ndarray):
         out = []
-        for start, stop in zip((stops - lengths).tolist(), stops.tolist(), strict=True):
-            own = gone[start:stop]
-            data = joined[start:stop]
-            spans = int(own[0]) + int((own[1:] & ~own[:-1]).sum()) if len(own) else 0
+        for start, n in zip(block.starts.tolist(), block.lengths.tolist(), strict=True):
+            own = gone[start : start + n]
+            data = block.text[start : start + n]
+            spans = int(own[0]) + int((own[1:] & ~own[:-1]).sum()) if n else 0
             kept = np.frombuffer(data, np.uint8)[~own].tobytes() if spans else data
-            out.append((stop - start, int(own.sum()), spans, hashlib.sha256(kept).hexdigest()))
+            out.append((n, int(own.sum()), spans, hashlib.sha256(kept).hexdigest()))
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
-        return pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("doc_id")), *(pa.array([x[k] for x in out], t) for k, t in enumerate(kinds))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+        return pa.RecordBatch.from_arrays([pa.array(block.doc, pa.int64(), mask=block.named == 0), *(pa.array([x[k] for x in out], t) for k, t in enumerate(kinds))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     return marks(sources(docs), width, finish, schema)

@@ -3,9 +3,10 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
-from kinstats.llm import debruijn, runindex
+from kinstats.llm import debruijn, rindex, runindex
 
 LAST = 1 << 63
 
@@ -84,14 +85,38 @@ def test_empty_tables(spark):
     assert runindex.digest(frame).count() == debruijn.digest(frame).count() == debruijn.without_repeats(frame).count() == 0
 
 
-def test_index_finds_earlier_windows():
-    import numpy as np
+def strings_of(rng, base, n):
+    return ["".join(base[a : a + rng.randint(1, 20)] for a in (rng.randrange(len(base)) for _ in range(rng.randint(1, 3)))) or "a" for _ in range(n)]
 
+
+def flat(strings):
+    return np.frombuffer("".join(strings).encode(), np.uint8), np.array([len(x) for x in strings])
+
+
+def test_matching_statistics_of_runs_equal_naive_ones():
+    rng = random.Random(4)
+    for _ in range(200):
+        base = "".join(rng.choice(rng.choice(["ab", "abc", "abcdefgh"])) for _ in range(40)) + "a"
+        strings, patterns = strings_of(rng, base, rng.randint(1, 6)), strings_of(rng, base, 4)
+        tags = np.unique(sorted(rng.randint(0, 2) for _ in strings), return_inverse=True)[1]
+        wanted = np.array([rng.randint(0, int(tags[-1])) for _ in patterns])
+        index = rindex.RunIndex(*flat(strings), tags)
+        seen = set()
+        for which, place, match, at in index.statistics(*flat(patterns), wanted):
+            for i, j, k, x in zip(which.tolist(), place.tolist(), match.tolist(), at.tolist()):
+                assert k == max(k for k in range(len(patterns[i]) - j + 1) if any(t == wanted[i] and patterns[i][j : j + k] in y for t, y in zip(tags, strings)))
+                assert bytes(index.text[x : x + k] - 1).decode() == patterns[i][j : j + k]
+                seen.add((i, j))
+        assert len(seen) == sum(map(len, patterns))
+
+
+@pytest.mark.parametrize("symbols", [300, 1 << 20])
+def test_index_finds_later_windows(symbols):
     rng = random.Random(4)
-    base = "".join(rng.choice("ab") for _ in range(300))
-    strings = [base[a : a + rng.randint(50, 84)] for a in (rng.randint(0, 200) for _ in range(60))]
-    docs = np.array([rng.randrange(40) for _ in strings], np.int64)
-    masks = runindex.earlier_windows(np.frombuffer("".join(strings).encode(), np.uint8), np.array([len(x) for x in strings]), docs, 50)
+    bases = ["".join(rng.choice("ab") for _ in range(300)) for _ in range(2)]
+    strings = [x[a : a + rng.randint(50, 84)] for x, a in ((rng.choice(bases), rng.randint(0, 200)) for _ in range(80))]
+    groups, docs = np.array(sorted(rng.randrange(3) for _ in strings)), np.array([rng.randrange(40) for _ in strings], np.int64)
+    masks = rindex.later_windows(*flat(strings), groups, docs, 50, symbols)
     for i, x in enumerate(strings):
-        want = sum(1 << k for k in range(len(x) - 49) if any(d < docs[i] and x[k : k + 50] in y for y, d in zip(strings, docs)))
+        want = sum(1 << k for k in range(len(x) - 49) if any(g == groups[i] and d < docs[i] and x[k : k + 50] in y for y, g, d in zip(strings, groups, docs)))
         assert int(masks[i]) == want
