@@ -3,6 +3,7 @@
 Every window of ``width`` bytes chooses an anchor (``spans``); the bytes that consecutive windows with one anchor cover
 are its context. Documents lie in blocks, compressed; anchors are dealt to buckets. In linked jobs
 
+0. each block sends a hash of each text, and is told which of its documents equal a smaller one: these are decided;
 1. each block sends the keys of its anchors, each once, to the anchors' buckets, which answer which of them other blocks
    have as well, and which very many blocks have;
 2. each block sends, for the anchors that repeat, the hashes of the distinct contexts and the smallest document that has
@@ -16,7 +17,7 @@ All occurrences of a window have the same anchor and so meet in one bucket. A co
 row a block, so no key gathers rows in proportion to its copies. An anchor in ``HOT`` or more blocks could have as many
 different contexts, so these are cut into their single windows, which are dealt and decided by their own hashes. Keys are
 shortened to a few bits more than the corpus needs: two anchors with one key only mean more work, contexts are told apart
-by 64 bits.
+by 48 bits more, whole texts by 128.
 
 Defined cases: a null text is empty; texts shorter than a window lose nothing; rows of equal doc_id are one document
 for the comparison, since only smaller ids count; a null doc_id counts as the largest; very long texts are a block of
@@ -45,8 +46,11 @@ HOT = 64
 SENT = "bucket int, block long, step int, data binary"
 PIECE = 1 << 19
 BLOCK = 4 << 20
+PATH = np.uint64((1 << 48) - 1)
+#: A context on its way: difference of keys, path in two, doc.
+CONTEXT = "u8", "u4", "u2", "i8"
 #: Steps that rows of ``SENT`` belong to.
-REPEATS, STATE, DECIDED, MASKS = 0, 1, 2, 3
+REPEATS, STATE, DECIDED, MASKS, COPIES = range(5)
 
 
 def squeezed(*arrays: np.ndarray) -> bytes:
@@ -109,9 +113,9 @@ def packed(docs: DataFrame, bytes_a_block: int) -> DataFrame:
 
 
 class Block:
-    """Documents of a block: ids, whether they have one, lengths, and the texts end to end."""
+    """Documents of a block: ids, whether they have one, lengths, the texts end to end, and which equal a smaller document."""
 
-    def __init__(self, rows):
+    def __init__(self, rows, replies=None):
         import zstandard
 
         data = rows["data"][0].as_py()
@@ -119,11 +123,14 @@ class Block:
         self.doc, self.named, self.lengths = unsqueezed(data[8:size], "i8", "u1", "i8")
         self.text = zstandard.decompress(data[size:])
         self.starts = np.cumsum(self.lengths) - self.lengths
+        self.copies = np.zeros(len(self.doc), bool)
+        if replies is not None:
+            self.copies[told(replies, COPIES, "u4")[0]] = True
 
     def pieces(self, width: int):
-        """(bytes, lengths, starts in the block) of runs of documents; long ones are cut, with what windows at the cut need."""
+        """(bytes, lengths, starts in the block) of runs of documents that are no copies; long ones are cut, with what windows at the cut need."""
         own, size = [], 0
-        for start, length in zip(self.starts.tolist(), self.lengths.tolist(), strict=True):
+        for start, length in zip(self.starts[~self.copies].tolist(), self.lengths[~self.copies].tolist(), strict=True):
             for at in range(0, max(1, length - width + 1), PIECE):
                 part = (start + at, min(PIECE + width - 1, length - at))
                 if own and size + part[1] > PIECE:
@@ -158,7 +165,7 @@ class Block:
             single = np.repeat(b, n[b])
             start = np.repeat(first[b], n[b]) + np.arange(len(single)) - np.repeat(np.cumsum(n[b]) - n[b], n[b])
             whole = runs.of(start, start + width)
-            out.append((np.concatenate((key[a], mixed(whole) >> np.uint64(shift))), np.concatenate((first[a] + real[document[a]], start + real[document[single]])), np.concatenate((n[a], np.ones(len(single), np.int64))), np.concatenate((path, whole))))
+            out.append((np.concatenate((key[a], mixed(whole) >> np.uint64(shift))), np.concatenate((first[a] + real[document[a]], start + real[document[single]])), np.concatenate((n[a], np.ones(len(single), np.int64))), np.concatenate((path, whole)) & PATH))
         kinds = (np.uint64, np.int64, np.int64) + (() if chosen is None else (np.uint64,))
         return [np.concatenate([np.zeros(0, kind), *(x[k] for x in out)]).astype(kind) for k, kind in enumerate(kinds)]
 
@@ -202,7 +209,7 @@ def marks(docs: DataFrame, width: int, finish, schema: str, bytes_a_block: int =
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bytes_a_block = bytes_a_block or int(BLOCK * min(16.0, max(1.0, math.sqrt(total / (64 << 30)))))
     blocks = max(1, -(-total // bytes_a_block))
-    buckets = max(8, blocks // 16)
+    buckets = max(24, blocks // 8)
     bits = min(64, max(24, total.bit_length() + 6))
     shift = 64 - bits
 
@@ -220,8 +227,33 @@ def marks(docs: DataFrame, width: int, finish, schema: str, bytes_a_block: int =
         several = np.minimum.reduceat(doc, heads) != np.maximum.reduceat(doc, heads) if len(heads) else np.zeros(0, bool)
         return key[heads], several
 
-    def ask(key, rows):
-        keys, several = block_keys(Block(rows))
+    def hashes(key, rows):
+        """Of texts as long as a window: two hashes, doc, and place in the block."""
+        from xxhash import xxh3_128_digest
+
+        block, me = Block(rows), key[0].as_py()
+        some = np.flatnonzero(block.lengths >= width)
+        both = np.frombuffer(b"".join([xxh3_128_digest(block.text[i : i + n]) for i, n in zip(block.starts[some].tolist(), block.lengths[some].tolist(), strict=True)]), np.uint64).reshape(-1, 2)
+        bucket = (both[:, 0] % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        both, some = both[order], some[order]
+        return sent([(b, me, COPIES, squeezed(both[s, 0], both[s, 1], block.doc[some[s]], some[s].astype(np.uint32))) for b, s in by_bucket(bucket[order])])
+
+    def equal(key, rows):
+        """Places in each block of the documents that equal a smaller one."""
+        me, whom = key[0].as_py(), rows["block"].to_pylist()
+        parts = [unsqueezed(x, "u8", "u8", "i8", "u4") for x in rows["data"].to_pylist()]
+        a, b, doc = (np.concatenate([x[k] for x in parts]) for k in range(3))
+        order = np.lexsort((doc, b, a))
+        new = np.concatenate(([True], (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])))
+        late = np.empty(len(doc), bool)
+        late[order] = doc[order] > doc[order][new][np.cumsum(new) - 1]
+        stops = np.cumsum([len(x[0]) for x in parts])
+        found = [(block, x[3][late[j - len(x[0]) : j]]) for block, x, j in zip(whom, parts, stops.tolist(), strict=True)]
+        return sent([(me, block, COPIES, squeezed(x)) for block, x in found if len(x)])
+
+    def ask(key, rows, replies):
+        keys, several = block_keys(Block(rows, replies))
         me = key[0].as_py()
         return sent([(b, me, REPEATS, squeezed(steps(keys[s]), several[s])) for b, s in by_bucket(dealt(keys))])
 
@@ -240,9 +272,9 @@ def marks(docs: DataFrame, width: int, finish, schema: str, bytes_a_block: int =
 
     def tell(key, rows, replies):
         """The distinct contexts of anchors that repeat: key, path and smallest document; and, for the block itself, which contexts its places have."""
-        block, me = Block(rows), key[0].as_py()
+        block, me = Block(rows, replies), key[0].as_py()
         again, hot = [], []
-        for x in replies.sort_by("bucket")["data"].to_pylist():
+        for x in replies.filter(pc.equal(replies["step"], REPEATS)).sort_by("bucket")["data"].to_pylist():
             k, h = unsqueezed(x, "u8", "u1")
             again.append(np.cumsum(k, dtype=np.uint64))
             hot.append(h)
@@ -256,16 +288,17 @@ def marks(docs: DataFrame, width: int, finish, schema: str, bytes_a_block: int =
         unit[order] = np.cumsum(new) - 1
         one = order[new]
         node, path, doc = node[one], path[one], doc[one]
-        out = [(b, me, DECIDED, squeezed(steps(node[s]), path[s], doc[s])) for b, s in by_bucket(dealt(node))]
+        out = [(b, me, DECIDED, squeezed(steps(node[s]), path[s].astype(np.uint32), (path[s] >> np.uint64(32)).astype(np.uint16), doc[s])) for b, s in by_bucket(dealt(node))]
         at = np.argsort(start, kind="stable")
         return sent([*out, (-1, me, STATE, squeezed(steps(start[at]).astype(np.uint32), windows[at].astype(np.uint8), unit[at].astype(np.uint32)))])
 
     def decide(key, rows):
         """Of each context of a block: whether a smaller document has it too, and whether its text is needed."""
         me, whom = key[0].as_py(), rows["block"].to_pylist()
-        parts = [unsqueezed(x, "u8", "u8", "i8") for x in rows["data"].to_pylist()]
+        parts = [unsqueezed(x, *CONTEXT) for x in rows["data"].to_pylist()]
         node = np.concatenate([np.cumsum(x[0], dtype=np.uint64) for x in parts])
-        path, doc = (np.concatenate([x[k] for x in parts]) for k in (1, 2))
+        path = np.concatenate([x[1] | (x[2].astype(np.uint64) << np.uint64(32)) for x in parts])
+        doc = np.concatenate([x[3] for x in parts])
         order = np.lexsort((doc, path, node))
         n, p = node[order], path[order]
         new_node = np.concatenate(([True], n[1:] != n[:-1]))
@@ -286,7 +319,7 @@ def marks(docs: DataFrame, width: int, finish, schema: str, bytes_a_block: int =
     def show(key, rows, replies):
         import zstandard
 
-        block, me = Block(rows), key[0].as_py()
+        block, me = Block(rows, replies), key[0].as_py()
         start, windows, unit, late, needed = state_of(block, replies)
         doc = block.documents(start)
         order = np.lexsort((doc, unit))
@@ -313,7 +346,7 @@ def marks(docs: DataFrame, width: int, finish, schema: str, bytes_a_block: int =
             return sent([])
         decided = decide(key, told_rows)
         flags = {b: unsqueezed(x, "u1")[0] > 1 for b, x in zip(decided["block"].to_pylist(), decided["data"].to_pylist(), strict=True)}
-        keys = {b: np.cumsum(unsqueezed(x, "u8", "u8", "i8")[0], dtype=np.uint64) for b, x in zip(told_rows["block"].to_pylist(), told_rows["data"].to_pylist(), strict=True)}
+        keys = {b: np.cumsum(unsqueezed(x, *CONTEXT)[0], dtype=np.uint64) for b, x in zip(told_rows["block"].to_pylist(), told_rows["data"].to_pylist(), strict=True)}
         whom, node, doc, windows, text = shown["block"].to_pylist(), [], [], [], []
         for block, x in zip(whom, shown["data"].to_pylist(), strict=True):
             size = 8 + int.from_bytes(x[:8], "little")
@@ -331,12 +364,12 @@ def marks(docs: DataFrame, width: int, finish, schema: str, bytes_a_block: int =
         mask = np.empty(len(doc), np.int64)
         mask[order] = later_windows(text[take], size[order], node[order], doc[order], width)
         stops = np.cumsum(counts)
-        return sent([(me, block, MASKS, squeezed(mask[j - n : j])) for block, n, j in zip(whom, counts, stops.tolist(), strict=True)])
+        return sent([(me, block, MASKS, squeezed(mask[j - n : j].astype(np.uint32))) for block, n, j in zip(whom, counts, stops.tolist(), strict=True)])
 
     def mark(key, rows, replies):
-        block = Block(rows)
+        block = Block(rows, replies)
         start, windows, unit, late, needed = state_of(block, replies)
-        (shown,) = told(replies, MASKS, "i8")
+        (shown,) = told(replies, MASKS, "u4")
         doc = block.documents(start)
         mask = np.where(late, np.int64(-1), 0)
         mask[needed] = shown
@@ -347,14 +380,16 @@ def marks(docs: DataFrame, width: int, finish, schema: str, bytes_a_block: int =
         bits, start, windows = bits[some], start[some], windows[some]
         step = np.arange(int(windows.sum())) - np.repeat(np.cumsum(windows) - windows, windows)
         starts = (np.repeat(start, windows) + step)[(np.repeat(bits, windows) >> step) & 1 == 1]
-        return pa.Table.from_batches([finish(block, covered(len(block.text), starts, starts + width))])
+        gone = covered(len(block.text), starts, starts + width) | np.repeat(block.copies, block.lengths)
+        return pa.Table.from_batches([finish(block, gone)])
 
     held = packed(docs, bytes_a_block).groupBy("block")
-    asked = held.applyInArrow(ask, SENT)
+    copies = held.applyInArrow(hashes, SENT).groupBy("bucket").applyInArrow(equal, SENT)
+    asked = held.cogroup(copies.groupBy("block")).applyInArrow(ask, SENT)
     repeats = asked.groupBy("bucket").applyInArrow(answer, SENT)
-    told_of = held.cogroup(repeats.groupBy("block")).applyInArrow(tell, SENT)
+    told_of = held.cogroup(repeats.union(copies).groupBy("block")).applyInArrow(tell, SENT)
     state, contexts = told_of.filter("bucket < 0"), told_of.filter("bucket >= 0").groupBy("bucket")
-    known = state.union(contexts.applyInArrow(decide, SENT))
+    known = state.union(contexts.applyInArrow(decide, SENT)).union(copies)
     shown = held.cogroup(known.groupBy("block")).applyInArrow(show, SENT)
     masks = contexts.cogroup(shown.groupBy("bucket")).applyInArrow(compare, SENT)
     return held.cogroup(known.union(masks).groupBy("block")).applyInArrow(mark, schema)
