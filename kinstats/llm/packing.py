@@ -1,14 +1,19 @@
 """Best-fit packing of tokenised documents into sequences of fixed length, by sums of squares.
 
-``cut_documents`` tokenises whole texts and cuts what is longer than a sequence. ``pack`` puts each piece where the
-sum over gaps g of N(g)^2 becomes smallest, N(g) being the number of open sequences with g free places.
-
-Defined cases: a null or empty text is the end token alone (one piece of length 1); repeated rows are packed as often
-as they occur; a null doc_id is carried through; an empty table gives an empty result; other columns are ignored.
+``cut_documents`` tokenises whole texts and cuts what is longer than a sequence. ``pack`` takes the longest pieces first
+and puts each into the open sequence for which the sum over gaps g of N(g)^2 becomes smallest, N(g) being the number of
+open sequences with g free places; a new one is opened only where none has room. (Left free to open one at any time, the
+rule spreads long pieces over sequences that nothing is left to fill.)
+
+Defined cases: a null or empty text is the end token alone (one piece of length 1); a very long text is cut into full
+pieces and a rest; pieces of equal length are taken by doc_id and piece, and of places that are equally good the fullest
+is taken; repeated rows are packed as often as they occur; a null doc_id is carried through; an empty table gives an
+empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import functools
 import json
 import os
 import re
@@ -19,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, pieces, text_bytes
+from .common import cut, pieces, saved, text_bytes
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
@@ -103,11 +108,17 @@ class WordIds:
         return [b"".join(map(self.ids.__getitem__, words)) for words in split]
 
 
+@functools.lru_cache(maxsize=1)
+def word_ids(path: str) -> WordIds:
+    """One for each worker process, whose tasks follow each other: what one has learnt helps the next."""
+    return WordIds(path)
+
+
 def cut_documents(docs: DataFrame, tokenizer: str, length: int = 2048, end: int = 0) -> DataFrame:
     """A row for each piece of each document: where it starts among its document's ids, its length, and the CRC-32 of its ids."""
 
     def run(batches):
-        ids = WordIds(tokenizer)
+        ids = word_ids(tokenizer)
         stop = np.array([end], "<u4").tobytes()
         for batch in (part for whole in batches for part in pieces(whole, "text")):
             out = [[], [], [], [], []]
@@ -125,21 +136,19 @@ def cut_documents(docs: DataFrame, tokenizer: str, length: int = 2048, end: int
 def sum_of_squares(lengths, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     """For each length in turn, the number of its bin and its place there.
 
-    An item goes into the bin (an open one, or a new one) for which the sum of the squared counts of open bins per gap
-    is least afterwards; of equal ones into the fullest.
+    An item goes into the open bin for which the sum of the squared counts of open bins per gap is least afterwards, of
+    equal ones into the fullest; into a new bin where it fits into none.
     """
-    open_bins: list[list[tuple[int, int]]] = [[] for _ in range(capacity + 1)]
+    open_bins: list[list[int]] = [[] for _ in range(capacity + 1)]
     n = np.zeros(capacity + 1, np.int64)
     bins, places, made = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64), 0
     for i, size in enumerate(lengths):
         gaps = np.flatnonzero(n[size:capacity]) + size
-        change = 2 * (n[gaps - size] - n[gaps]) + 2
-        if len(gaps) and gaps[0] == size:
-            change[0] = 1 - 2 * n[size]
-        fresh = 2 * n[capacity - size] + 1 if size < capacity else 0
-        k = change.argmin() if len(gaps) else -1
-        if k >= 0 and change[k] <= fresh:
-            gap = int(gaps[k])
+        if len(gaps):
+            change = 2 * (n[gaps - size] - n[gaps]) + 2
+            if gaps[0] == size:
+                change[0] = 1 - 2 * n[size]
+            gap = int(gaps[change.argmin()])
             b = open_bins[gap].pop()
             n[gap] -= 1
         else:
@@ -151,21 +160,45 @@ def sum_of_squares(lengths, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     return bins, places
 
 
-def pack(cut_up: DataFrame, length: int = 2048, group_rows: int = 100_000) -> DataFrame:
-    """Sequence and place of every piece.
-
-    Pieces are dealt by hash to groups of about ``group_rows``, each packed by itself, the longest first: a group is
-    small enough for one task and large enough that its last, part-filled sequences hardly count.
-    """
-    cut_up = cut(cut_up)
-    groups = max(1, round(cut_up.count() / group_rows))
+def packed_by_groups(cut_up: DataFrame, length: int, group_rows: int, level: int) -> tuple[DataFrame, int]:
+    """Pieces with their places, each group of about ``group_rows`` packed by itself, and whether their sequence is full."""
+    groups = max(1, -(-cut_up.count() // group_rows))
 
     def one(key, rows):
         rows = rows.drop_columns(["group"]).sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])
-        bins, places = sum_of_squares(rows["length"].to_pylist(), length)
-        return rows.append_column("sequence_id", pa.array((key[0].as_py() << 40) + bins)).append_column("offset", pa.array(places))
+        sizes = rows["length"].to_numpy()
+        bins, places = sum_of_squares(sizes.tolist(), length)
+        full = np.bincount(bins, sizes) == length
+        return rows.append_column("sequence_id", pa.array((level << 56 | key[0].as_py() << 32) + bins)).append_column("offset", pa.array(places)).append_column("full", pa.array(full[bins]))
 
-    return cut_up.withColumn("group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups))).groupBy("group").applyInArrow(one, PACKED)
+    dealt = cut_up.withColumn("group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
+    return dealt.groupBy("group").applyInArrow(one, f"{PACKED}, full boolean"), groups
+
+
+def pack(cut_up: DataFrame, length: int = 2048, group_rows: int = 100_000) -> DataFrame:
+    """Sequence and place of every piece.
+
+    Pieces are dealt by hash to groups, each small enough for one task. What lies in sequences that a group could not
+    fill is packed anew, until one group holds all of it or it becomes no less.
+    """
+    rest, left, done, level = cut(cut_up), None, [], 0
+    while True:
+        packed, groups = packed_by_groups(rest, length, group_rows, level)
+        if groups == 1:
+            done.append(packed)
+            break
+        packed = saved(packed)
+        loose = packed.filter("not full")
+        n = loose.count()
+        if left is not None and n >= left:
+            done.append(packed)
+            break
+        done.append(packed.filter("full"))
+        rest, left, level = loose.drop("sequence_id", "offset", "full"), n, level + 1
+    out = done[0]
+    for x in done[1:]:
+        out = out.union(x)
+    return out.drop("full")
 
 
 def best_fit(docs: DataFrame, tokenizer: str, length: int = 2048, end: int = 0) -> DataFrame:

@@ -133,6 +133,31 @@ def test_packing(spark):
     assert packing.best_fit(frame.limit(0), path).count() == 0
 
 
+def test_packing_in_several_groups(spark):
+    rng = random.Random(16)
+    rows = [(k, 0, 0, rng.choice([rng.randint(1, 20), rng.randint(20, 90), 100]), k) for k in range(3000)] + [(None, 0, 0, 60, 1)] * 40
+    frame = spark.createDataFrame(rows, packing.PIECES)
+    got = packing.pack(frame, length=100, group_rows=500).collect()
+    assert sorted(map(str, (tuple(x)[:5] for x in got))) == sorted(map(str, rows))
+    bins = collections.defaultdict(list)
+    for x in got:
+        bins[x.sequence_id].append((x.offset, x.length))
+    for parts in bins.values():
+        starts = [sum(n for _, n in sorted(parts)[:k]) for k in range(len(parts))]
+        assert [o for o, _ in sorted(parts)] == starts and starts[-1] + sorted(parts)[-1][1] <= 100
+    # Less than one sequence a group more than the lower bound; with one group as few as best-fit decreasing gives.
+    sizes = sorted((x[3] for x in rows), reverse=True)
+    least = math.ceil(sum(sizes) / 100)
+    assert len(bins) < least + math.ceil(len(rows) / 500)
+    gaps = []
+    for n in sizes:
+        k = min((g for g in gaps if g >= n), default=None)
+        if k is not None:
+            gaps.remove(k)
+        gaps.append((100 if k is None else k) - n)
+    assert packing.pack(frame, length=100).select("sequence_id").distinct().count() <= len(gaps)
+
+
 def test_sum_of_squares_places():
     rng = random.Random(6)
     sizes = [rng.randint(1, 20) for _ in range(300)]
@@ -141,7 +166,7 @@ def test_sum_of_squares_places():
     for size, b, place in zip(sizes, bins, places):
         gaps = collections.Counter(20 - x for x in level.values() if x < 20)
         cost = {}
-        for gap in [20, *gaps]:
+        for gap in [x for x in gaps if x >= size] or [20]:  # a new bin only where it fits into no open one
             if gap >= size:
                 after = collections.Counter(gaps)
                 after[gap] -= gap < 20 or 0
