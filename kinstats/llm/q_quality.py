@@ -7,10 +7,12 @@ from .common import table
 
 
 def op1_quality_rules(spark, sf_dir):
+    """All counts are columns of the result, so the cascade runs on them: its rules are ordered by what they reject."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    counted = q.measure(docs).withColumn("base_failed", q.rejected(q.BASE, F.col))
-    rules = q.in_order(docs, q.RULES, q.of_text(F.col("text")))
-    return counted.select("doc_id", *q.COUNTS, "base_failed", F.when(F.col("base_failed"), False).otherwise(~q.rejected(rules, F.col)).alias("kept"))
+    ready = {name: F.col(name) for name in q.COUNTS}
+    counted = q.measure(docs).withColumn("base_failed", q.cascade(q.BASE, None, ready))
+    rules = q.in_order(docs, q.RULES, list(q.COUNTS))
+    return counted.select("doc_id", *q.COUNTS, "base_failed", (~F.col("base_failed") & ~q.cascade(rules, None, ready)).alias("kept"))
 
 
 #: By rows and windows instead of arrays: words, lines and three-word windows are unnested and counted.

@@ -1,13 +1,14 @@
 """Quality rules as a short-circuit cascade, in DataFrame functions only.
 
-``measure`` adds counts of the words, symbols and repetitions of each text. ``cascade`` judges documents by a list of
-rules: on a sample it measures what each rule costs and how much it rejects, orders the rules by rejections per cost,
-and nests them so that a later rule runs only for documents that all earlier ones kept. The order never changes a
-verdict, only what it costs.
-
-Defined cases: a null or empty text has no words and all counts are 0, so it fails the rule of the least words; a
-sample that rejects nothing leaves the cheapest rule first; an empty table gives an empty result; repeated rows are
-judged alike; columns that clash with the new ones are replaced in ``measure``'s output.
+``measure`` adds counts of the words, symbols and repetitions of each text. ``in_order`` measures on a sample what each
+count costs and how much each rule rejects, and orders the rules by rejections per cost of the counts that no rule
+before has asked for. ``cascade`` nests them: a count is made once, when the first rule asks for it, and only for
+documents that all earlier rules kept. The order never changes a verdict, only what it costs.
+
+Defined cases: a null or empty text has no words and all counts are 0, so it fails the rule of the least words; texts of
+any length are counted whole; rules that reject equally much for their cost stay in the given order, and a sample that
+rejects nothing puts the cheapest first; an empty table gives an empty result; repeated rows are judged alike; columns
+that clash with the new ones are replaced in ``measure``'s output.
 """
 
 from __future__ import annotations
@@ -92,8 +93,11 @@ RULES = [
 ]
 
 
-def of_text(text: Column) -> Callable[[str], Column]:
-    return lambda name: COUNTS[name](text)
+def asks(rule: Rule) -> list[str]:
+    """Names of the counts that a rule uses."""
+    names: list[str] = []
+    rule.rejects(lambda name: names.append(name) or F.lit(0))
+    return list(dict.fromkeys(names))
 
 
 def measure(docs: DataFrame) -> DataFrame:
@@ -101,36 +105,55 @@ def measure(docs: DataFrame) -> DataFrame:
     return docs.withColumns({name: count(F.col("text").cast("string")) for name, count in COUNTS.items()})
 
 
-def profile(sample: DataFrame, rules: list[Rule], counts: Callable[[str], Column]) -> list[tuple[float, float, Rule]]:
-    """(rejections per second, seconds, rule) over ``sample``, the best first."""
-    seconds, share = [], []
-    for rule in rules:
-        wanted = sample.agg(F.avg(F.coalesce(rule.rejects(counts), F.lit(False)).cast("double")))
+def cascade(rules: list[Rule], text: Column | None, ready: dict[str, Column] | None = None) -> Column:
+    """True where some rule rejects; each rule runs only where those before it did not. ``ready``: counts that are there."""
+    ready = ready or {}
+    if not rules:
+        return F.lit(False)
+    missing = [name for name in asks(rules[0]) if name not in ready]
+    if missing:
+        return let(COUNTS[missing[0]](text), lambda x: cascade(rules, text, ready | {missing[0]: x}))
+    return F.when(F.coalesce(rules[0].rejects(lambda name: ready[name]), F.lit(False)), True).otherwise(cascade(rules[1:], text, ready))
+
+
+def seconds(sample: DataFrame, value: Column | None, runs: int = 3) -> float:
+    """The least time of several runs over ``sample``, after one that compiles; without a value: what any run takes."""
+    wanted = sample.agg(F.count("text") if value is None else F.sum(value))
+    wanted.first()
+    took = []
+    for _ in range(runs):
         began = time.perf_counter()
-        share.append(wanted.first()[0] or 0.0)
-        seconds.append(time.perf_counter() - began)
-    return sorted(((r / max(s, 1e-9), s, rule) for s, r, rule in zip(seconds, share, rules, strict=True)), key=lambda x: (-x[0], x[1]))
+        wanted.first()
+        took.append(time.perf_counter() - began)
+    return min(took)
+
+
+def profile(sample: DataFrame, rules: list[Rule], ready: list[str] | None = None) -> list[tuple[float, float, Rule]]:
+    """(rejections per second, seconds, rule) over ``sample``, the best first; counts that are ``ready``, or that an earlier rule asks for, cost nothing."""
+    text, known = F.col("text").cast("string"), set(ready or [])
+    base = seconds(sample, None)
+    cost = {name: max(seconds(sample, COUNTS[name](text)) - base, 1e-4) for name in {x for r in rules for x in asks(r)} - known}
+    shares = measure(sample.select("text")).agg(*(F.avg(F.coalesce(r.rejects(F.col), F.lit(False)).cast("double")) for r in rules)).first() if rules else ()
+    left, out = list(zip(rules, [x or 0.0 for x in shares], strict=True)), []
+    while left:
+        spent = lambda rule: 1e-4 + sum(cost[x] for x in asks(rule) if x not in known)
+        best = min(left, key=lambda x: (-x[1] / spent(x[0]), spent(x[0])))
+        out.append((best[1] / spent(best[0]), spent(best[0]), best[0]))
+        known |= set(asks(best[0]))
+        left.remove(best)
+    return out
 
 
-def in_order(docs: DataFrame, rules: list[Rule], counts: Callable[[str], Column], sample_rows: int = 500) -> list[Rule]:
+def in_order(docs: DataFrame, rules: list[Rule], ready: list[str] | None = None, sample_rows: int = 500) -> list[Rule]:
     """Rules by rejections per cost on the first ``sample_rows`` rows; the order affects cost only."""
-    sample = docs.limit(sample_rows).cache()
+    sample = docs.select("text").limit(sample_rows).cache()
     try:
         sample.count()
-        return [rule for _, _, rule in profile(sample, rules, counts)]
+        return [rule for _, _, rule in profile(sample, rules, ready)]
     finally:
         sample.unpersist()
 
 
-def rejected(rules: list[Rule], counts: Callable[[str], Column]) -> Column:
-    """True where some rule rejects; each rule runs only where those before it did not."""
-    out = F.lit(False)
-    for rule in reversed(rules):
-        out = F.when(F.coalesce(rule.rejects(counts), F.lit(False)), True).otherwise(out)
-    return out
-
-
 def keep_good(docs: DataFrame, sample_rows: int = 500) -> DataFrame:
     """The rows of ``docs`` that no rule rejects, with their columns as they are."""
-    counts = of_text(F.col("text").cast("string"))
-    return docs.filter(~rejected(in_order(docs, BASE + RULES, counts, sample_rows), counts))
+    return docs.filter(~cascade(in_order(docs, BASE + RULES, sample_rows=sample_rows), F.col("text").cast("string")))

@@ -30,9 +30,28 @@ def test_quality_counts_and_cascade(spark):
     kept = quality.keep_good(frame)
     assert kept.columns == frame.columns and [x.doc_id for x in kept.collect()] == [9]
     assert quality.keep_good(frame.limit(0)).count() == 0
-    counts = quality.of_text(F.col("text"))
-    ranked = quality.profile(frame, quality.BASE + quality.RULES, counts)
-    assert [x[0] for x in ranked] == sorted((x[0] for x in ranked), reverse=True) and len(ranked) == 7
+    ranked = quality.profile(frame, quality.BASE + quality.RULES)
+    assert sorted(x[2].name for x in ranked) == sorted(x.name for x in quality.BASE + quality.RULES)
+    # A second rule on the same counts costs next to nothing.
+    assert min(x[1] for x in ranked if x[2].name in ("short_words", "long_words")) == pytest.approx(1e-4)
+    assert [x[1] for x in quality.profile(frame, quality.RULES, list(quality.COUNTS))] == [pytest.approx(1e-4)] * 5
+
+
+def test_quality_rules_after_a_rejection_do_not_run(spark):
+    few, = [x for x in quality.BASE if x.name == "few_words"]
+    never = quality.Rule("never", lambda c: F.when(c("n_words") < 50, F.raise_error(F.lit("ran")).cast("boolean")).otherwise(False))
+    short = spark.createDataFrame([(k, "a b") for k in range(5)] + [(9, None)], "doc_id long, text string")
+    text = F.col("text")
+    assert short.filter(quality.cascade([few, never], text)).count() == 6
+    with pytest.raises(Exception, match="ran"):
+        short.filter(quality.cascade([never, few], text)).count()
+    # Whatever the order, the verdicts are the same.
+    frame = spark.createDataFrame([(i, t) for i, t in ODD] + [(20 + k, f"#| {'x' * (k % 14)} y{k} " * (30 + k)) for k in range(40)], "doc_id long, text string")
+    want = frame.select(quality.cascade(quality.BASE + quality.RULES, text)).collect()
+    rules = quality.BASE + quality.RULES
+    for k in range(3):
+        random.Random(k).shuffle(rules)
+        assert frame.select(quality.cascade(rules, text)).collect() == want
 
 
 def test_language(spark):
