@@ -1,14 +1,17 @@
 """Operators on samples, variants, pairs and phenotypes."""
 
 from .binning import binned_stats
-from .grm import allele_freqs, align_freqs, grm_for_pairs, grm_from_packed, pack_genotypes, standardise
+from .grm import align_by_position, align_freqs, allele_freqs, allele_metrics, grm_for_pairs, grm_from_packed, pack_genotypes, standardise, unpack_genotypes, usable
 from .he import bootstrap_ci, he_regression, interval_counts, intervals, summarise
-from .pairs import canonical, crossprods, first_of_each, join_pairs, last_of_each, needed_samples, resolve_pairs, unknown_ids
-from .residuals import complete_cases, drop_outliers, fit_linear, join_covariates, residualise, with_residuals, zscore_by_group
+from .pairs import canonical, crossprods, first_of_each, join_pairs, last_of_each, needed_samples, pair_products, resolve_pairs, unknown_ids
+from .residuals import (
+    complete_cases, covariates_at, drop_outliers, fit_linear, join_covariates, residual_metrics, residualise, with_residuals, zscore_by_group,
+)
 
 __all__ = [
-    "align_freqs", "allele_freqs", "binned_stats", "bootstrap_ci", "canonical", "complete_cases", "crossprods", "drop_outliers", "first_of_each",
-    "fit_linear", "grm_for_pairs", "grm_from_packed", "he_regression", "interval_counts", "intervals", "join_covariates", "join_pairs",
-    "last_of_each", "needed_samples", "pack_genotypes", "residualise", "resolve_pairs", "standardise", "summarise", "unknown_ids", "with_residuals",
-    "zscore_by_group",
+    "align_by_position", "align_freqs", "allele_freqs", "allele_metrics", "binned_stats", "bootstrap_ci", "canonical", "complete_cases",
+    "covariates_at", "crossprods", "drop_outliers", "first_of_each", "fit_linear", "grm_for_pairs", "grm_from_packed",
+    "he_regression", "interval_counts", "intervals", "join_covariates", "join_pairs", "last_of_each", "needed_samples", "pack_genotypes",
+    "pair_products", "residual_metrics", "residualise", "resolve_pairs", "standardise", "summarise", "unknown_ids", "unpack_genotypes", "usable",
+    "with_residuals", "zscore_by_group",
 ]

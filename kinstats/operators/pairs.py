@@ -61,7 +61,7 @@ def join_pairs(grm: DataFrame, products: DataFrame, values: list[str], order: st
     """``grm`` (iid1, iid2, grm) with ``values`` of the same two people in ``products``, in whichever order either side names them.
 
     Pairs without products keep nulls. With ``order``, of repeated pairs the first in ``grm`` and the last values in
-    ``products`` count; without it both sides must name each pair once.
+    ``products`` count; without it all rows of ``grm`` stay, and a pair that ``products`` names twice fails the job.
     """
     low, high = F.least("iid1", "iid2").alias("_lo"), F.greatest("iid1", "iid2").alias("_hi")
     left = grm.select("*", low, high)
@@ -69,4 +69,20 @@ def join_pairs(grm: DataFrame, products: DataFrame, values: list[str], order: st
     if order:
         left = first_of_each(left, ["_lo", "_hi"], order)
         right = last_of_each(right, ["_lo", "_hi"], order).drop(order)
+    else:
+        once = lambda v: F.when(F.count("*") == 1, F.any_value(col(v))).otherwise(F.raise_error(F.concat_ws(" ", F.lit("products name the pair"), F.any_value("_lo"), F.any_value("_hi"), F.lit("twice; give an order")))).alias(v)
+        right = right.groupBy("_lo", "_hi").agg(*map(once, values))
     return left.join(right, ["_lo", "_hi"], "left").drop("_lo", "_hi", *([order] if order else []))
+
+
+def pair_products(grm: DataFrame, phenotypes: DataFrame, name: str, order: str | None = None) -> DataFrame:
+    """``grm`` (iid1, iid2, grm) with ``<name>_crossprod``, its own two people's product: two joins on people, none of pairs.
+
+    A pair that is listed several times, either way round, counts once: the first in ``order``, or without it the row with
+    the least relatedness.
+    """
+    first = F.struct(*([col(order)] if order else []), "grm", "iid1", "iid2")
+    once = grm.groupBy(F.least("iid1", "iid2").alias("_lo"), F.greatest("iid1", "iid2").alias("_hi")).agg(F.min(first).alias("_first")).select("_first.iid1", "_first.iid2", "_first.grm")
+    a = phenotypes.select(F.col("iid").alias("iid1"), col(name).alias("_a"))
+    b = phenotypes.select(F.col("iid").alias("iid2"), col(name).alias("_b"))
+    return once.join(a, "iid1", "left").join(b, "iid2", "left").select("iid1", "iid2", "grm", (F.col("_a") * F.col("_b")).alias(f"{name}_crossprod"))

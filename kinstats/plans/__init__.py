@@ -1,5 +1,6 @@
 """Whole analyses, put together from operators."""
 
-from .heritability import heritability, run_metrics
+from .heritability import heritability, products_of, run_metrics
+from .relatedness import relatedness
 
-__all__ = ["heritability", "run_metrics"]
+__all__ = ["heritability", "products_of", "relatedness", "run_metrics"]

@@ -6,7 +6,6 @@ Roles: ``embeddings`` gives genotypes (sample ``vec_id``, 64 variants) and, by e
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,8 +15,12 @@ from .operators import grm as g
 from .operators import he, residuals
 from .operators import pairs as p
 from .operators.binning import binned_stats
-from .plans.heritability import heritability, run_metrics
-from .sources import read_covariates, read_grm, read_joined_pairs, read_phenotypes, write_tsv
+from .plans import heritability, products_of, relatedness, run_metrics
+from .sources import (
+    find_freqs, read_covariates, read_crossprods, read_freqs, read_genotypes, read_grm, read_joined_pairs, read_pairs, read_phenotype,
+    read_phenotypes, read_results, read_samples, read_variants, write_genotypes, write_tsv,
+)
+from .storage import shared_dir
 
 CUTS = [(-0.5, -0.05), (-0.05, 0.05), (0.05, 0.2), (0.0, 0.2), (0.2, 0.6), (5.0, 6.0)]
 LINE_CUTS = [(0.0, 0.05), (0.05, 0.1), (0.02, 0.2), (3.0, 4.0)]
@@ -48,6 +51,19 @@ def people(spark, sf):
     return c.select(F.col("c_custkey").alias("iid"), F.col("c_acctbal").cast("double").alias("acctbal"), "spend", (F.col("c_custkey") % 2).cast("double").alias("sex"), F.col("c_nationkey").cast("double").alias("age"), "pc1").withColumn("row_complete", F.col("pc1").isNotNull())
 
 
+def patchy(spark, sf):
+    """People, of whom some lack the phenotype, a covariate, or one that is not chosen, and some have far too large values."""
+    iid = F.col("iid")
+    out = people(spark, sf).withColumns({"acctbal": F.when(iid % 11 > 0, F.when(iid % 97 == 0, F.col("acctbal") * 60).otherwise(F.col("acctbal"))), "age": F.when(iid % 7 > 0, F.col("age"))})
+    return out.withColumn("row_complete", F.col("row_complete") & (iid % 5 > 0))
+
+
+def with_fixed(spark, sf):
+    """Genotypes with one more variant, which all samples have alike."""
+    long = genotypes(spark, sf)
+    return long.union(long.select("sample_id", F.lit(64).alias("variant_id"), F.lit(2).alias("a1")).distinct())
+
+
 def lines(spark, sf):
     d, t = F.col("l_discount").cast("double"), F.col("l_tax").cast("double")
     return table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("iid1"), F.col("l_linenumber").alias("iid2"), (d + t / 2).alias("grm"), F.col("l_extendedprice").cast("double").alias("y"), F.when(F.col("l_quantity") > 10, F.col("l_quantity").cast("double")).alias("z"))
@@ -73,7 +89,8 @@ def align_freqs(spark, sf):
 
 
 def standardise(spark, sf):
-    return g.standardise(genotypes(spark, sf), freqs(spark, sf)).groupBy("sample_id").agg(F.count("*").alias("n"), F.round(F.sum("w"), 6).alias("sum_w"), F.round(F.sum(F.col("w") * F.col("w")), 6).alias("sum_w2"))
+    long = with_fixed(spark, sf)
+    return g.standardise(long, g.allele_freqs(long).withColumnRenamed("freq", "p")).groupBy("sample_id").agg(F.count("*").alias("n"), F.round(F.sum("w"), 6).alias("sum_w"), F.round(F.sum(F.col("w") * F.col("w")), 6).alias("sum_w2"))
 
 
 def grm_pairs_long(spark, sf):
@@ -81,10 +98,7 @@ def grm_pairs_long(spark, sf):
 
 
 def grm_packed(spark, sf):
-    long = genotypes(spark, sf)
-    n = (table(spark, sf, "embeddings").agg(F.max("vec_id")).first()[0] or 0) + 1
-    packed = g.pack_genotypes(long.withColumn("sample_idx", F.col("sample_id").cast("int")), n)
-    out = g.grm_from_packed(pairs(spark, sf).select(F.col("id1").alias("idx1"), F.col("id2").alias("idx2")), packed, freqs(spark, sf))
+    out = g.grm_from_packed(pairs(spark, sf).select(F.col("id1").alias("idx1"), F.col("id2").alias("idx2")), packed_codes(spark, sf)[0], freqs(spark, sf))
     return out.select(F.col("idx1").cast("long").alias("id1"), F.col("idx2").cast("long").alias("id2"), "n_snps", *r6("grm"))
 
 
@@ -112,12 +126,13 @@ def crossprods(spark, sf):
 
 
 def complete_cases(spark, sf):
-    return residuals.complete_cases(people(spark, sf), "acctbal", ["sex", "age"]).select("iid", "acctbal", "sex", "age", "pc1")
+    return residuals.complete_cases(patchy(spark, sf), "acctbal", ["sex", "age"]).select("iid", "acctbal", "sex", "age", "pc1")
 
 
 def fit_linear(spark, sf):
-    cases = residuals.complete_cases(people(spark, sf), "acctbal", ["age", "pc1"])
-    fit = residuals.fit_linear(cases, "acctbal", ["age", "pc1"])
+    chosen = residuals.covariates_at(["sex", "age", "pc1"], "2,x,0,3")
+    cases = residuals.complete_cases(people(spark, sf), "acctbal", chosen)
+    fit = residuals.fit_linear(cases, "acctbal", chosen)
     return cases.agg(F.count("*").alias("n"), *(F.round(F.lit(v), 6).alias(k) for k, v in fit.items()))
 
 
@@ -131,7 +146,8 @@ def residual_values(spark, sf):
 
 
 def drop_outliers(spark, sf):
-    return residuals.drop_outliers(table(spark, sf, "orders").select("o_orderkey", F.col("o_totalprice").cast("double").alias("resid")), sd=2.0).select("o_orderkey", *r6("resid"))
+    cubed = F.pow(F.col("o_totalprice").cast("double") / 100_000, 3)
+    return residuals.drop_outliers(table(spark, sf, "orders").select("o_orderkey", cubed.alias("resid")), sd=2.0).select("o_orderkey", *r6("resid"))
 
 
 def zscore_by_group(spark, sf):
@@ -140,13 +156,27 @@ def zscore_by_group(spark, sf):
 
 
 def residualise(spark, sf):
-    return residuals.residualise(people(spark, sf), "acctbal", ["age", "pc1"], group_col="sex").select("iid", *r6("acctbal_resid"))
+    return residuals.residualise(patchy(spark, sf), "acctbal", ["age", "pc1"], group_col="sex").select("iid", *r6("acctbal_resid"))
+
+
+def residual_metrics(spark, sf):
+    return residuals.residual_metrics(patchy(spark, sf), "acctbal", ["age", "pc1"])
+
+
+def join_covariates(spark, sf):
+    """Every order is a line of its customer's; the phenotype lacks a value on some."""
+    orders = table(spark, sf, "orders")
+    price = F.col("o_totalprice").cast("double")
+    covariates = orders.select(F.col("o_custkey").alias("iid"), price.alias("c"), F.col("o_orderkey").alias("o"))
+    phenotype = orders.filter("o_custkey % 10 > 0").select(F.col("o_custkey").alias("iid"), F.when(F.col("o_orderkey") % 25 > 0, price).alias("y"), F.col("o_orderkey").alias("o"))
+    return residuals.join_covariates(covariates, phenotype, "y", "o")
 
 
 def join_pairs(spark, sf):
-    """Both sides name the same two people in different orders, and each side repeats pairs."""
-    left = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("iid1"), F.col("l_suppkey").alias("iid2"), F.col("l_discount").cast("double").alias("grm"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("o"))
-    right = table(spark, sf, "lineitem").filter("l_linenumber <= 2").select(F.col("l_suppkey").alias("iid1"), F.col("l_partkey").alias("iid2"), F.when(F.col("l_quantity") > 10, F.col("l_quantity").cast("double")).alias("y"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("o"))
+    """Both sides name the same two people in different orders, each side repeats pairs, and some of the left have no right."""
+    item, order = table(spark, sf, "lineitem"), F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    left = item.select(F.col("l_partkey").alias("iid1"), F.col("l_suppkey").alias("iid2"), F.col("l_discount").cast("double").alias("grm"), order.alias("o"))
+    right = item.select(F.col("l_suppkey").alias("iid1"), (F.col("l_partkey") + F.col("l_linenumber") - 1).alias("iid2"), F.when(F.col("l_quantity") > 10, F.col("l_quantity").cast("double")).alias("y"), order.alias("o"))
     return p.join_pairs(left, right, ["y"], order="o").select(F.least("iid1", "iid2").alias("lo"), F.greatest("iid1", "iid2").alias("hi"), "grm", "y")
 
 
@@ -191,27 +221,176 @@ def dedup_last(spark, sf):
 
 def metrics(spark, sf):
     listed = pairs(spark, sf).select(F.col("id1").alias("iid1"), F.col("id2").alias("iid2"))
-    products = p.crossprods(listed, people(spark, sf), ["acctbal", "spend"])
-    return run_metrics(products.withColumn("grm", F.when(F.col("iid1") % 2 == 0, 1.0)), ["acctbal_crossprod", "spend_crossprod"])
+    products = p.crossprods(listed, patchy(spark, sf), ["acctbal", "age"])
+    return run_metrics(products.withColumn("grm", F.when(F.col("iid1") % 2 == 0, 1.0)), ["acctbal_crossprod", "age_crossprod"])
 
 
 def bootstrap_ci(spark, sf):
-    return he.bootstrap_ci(lines(spark, sf), he.intervals(spark, LINE_CUTS), replicates=200).drop("interval_ord")
+    return he.bootstrap_ci(lines(spark, sf), he.intervals(spark, LINE_CUTS)).drop("interval_ord")
+
+
+def packed_codes(spark, sf):
+    """Packed genotypes and the number of samples."""
+    n = (table(spark, sf, "embeddings").agg(F.max("vec_id")).first()[0] or 0) + 1
+    return g.pack_genotypes(genotypes(spark, sf).withColumn("sample_idx", F.col("sample_id").cast("int")), n), n
+
+
+def packed_grm(spark, sf):
+    """iid1, iid2 and relatedness of all pairs by packed genotypes."""
+    listed = pairs(spark, sf).select(F.col("id1").alias("idx1"), F.col("id2").alias("idx2"))
+    return g.grm_from_packed(listed, packed_codes(spark, sf)[0], freqs(spark, sf)).select(F.col("idx1").cast("long").alias("iid1"), F.col("idx2").cast("long").alias("iid2"), "grm")
 
 
 def heritability_pipeline(spark, sf):
-    grm = g.grm_for_pairs(pairs(spark, sf), genotypes(spark, sf), freqs(spark, sf)).select(F.col("id1").alias("iid1"), F.col("id2").alias("iid2"), "grm")
-    return heritability(grm, people(spark, sf), "acctbal", ["sex", "age", "pc1"], he.intervals(spark, CUTS), replicates=200)
+    return heritability(packed_grm(spark, sf), people(spark, sf), "acctbal", ["sex", "age", "pc1"], he.intervals(spark, CUTS))
+
+
+def repeated(spark, sf):
+    """Pairs of which some are listed twice, and some the other way round as well."""
+    once = pairs(spark, sf)
+    return once.union(once.filter("id2 % 3 = 0")).union(once.filter("id1 % 4 = 0").select("id2", "id1"))
+
+
+def grm_repeated_pairs(spark, sf):
+    return g.grm_for_pairs(repeated(spark, sf), genotypes(spark, sf), freqs(spark, sf)).select("id1", "id2", "n_snps", *r6("grm"))
+
+
+def grm_packed_ranges(spark, sf):
+    """The same by packed genotypes and ranges of samples, as long lists of pairs are."""
+    listed = repeated(spark, sf).select(F.col("id1").alias("idx1"), F.col("id2").alias("idx2"))
+    out = g.grm_from_packed(listed, packed_codes(spark, sf)[0], freqs(spark, sf), max_pairs=0, samples_a_block=512)
+    return out.select(F.col("idx1").cast("long").alias("id1"), F.col("idx2").cast("long").alias("id2"), "n_snps", *r6("grm"))
+
+
+def he_chain(spark, sf):
+    """The whole chain but the bootstrap: relatedness of pairs that repeat, residuals, products, regression by intervals."""
+    listed = repeated(spark, sf).select(F.col("id1").alias("idx1"), F.col("id2").alias("idx2"))
+    grm = g.grm_from_packed(listed, packed_codes(spark, sf)[0], freqs(spark, sf)).select(F.col("idx1").cast("long").alias("iid1"), F.col("idx2").cast("long").alias("iid2"), "grm")
+    rows = products_of(grm, patchy(spark, sf), "acctbal", ["age", "pc1"], group_col="sex")
+    out = he.he_regression(rows, he.intervals(spark, CUTS), "grm", "acctbal_resid_crossprod")
+    return out.select("interval", "n_pairs", *(F.round(F.col(c), 6).alias(c) for c in ("intercept", "slope", "r_squared", "mse", "intercept_se", "slope_se")))
+
 
+def allele_metrics(spark, sf):
+    """Frequencies of a file in which every third variant counts the other allele, and every tenth one that the variant has not."""
+    variants = genotypes(spark, sf).select("variant_id").distinct().select("variant_id", F.lit("A").alias("a1"), F.lit("B").alias("a2"))
+    told = flipped(spark, sf).withColumn("counted_allele", F.when(F.col("variant_id") % 10 == 0, "C").otherwise(F.col("counted_allele")))
+    return g.allele_metrics(variants, told, "variant_id")
 
-def as_file(spark, df):
+
+def usable(spark, sf):
+    return g.usable(g.allele_freqs(with_fixed(spark, sf)).withColumnRenamed("freq", "p")).select("variant_id", *r6("p"))
+
+
+def as_file(spark, df, name=""):
     """Path of ``df`` as delimited text, where all executors find it."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="kinstats-")
-    path = f"{folder}/{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}{name}"
     write_tsv(df, path)
     return path
 
 
+def as_plain_file(spark, df, name=""):
+    """The same without a header."""
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}{name}"
+    df.write.option("sep", " ").option("nullValue", "NA").csv(path)
+    return path
+
+
+def sample_lines(spark, sf):
+    """Lines of a sample file in order of customers."""
+    c = table(spark, sf, "customer").orderBy("c_custkey")
+    return c.select(F.concat(F.lit("f"), F.col("c_nationkey")), F.col("c_custkey").cast("string"), F.lit("0"), F.lit("0"), F.col("c_custkey") % 3, F.when(F.col("c_acctbal") > 0, F.col("c_acctbal").cast("double")))
+
+
+def read_sample_file(spark, sf):
+    return read_samples(spark, as_plain_file(spark, sample_lines(spark, sf))).select("sample_idx", "fid", "iid", "sex", *r6("pheno"))
+
+
+def read_variant_file(spark, sf):
+    parts = table(spark, sf, "part").orderBy("p_partkey")
+    rows = parts.select(F.col("p_size").cast("string"), F.concat(F.lit("rs"), F.col("p_partkey")), F.col("p_retailprice").cast("double"), F.col("p_partkey") * 100, F.lit("A"), F.when(F.col("p_size") > 25, "G").otherwise("T"))
+    return read_variants(spark, as_plain_file(spark, rows)).select("variant_idx", "chrom", "snp_id", *r6("cm"), "bp", "a1", "a2")
+
+
+def freq_rows(spark, sf, names):
+    """A frequency file's columns, in order of variants; the rarer ones have no frequency."""
+    f = flipped(spark, sf).orderBy("variant_id")
+    values = [F.lit(1), F.concat(F.lit("rs"), F.col("variant_id")), F.col("counted_allele"), F.lit("X"), F.when(F.col("variant_id") % 5 > 0, F.round("freq", 6)), F.lit(100)]
+    if names[0].startswith("#"):
+        values[2], values[3] = values[3], values[2]
+    return f.select(*(v.alias(n) for v, n in zip(values, names, strict=True)))
+
+
+def read_freq_files(spark, sf):
+    """Both layouts, found by their endings."""
+    plain = as_file(spark, freq_rows(spark, sf, ["CHR", "SNP", "A1", "A2", "MAF", "NCHROBS"]), ".frq").removesuffix(".frq")
+    other = as_file(spark, freq_rows(spark, sf, ["#CHROM", "ID", "REF", "ALT", "ALT_FREQS", "OBS_CT"]), ".afreq").removesuffix(".afreq")
+    read = lambda prefix, name: read_freqs(spark, find_freqs(spark, prefix)).select(F.lit(name).alias("layout"), "variant_idx", "snp_id", "counted_allele", *r6("freq"), "obs_ct")
+    return read(plain, "plain").union(read(other, "named"))
+
+
+def read_pair_file(spark, sf):
+    """A pair list with a header, and one of families and people without."""
+    listed = order_pairs(spark, sf)
+    one = read_pairs(spark, as_file(spark, listed))
+    two = read_pairs(spark, as_plain_file(spark, listed.select(F.lit("f"), "iid1", F.lit("f").alias("g"), "iid2")), layout="fid_iid")
+    return one.select(F.lit("iid").alias("layout"), "iid1", "iid2").union(two.select(F.lit("fid_iid"), "iid1", "iid2"))
+
+
+def read_single_phenotype(spark, sf):
+    some = people(spark, sf).select("iid", F.when(F.col("acctbal") > 0, F.col("acctbal")).alias("acctbal"), "pc1")
+    return read_phenotype(spark, as_file(spark, some)).select("iid", *r6("acctbal"))
+
+
+def read_product_file(spark, sf):
+    listed = pairs(spark, sf).select(F.col("id1").alias("iid1"), F.col("id2").alias("iid2"))
+    scaled = patchy(spark, sf).withColumn("acctbal", F.col("acctbal") / 1000)
+    return read_crossprods(spark, as_file(spark, p.crossprods(listed, scaled, ["acctbal", "age"]))).select("iid1", "iid2", F.round("acctbal_crossprod", 5).alias("acctbal_crossprod"), *r6("age_crossprod"))
+
+
+def read_result_file(spark, sf):
+    """Regression results with normal intervals, written and read again."""
+    out = he.he_regression(lines(spark, sf), he.intervals(spark, LINE_CUTS))
+    bounds = {f"{c}_ci_{side}": F.col(c) + sign * 1.96 * F.col(f"{c}_se") for c in ("intercept", "slope") for side, sign in (("lower", -1), ("upper", 1))}
+    path = as_file(spark, out.withColumns(bounds).drop("interval_ord"))
+    return read_results(spark, path).select("interval", "n_pairs", *(F.round(c, 3).alias(c) for c in ("intercept", "slope", "intercept_ci_lower", "slope_ci_upper")))
+
+
+def write_sorted(spark, sf):
+    """Lines of a table written in order, with two decimals."""
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    write_tsv(people(spark, sf).select("iid", F.when(F.col("acctbal") > 0, F.col("acctbal")).alias("acctbal"), "pc1"), path, order_by=["iid"], decimals=2)
+    return spark.read.text(path).filter("value not like 'iid%'").withColumnRenamed("value", "line")
+
+
+def genotype_folder(spark, sf, name=""):
+    """Packed genotypes as a folder of files, and the number of samples."""
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}{name}"
+    codes, n = packed_codes(spark, sf)
+    write_genotypes(codes.withColumnRenamed("variant_id", "variant_idx"), path)
+    return path, n
+
+
+def read_genotype_files(spark, sf):
+    path, n = genotype_folder(spark, sf)
+    long = g.unpack_genotypes(read_genotypes(spark, path, n).withColumnRenamed("variant_idx", "variant_id"), n)
+    return long.groupBy("variant_id").agg(F.count("a1").alias("n"), F.sum("a1").alias("copies"))
+
+
+def grm_from_files(spark, sf):
+    """All of the first step from files: genotypes, samples, variants, frequencies and pairs."""
+    bed, n = genotype_folder(spark, sf, ".bed")
+    prefix = bed.removesuffix(".bed")
+    samples = spark.range(n).orderBy("id").select(F.lit("f"), F.col("id").cast("string").alias("iid"), F.lit("0").alias("a"), F.lit("0").alias("b"), F.lit(0), F.lit(-9))
+    samples.write.option("sep", " ").csv(f"{prefix}.fam")
+    told = flipped(spark, sf).orderBy("variant_id")
+    name = F.concat(F.lit("rs"), F.col("variant_id"))
+    told.select(F.lit("1"), name, F.lit("0").alias("c"), F.col("variant_id"), F.lit("A"), F.lit("B").alias("d")).write.option("sep", " ").csv(f"{prefix}.bim")
+    write_tsv(told.select(F.lit(1).alias("CHR"), name.alias("SNP"), F.col("counted_allele").alias("A1"), F.lit("X").alias("A2"), F.col("freq").alias("MAF"), F.lit(9).alias("NCHROBS")), f"{prefix}.frq")
+    listed = as_file(spark, pairs(spark, sf).select(F.col("id1").alias("iid1"), F.col("id2").alias("iid2")))
+    return relatedness(spark, prefix, listed).select(F.col("iid1").cast("long").alias("id1"), F.col("iid2").cast("long").alias("id2"), "n_snps", *r6("grm"))
+
+
 def read_grm_file(spark, sf):
     """Relatedness written as text and read again."""
     grm = g.grm_for_pairs(pairs(spark, sf), genotypes(spark, sf), freqs(spark, sf))
@@ -230,8 +409,10 @@ def read_covariate_file(spark, sf):
 
 
 def read_joined_file(spark, sf):
-    """Pairs with relatedness and product, found by column names."""
-    out = read_joined_pairs(spark, as_file(spark, lines(spark, sf).select("iid1", "iid2", F.col("y").alias("price_product"), F.col("grm").alias("GRM_value"))))
+    """Pairs with relatedness and product, found by column names; every token for a missing value occurs."""
+    tokens = F.array(*map(F.lit, ["NA", "nan", "NaN", ".", "-", "NULL"]))
+    y = F.when(F.col("iid1") % 4 == 0, F.get(tokens, F.col("iid2") % 6)).otherwise(F.col("y").cast("string"))
+    out = read_joined_pairs(spark, as_file(spark, lines(spark, sf).select("iid1", "iid2", y.alias("price_product"), F.col("grm").alias("GRM_value"))))
     return out.select("iid1", "iid2", *r6("grm", "y"))
 
 
@@ -242,7 +423,12 @@ QUERIES = {
     "zscore_by_group": zscore_by_group, "residualise": residualise, "join_pairs": join_pairs, "binned_stats": binned,
     "interval_counts": interval_counts, "he_ols": he_ols, "he_summary": he_summary, "dedup_first": dedup_first, "dedup_last": dedup_last,
     "run_metrics": metrics, "read_grm": read_grm_file, "read_phenotypes": read_phenotype_file,
-    "read_covariates": read_covariate_file, "read_joined_pairs": read_joined_file, "bootstrap_ci": bootstrap_ci, "heritability_pipeline": heritability_pipeline,
+    "read_covariates": read_covariate_file, "read_joined_pairs": read_joined_file, "residual_metrics": residual_metrics,
+    "join_covariates": join_covariates, "grm_repeated_pairs": grm_repeated_pairs, "grm_packed_ranges": grm_packed_ranges, "he_chain": he_chain,
+    "allele_metrics": allele_metrics, "usable": usable, "read_samples": read_sample_file, "read_variants": read_variant_file,
+    "read_freqs": read_freq_files, "read_pairs": read_pair_file, "read_phenotype": read_single_phenotype, "read_crossprods": read_product_file,
+    "read_results": read_result_file, "write_tsv": write_sorted, "read_genotypes": read_genotype_files, "grm_from_files": grm_from_files,
+    "bootstrap_ci": bootstrap_ci, "heritability_pipeline": heritability_pipeline,
 }
 
 _GENO = """geno AS (SELECT vec_id AS sample_id, CAST(i - 1 AS INTEGER) AS variant_id, CASE WHEN abs(v) < 0.002::DOUBLE THEN NULL WHEN v < -0.08::DOUBLE THEN 0 WHEN v < 0.08::DOUBLE THEN 1 ELSE 2 END AS a1
@@ -255,6 +441,10 @@ sums AS (SELECT id1, id2, count(*) AS n, sum(a.w * b.w) AS s FROM prs JOIN w a O
 grm AS (SELECT prs.id1, prs.id2, CAST(coalesce(n, 0) AS BIGINT) AS n_snps, s / nullif(n, 0) AS grm FROM prs LEFT JOIN sums USING (id1, id2))"""
 _PEOPLE = """ppl AS (SELECT c_custkey AS iid, CAST(c_acctbal AS DOUBLE) AS acctbal, o.spend, CAST(c_custkey % 2 AS DOUBLE) AS sex, CAST(c_nationkey AS DOUBLE) AS age, o.pc1
   FROM customer LEFT JOIN (SELECT o_custkey, CAST(count(*) AS DOUBLE) AS pc1, CAST(sum(o_totalprice) AS DOUBLE) AS spend FROM orders GROUP BY o_custkey) o ON o_custkey = c_custkey)"""
+_PATCHY = _PEOPLE + """,
+pch AS (SELECT iid, CASE WHEN iid % 11 > 0 THEN CASE WHEN iid % 97 = 0 THEN acctbal * 60 ELSE acctbal END END AS acctbal, spend, sex, CASE WHEN iid % 7 > 0 THEN age END AS age, pc1, pc1 IS NOT NULL AND iid % 5 > 0 AS row_complete FROM ppl)"""
+_FIXED = _GENO.split("),\nfrq")[0] + "), fx AS (SELECT * FROM geno UNION ALL SELECT DISTINCT sample_id, 64, 2 FROM geno), fq AS (SELECT variant_id, avg(a1) / 2 AS p FROM fx GROUP BY variant_id)"
+_REPEATED = f"{_GRM}, again AS (SELECT id1, id2, n_snps, grm FROM grm UNION ALL SELECT id1, id2, n_snps, grm FROM grm WHERE id2 % 3 = 0 UNION ALL SELECT id2, id1, n_snps, grm FROM grm WHERE id1 % 4 = 0)"
 _LINES = """ln AS (SELECT l_orderkey AS iid1, l_linenumber AS iid2, CAST(l_discount AS DOUBLE) + CAST(l_tax AS DOUBLE) / 2 AS x, CAST(l_extendedprice AS DOUBLE) AS y, CASE WHEN l_quantity > 10 THEN CAST(l_quantity AS DOUBLE) END AS z FROM lineitem)"""
 
 
@@ -278,26 +468,51 @@ sm AS (SELECT sum((age - ma) ** 2) AS aa, sum((pc1 - mp) ** 2) AS pp, sum((age -
 co AS (SELECT n, (ay * pp - py * ap) / (aa * pp - ap * ap) AS ba, (py * aa - ay * ap) / (aa * pp - ap * ap) AS bp, my, ma, mp FROM sm, mu),
 res AS (SELECT iid, sex, acctbal - (my - ba * ma - bp * mp + ba * age + bp * pc1) AS r FROM cc, co)"""
 
+#: The same fit over the rows that are left of patchy people; outliers out, z-scores within sex.
+_RESID = _FIT2.replace("FROM ppl WHERE", "FROM pch WHERE row_complete AND") + """, o AS (SELECT avg(r) AS m, stddev_samp(r) AS d FROM res), kp AS (SELECT iid, sex, r FROM res, o WHERE abs(r - m) <= 5 * d),
+zs AS (SELECT sex, avg(r) AS m, stddev_samp(r) AS d FROM kp GROUP BY sex), adj AS (SELECT iid, (r - m) / d AS z FROM kp JOIN zs USING (sex))"""
+
 ORACLES = {
+    "residual_metrics": f"WITH {_PATCHY}, {_RESID} SELECT (SELECT count(*) FROM pch) AS n_people, (SELECT count(acctbal) FROM pch) AS n_phenotype, (SELECT count(*) FROM cc) AS n_complete, (SELECT count(*) FROM res) - (SELECT count(*) FROM kp) AS n_outliers",
+    "join_covariates": """WITH c AS (SELECT o_custkey AS iid, arg_min(CAST(o_totalprice AS DOUBLE), o_orderkey) AS c FROM orders GROUP BY o_custkey),
+        y AS (SELECT o_custkey AS iid, CASE WHEN count(*) FILTER (WHERE o_orderkey % 25 = 0) = 0 THEN arg_max(CAST(o_totalprice AS DOUBLE), o_orderkey) END AS y FROM orders WHERE o_custkey % 10 > 0 GROUP BY o_custkey)
+        SELECT iid, c, y FROM c LEFT JOIN y USING (iid)""",
+    "grm_repeated_pairs": f"WITH {_REPEATED} SELECT id1, id2, n_snps, round(grm, 6) AS grm FROM again",
+    "grm_packed_ranges": f"WITH {_REPEATED} SELECT id1, id2, n_snps, round(grm, 6) AS grm FROM again",
+    "he_chain": f"""WITH {_GRM}, {_PATCHY}, {_RESID}, {_cuts(CUTS)}, src AS (SELECT grm AS x, a.z * b.z AS y FROM grm LEFT JOIN adj a ON a.iid = id1 LEFT JOIN adj b ON b.iid = id2), {_OLS}
+        SELECT interval, n_pairs, round(intercept, 6) AS intercept, round(slope, 6) AS slope, round(r_squared, 6) AS r_squared, round(mse, 6) AS mse, round(intercept_se, 6) AS intercept_se, round(slope_se, 6) AS slope_se FROM fit""",
+    "allele_metrics": f"WITH {_GENO} SELECT count(*) AS n_variants, count(*) FILTER (WHERE variant_id % 3 = 0 OR variant_id % 10 = 0) AS n_flipped, count(*) FILTER (WHERE variant_id % 10 = 0) AS n_neither, count(*) FILTER (WHERE NOT sqrt(2 * p * (1 - p)) >= 1e-8) AS n_fixed FROM frq",
+    "usable": f"WITH {_FIXED} SELECT variant_id, round(p, 6) AS p FROM fq WHERE sqrt(2 * p * (1 - p)) >= 1e-8",
+    "read_samples": "SELECT CAST(row_number() OVER (ORDER BY c_custkey) - 1 AS INTEGER) AS sample_idx, 'f' || c_nationkey AS fid, CAST(c_custkey AS VARCHAR) AS iid, CAST(c_custkey % 3 AS INTEGER) AS sex, CASE WHEN c_acctbal > 0 THEN round(CAST(c_acctbal AS DOUBLE), 6) END AS pheno FROM customer",
+    "read_variants": "SELECT CAST(row_number() OVER (ORDER BY p_partkey) - 1 AS INTEGER) AS variant_idx, CAST(p_size AS VARCHAR) AS chrom, 'rs' || p_partkey AS snp_id, round(CAST(p_retailprice AS DOUBLE), 6) AS cm, CAST(p_partkey * 100 AS BIGINT) AS bp, 'A' AS a1, CASE WHEN p_size > 25 THEN 'G' ELSE 'T' END AS a2 FROM part",
+    "read_freqs": f"""WITH {_GENO}, f AS (SELECT variant_id AS variant_idx, 'rs' || variant_id AS snp_id, CASE WHEN variant_id % 3 = 0 THEN 'B' ELSE 'A' END AS counted_allele, CASE WHEN variant_id % 5 > 0 THEN round(CASE WHEN variant_id % 3 = 0 THEN 1 - p ELSE p END, 6) END AS freq, 100 AS obs_ct FROM frq)
+        SELECT 'plain' AS layout, * FROM f UNION ALL SELECT 'named', * FROM f""",
+    "read_pairs": "SELECT layout, CAST(o_custkey AS VARCHAR) AS iid1, CAST(o_orderkey AS VARCHAR) AS iid2 FROM orders CROSS JOIN (VALUES ('iid'), ('fid_iid')) v(layout)",
+    "read_phenotype": f"WITH {_PEOPLE} SELECT CAST(iid AS VARCHAR) AS iid, CASE WHEN acctbal > 0 THEN round(acctbal, 6) END AS acctbal FROM ppl",
+    "read_crossprods": f"WITH {_PAIRS}, {_PATCHY} SELECT CAST(id1 AS VARCHAR) AS iid1, CAST(id2 AS VARCHAR) AS iid2, round((a.acctbal / 1000) * (b.acctbal / 1000), 5) AS acctbal_crossprod, round(a.age * b.age, 6) AS age_crossprod FROM prs LEFT JOIN pch a ON a.iid = id1 LEFT JOIN pch b ON b.iid = id2",
+    "read_results": f"WITH {_LINES}, {_cuts(LINE_CUTS)}, src AS (SELECT x, y FROM ln), {_OLS} SELECT interval, n_pairs, round(intercept, 3) AS intercept, round(slope, 3) AS slope, round(intercept - 1.96 * intercept_se, 3) AS intercept_ci_lower, round(slope + 1.96 * slope_se, 3) AS slope_ci_upper FROM fit",
+    "write_tsv": f"WITH {_PEOPLE} SELECT iid || chr(9) || CASE WHEN acctbal > 0 THEN format('{{:.2f}}', acctbal) ELSE 'NA' END || chr(9) || coalesce(format('{{:.2f}}', pc1), 'NA') AS line FROM ppl",
+    "read_genotypes": f"WITH {_GENO} SELECT variant_id, count(a1) AS n, CAST(sum(a1) AS BIGINT) AS copies FROM geno GROUP BY variant_id",
+    "grm_from_files": f"WITH {_GRM} SELECT id1, id2, n_snps, round(grm, 6) AS grm FROM grm",
     "grm_he_ols": f"""WITH {_GRM}, {_PEOPLE}, {_cuts(CUTS)}, src AS (SELECT grm AS x, (a.acctbal / 1000) * (b.acctbal / 1000) AS y FROM grm LEFT JOIN ppl a ON a.iid = id1 LEFT JOIN ppl b ON b.iid = id2), {_OLS}
         SELECT interval, n_pairs, round(intercept, 5) AS intercept, round(slope, 5) AS slope, round(r_squared, 5) AS r_squared, round(mse, 5) AS mse, round(intercept_se, 5) AS intercept_se, round(slope_se, 5) AS slope_se FROM fit""",
     "allele_freqs": f"WITH {_GENO} SELECT variant_id, round(p, 6) AS freq, n_obs FROM frq",
     "align_freqs": f"WITH {_GENO} SELECT variant_id, 'A' AS a1, round(p, 6) AS p FROM frq",
-    "standardise": f"WITH {_GENO} SELECT sample_id, count(*) AS n, round(sum((a1 - 2 * p) / sqrt(2 * p * (1 - p))), 6) AS sum_w, round(sum((a1 - 2 * p) ** 2 / (2 * p * (1 - p))), 6) AS sum_w2 FROM geno JOIN frq USING (variant_id) WHERE a1 IS NOT NULL AND sqrt(2 * p * (1 - p)) >= 1e-8 GROUP BY sample_id",
+    "standardise": f"WITH {_FIXED} SELECT sample_id, count(*) AS n, round(sum((a1 - 2 * p) / sqrt(2 * p * (1 - p))), 6) AS sum_w, round(sum((a1 - 2 * p) ** 2 / (2 * p * (1 - p))), 6) AS sum_w2 FROM fx JOIN fq USING (variant_id) WHERE a1 IS NOT NULL AND sqrt(2 * p * (1 - p)) >= 1e-8 GROUP BY sample_id",
     "grm_pairs_long": f"WITH {_GRM} SELECT id1, id2, n_snps, round(grm, 6) AS grm FROM grm",
     "grm_packed": f"WITH {_GRM} SELECT id1, id2, n_snps, round(grm, 6) AS grm FROM grm",
     "needed_samples": f"WITH {_PAIRS} SELECT id1 AS iid FROM prs UNION SELECT id2 FROM prs",
     "unknown_ids": "SELECT iid FROM (SELECT o_custkey AS iid FROM orders UNION SELECT o_orderkey FROM orders) WHERE iid NOT IN (SELECT c_custkey FROM customer)",
     "resolve_pairs": "SELECT o_custkey AS iid1, o_orderkey AS iid2, 1000000 - greatest(o_custkey, o_orderkey) AS idx1, 1000000 - least(o_custkey, o_orderkey) AS idx2 FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer) AND o_orderkey IN (SELECT c_custkey FROM customer)",
     "crossprods": f"WITH {_PAIRS}, {_PEOPLE} SELECT id1 AS iid1, id2 AS iid2, round(a.acctbal * b.acctbal, 4) AS acctbal_crossprod, round(a.spend * b.spend / 1e6, 4) AS spend_crossprod FROM prs LEFT JOIN ppl a ON a.iid = id1 LEFT JOIN ppl b ON b.iid = id2",
-    "complete_cases": f"WITH {_PEOPLE} SELECT iid, acctbal, sex, age, pc1 FROM ppl WHERE acctbal IS NOT NULL AND sex IS NOT NULL AND age IS NOT NULL AND pc1 IS NOT NULL",
+    "complete_cases": f"WITH {_PATCHY} SELECT iid, acctbal, sex, age, pc1 FROM pch WHERE acctbal IS NOT NULL AND sex IS NOT NULL AND age IS NOT NULL AND row_complete",
     "fit_linear": f"WITH {_PEOPLE}, {_FIT2} SELECT n, round(my - ba * ma - bp * mp, 6) AS intercept, round(ba, 6) AS age, round(bp, 6) AS pc1 FROM co",
     "residuals": f"WITH {_PEOPLE}, {_FIT2} SELECT iid, round(r, 6) AS resid FROM res",
-    "drop_outliers": "WITH s AS (SELECT avg(CAST(o_totalprice AS DOUBLE)) AS m, stddev_samp(CAST(o_totalprice AS DOUBLE)) AS d FROM orders) SELECT o_orderkey, round(CAST(o_totalprice AS DOUBLE), 6) AS resid FROM orders, s WHERE abs(CAST(o_totalprice AS DOUBLE) - m) <= 2 * d",
+    "drop_outliers": "WITH c AS (SELECT o_orderkey, (CAST(o_totalprice AS DOUBLE) / 100000) ** 3 AS x FROM orders), s AS (SELECT avg(x) AS m, stddev_samp(x) AS d FROM c) SELECT o_orderkey, round(x, 6) AS resid FROM c, s WHERE abs(x - m) <= 2 * d",
     "zscore_by_group": "WITH c AS (SELECT c_custkey AS iid, CAST(c_acctbal AS DOUBLE) AS z, CAST(c_nationkey % 3 AS DOUBLE) AS sex FROM customer), s AS (SELECT sex, avg(z) AS m, stddev_samp(z) AS d FROM c GROUP BY sex) SELECT iid, sex, round(CASE WHEN sex < 1.5 THEN (z - m) / d ELSE z END, 6) AS z FROM c JOIN s USING (sex)",
-    "residualise": f"WITH {_PEOPLE}, {_FIT2}, o AS (SELECT avg(r) AS m, stddev_samp(r) AS d FROM res), k AS (SELECT iid, sex, r FROM res, o WHERE abs(r - m) <= 5 * d), z AS (SELECT sex, avg(r) AS m, stddev_samp(r) AS d FROM k GROUP BY sex) SELECT iid, round((r - m) / d, 6) AS acctbal_resid FROM k JOIN z USING (sex)",
+    "residualise": f"WITH {_PATCHY}, {_RESID} SELECT iid, round(z, 6) AS acctbal_resid FROM adj",
     "join_pairs": """WITH l AS (SELECT least(l_partkey, l_suppkey) AS lo, greatest(l_partkey, l_suppkey) AS hi, arg_min(CAST(l_discount AS DOUBLE), l_orderkey * 10 + l_linenumber) AS grm FROM lineitem GROUP BY ALL),
-        r AS (SELECT least(l_partkey, l_suppkey) AS lo, greatest(l_partkey, l_suppkey) AS hi, arg_max(CAST(l_quantity AS DOUBLE), l_orderkey * 10 + l_linenumber) FILTER (WHERE l_quantity > 10) AS y FROM lineitem WHERE l_linenumber <= 2 GROUP BY lo, hi)
+        r AS (SELECT least(l_partkey + l_linenumber - 1, l_suppkey) AS lo, greatest(l_partkey + l_linenumber - 1, l_suppkey) AS hi, arg_max(CAST(l_quantity AS DOUBLE), l_orderkey * 10 + l_linenumber) FILTER (WHERE l_quantity > 10) AS y FROM lineitem GROUP BY lo, hi)
         SELECT lo, hi, grm, y FROM l LEFT JOIN r USING (lo, hi)""",
     "binned_stats": f"""WITH {_LINES}, b AS (SELECT *, CAST(greatest(0, least(trunc((x - -0.02::DOUBLE) / 0.01::DOUBLE), trunc((0.12::DOUBLE - -0.02::DOUBLE) / 0.01::DOUBLE))) AS INTEGER) AS bin FROM ln WHERE x BETWEEN -0.02::DOUBLE AND 0.12::DOUBLE)
         SELECT bin, round(-0.02::DOUBLE + bin * 0.01::DOUBLE, 6) AS grm_bin, round(avg(x), 6) AS grm_mean, count(*) AS grm_n, round(avg(y), 6) AS y_mean, count(y) AS y_n, round(stddev_samp(y) / sqrt(count(y)), 6) AS y_se,
@@ -311,6 +526,6 @@ ORACLES = {
     "read_grm": f"WITH {_GRM} SELECT CAST(id1 AS VARCHAR) AS id1, CAST(id2 AS VARCHAR) AS id2, n_snps, round(grm, 6) AS grm FROM grm",
     "read_phenotypes": f"WITH {_PEOPLE}, s AS (SELECT CAST(iid AS VARCHAR) AS iid, CASE WHEN acctbal > 0 THEN acctbal END AS acctbal, CASE WHEN age > 5 THEN pc1 END AS pc1 FROM ppl) SELECT iid, round(acctbal, 6) AS acctbal, round(pc1, 6) AS pc1 FROM s WHERE acctbal IS NOT NULL OR pc1 IS NOT NULL",
     "read_covariates": f"WITH {_PEOPLE} SELECT CAST(iid AS VARCHAR) AS iid, sex, CASE WHEN age > 5 THEN age END AS age, age > 5 AS row_complete FROM ppl",
-    "read_joined_pairs": f"WITH {_LINES} SELECT CAST(iid1 AS VARCHAR) AS iid1, CAST(iid2 AS VARCHAR) AS iid2, round(x, 6) AS grm, round(y, 6) AS y FROM ln",
-    "run_metrics": f"WITH {_PAIRS}, {_PEOPLE} SELECT count(*) AS n_pairs, count(*) FILTER (WHERE id1 % 2 = 0) AS n_grm, count(*) FILTER (WHERE a.acctbal * b.acctbal IS NOT NULL OR a.spend * b.spend IS NOT NULL) AS n_with_value, count(*) FILTER (WHERE a.acctbal * b.acctbal IS NULL AND a.spend * b.spend IS NULL) AS n_without_value FROM prs LEFT JOIN ppl a ON a.iid = id1 LEFT JOIN ppl b ON b.iid = id2",
+    "read_joined_pairs": f"WITH {_LINES} SELECT CAST(iid1 AS VARCHAR) AS iid1, CAST(iid2 AS VARCHAR) AS iid2, round(x, 6) AS grm, CASE WHEN iid1 % 4 > 0 THEN round(y, 6) END AS y FROM ln",
+    "run_metrics": f"WITH {_PAIRS}, {_PATCHY} SELECT count(*) AS n_pairs, count(*) FILTER (WHERE id1 % 2 = 0) AS n_grm, count(*) FILTER (WHERE a.acctbal * b.acctbal IS NOT NULL OR a.age * b.age IS NOT NULL) AS n_with_value, count(*) FILTER (WHERE a.acctbal * b.acctbal IS NULL AND a.age * b.age IS NULL) AS n_without_value FROM prs LEFT JOIN pch a ON a.iid = id1 LEFT JOIN pch b ON b.iid = id2",
 }

@@ -8,6 +8,7 @@ from urllib.parse import urlparse
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 #: The first three bytes of a variant-major file.
@@ -15,9 +16,11 @@ MAGIC = bytes([0x6C, 0x1B, 0x01])
 
 
 class Range(InputPartition):
-    def __init__(self, first: int, stop: int):
-        super().__init__((first, stop))
-        self.first, self.stop = first, stop
+    """Rows ``first`` to ``stop`` of a file, with ``before`` rows in the files before it."""
+
+    def __init__(self, path: str, first: int, stop: int, before: int):
+        super().__init__((path, first, stop, before))
+        self.path, self.first, self.stop, self.before = path, first, stop, before
 
 
 def local(path: str) -> str:
@@ -28,31 +31,45 @@ def local(path: str) -> str:
 
 
 class GenotypeReader(DataSourceReader):
+    """Reads a file, or the files of a folder by name, one after the other."""
+
     def __init__(self, options: dict):
         self.path, self.samples = local(options["path"]), int(options["samples"])
         self.each = int(options.get("variantsPerPartition", 4096))
         self.width = -(-self.samples // 4)
 
+    def files(self) -> list[str]:
+        if not os.path.isdir(self.path):
+            return [self.path]
+        return [os.path.join(self.path, x) for x in sorted(os.listdir(self.path)) if x.endswith(".bed")]
+
     def partitions(self) -> list[Range]:
-        with open(self.path, "rb") as file:
-            if file.read(3) != MAGIC:
-                raise ValueError(f"{self.path} does not start as a variant-major genotype file")
-        n, rest = divmod(os.path.getsize(self.path) - 3, self.width)
-        if rest:
-            raise ValueError(f"{self.path} ends within a row of {self.width} bytes")
-        return [Range(at, min(n, at + self.each)) for at in range(0, n, self.each)] or [Range(0, 0)]
+        out, before = [], 0
+        for path in self.files():
+            with open(path, "rb") as file:
+                if file.read(3) != MAGIC:
+                    raise ValueError(f"{path} does not start as a variant-major genotype file")
+            n, rest = divmod(os.path.getsize(path) - 3, self.width)
+            if rest:
+                raise ValueError(f"{path} ends within a row of {self.width} bytes")
+            out += [Range(path, at, min(n, at + self.each), before) for at in range(0, n, self.each)]
+            before += n
+        return out or [Range(self.path, 0, 0, 0)]
 
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
-        with open(self.path, "rb") as file:
+        if partition.first == partition.stop:
+            return
+        with open(partition.path, "rb") as file:
             file.seek(3 + partition.first * self.width)
             at = partition.first
             while at < partition.stop:
                 some = min(256, partition.stop - at)
                 data = file.read(some * self.width)
                 if len(data) < some * self.width:
-                    raise ValueError(f"{self.path} is shorter than it was")
+                    raise ValueError(f"{partition.path} is shorter than it was")
                 rows = [data[k * self.width : (k + 1) * self.width] for k in range(some)]
-                yield pa.RecordBatch.from_arrays([pa.array(range(at, at + some), pa.int32()), pa.array(rows, pa.binary())], ["variant_idx", "codes"])
+                first = partition.before + at
+                yield pa.RecordBatch.from_arrays([pa.array(range(first, first + some), pa.int32()), pa.array(rows, pa.binary())], ["variant_idx", "codes"])
                 at += some
 
 
@@ -72,3 +89,29 @@ def read_genotypes(spark: SparkSession, path: str, samples: int, variants_per_pa
     """variant_idx and the packed codes of ``samples`` samples."""
     spark.dataSource.register(GenotypeSource)
     return spark.read.format("packed_genotypes").option("samples", samples).option("variantsPerPartition", variants_per_partition).load(path)
+
+
+def write_genotypes(packed: DataFrame, path: str) -> None:
+    """Packed rows (variant_idx, codes), which must be all from 0 on, as a folder of genotype files in order of ``variant_idx``.
+
+    Each task writes under a temporary name and renames, so a task that runs again leaves the same file; the folder must
+    be mounted by all executors.
+    """
+    folder = local(path)
+    os.makedirs(folder, exist_ok=False)
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        name = os.path.join(folder, f"part-{TaskContext.get().partitionId():05d}.bed")
+        temporary, n = f"{name}.{TaskContext.get().taskAttemptId()}.tmp", 0
+        with open(temporary, "wb") as file:
+            file.write(MAGIC)
+            for batch in batches:
+                for codes in batch.column(0).to_pylist():
+                    file.write(codes)
+                    n += 1
+        os.replace(temporary, name)
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+
+    packed.repartitionByRange(F.col("variant_idx")).sortWithinPartitions("variant_idx").select("codes").mapInArrow(run, "n long").agg(F.sum("n")).collect()

@@ -40,17 +40,29 @@ def numbered_lines(rows: DataFrame) -> DataFrame:
     return rows.withColumn("_k", F.row_number().over(within)).join(F.broadcast(starts), ["_file", "_block"]).withColumn("idx", (F.col("_start") + F.col("_k") - 1).cast("int")).drop("_file", "_block", "_row", "_start", "_k")
 
 
+def first_line(spark: SparkSession, path: str) -> list[str] | None:
+    """Tokens of the first line of the first file; of that file only what comes before it is read."""
+    files = sorted(spark.read.text(path).inputFiles())
+    for file in files:
+        found = lines(spark, file).filter(F.col(f"{ORDER}.block") == 0).limit(1).collect()
+        if found:
+            return found[0]["t"]
+    return None
+
+
 def header(spark: SparkSession, path: str) -> list[str]:
     """Tokens of the first line of the first file."""
-    first = lines(spark, path).orderBy(ORDER).limit(1).collect()
-    if not first:
+    first = first_line(spark, path)
+    if first is None:
         raise ValueError(f"{path} is empty")
-    return first[0]["t"]
+    return first
 
 
 def without_header(rows: DataFrame) -> DataFrame:
-    """Without the first line of each file."""
-    return rows.join(rows.groupBy(F.col(f"{ORDER}.file").alias("f")).agg(F.min(ORDER).alias("h")).select(F.col("h").alias(ORDER)), ORDER, "left_anti")
+    """Without the first line of each file. Only files' first blocks are looked through for it; a row for each file is joined."""
+    at = F.col(ORDER)
+    firsts = rows.filter(at["block"] == 0).groupBy(at["file"].alias("_file")).agg(F.min(at["row"]).alias("_row"))
+    return rows.join(F.broadcast(firsts), (at["file"] == F.col("_file")) & (at["row"] == F.col("_row")), "left_anti")
 
 
 def token(k: int) -> Column:
@@ -75,7 +87,13 @@ def read_freqs(spark: SparkSession, path: str) -> DataFrame:
     rows = without_header(lines(spark, path))
     if names[0].startswith("#"):
         where = {x.lstrip("#").upper(): k for k, x in enumerate(names)}
-        pick = lambda *options: next(where[x] for x in options if x in where)
+
+        def pick(*options: str) -> int:
+            for x in options:
+                if x in where:
+                    return where[x]
+            raise ValueError(f"{path} has no column {' or '.join(options)}")
+
         snp, allele, freq, n = pick("ID", "SNP"), pick("ALT", "ALT1"), pick("ALT_FREQS", "ALT1_FREQ", "ALT_FREQ"), pick("OBS_CT")
     else:
         snp, allele, freq, n = 1, 2, 4, 5
@@ -97,8 +115,8 @@ def read_pairs(spark: SparkSession, path: str, layout: str = "iid", with_header:
     """iid1, iid2; further columns and lines from ``#`` on are ignored. ``layout`` fid_iid has FID1 IID1 FID2 IID2."""
     rows = lines(spark, path).filter(~F.col("t")[0].startswith("#"))
     if with_header is None:
-        first = rows.orderBy(ORDER).limit(1).collect()
-        with_header = bool(first) and tuple(x.lower() for x in first[0]["t"][:2]) in PAIR_HEADERS
+        first = first_line(spark, path)
+        with_header = first is not None and tuple(x.lower() for x in first[:2]) in PAIR_HEADERS
     a, b = (1, 3) if layout == "fid_iid" else (0, 1)
     if with_header:
         rows = without_header(rows)
@@ -178,4 +196,5 @@ def write_tsv(df: DataFrame, path: str, order_by: list[str] | None = None, decim
     if decimals is not None:
         fixed = lambda c: F.when(F.col(f"`{c}`").isNotNull(), F.format_string(f"%.{decimals}f", F.col(f"`{c}`"))).alias(c)
         df = df.select(*(fixed(c) if t == "double" else F.col(f"`{c}`") for c, t in df.dtypes))
-    df.write.option("sep", "\t").option("header", True).option("nullValue", "NA").csv(path)
+    # Without a comment mark of its own the writer would put a header that begins with # in quotes.
+    df.write.option("sep", "\t").option("header", True).option("nullValue", "NA").option("comment", "\1").csv(path)

@@ -4,7 +4,7 @@ import pytest
 
 from kinstats.sources import (
     find_freqs, read_covariates, read_crossprods, read_freqs, read_genotypes, read_grm, read_joined_pairs, read_pairs, read_phenotype,
-    read_phenotypes, read_results, read_samples, read_variants, write_tsv,
+    read_phenotypes, read_results, read_samples, read_variants, write_genotypes, write_tsv,
 )
 
 
@@ -35,6 +35,8 @@ def test_frequency_layouts(spark, put, tmp_path):
     assert tuple(read_freqs(spark, six).first())[1:] == ("rs0", "A", 0.3, 8)
     assert tuple(read_freqs(spark, seven).first())[1:] == ("rs0", "G", 0.7, 8)
     assert find_freqs(spark, str(tmp_path / "a")).endswith("a.frq") and find_freqs(spark, str(tmp_path / "b")).endswith("b.afreq")
+    with pytest.raises(ValueError, match="ALT_FREQS"):
+        read_freqs(spark, put("d.afreq", "#CHROM\tID\tREF\tALT\tOBS_CT\n1\trs0\tA\tG\t8\n"))
     with pytest.raises(FileNotFoundError):
         find_freqs(spark, str(tmp_path / "z"))
 
@@ -91,3 +93,19 @@ def test_genotypes(spark, put):
     for bad in (data + b"x", b"abc" + data[3:]):
         with pytest.raises(Exception, match="genotype file|ends within"):
             read_genotypes(spark, put("bad.bed", bad), samples=7).collect()
+
+
+def test_genotype_folder(spark, tmp_path):
+    rows = [(k, bytes([k % 250, 7])) for k in range(500)]
+    path = str(tmp_path / "folder.bed")
+    write_genotypes(spark.createDataFrame(rows, "variant_idx int, codes binary").repartition(3), path)
+    assert sorted((x.variant_idx, bytes(x.codes)) for x in read_genotypes(spark, path, samples=7, variants_per_partition=40).collect()) == rows
+
+
+def test_headers_of_several_files(spark, tmp_path):
+    folder = tmp_path / "many"
+    folder.mkdir()
+    for k in range(3):
+        (folder / f"f{k}").write_text("\nIID y\n" + "".join(f"p{k}_{i} {i}\n" for i in range(20)))
+    got = read_phenotype(spark, str(folder)).orderBy("file_order").collect()
+    assert [x.iid for x in got] == [f"p{k}_{i}" for k in range(3) for i in range(20)]
