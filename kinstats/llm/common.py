@@ -2,26 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import saved, shared_dir
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
+__all__ = ["cut", "let", "mixed", "pieces", "saved", "shared_dir", "table", "text_bytes", "word_hashes"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="kinstats-"))
-    return spark.sparkContext.getCheckpointDir()
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -79,12 +72,3 @@ def mixed(x: np.ndarray) -> np.ndarray:
         x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
         x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
         return x ^ (x >> np.uint64(33))
-
-
-def saved(df: DataFrame) -> DataFrame:
-    """The same rows as a table in the shared folder: more compact than a checkpoint, and lost executors lose none of it."""
-    import uuid
-
-    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -32,18 +32,17 @@ import math
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mixed, text_bytes
+from .blocks import SENT, Block, by_bucket, packed, sent, squeezed, steps, told, unsqueezed
+from .common import mixed
 from .rindex import later_windows
 from .spans import BASES, Rolling, anchors, covered
 
 LAST = (1 << 63) - 1
 KMER = 24
 HOT = 64
-SENT = "bucket int, block long, step int, data binary"
 PIECE = 1 << 19
 BLOCK = 4 << 20
 PATH = np.uint64((1 << 48) - 1)
@@ -53,76 +52,15 @@ CONTEXT = "u8", "u4", "u2", "i8"
 REPEATS, STATE, DECIDED, MASKS, COPIES = range(5)
 
 
-def squeezed(*arrays: np.ndarray) -> bytes:
-    """Arrays of one length, byte plane by byte plane, compressed."""
-    import zstandard
-
-    n = len(arrays[0])
-    planes = [np.ascontiguousarray(x).view(np.uint8).reshape(n, x.itemsize).T.tobytes() for x in arrays]
-    return zstandard.compress(n.to_bytes(8, "little") + b"".join(planes), 3)
-
-
-def unsqueezed(data: bytes, *kinds: str) -> list[np.ndarray]:
-    import zstandard
-
-    data = zstandard.decompress(data)
-    n, at, out = int.from_bytes(data[:8], "little"), 8, []
-    for kind in map(np.dtype, kinds):
-        size = n * kind.itemsize
-        out.append(np.ascontiguousarray(np.frombuffer(data, np.uint8, size, at).reshape(kind.itemsize, n).T).view(kind).ravel())
-        at += size
-    return out
-
-
-def steps(x: np.ndarray) -> np.ndarray:
-    """Differences of numbers in order."""
-    return np.diff(x, prepend=x.dtype.type(0))
-
-
 def packed_bits(*flags: np.ndarray) -> bytes:
     return squeezed(np.sum([x.astype(np.uint8) << k for k, x in enumerate(flags)], 0, np.uint8))
 
 
-def packed(docs: DataFrame, bytes_a_block: int) -> DataFrame:
-    """(block, data): rows of documents (doc, doc_id, text) put together to blocks, as they come."""
-    import zstandard
-
-    def run(batches):
-        held, size, k = [], 0, 0
-        part = TaskContext.get().partitionId() << 32
-
-        def block():
-            doc = np.array([x[0] for x in held], np.int64)
-            named = np.array([x[1] is not None for x in held], np.uint8)
-            lengths = np.array([len(x[2]) for x in held], np.int64)
-            head = squeezed(doc, named, lengths)
-            body = zstandard.compress(b"".join([x[2] for x in held]), 3)
-            return pa.RecordBatch.from_arrays([pa.array([part + k]), pa.array([len(head).to_bytes(8, "little") + head + body], pa.binary())], ["block", "data"])
-
-        for batch in batches:
-            for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), text_bytes(batch.column(2)), strict=True):
-                held.append(row)
-                size += len(row[2]) + 16
-                if size >= bytes_a_block:
-                    yield block()
-                    held, size, k = [], 0, k + 1
-        if held:
-            yield block()
-
-    return docs.select("doc", "doc_id", "text").mapInArrow(run, "block long, data binary")
-
-
-class Block:
-    """Documents of a block: ids, whether they have one, lengths, the texts end to end, and which equal a smaller document."""
+class AnchoredBlock(Block):
+    """A block, with those of its documents marked that equal a smaller one."""
 
     def __init__(self, rows, replies=None):
-        import zstandard
-
-        data = rows["data"][0].as_py()
-        size = 8 + int.from_bytes(data[:8], "little")
-        self.doc, self.named, self.lengths = unsqueezed(data[8:size], "i8", "u1", "i8")
-        self.text = zstandard.decompress(data[size:])
-        self.starts = np.cumsum(self.lengths) - self.lengths
+        super().__init__(rows)
         self.copies = np.zeros(len(self.doc), bool)
         if replies is not None:
             self.copies[told(replies, COPIES, "u4")[0]] = True
@@ -174,26 +112,6 @@ class Block:
         return self.doc[np.searchsorted(self.starts + self.lengths, start, "right")]
 
 
-def by_bucket(bucket: np.ndarray):
-    """(bucket, slice) for each run of an ordered array."""
-    if not len(bucket):
-        return
-    heads = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
-    for i, j in zip(heads, [*heads[1:], len(bucket)], strict=True):
-        yield int(bucket[i]), slice(int(i), int(j))
-
-
-def sent(rows: list[tuple]):
-    return pa.table([pa.array([x[k] for x in rows], t) for k, t in enumerate((pa.int32(), pa.int64(), pa.int32(), pa.binary()))], ["bucket", "block", "step", "data"])
-
-
-def told(replies, step: int, *kinds: str) -> list[np.ndarray]:
-    """What arrived of a step, in order of buckets."""
-    own = replies.filter(pc.equal(replies["step"], step)).sort_by("bucket")["data"].to_pylist()
-    parts = [unsqueezed(x, *kinds) for x in own]
-    return [np.concatenate([np.zeros(0, kind), *(x[k] for x in parts)]) for k, kind in enumerate(kinds)]
-
-
 def among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
     """Which of ``x`` are in ``known``, which is sorted."""
     if not len(known):
@@ -217,7 +135,7 @@ def marks(docs: DataFrame, width: int, finish, schema: str, bytes_a_block: int =
         """Buckets of keys; they do not fall where the keys do not."""
         return ((keys >> np.uint64(max(0, bits - 32))) * np.uint64(buckets) >> np.uint64(min(32, bits))).astype(np.int64)
 
-    def block_keys(block: Block) -> tuple[np.ndarray, np.ndarray]:
+    def block_keys(block: AnchoredBlock) -> tuple[np.ndarray, np.ndarray]:
         """Distinct anchor keys of a block in order, and which of them several of its documents have."""
         key, start, _ = block.anchors(width, shift)
         doc = block.documents(start)
@@ -231,7 +149,7 @@ def marks(docs: DataFrame, width: int, finish, schema: str, bytes_a_block: int =
         """Of texts as long as a window: two hashes, doc, and place in the block."""
         from xxhash import xxh3_128_digest
 
-        block, me = Block(rows), key[0].as_py()
+        block, me = AnchoredBlock(rows), key[0].as_py()
         some = np.flatnonzero(block.lengths >= width)
         both = np.frombuffer(b"".join([xxh3_128_digest(block.text[i : i + n]) for i, n in zip(block.starts[some].tolist(), block.lengths[some].tolist(), strict=True)]), np.uint64).reshape(-1, 2)
         bucket = (both[:, 0] % np.uint64(buckets)).astype(np.int64)
@@ -253,7 +171,7 @@ def marks(docs: DataFrame, width: int, finish, schema: str, bytes_a_block: int =
         return sent([(me, block, COPIES, squeezed(x)) for block, x in found if len(x)])
 
     def ask(key, rows, replies):
-        keys, several = block_keys(Block(rows, replies))
+        keys, several = block_keys(AnchoredBlock(rows, replies))
         me = key[0].as_py()
         return sent([(b, me, REPEATS, squeezed(steps(keys[s]), several[s])) for b, s in by_bucket(dealt(keys))])
 
@@ -272,7 +190,7 @@ def marks(docs: DataFrame, width: int, finish, schema: str, bytes_a_block: int =
 
     def tell(key, rows, replies):
         """The distinct contexts of anchors that repeat: key, path and smallest document; and, for the block itself, which contexts its places have."""
-        block, me = Block(rows, replies), key[0].as_py()
+        block, me = AnchoredBlock(rows, replies), key[0].as_py()
         again, hot = [], []
         for x in replies.filter(pc.equal(replies["step"], REPEATS)).sort_by("bucket")["data"].to_pylist():
             k, h = unsqueezed(x, "u8", "u1")
@@ -311,7 +229,7 @@ def marks(docs: DataFrame, width: int, finish, schema: str, bytes_a_block: int =
         stops = np.cumsum([len(x[0]) for x in parts])
         return sent([(me, block, DECIDED, packed_bits(late[j - len(x[0]) : j], (several & ~late)[j - len(x[0]) : j])) for block, x, j in zip(whom, parts, stops.tolist(), strict=True)])
 
-    def state_of(block: Block, replies):
+    def state_of(block: AnchoredBlock, replies):
         start, windows, unit = told(replies, STATE, "u4", "u1", "u4")
         (said,) = told(replies, DECIDED, "u1")
         return np.cumsum(start, dtype=np.int64), windows.astype(np.int64), unit.astype(np.int64), (said & 1) > 0, said > 1
@@ -319,7 +237,7 @@ def marks(docs: DataFrame, width: int, finish, schema: str, bytes_a_block: int =
     def show(key, rows, replies):
         import zstandard
 
-        block, me = Block(rows, replies), key[0].as_py()
+        block, me = AnchoredBlock(rows, replies), key[0].as_py()
         start, windows, unit, late, needed = state_of(block, replies)
         doc = block.documents(start)
         order = np.lexsort((doc, unit))
@@ -367,7 +285,7 @@ def marks(docs: DataFrame, width: int, finish, schema: str, bytes_a_block: int =
         return sent([(me, block, MASKS, squeezed(mask[j - n : j].astype(np.uint32))) for block, n, j in zip(whom, counts, stops.tolist(), strict=True)])
 
     def mark(key, rows, replies):
-        block = Block(rows, replies)
+        block = AnchoredBlock(rows, replies)
         start, windows, unit, late, needed = state_of(block, replies)
         (shown,) = told(replies, MASKS, "u4")
         doc = block.documents(start)

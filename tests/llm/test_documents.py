@@ -88,40 +88,42 @@ def test_language(spark):
     assert langid.predict(frame.limit(0), model, ["doc_id"]).count() == 0
 
 
-def test_model_scores_match_brute_force(spark):
+@pytest.mark.parametrize("block", [1 << 22, 60])
+def test_model_scores_match_brute_force(spark, block):
     rng = random.Random(5)
-    docs = [(k, " ".join(rng.choice("abcdefgh") * rng.randint(1, 2) for _ in range(rng.randint(0, 30)))) for k in range(40)] + [(None, None), (50, "  "), (51, "A b"), (51, "A b")]
-    frame = spark.createDataFrame([(*x, 1.0) for x in docs], "doc_id long, text string, score double")
-    target = frame.withColumn("is_target", F.expr("doc_id < 15"))
-    got = {(x.doc_id, x.n_tokens, x.score) for x in lmscore.score(frame, target, 12, 14, 5.0).collect()}
-    cache = {}
-
-    def model(texts):
-        words, pairs = collections.Counter(), collections.Counter()
-        for t in texts:
-            w, _, p = lmscore.entries(t.lower().encode().split(), cache, 12, 14) if t and t.split() else ([], [], [])
-            words.update(map(int, w))
-            pairs.update(map(int, p))
-        return words, pairs
-
-    models = [model([t for i, t in docs if i is not None and i < 15]), model([t for _, t in docs])]
-    for i, t in docs:
-        tokens = (t or "").lower().encode().split()
+    docs = [(k, " ".join(rng.choice("abcdefgh") * rng.randint(1, 2) for _ in range(rng.randint(0, 30)))) for k in range(40)] + [(None, None), (50, "  "), (51, "A b"), (51, "A b"), (52, "É é a"), (None, "b a"), (53, "a c " * 3000)]
+    frame = spark.createDataFrame([(*x, 1.0) for x in docs], "doc_id long, text string, score double").repartition(3)
+    good = set(range(15)) | {51, 53}
+    targets = spark.createDataFrame([(i,) for i in [*good, 3, 999, None]], "doc_id long")
+    got = lmscore.score(frame, targets, mu=5.0, bytes_a_block=block).collect()
+    assert sorted((str(x.doc_id), x.n_tokens) for x in got) == sorted((str(i), len((t or "").split())) for i, t in docs)
+    texts = [(i in good, (t or "").lower().split()) for i, t in docs]
+    size = len({w for _, x in texts for w in x})
+
+    def model(some):
+        return collections.Counter(w for x in some for w in x), collections.Counter(p for x in some for p in zip([None, *x], x)), sum(1 for x in some if x)
+
+    models = [(model([x for g, x in texts if g]), lambda g: g), (model([x for _, x in texts]), lambda g: True)]
+    for (i, _), (g, tokens) in zip(docs, texts):
         if not tokens:
-            assert (i, 0, None) in got
+            assert all(x.score is None and x.target_loss is None for x in got if x.doc_id == i and x.n_tokens == 0)
             continue
-        w, v, p = lmscore.entries(tokens, cache, 12, 14)
         loss = []
-        for words, pairs in models:
-            n, total = sum(words.values()), 0
-            for k in range(len(tokens)):
-                prior = (words[int(w[k])] + 1) / (n + 4096)
-                context = max(words[int(v[k])] if k else 0, pairs[int(p[k])])
-                total -= math.log((pairs[int(p[k])] + 5 * prior) / (context + 5))
+        for (words, pairs, starts), learned in models:
+            own = model([tokens]) if learned(g) else model([])
+            n, total = sum(words.values()) - sum(own[0].values()), 0
+            for v, w in zip([None, *tokens], tokens):
+                prior = (words[w] - own[0][w] + 1) / (n + size)
+                context = words[v] - own[0][v] if v is not None else starts - own[2]
+                pair = pairs[v, w] - own[1][v, w]
+                total -= math.log((pair + 5 * prior) / (max(context, pair) + 5))
             loss.append(total / len(tokens))
-        (mine,) = {x for x in got if x[0] == i}
-        assert mine[1] == len(tokens) and mine[2] == pytest.approx(loss[0] - loss[1], abs=1e-5)
-    assert lmscore.score(frame.limit(0), target.limit(0), 12, 14).count() == 0
+        mine = [x for x in got if x.doc_id == i and x.n_tokens == len(tokens)]
+        assert mine and all((x.target_loss, x.background_loss, x.score) == pytest.approx((*loss, loss[0] - loss[1]), abs=1e-9) for x in mine)
+    assert lmscore.score(frame.limit(0), targets).count() == 0
+    # Without target documents the target model is the uniform one.
+    alone = lmscore.score(frame, targets.limit(0)).filter("n_tokens > 0").collect()
+    assert all(x.target_loss == pytest.approx(math.log(size)) for x in alone)
 
 
 def test_packing(spark):
