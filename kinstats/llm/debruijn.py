@@ -32,9 +32,10 @@ KMER = 6
 
 
 def sources(docs: DataFrame, *more: str) -> DataFrame:
-    """doc (ids in order), t (tells texts of equal ids apart), text."""
+    """doc (ids in order), t (tells texts of equal ids apart; of null ids, which may be very many, by 64 bits), text."""
     text = F.col("text").cast("string")
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.coalesce(F.hash(text), F.lit(0)).alias("t"), text.alias("text"), *more)
+    t = F.when(F.col("doc_id").isNull(), F.xxhash64(text)).otherwise(F.hash(text).cast("long"))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.when(text.isNull(), F.lit(0).cast("long")).otherwise(t).alias("t"), text.alias("text"), *more)
 
 
 def _words(batch, cache):
@@ -61,7 +62,7 @@ def occurrences(docs: DataFrame, width: int) -> DataFrame:
                 at = pa.array(document)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(node.view(np.int64)), pa.array(path.view(np.int64)), pa.array((start << 8) | n)], ["doc", "t", "node", "path", "run"])
 
-    return docs.mapInArrow(run, "doc long, t int, node long, path long, run long")
+    return docs.mapInArrow(run, "doc long, t long, node long, path long, run long")
 
 
 def path_windows(docs: DataFrame, width: int) -> DataFrame:
@@ -84,7 +85,7 @@ def path_windows(docs: DataFrame, width: int) -> DataFrame:
                 doc = pa.array(row[at])
                 yield pa.RecordBatch.from_arrays([pa.array(node[at]), pa.array(path[at]), pa.array(_within(n).astype(np.int32)), pa.array(runs.of(start, start + width).view(np.int64)), batch.column(0).take(doc), batch.column(1).take(doc), pa.array((where >> 8)[at] + _within(n))], ["node", "path", "k", "window", "doc", "t", "start"])
 
-    return docs.mapInArrow(run, "node long, path long, k int, window long, doc long, t int, start long")
+    return docs.mapInArrow(run, "node long, path long, k int, window long, doc long, t long, start long")
 
 
 def _within(n: np.ndarray) -> np.ndarray:

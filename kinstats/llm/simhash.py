@@ -9,7 +9,7 @@ fingerprints at two bits or fewer have one in common, and all that share a neigh
 stands for all, so a group of any size gives rows in proportion.
 
 Defined cases: a null or blank text has fingerprint zero and links like any other; equal fingerprints are one node;
-repeated rows are documents of equal fingerprint; a null doc_id gets the component of its fingerprint, and is null only
+texts of any length are hashed whole, some 65,000 shingles at a time; repeated rows are documents of equal fingerprint; a null doc_id gets the component of its fingerprint, and is null only
 where all ids of that are; an empty table gives an empty result; other columns are ignored.
 """
 

@@ -85,5 +85,9 @@ def judge(pages: DataFrame, rules: dict[str, str], default: str = "allow", suppo
     rule, said = first_rule(rules, F.col("host"), F.col("path"))
     pages = pages.select("page_id", F.col("url").cast("string").alias("url")).withColumns({"host": at, "path": rest}).withColumns({"rule": rule, "said": said})
     mined = cut(mine(pages.filter("said is not null").select("url", F.col("said").alias("verdict")), support, confidence, sample_rows))
-    verdicts = match(pages.filter("said is null"), mined)
-    return pages.join(verdicts, "url", "left").select("page_id", "host", "path", "rule", F.coalesce("said", "mined", F.lit(default)).alias("verdict"), F.when(F.col("said").isNull(), F.col("mined_confidence")).alias("mined_confidence"))
+    # Only pages that are undecided and have a url are joined. The verdicts are a table, so that Spark can split a url that very many pages have.
+    undecided = F.col("said").isNull() & F.col("url").isNotNull()
+    verdicts = cut(match(pages.filter(undecided), mined))
+    found = pages.filter(undecided).join(verdicts, "url", "left").select("page_id", "host", "path", "rule", F.coalesce("mined", F.lit(default)).alias("verdict"), "mined_confidence")
+    rest = pages.filter(~undecided).select("page_id", "host", "path", "rule", F.coalesce("said", F.lit(default)).alias("verdict"), F.lit(None).cast("double").alias("mined_confidence"))
+    return rest.union(found)
