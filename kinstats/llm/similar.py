@@ -2,16 +2,18 @@
 
 ``near_duplicates`` (``simhash``) links fingerprints at two bits; documents whose shingle sets have a Jaccard similarity
 of 0.8 lie some ten bits apart. Here texts of equal words are one node; nodes that agree in two minima of their
-shingle hashes, in one of ``bands`` draws, are candidates (a pair at 0.8 misses all ten draws once in 27,000); candidates
-whose pivot distances or fingerprints, of distinct shingles, differ by more than ``max_bits`` are discarded (a pair at
-0.8 does so once in 30,000), and the rest is verified on the shingle sets.
+shingle hashes, in one of ``bands`` draws, are candidates (a pair at 0.8 misses all draws once in a million times);
+candidates whose pivot distances or fingerprints, of distinct shingles, differ by more than ``max_bits`` are discarded (a
+pair at 0.8 does so once in 30,000), and the rest is verified on the shingle sets.
 
 A draw that more than ``hot`` nodes share is not paired all with all. Its nodes are compared with ``sampled`` of them
-first; then, with the components that these and all other links give, each node outside the draw's largest component
-is compared with the nodes of other components. Links inside a component change nothing, so none is lost.
+first. Then, with the components that these and all other links give, nodes that share two crowded draws and are of
+different components are compared, but for those of the pair of draws' largest component among each other. Links inside
+a component change nothing, so none is lost but those of pairs that share a single draw, a crowded one (a pair at 0.8
+does so once in 65,000).
 
 Defined cases: a text shorter than a shingle is one shingle; null and blank texts are equal to each other; rows of
-equal doc_id stay or go together, and go only if all their texts do; null ids count as the largest, each text as one of
+equal doc_id stay or go together, and go only if all their texts do; texts of any length are taken whole; null ids count as the largest, each text as one of
 its own; an empty table gives an empty result; columns of other names are kept.
 """
 
@@ -78,33 +80,50 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").filter(similar(F.col("a_set"), F.col("b_set"), similarity)).select("a", "b")
 
 
-def groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, bands: int = 10, max_bits: int = 22, n_pivots: int = 16, hot: int = 64, sampled: int = 8) -> DataFrame:
-    """(doc, node): every document and the least of its group; ``docs`` has doc and text."""
+def crowded_pairs(held: DataFrame, near: Column) -> DataFrame:
+    """(a, b): nodes of ``held`` (node, draw, fp, table, component) that share two draws and are of different components.
+
+    For each two draws, nodes outside the largest component are compared with all others; two draws that one component
+    holds alone are left out.
+    """
+    draws = held.groupBy("node").agg(F.array_sort(F.collect_set("draw")).alias("draws"), F.any_value("fp").alias("fp"), F.any_value("table").alias("table"), F.any_value("component").alias("component"))
+    two = F.flatten(F.transform("draws", lambda x, i: F.transform(F.slice("draws", i + 2, F.size("draws")), lambda y: F.xxhash64(x, y))))
+    keyed = saved(draws.select("node", "fp", "table", "component", F.explode(two).alias("key")))
+    counts = keyed.groupBy("key", "component").agg(F.count("*").alias("n"))
+    largest = saved(counts.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.count("*").alias("components")).filter("components > 1").select("key", "largest"))
+    held = saved(keyed.join(largest, "key"))
+    apart = (F.col("a.key") == F.col("b.key")) & (F.col("a.component") != F.col("b.component")) & near
+    pairs = held.filter("component <> largest").alias("a").join(held.alias("b"), apart)
+    return pairs.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct()
+
+
+def groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, bands: int = 14, max_bits: int = 22, n_pivots: int = 16, hot: int = 64, sampled: int = 8) -> DataFrame:
+    """(doc, node): every document and the least of its group; ``docs`` has doc and text.
+
+    What is small beside what it is joined with is a table of its own, so that Spark can split a draw that very many nodes share.
+    """
     sketched = saved(sketches(docs, size, bands))
-    nodes = sketched.groupBy("same", "other").agg(F.min("doc").alias("node"), F.min_by(F.struct("fp", "draws"), "doc").alias("s"))
+    nodes = saved(sketched.groupBy("same", "other").agg(F.min("doc").alias("node"), F.min_by(F.struct("fp", "draws"), "doc").alias("s")))
     drawn = nodes.select("node", "s.fp", F.explode("s.draws").alias("draw"))
-    shared = saved(drawn.join(drawn.groupBy("draw").agg(F.count("*").alias("size")).filter("size > 1"), "draw"))
+    sizes = saved(drawn.groupBy("draw").agg(F.count("*").alias("size")).filter("size > 1"))
     references = pivots(n_pivots)
-    tabled = shared.withColumn("table", distances(F.col("fp"), references))
+    tabled = saved(drawn.join(sizes, "draw")).withColumn("table", distances(F.col("fp"), references))
     near = near_in_table(F.col("a.table"), F.col("b.table"), n_pivots, max_bits) & (F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= max_bits)
     calm, crowded = tabled.filter(F.col("size") <= hot), tabled.filter(F.col("size") > hot)
     pairs = calm.alias("a").join(calm.alias("b"), (F.col("a.draw") == F.col("b.draw")) & (F.col("a.node") < F.col("b.node")) & near).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
     some = crowded.groupBy("draw").agg(*(F.min_by(F.struct("node", "fp", "table"), F.xxhash64("node", F.lit(k))).alias(f"s{k}") for k in range(sampled)))
-    some = some.select("draw", F.explode(F.array_distinct(F.array(*(f"s{k}" for k in range(sampled))))).alias("s")).select("draw", "s.*")
+    some = saved(some.select("draw", F.explode(F.array_distinct(F.array(*(f"s{k}" for k in range(sampled))))).alias("s")).select("draw", "s.*"))
     first = crowded.alias("a").join(some.alias("b"), (F.col("a.draw") == F.col("b.draw")) & (F.col("a.node") != F.col("b.node")) & near).select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b"))
     pairs = saved(pairs.union(first).distinct())
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc")).union(crowded.select(F.col("node").alias("doc"))).distinct()
     sets = saved(shingle_sets(docs.join(wanted, "doc", "left_semi"), size).dropDuplicates(["doc"]))
     links = saved(verified(pairs, sets, similarity))
     if not crowded.isEmpty():
-        held = saved(crowded.select("node", "draw", "fp", "table").join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node")))
-        largest = held.groupBy("draw", "component").agg(F.count("*").alias("n")).groupBy("draw").agg(F.max_by("component", F.struct("n", "component")).alias("largest"))
-        held = saved(held.join(largest, "draw").join(sets.select(F.col("doc").alias("node"), "set"), "node"))
-        outside = held.filter("component <> largest")
-        apart = (F.col("a.draw") == F.col("b.draw")) & (F.col("a.component") != F.col("b.component")) & near & similar(F.col("a.set"), F.col("b.set"), similarity)
-        links = saved(links.union(outside.alias("a").join(held.alias("b"), apart).select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b"))))
+        found = saved(components(links))
+        held = saved(crowded.select("node", "draw", "fp", "table").join(found, "node", "left").withColumn("component", F.coalesce("component", "node")))
+        links = saved(links.union(verified(saved(crowded_pairs(held, near)), sets, similarity)))
     found = components(links)
-    classes = nodes.select("same", "other", "node").join(found, "node", "left").select("same", "other", F.coalesce("component", "node").alias("node"))
+    classes = saved(nodes.select("same", "other", "node").join(found, "node", "left").select("same", "other", F.coalesce("component", "node").alias("node")))
     return sketched.select("doc", "same", "other").join(classes, ["same", "other"]).select("doc", "node").distinct()
 
 
