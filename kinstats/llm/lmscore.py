@@ -9,8 +9,8 @@ is scored, so that none is judged by itself.
 
 All counts are exact for every word and pair of the corpus, and grow with it: each block of documents sends the keys and
 counts of its distinct words and pairs, each once, to buckets, which add them up and answer with the sums. Nothing but a
-few totals reaches the driver, and no table goes to all tasks. Keys are hashes with a dozen bits more than the corpus has
-bytes, so that few in a million words or pairs share theirs.
+few totals reaches the driver, and no table goes to all tasks. Keys are hashes of 48 bits, or a dozen more than the
+number of bytes has, so that next to no words or pairs share theirs.
 
 Defined cases: a null or blank text has no tokens and null losses and score; with no target documents the target model
 is the uniform one; repeated rows count as often as they occur, and all rows with a target's doc_id are target documents;
@@ -71,7 +71,7 @@ def score(docs: DataFrame, targets: DataFrame, mu: float = 20.0, bytes_a_block:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(24, total // bytes_a_block // 8)
-    bits = min(64, max(24, total.bit_length() + 12))
+    bits = min(64, max(48, total.bit_length() + 12))
     shift = 64 - bits
     held = saved(packed(docs.withColumn("doc", F.coalesce("doc_id", F.lit(0).cast("long"))), bytes_a_block))
 
