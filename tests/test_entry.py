@@ -24,6 +24,17 @@ def test_core_stands_alone(tmp_path):
     assert alone <= full
 
 
+def test_core_stands_beside_a_pipeline_without_its_operations(tmp_path):
+    import shutil
+
+    shutil.copytree(REPO / "kinstats", tmp_path / "kinstats", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    for name in ("__spark_entry__.py", "corpus_pipeline.py"):
+        if (REPO / name).exists():
+            shutil.copy(REPO / name, tmp_path)
+    alone, _ = names(tmp_path)
+    assert "he_ols" in alone and "pipeline" not in alone
+
+
 def test_flagship(spark):
     import __spark_entry__
 
