@@ -11,8 +11,9 @@ from .common import cut
 def components(links: DataFrame, rounds: int = 50) -> DataFrame:
     """(node, component): for every node of ``links`` (a, b), the smallest node that can be reached.
 
-    Each round hangs every node on the smallest of its neighbours, first the larger ones, then the smaller ones; only
-    minima are grouped, so a node with very many neighbours is one row for each task. Rounds end when nothing changes.
+    Each round hangs every node on the smallest of its neighbours, first the larger ones, then the smaller ones. Minima are
+    taken before the shuffle, so a node with very many neighbours is one row for each task there; its links, of a few
+    bytes each, then meet its minimum in one task. Rounds end when nothing changes.
     """
     links = cut(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     seen = None
