@@ -13,6 +13,7 @@ empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import codecs
 import functools
 import json
 import os
@@ -58,7 +59,8 @@ class WordIds:
             self.plain = Tokenizer.from_str(json.dumps(plan))
             # In such vocabularies printable bytes stand for themselves; the others are the letters from 256 on.
             hidden = [x for x in range(256) if not (33 <= x <= 126 or 161 <= x <= 172 or x >= 174)]
-            self.as_letters = {x: 256 + k for k, x in enumerate(hidden) if x != 32}
+            letters = {x: 256 + k for k, x in enumerate(hidden) if x != 32}
+            self.letters = "".join(chr(letters.get(x, x)) for x in range(256))
         self.limit, self.ids = limit, {}
 
     def whole_words(self, words: list[bytes]) -> None:
@@ -68,8 +70,7 @@ class WordIds:
     def plain_words(self, words: list[bytes]) -> None:
         for at in range(0, len(words), 20_000):
             some = [words[k : k + 500] for k in range(at, min(at + 20_000, len(words)), 500)]
-            joined = [b" ".join(x).decode().lower().encode().decode("latin-1") for x in some]
-            joined = [x if x.isascii() else x.translate(self.as_letters) for x in joined]
+            joined = [codecs.charmap_decode(b" ".join(x).decode().lower().encode(), "strict", self.letters)[0] for x in some]
             for part, e in zip(some, self.plain.encode_batch_fast(joined, add_special_tokens=False), strict=True):
                 got = np.array(e.ids, "<u4")
                 stops = (4 * (np.flatnonzero(self.ends[got]) + 1)).tolist()
@@ -82,8 +83,10 @@ class WordIds:
     def learn(self, new: list[bytes]) -> None:
         if self.plain is None:
             return self.whole_words(new)
-        known, stems, rest, both, closing = self.ids, set(), [], [], {}
-        for w, (stem, marks) in zip(new, self.LETTERS.findall(b"\n".join(new).decode("utf-8", "replace")), strict=True):
+        known, stems, rest, both, closing = self.ids, {w for w in new if w.isalpha()}, [], [], {}
+        new = [w for w in new if w not in stems]
+        found = self.LETTERS.findall(b"\n".join(new).decode("utf-8", "replace")) if new else []
+        for w, (stem, marks) in zip(new, found, strict=True):
             if not marks:
                 stems.add(w)
             elif stem and (closing[marks] if marks in closing else closing.setdefault(marks, self.MARKS.fullmatch(marks) is not None)):
