@@ -20,6 +20,8 @@ ignored.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -70,7 +72,9 @@ def score(docs: DataFrame, targets: DataFrame, mu: float = 20.0, bytes_a_block:
     """doc_id, n_tokens, both mean losses and the score of every document; the target model learns from those whose doc_id is in ``targets``."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(24, total // bytes_a_block // 8)
+    # About a million counts a bucket, and blocks that grow with the root of the corpus beyond 8 GB, so that messages stay large.
+    buckets = max(24, total // (10 << 20))
+    bytes_a_block = int(bytes_a_block * min(16.0, max(1.0, math.sqrt(total / (8 << 30)))))
     bits = min(64, max(48, total.bit_length() + 12))
     shift = 64 - bits
     held = saved(packed(docs.withColumn("doc", F.coalesce("doc_id", F.lit(0).cast("long"))), bytes_a_block))
