@@ -17,7 +17,7 @@ from .operators import pairs as p
 from .operators.binning import binned_stats
 from .plans import heritability, products_of, relatedness, run_metrics
 from .sources import (
-    find_freqs, read_covariates, read_crossprods, read_freqs, read_genotypes, read_grm, read_joined_pairs, read_pairs, read_phenotype,
+    find_freqs, numbered_lines, read_covariates, read_crossprods, read_freqs, read_genotypes, read_grm, read_joined_pairs, read_pairs, read_phenotype,
     read_phenotypes, read_results, read_samples, read_variants, write_genotypes, write_tsv,
 )
 from .storage import shared_dir
@@ -337,6 +337,12 @@ def read_pair_file(spark, sf):
     return one.select(F.lit("iid").alias("layout"), "iid1", "iid2").union(two.select(F.lit("fid_iid"), "iid1", "iid2"))
 
 
+def pairs_in_order(spark, sf):
+    """A pair list's lines by their place in the file."""
+    listed = table(spark, sf, "orders").orderBy("o_orderkey").select(F.col("o_custkey").alias("iid1"), F.col("o_orderkey").alias("iid2"))
+    return numbered_lines(read_pairs(spark, as_file(spark, listed))).select("idx", "iid1", "iid2")
+
+
 def read_single_phenotype(spark, sf):
     some = people(spark, sf).select("iid", F.when(F.col("acctbal") > 0, F.col("acctbal")).alias("acctbal"), "pc1")
     return read_phenotype(spark, as_file(spark, some)).select("iid", *r6("acctbal"))
@@ -426,7 +432,7 @@ QUERIES = {
     "read_covariates": read_covariate_file, "read_joined_pairs": read_joined_file, "residual_metrics": residual_metrics,
     "join_covariates": join_covariates, "grm_repeated_pairs": grm_repeated_pairs, "grm_packed_ranges": grm_packed_ranges, "he_chain": he_chain,
     "allele_metrics": allele_metrics, "usable": usable, "read_samples": read_sample_file, "read_variants": read_variant_file,
-    "read_freqs": read_freq_files, "read_pairs": read_pair_file, "read_phenotype": read_single_phenotype, "read_crossprods": read_product_file,
+    "read_freqs": read_freq_files, "read_pairs": read_pair_file, "pairs_in_order": pairs_in_order, "read_phenotype": read_single_phenotype, "read_crossprods": read_product_file,
     "read_results": read_result_file, "write_tsv": write_sorted, "read_genotypes": read_genotype_files, "grm_from_files": grm_from_files,
     "bootstrap_ci": bootstrap_ci, "heritability_pipeline": heritability_pipeline,
 }
@@ -488,6 +494,7 @@ ORACLES = {
     "read_freqs": f"""WITH {_GENO}, f AS (SELECT variant_id AS variant_idx, 'rs' || variant_id AS snp_id, CASE WHEN variant_id % 3 = 0 THEN 'B' ELSE 'A' END AS counted_allele, CASE WHEN variant_id % 5 > 0 THEN round(CASE WHEN variant_id % 3 = 0 THEN 1 - p ELSE p END, 6) END AS freq, 100 AS obs_ct FROM frq)
         SELECT 'plain' AS layout, * FROM f UNION ALL SELECT 'named', * FROM f""",
     "read_pairs": "SELECT layout, CAST(o_custkey AS VARCHAR) AS iid1, CAST(o_orderkey AS VARCHAR) AS iid2 FROM orders CROSS JOIN (VALUES ('iid'), ('fid_iid')) v(layout)",
+    "pairs_in_order": "SELECT CAST(row_number() OVER (ORDER BY o_orderkey) - 1 AS INTEGER) AS idx, CAST(o_custkey AS VARCHAR) AS iid1, CAST(o_orderkey AS VARCHAR) AS iid2 FROM orders",
     "read_phenotype": f"WITH {_PEOPLE} SELECT CAST(iid AS VARCHAR) AS iid, CASE WHEN acctbal > 0 THEN round(acctbal, 6) END AS acctbal FROM ppl",
     "read_crossprods": f"WITH {_PAIRS}, {_PATCHY} SELECT CAST(id1 AS VARCHAR) AS iid1, CAST(id2 AS VARCHAR) AS iid2, round((a.acctbal / 1000) * (b.acctbal / 1000), 5) AS acctbal_crossprod, round(a.age * b.age, 6) AS age_crossprod FROM prs LEFT JOIN pch a ON a.iid = id1 LEFT JOIN pch b ON b.iid = id2",
     "read_results": f"WITH {_LINES}, {_cuts(LINE_CUTS)}, src AS (SELECT x, y FROM ln), {_OLS} SELECT interval, n_pairs, round(intercept, 3) AS intercept, round(slope, 3) AS slope, round(intercept - 1.96 * intercept_se, 3) AS intercept_ci_lower, round(slope + 1.96 * slope_se, 3) AS slope_ci_upper FROM fit",
