@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["q_quality", "q_lsa", "q_langid", "q_runindex", "q_lmscore", "q_debruijn", "q_packing", "q_simhash", "q_urlrules", "q_warc", "q_runs", "q_contentsort"]
+MODULES = ["q_quality", "q_lsa", "q_langid", "q_runindex", "q_lmscore", "q_debruijn", "q_packing", "q_simhash", "q_urlrules", "q_warc", "q_runs", "q_contentsort", "q_align"]
 
 QUERIES, ORACLES = {}, {}
 for _name in MODULES:
