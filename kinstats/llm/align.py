@@ -22,6 +22,7 @@ import hashlib
 import itertools
 import os
 from collections import defaultdict
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -63,13 +64,13 @@ def letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
-class Piece:
-    """Tokens of a piece of text: ids and numbers of groups of both sides, the groups in words, and pairs that end together."""
+class Piece(NamedTuple):
+    """A piece of text: its numbers of tokens, its groups in words, and the pairs of ids that end together, A's id in the high bits."""
 
-    __slots__ = ("a", "b", "group_a", "group_b", "told", "pairs")
-
-    def __init__(self, a, b, group_a, group_b, told, pairs):
-        self.a, self.b, self.group_a, self.group_b, self.told, self.pairs = a, b, group_a, group_b, told, pairs
+    n_a: int
+    n_b: int
+    told: bytes
+    pairs: list[int]
 
 
 class Aligner:
@@ -97,11 +98,7 @@ class Aligner:
         ids_a = [x.ids for x in self.one.encode_batch([" " + t for t in texts], add_special_tokens=False)]
         ids_b = self.two.encode(texts, num_threads=1)
         out: list[Piece | None] = [None] * len(texts)
-        good = []
-        for k, (t, a, b) in enumerate(zip(texts, ids_a, ids_b, strict=True)):
-            raw = (" " + t).encode()
-            if b"".join([self.bytes_a[i] for i in a]) == raw and b"".join([self.bytes_b[i] for i in b]) == raw:
-                good.append(k)
+        good = self.given_back(texts, ids_a, ids_b)
         if not good:
             return out
         n_a, n_b = (np.array([len(x[k]) for k in good], np.int64) for x in (ids_a, ids_b))
@@ -121,11 +118,21 @@ class Aligner:
         ids[at_a], ids[at_b] = flat_a, flat_b
         mark[at_a[last_a]], mark[at_b[lasts]] = ord("|"), ord(";")
         told = [b"%d%c" % x for x in zip(ids.tolist(), mark.tolist(), strict=True)]
+        pairs = pairs.tolist()
         for k, (ia, ja), (ib, jb), (ig, jg) in zip(good, *(itertools.pairwise([0, *x.tolist()]) for x in (stop_a, stop_b, stop_g)), strict=True):
-            words = b"".join(told[ia + ib : ja + jb])[:-1]
-            out[k] = Piece(flat_a[ia:ja], flat_b[ib:jb], group_a[ia:ja] - ig, group_b[ib:jb] - ig, words, pairs[ig:jg])
+            out[k] = Piece(ja - ia, jb - ib, b"".join(told[ia + ib : ja + jb])[:-1], pairs[ig:jg])
         return out
 
+    def given_back(self, texts: list[str], ids_a: list[list[int]], ids_b: list[list[int]]) -> list[int]:
+        """Places of the texts whose bytes the tokens of both sides are."""
+        raw = [(" " + t).encode() for t in texts]
+        good = np.ones(len(texts), bool)
+        for ids, known in ((ids_a, self.bytes_a), (ids_b, self.bytes_b)):
+            told = [b"".join(map(known.__getitem__, x)) for x in ids]
+            if told != raw:
+                good &= [x == y for x, y in zip(told, raw, strict=True)]
+        return np.flatnonzero(good).tolist()
+
     def of(self, texts: list[str]) -> list[Piece | None]:
         """``learn`` with a memory."""
         if len(self.known) > self.limit:
@@ -146,16 +153,18 @@ def plain(c: str) -> bool:
     return not c.isspace() and c not in "\u2581\u180e\u200b\u2060\ufeff"
 
 
-def cut(text: str, sure: dict[str, bool]) -> list[str]:
-    """``text`` as pieces, between which lies a single space that has no other white space beside it; ``sure`` remembers parts that begin and end without."""
+class Sure(dict):
+    """Whether parts of a text begin and end with what is certainly no white space."""
+
+    def __missing__(self, part: str) -> bool:
+        known = self[part] = bool(part) and plain(part[0]) and plain(part[-1])
+        return known
+
+
+def cut(text: str, sure: Sure) -> list[str]:
+    """``text`` as pieces, between which lies a single space that has no other white space beside it."""
     parts = text.split(" ")
-    unsure = False
-    for p in parts:
-        known = sure.get(p)
-        if known is None:
-            known = sure[p] = bool(p) and plain(p[0]) and plain(p[-1])
-        unsure |= not known
-    if not unsure:
+    if all(map(sure.__getitem__, parts)):
         return parts
     out, held = [], parts[0]
     for p in parts[1:]:
@@ -167,15 +176,26 @@ def cut(text: str, sure: dict[str, bool]) -> list[str]:
     return [*out, held]
 
 
-def encoded(part: pa.RecordBatch, aligner: Aligner):
-    """(doc_id, pieces) of each document of a batch (doc_id, text); documents without tokens have no pieces."""
+def encoded(part: pa.RecordBatch, both: Aligner):
+    """(doc_id, tokens of A, tokens of B, groups in words, pairs that end together) of each document of a batch (doc_id, text)."""
     number = defaultdict(itertools.count().__next__)
-    sure: dict[str, bool] = {}
-    cuts = [[number[p] for p in cut(t, sure)] if t else [] for t in part.column(1).to_pylist()]
-    found = aligner.of(list(number))
+    sure = Sure()
+    cuts = [list(map(number.__getitem__, cut(t, sure))) if t else [] for t in part.column(1).to_pylist()]
+    found = both.of(list(number))
+    bad = np.array([x is None for x in found], bool)
+    found = [x or Piece(0, 0, b"", []) for x in found]
+    n_a, n_b, n = (np.array(x, np.int64) for x in ([x.n_a for x in found], [x.n_b for x in found], [len(x.pairs) for x in found]))
+    pairs = np.fromiter(itertools.chain.from_iterable(x.pairs for x in found), np.int64)
+    starts = np.cumsum(n) - n
+    told = [x.told for x in found]
     for i, own in zip(part.column(0).to_pylist(), cuts, strict=True):
-        held = [found[k] for k in own]
-        yield i, [] if None in held else held
+        own = np.array(own, np.int64)
+        if not len(own) or bad[own].any():
+            yield i, 0, 0, b"", pairs[:0]
+            continue
+        each = n[own]
+        at = np.repeat(starts[own] - np.cumsum(each) + each, each) + np.arange(each.sum())
+        yield i, int(n_a[own].sum()), int(n_b[own].sum()), b";".join(map(told.__getitem__, own.tolist())), pairs[at]
 
 
 _ALIGNERS: dict[tuple[str, str], Aligner] = {}
@@ -198,13 +218,8 @@ def groups(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
         both = aligner(path_a, path_b)
         for batch in batches:
             for part in pieces(batch, "text", 256 << 10):
-                rows = []
-                for i, held in encoded(part, both):
-                    at = 0
-                    for x in held:
-                        for g in range(len(x.pairs)):
-                            rows.append((i, at + g, x.a[x.group_a == g].tolist(), x.b[x.group_b == g].tolist()))
-                        at += len(x.pairs)
+                numbers = lambda x: [int(k) for k in x.split(b",")]
+                rows = [(i, g, *map(numbers, x.split(b"|"))) for i, _, _, told, _ in encoded(part, both) if told for g, x in enumerate(told.split(b";"))]
                 kinds = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], t) for k, t in enumerate(kinds)], ["doc_id", "group", "a_ids", "b_ids"])
 
@@ -233,10 +248,8 @@ def blocks(docs: DataFrame, path_a: str, path_b: str, bytes_a_block: int = 32 <<
 
         for batch in batches:
             for part in pieces(batch, "text"):
-                for i, held in encoded(part, both):
-                    n = (sum(len(x.a) for x in held), sum(len(x.b) for x in held), sum(len(x.pairs) for x in held))
-                    told = hashlib.sha256(b";".join([x.told for x in held])).digest() if held else b"\0" * 32
-                    kept.append((i, n, told, np.concatenate([x.pairs for x in held]) if held else np.zeros(0, np.int64)))
+                for i, n_a, n_b, told, links in encoded(part, both):
+                    kept.append((i, (n_a, n_b, len(links)), hashlib.sha256(told).digest(), links))
                 size += part.nbytes
                 if size >= bytes_a_block:
                     yield block()
