@@ -1,17 +1,18 @@
 """Operators on samples, variants, pairs and phenotypes."""
 
 from .binning import binned_stats
-from .grm import align_by_position, align_freqs, allele_freqs, allele_metrics, grm_for_pairs, grm_from_packed, pack_genotypes, standardise, unpack_genotypes, usable
+from .grm import align_by_position, align_freqs, allele_freqs, allele_metrics, grm_for_pairs, standardise, usable
 from .he import bootstrap_ci, he_regression, interval_counts, intervals, summarise
+from .packed import allele_freqs_packed, grm_from_packed, pack_genotypes, unpack_genotypes, with_own_freqs
 from .pairs import canonical, crossprods, first_of_each, join_pairs, last_of_each, needed_samples, pair_products, resolve_pairs, unknown_ids
 from .residuals import (
     complete_cases, covariates_at, drop_outliers, fit_linear, join_covariates, residual_metrics, residualise, with_residuals, zscore_by_group,
 )
 
 __all__ = [
-    "align_by_position", "align_freqs", "allele_freqs", "allele_metrics", "binned_stats", "bootstrap_ci", "canonical", "complete_cases",
+    "align_by_position", "align_freqs", "allele_freqs", "allele_freqs_packed", "allele_metrics", "binned_stats", "bootstrap_ci", "canonical", "complete_cases",
     "covariates_at", "crossprods", "drop_outliers", "first_of_each", "fit_linear", "grm_for_pairs", "grm_from_packed",
     "he_regression", "interval_counts", "intervals", "join_covariates", "join_pairs", "last_of_each", "needed_samples", "pack_genotypes",
     "pair_products", "residual_metrics", "residualise", "resolve_pairs", "standardise", "summarise", "unknown_ids", "unpack_genotypes", "usable",
-    "with_residuals", "zscore_by_group",
+    "with_own_freqs", "with_residuals", "zscore_by_group",
 ]

@@ -1,25 +1,19 @@
 """Genetic relatedness of listed pairs, without the matrix of all pairs.
 
-``grm_for_pairs`` works on long genotypes by joins alone, with a row for each pair and variant. ``grm_from_packed`` works
-on packed rows and makes one partial sum a pair and task: a list of pairs of checked length goes to all tasks; longer
-ones meet the genotypes of their two ranges of samples in the shuffle, and the driver sees none of them.
-
-A pair that is listed several times, or either way round, is judged alike and has a row each time.
+Here from long genotypes, by joins alone and with a row for each pair and variant; ``packed`` has the same from packed
+rows. A pair that is listed several times, or either way round, is judged alike and has a row each time.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.statistics import dosage_weight
 
 LEAST_DEVIATION = 1e-8
-#: Two-bit codes 0 to 3 as copies of A1; -1 is missing.
-CODES = np.array([2, -1, 1, 0], np.int8)
+#: How missing genotypes count: not at all for the pair, or as the variant's mean, over all variants that vary.
+MISSING = ("exclude", "mean")
 
 
 def allele_freqs(genotypes: DataFrame) -> DataFrame:
@@ -80,137 +74,35 @@ def listed_again(df: DataFrame) -> DataFrame:
     return df.withColumn("_times", F.explode(F.sequence(F.lit(1), F.col("_times")))).drop("_times")
 
 
-def grm_for_pairs(pairs: DataFrame, genotypes: DataFrame, freqs: DataFrame) -> DataFrame:
-    """id1, id2, n_snps, grm for every listed pair: the mean product of weights over the variants that both have; null without one."""
+def all_variants(genotypes: DataFrame, freqs: DataFrame) -> int:
+    """How many variants of ``genotypes`` vary: what sums are divided by where missing genotypes count as the mean."""
+    return genotypes.select("variant_id").distinct().join(usable(freqs).select("variant_id"), "variant_id", "left_semi").count()
+
+
+def how(missing: str) -> bool:
+    """Whether missing genotypes count as the mean."""
+    if missing not in MISSING:
+        raise ValueError(f"missing is one of {', '.join(MISSING)}")
+    return missing == "mean"
+
+
+def grm_for_pairs(pairs: DataFrame, genotypes: DataFrame, freqs: DataFrame, missing: str = "exclude") -> DataFrame:
+    """id1, id2, n_snps, grm for every listed pair: the mean product of weights over the variants that both have; null without one.
+
+    With ``missing`` mean, a missing genotype counts as the mean and the sum is divided by all variants that vary.
+    """
+    n = all_variants(genotypes, freqs) if how(missing) else None
     weights = standardise(genotypes, freqs)
     a = weights.select(F.col("sample_id").alias("id1"), "variant_id", F.col("w").alias("w1"))
     b = weights.select(F.col("sample_id").alias("id2"), "variant_id", F.col("w").alias("w2"))
     pairs = counted(pairs, "id1", "id2")
     sums = pairs.select("id1", "id2").join(a, "id1").join(b, ["id2", "variant_id"]).groupBy("id1", "id2").agg(F.count("*").alias("n_snps"), F.sum(F.col("w1") * F.col("w2")).alias("s"))
-    found = listed_again(pairs.join(sums, ["id1", "id2"], "left"))
-    return found.select("id1", "id2", F.coalesce("n_snps", F.lit(0)).cast("long").alias("n_snps"), (F.col("s") / F.col("n_snps")).alias("grm"))
+    return divided(pairs, sums, ["id1", "id2"], n)
 
 
-def pack_genotypes(genotypes: DataFrame, samples: int) -> DataFrame:
-    """(variant_id, codes) from long genotypes with sample places 0 to ``samples`` - 1: four samples a byte, low bits first.
-
-    Bytes are put together per variant and quarter of a byte before any row is gathered; a variant's row holds its samples.
-    """
-    code = F.when(F.col("a1").isNull(), 1).when(F.col("a1") == 2, 0).when(F.col("a1") == 1, 2).otherwise(3)
-    parts = genotypes.select("variant_id", (F.col("sample_idx") / 4).cast("int").alias("byte"), (code * F.pow(F.lit(4), F.col("sample_idx") % 4)).cast("int").alias("bits"))
-    bytes_ = parts.groupBy("variant_id", "byte").agg(F.sum("bits").cast("int").alias("value"))
-    width = -(-samples // 4)
-
-    def lay(key, rows):
-        out = np.full(width, 0, np.uint8)
-        out[rows["byte"].to_numpy()] = rows["value"].to_numpy().astype(np.uint8)
-        return pa.table({"variant_id": pa.array([key[0].as_py()], pa.int32()), "codes": pa.array([out.tobytes()], pa.binary())})
-
-    return bytes_.groupBy("variant_id").applyInArrow(lay, "variant_id int, codes binary")
-
-
-def unpack_genotypes(packed: DataFrame, samples: int) -> DataFrame:
-    """(variant_id, sample_idx, a1) from packed rows: null where missing."""
-    everyone = np.arange(samples)
-
-    def run(batches):
-        for batch in batches:
-            for variant, codes in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                a1 = decode([codes], everyone)[0]
-                yield pa.RecordBatch.from_arrays([pa.array([variant] * samples, pa.int32()), pa.array(everyone, pa.int32()), pa.array(a1.astype(np.int32), mask=a1 < 0)], ["variant_id", "sample_idx", "a1"])
-
-    return packed.select("variant_id", "codes").mapInArrow(run, "variant_id int, sample_idx int, a1 int")
-
-
-def decode(rows: list[bytes], samples: np.ndarray) -> np.ndarray:
-    """Copies of A1 (variant x sample; -1 missing) of the given samples."""
-    packed = np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), -1)
-    return CODES[(packed[:, samples // 4] >> (2 * (samples % 4)).astype(np.uint8)) & 3]
-
-
-def pair_sums(codes: list[bytes], p: np.ndarray, samples: np.ndarray, at: np.ndarray, total: np.ndarray, n: np.ndarray, pairs_at_once: int) -> None:
-    """Adds to ``total`` and ``n`` the products of weights, and the variants both have, of the pairs ``at`` (places among ``samples``)."""
-    for b in range(0, len(codes), 64):
-        own = p[b : b + 64, None]
-        a1 = decode(codes[b : b + 64], samples)
-        there = a1 >= 0
-        # One row a sample, so that a pair's two rows are read whole.
-        w = np.ascontiguousarray(np.where(there, (a1 - 2 * own) / np.sqrt(2 * own * (1 - own)), 0.0).T)
-        there = np.ascontiguousarray(there.T)
-        for c in range(0, len(at), pairs_at_once):
-            i, j = at[c : c + pairs_at_once].T
-            total[c : c + pairs_at_once] += np.einsum("pv,pv->p", w[i], w[j])
-            n[c : c + pairs_at_once] += (there[i] & there[j]).sum(1)
-
-
-PARTIAL = "idx1 int, idx2 int, n long, s double"
-
-
-def _partials(listed: np.ndarray, total: np.ndarray, n: np.ndarray):
-    for c in range(0, len(listed), 1 << 16):
-        part = slice(c, c + (1 << 16))
-        yield pa.RecordBatch.from_arrays([pa.array(listed[part, 0]), pa.array(listed[part, 1]), pa.array(n[part]), pa.array(total[part])], ["idx1", "idx2", "n", "s"])
-
-
-def _with_all_pairs(pairs: DataFrame, rows: DataFrame, pairs_at_once: int) -> DataFrame:
-    """Partial sums where each task holds all pairs; their number has been checked."""
-    shared = pairs.sparkSession.sparkContext.broadcast(pairs.toPandas().to_numpy(np.int32).reshape(-1, 2))
-
-    def run(batches):
-        listed = shared.value
-        samples, at = np.unique(listed, return_inverse=True)
-        total, n = np.zeros(len(listed)), np.zeros(len(listed), np.int64)
-        for batch in batches:
-            pair_sums(batch.column(1).to_pylist(), batch.column(2).to_numpy(), samples, at.reshape(listed.shape), total, n, pairs_at_once)
-        yield from _partials(listed, total, n)
-
-    return rows.select("variant_id", "codes", "p").mapInArrow(run, PARTIAL)
-
-
-def _by_sample_ranges(pairs: DataFrame, rows: DataFrame, samples_a_block: int, group_bytes: int, pairs_at_once: int) -> DataFrame:
-    """Partial sums where the pairs of two ranges of samples meet the genotypes of these, some variants at a time."""
-    width = samples_a_block // 4
-    n_variants = rows.count()
-    parts = max(1, -(-n_variants * 2 * width // group_bytes))
-
-    def ranges(batches):
-        for batch in batches:
-            out = []
-            for variant, codes, p in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                out += [(k, variant, codes[at : at + width], p) for k, at in enumerate(range(0, len(codes), width))]
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.binary(), pa.float64()))], ["block", "variant_id", "codes", "p"])
-
-    cut = rows.select("variant_id", "codes", "p").mapInArrow(ranges, "block int, variant_id int, codes binary, p double")
-    block = lambda c: (F.col(c) / samples_a_block).cast("int")
-    pairs = pairs.select("idx1", "idx2", block("idx1").alias("block1"), block("idx2").alias("block2"))
-    combined = pairs.select(F.col("block1").alias("low"), F.col("block2").alias("high")).distinct().withColumn("block", F.explode(F.array_distinct(F.array("low", "high"))))
-    needed = cut.join(combined, "block").withColumn("some", F.pmod(F.xxhash64("variant_id"), F.lit(parts)))
-    held = pairs.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
-    def add(key, left, right):
-        listed = np.stack((left["idx1"].to_numpy(), left["idx2"].to_numpy()), 1).astype(np.int32)
-        total, n = np.zeros(len(listed)), np.zeros(len(listed), np.int64)
-        if len(listed) and right.num_rows:
-            one, two = (right.filter(pc.equal(right["block"], k)).sort_by("variant_id") for k in key[:2])
-            samples, at = np.unique(listed % samples_a_block + np.array([0, samples_a_block]), return_inverse=True)
-            short = samples_a_block // 4
-            codes = [a.ljust(short, b"\x55") + b.ljust(short, b"\x55") for a, b in zip(one["codes"].to_pylist(), two["codes"].to_pylist(), strict=True)]
-            pair_sums(codes, one["p"].to_numpy(), samples, at.reshape(listed.shape), total, n, pairs_at_once)
-        return pa.Table.from_batches(list(_partials(listed, total, n)) or [], schema=pa.schema([("idx1", pa.int32()), ("idx2", pa.int32()), ("n", pa.int64()), ("s", pa.float64())]))
-
-    return held.groupBy("block1", "block2", "part").cogroup(needed.groupBy("low", "high", "some")).applyInArrow(add, PARTIAL)
-
-
-def grm_from_packed(pairs: DataFrame, packed: DataFrame, freqs: DataFrame, max_pairs: int = 2_000_000, pairs_at_once: int = 1 << 14, samples_a_block: int = 4096, group_bytes: int = 64 << 20) -> DataFrame:
-    """As ``grm_for_pairs``, for pairs of sample places (idx1, idx2) and packed genotypes (variant_id, codes).
-
-    Up to ``max_pairs`` pairs (8 bytes each) go to all tasks, and the genotypes stay where they are; more are dealt by
-    ranges of ``samples_a_block`` samples (a multiple of four), and the genotypes with them.
-    """
-    pairs = counted(pairs.select(F.col("idx1").cast("int").alias("idx1"), F.col("idx2").cast("int").alias("idx2")), "idx1", "idx2")
-    some = pairs.select("idx1", "idx2")
-    rows = packed.join(usable(freqs).select("variant_id", "p"), "variant_id").select("variant_id", "codes", "p")
-    few = some.limit(max_pairs + 1).count() <= max_pairs
-    sums = _with_all_pairs(some, rows, pairs_at_once) if few else _by_sample_ranges(some, rows, samples_a_block, group_bytes, pairs_at_once)
-    sums = sums.groupBy("idx1", "idx2").agg(F.sum("n").alias("n_snps"), F.sum("s").alias("s"))
-    found = listed_again(pairs.join(sums, ["idx1", "idx2"], "left"))
-    return found.select("idx1", "idx2", F.coalesce("n_snps", F.lit(0)).cast("long").alias("n_snps"), F.when(F.col("n_snps") > 0, F.try_divide("s", "n_snps")).alias("grm"))
+def divided(pairs: DataFrame, sums: DataFrame, ids: list[str], n: int | None = None) -> DataFrame:
+    """``pairs`` (ids, _times), each as often as it is listed, with n_snps and grm from ``sums`` (ids, n_snps, s); ``n``: what all sums are divided by."""
+    found = listed_again(pairs.join(sums, ids, "left"))
+    if n is not None:
+        return found.select(*ids, F.lit(n).cast("long").alias("n_snps"), (F.when(F.lit(n > 0), F.coalesce("s", F.lit(0.0)) / F.lit(float(max(n, 1))))).alias("grm"))
+    return found.select(*ids, F.coalesce("n_snps", F.lit(0)).cast("long").alias("n_snps"), F.when(F.col("n_snps") > 0, F.try_divide("s", "n_snps")).alias("grm"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.grm import align_by_position, align_freqs, grm_from_packed
+from ..operators.grm import align_by_position, align_freqs
+from ..operators.packed import grm_from_packed
 from ..operators.pairs import resolve_pairs
 from ..sources import find_freqs, read_freqs, read_genotypes, read_pairs, read_samples, read_variants
 from ..storage import saved

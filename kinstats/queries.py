@@ -11,8 +11,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bootstrap_sql import bootstrap_sql
 from .operators import grm as g
 from .operators import he, residuals
+from .operators import packed as k
 from .operators import pairs as p
 from .operators.binning import binned_stats
 from .plans import heritability, products_of, relatedness, run_metrics
@@ -98,7 +100,7 @@ def grm_pairs_long(spark, sf):
 
 
 def grm_packed(spark, sf):
-    out = g.grm_from_packed(pairs(spark, sf).select(F.col("id1").alias("idx1"), F.col("id2").alias("idx2")), packed_codes(spark, sf)[0], freqs(spark, sf))
+    out = k.grm_from_packed(pairs(spark, sf).select(F.col("id1").alias("idx1"), F.col("id2").alias("idx2")), packed_codes(spark, sf)[0], freqs(spark, sf))
     return out.select(F.col("idx1").cast("long").alias("id1"), F.col("idx2").cast("long").alias("id2"), "n_snps", *r6("grm"))
 
 
@@ -226,23 +228,25 @@ def metrics(spark, sf):
 
 
 def bootstrap_ci(spark, sf):
-    return he.bootstrap_ci(lines(spark, sf), he.intervals(spark, LINE_CUTS)).drop("interval_ord")
+    out = he.bootstrap_ci(lines(spark, sf), he.intervals(spark, LINE_CUTS))
+    return out.select("interval", *(F.round(c, 3).alias(c) for c in ("intercept_ci_lower", "intercept_ci_upper", "slope_ci_lower", "slope_ci_upper")))
 
 
 def packed_codes(spark, sf):
     """Packed genotypes and the number of samples."""
     n = (table(spark, sf, "embeddings").agg(F.max("vec_id")).first()[0] or 0) + 1
-    return g.pack_genotypes(genotypes(spark, sf).withColumn("sample_idx", F.col("sample_id").cast("int")), n), n
+    return k.pack_genotypes(genotypes(spark, sf).withColumn("sample_idx", F.col("sample_id").cast("int")), n), n
 
 
 def packed_grm(spark, sf):
     """iid1, iid2 and relatedness of all pairs by packed genotypes."""
     listed = pairs(spark, sf).select(F.col("id1").alias("idx1"), F.col("id2").alias("idx2"))
-    return g.grm_from_packed(listed, packed_codes(spark, sf)[0], freqs(spark, sf)).select(F.col("idx1").cast("long").alias("iid1"), F.col("idx2").cast("long").alias("iid2"), "grm")
+    return k.grm_from_packed(listed, packed_codes(spark, sf)[0], freqs(spark, sf)).select(F.col("idx1").cast("long").alias("iid1"), F.col("idx2").cast("long").alias("iid2"), "grm")
 
 
 def heritability_pipeline(spark, sf):
-    return heritability(packed_grm(spark, sf), people(spark, sf), "acctbal", ["sex", "age", "pc1"], he.intervals(spark, CUTS))
+    out = heritability(packed_grm(spark, sf), people(spark, sf), "acctbal", ["sex", "age", "pc1"], he.intervals(spark, CUTS))
+    return out.select("interval_ord", "interval", "n_pairs", *r6("heritability", "h2_ci_lower", "h2_ci_upper", "r_squared"), "significant", *r6("midpoint"))
 
 
 def repeated(spark, sf):
@@ -258,14 +262,14 @@ def grm_repeated_pairs(spark, sf):
 def grm_packed_ranges(spark, sf):
     """The same by packed genotypes and ranges of samples, as long lists of pairs are."""
     listed = repeated(spark, sf).select(F.col("id1").alias("idx1"), F.col("id2").alias("idx2"))
-    out = g.grm_from_packed(listed, packed_codes(spark, sf)[0], freqs(spark, sf), max_pairs=0, samples_a_block=512)
+    out = k.grm_from_packed(listed, packed_codes(spark, sf)[0], freqs(spark, sf), max_pairs=0, samples_a_block=512)
     return out.select(F.col("idx1").cast("long").alias("id1"), F.col("idx2").cast("long").alias("id2"), "n_snps", *r6("grm"))
 
 
 def he_chain(spark, sf):
     """The whole chain but the bootstrap: relatedness of pairs that repeat, residuals, products, regression by intervals."""
     listed = repeated(spark, sf).select(F.col("id1").alias("idx1"), F.col("id2").alias("idx2"))
-    grm = g.grm_from_packed(listed, packed_codes(spark, sf)[0], freqs(spark, sf)).select(F.col("idx1").cast("long").alias("iid1"), F.col("idx2").cast("long").alias("iid2"), "grm")
+    grm = k.grm_from_packed(listed, packed_codes(spark, sf)[0], freqs(spark, sf)).select(F.col("idx1").cast("long").alias("iid1"), F.col("idx2").cast("long").alias("iid2"), "grm")
     rows = products_of(grm, patchy(spark, sf), "acctbal", ["age", "pc1"], group_col="sex")
     out = he.he_regression(rows, he.intervals(spark, CUTS), "grm", "acctbal_resid_crossprod")
     return out.select("interval", "n_pairs", *(F.round(F.col(c), 6).alias(c) for c in ("intercept", "slope", "r_squared", "mse", "intercept_se", "slope_se")))
@@ -358,7 +362,7 @@ def read_result_file(spark, sf):
     """Regression results with normal intervals, written and read again."""
     out = he.he_regression(lines(spark, sf), he.intervals(spark, LINE_CUTS))
     bounds = {f"{c}_ci_{side}": F.col(c) + sign * 1.96 * F.col(f"{c}_se") for c in ("intercept", "slope") for side, sign in (("lower", -1), ("upper", 1))}
-    path = as_file(spark, out.withColumns(bounds).drop("interval_ord"))
+    path = as_file(spark, out.withColumns(bounds).drop("interval_ord", "lo", "hi"))
     return read_results(spark, path).select("interval", "n_pairs", *(F.round(c, 3).alias(c) for c in ("intercept", "slope", "intercept_ci_lower", "slope_ci_upper")))
 
 
@@ -379,7 +383,7 @@ def genotype_folder(spark, sf, name=""):
 
 def read_genotype_files(spark, sf):
     path, n = genotype_folder(spark, sf)
-    long = g.unpack_genotypes(read_genotypes(spark, path, n).withColumnRenamed("variant_idx", "variant_id"), n)
+    long = k.unpack_genotypes(read_genotypes(spark, path, n).withColumnRenamed("variant_idx", "variant_id"), n)
     return long.groupBy("variant_id").agg(F.count("a1").alias("n"), F.sum("a1").alias("copies"))
 
 
@@ -478,7 +482,20 @@ res AS (SELECT iid, sex, acctbal - (my - ba * ma - bp * mp + ba * age + bp * pc1
 _RESID = _FIT2.replace("FROM ppl WHERE", "FROM pch WHERE row_complete AND") + """, o AS (SELECT avg(r) AS m, stddev_samp(r) AS d FROM res), kp AS (SELECT iid, sex, r FROM res, o WHERE abs(r - m) <= 5 * d),
 zs AS (SELECT sex, avg(r) AS m, stddev_samp(r) AS d FROM kp GROUP BY sex), adj AS (SELECT iid, (r - m) / d AS z FROM kp JOIN zs USING (sex))"""
 
+#: Sex is 0 or 1, so a fit with it is one of what is left within either sex.
+_RESID3 = """c3 AS (SELECT iid, sex, acctbal - avg(acctbal) OVER s AS y, age - avg(age) OVER s AS a, pc1 - avg(pc1) OVER s AS p FROM ppl WHERE acctbal IS NOT NULL AND age IS NOT NULL AND pc1 IS NOT NULL WINDOW s AS (PARTITION BY sex)),
+s3 AS (SELECT sum(a * a) AS aa, sum(p * p) AS pp, sum(a * p) AS ap, sum(a * y) AS ay, sum(p * y) AS py FROM c3),
+r3 AS (SELECT iid, sex, y - (ay * pp - py * ap) / (aa * pp - ap * ap) * a - (py * aa - ay * ap) / (aa * pp - ap * ap) * p AS r FROM c3, s3),
+o3 AS (SELECT avg(r) AS m, stddev_samp(r) AS d FROM r3), k3 AS (SELECT iid, sex, r FROM r3, o3 WHERE abs(r - m) <= 5 * d),
+z3 AS (SELECT sex, avg(r) AS m, stddev_samp(r) AS d FROM k3 GROUP BY sex), adj AS (SELECT iid, (r - m) / d AS z FROM k3 JOIN z3 USING (sex))"""
+
 ORACLES = {
+    "bootstrap_ci": f"""WITH {_LINES}, {_cuts(LINE_CUTS)}, srk AS (SELECT iid1 || '|' || iid2 AS key, x, y FROM ln), {bootstrap_sql()}
+        SELECT interval, round(intercept_ci_lower, 3) AS intercept_ci_lower, round(intercept_ci_upper, 3) AS intercept_ci_upper, round(slope_ci_lower, 3) AS slope_ci_lower, round(slope_ci_upper, 3) AS slope_ci_upper FROM cuts LEFT JOIN boot USING (k)""",
+    "heritability_pipeline": f"""WITH {_GRM}, {_PEOPLE}, {_RESID3}, {_cuts(CUTS)}, srk AS (SELECT id1 || '|' || id2 AS key, grm AS x, a.z * b.z AS y FROM grm LEFT JOIN adj a ON a.iid = id1 LEFT JOIN adj b ON b.iid = id2),
+        src AS (SELECT x, y FROM srk), {_OLS}, {bootstrap_sql()}
+        SELECT CAST(k AS INTEGER) AS interval_ord, fit.interval, n_pairs, round(slope, 6) AS heritability, round(slope_ci_lower, 6) AS h2_ci_lower, round(slope_ci_upper, 6) AS h2_ci_upper, round(r_squared, 6) AS r_squared,
+        (slope_ci_lower > 0 OR slope_ci_upper < 0) AS significant, round(lo + (hi - lo) / 2, 6) AS midpoint FROM fit JOIN cuts ON cuts.interval = fit.interval LEFT JOIN boot USING (k) WHERE slope IS NOT NULL AND n_pairs >= 2""",
     "residual_metrics": f"WITH {_PATCHY}, {_RESID} SELECT (SELECT count(*) FROM pch) AS n_people, (SELECT count(acctbal) FROM pch) AS n_phenotype, (SELECT count(*) FROM cc) AS n_complete, (SELECT count(*) FROM res) - (SELECT count(*) FROM kp) AS n_outliers",
     "join_covariates": """WITH c AS (SELECT o_custkey AS iid, arg_min(CAST(o_totalprice AS DOUBLE), o_orderkey) AS c FROM orders GROUP BY o_custkey),
         y AS (SELECT o_custkey AS iid, CASE WHEN count(*) FILTER (WHERE o_orderkey % 25 = 0) = 0 THEN arg_max(CAST(o_totalprice AS DOUBLE), o_orderkey) END AS y FROM orders WHERE o_custkey % 10 > 0 GROUP BY o_custkey)
