@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import json
 import os
 from collections import defaultdict
 from typing import NamedTuple
@@ -36,7 +37,12 @@ from .common import pieces, saved
 GROUPS = "doc_id long, group long, a_ids array<int>, b_ids array<int>"
 BLOCKS = "block long, documents binary, links binary, pairs binary"
 DIGEST = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
+#: Pieces of more characters are encoded alone and not remembered.
 LONGEST = 64
+#: So many pieces are encoded at a time.
+TOGETHER = 500
+#: Fixed value: the pattern by which byte-level vocabularies cut texts.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 LOW = (1 << 32) - 1
 
 
@@ -73,8 +79,49 @@ class Piece(NamedTuple):
     pairs: list[int]
 
 
+def told_pieces(a: np.ndarray, b: np.ndarray, ends_a: np.ndarray, ends_b: np.ndarray, stop_a: np.ndarray, stop_b: np.ndarray) -> list[Piece]:
+    """Pieces that lie end to end, of tokens ``a`` and ``b`` up to ``stop_a`` and ``stop_b``."""
+    label = labels(ends_a, ends_b)
+    group = np.cumsum(label[: len(a)][1:] != label[: len(a)][:-1])
+    group_a = np.concatenate(([0], group))
+    last_a = np.append(np.flatnonzero(label[: len(a)][1:] != label[: len(a)][:-1]), len(a) - 1)
+    last_b = label[last_a]
+    many = np.diff(last_b, prepend=-1)
+    group_b = np.repeat(np.arange(len(many)), many)
+    pairs = ((a[last_a] << 32) | b[last_b]).tolist()
+    stop_g = group_a[stop_a - 1] + 1
+    # All ids in the order of the groups, those of A first in each, with the mark that follows.
+    at_a = np.arange(len(a)) + (last_b + 1 - many)[group_a]
+    at_b = np.arange(len(b)) + (last_a + 1)[group_b]
+    ids, mark = np.empty(len(a) + len(b), np.int64), np.full(len(a) + len(b), ord(","))
+    ids[at_a], ids[at_b] = a, b
+    mark[at_a[last_a]], mark[at_b[last_b]] = ord("|"), ord(";")
+    told = [b"%d%c" % x for x in zip(ids.tolist(), mark.tolist(), strict=True)]
+    out, ia, ib, ig = [], 0, 0, 0
+    for ja, jb, jg in zip(stop_a.tolist(), stop_b.tolist(), stop_g.tolist(), strict=True):
+        out.append(Piece(ja - ia, jb - ib, b"".join(told[ia + ib : ja + jb])[:-1], pairs[ig:jg]))
+        ia, ib, ig = ja, jb, jg
+    return out
+
+
+def by_ranks(path: str, byte: dict[str, int]):
+    """The same vocabulary for a faster library, where a token's id is its rank among merges and white space is cut off by the usual rule; else None."""
+    import tiktoken
+
+    with open(path, encoding="utf-8") as file:
+        plan = json.load(file)
+    model, first = plan["model"], plan["pre_tokenizer"] or {}
+    wanted = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+    merges = [x if isinstance(x, str) else " ".join(x) for x in model.get("merges", [])]
+    if plan["normalizer"] or any(first.get(k) != v for k, v in wanted.items()) or [model["vocab"].get(x.replace(" ", "")) for x in merges] != list(range(256, 256 + len(merges))):
+        return None
+    special = {x["content"] for x in plan["added_tokens"]}
+    ranks = {bytes(byte[c] for c in token): i for token, i in model["vocab"].items() if token not in special}
+    return tiktoken.Encoding("own", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={})
+
+
 class Aligner:
-    def __init__(self, path_a: str, path_b: str, limit: int = 400_000):
+    def __init__(self, path_a: str, path_b: str, limit: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
         from tokenizers import Tokenizer
@@ -86,6 +133,7 @@ class Aligner:
         self.bytes_a = [b""] * (max(vocabulary.values()) + 1)
         for token, i in vocabulary.items():
             self.bytes_a[i] = bytes(byte[c] for c in token) if all(c in byte for c in token) else token.encode()
+        self.fast = by_ranks(path_a, byte)
         self.two = sentencepiece.SentencePieceProcessor(model_file=path_b)
         names = [self.two.id_to_piece(i) for i in range(self.two.get_piece_size())]
         self.bytes_b = [bytes([int(x[3:5], 16)]) if self.two.is_byte(i) else x.replace("\u2581", " ").encode() for i, x in enumerate(names)]
@@ -94,33 +142,42 @@ class Aligner:
         self.limit = limit
 
     def learn(self, texts: list[str]) -> list[Piece | None]:
-        """The pieces " " + text; None for those whose bytes are not given back."""
-        ids_a = [x.ids for x in self.one.encode_batch([" " + t for t in texts], add_special_tokens=False)]
-        ids_b = self.two.encode(texts, num_threads=1)
+        """The pieces " " + text; None for those whose bytes are not given back.
+
+        Short pieces that begin and end without white space are encoded many at a time, end to end, as they are in texts.
+        """
         out: list[Piece | None] = [None] * len(texts)
-        good = self.given_back(texts, ids_a, ids_b)
-        if not good:
+        joined = [k for k, t in enumerate(texts) if len(t) <= LONGEST and t and plain(t[0]) and plain(t[-1])]
+        rest = sorted(set(range(len(texts))) - set(joined))
+        for at in range(0, len(joined), TOGETHER):
+            some = joined[at : at + TOGETHER]
+            raw = [(" " + texts[k]).encode() for k in some]
+            text = " ".join([texts[k] for k in some])
+            a = self.fast.encode_ordinary(" " + text) if self.fast else self.one.encode(" " + text, add_special_tokens=False).ids
+            b = self.two.encode(text, num_threads=1)
+            whole = b"".join(raw)
+            if b"".join(map(self.bytes_a.__getitem__, a)) != whole or b"".join(map(self.bytes_b.__getitem__, b)) != whole:
+                rest += some
+                continue
+            a, b = np.array(a, np.int64), np.array(b, np.int64)
+            ends_a, ends_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
+            stops = np.cumsum([len(x) for x in raw])
+            stop_a, stop_b = np.searchsorted(ends_a, stops), np.searchsorted(ends_b, stops)
+            if (ends_a[stop_a] != stops).any() or (ends_b[stop_b] != stops).any():
+                rest += some
+                continue
+            for k, x in zip(some, told_pieces(a, b, ends_a, ends_b, stop_a + 1, stop_b + 1), strict=True):
+                out[k] = x
+        if not rest:
             return out
-        n_a, n_b = (np.array([len(x[k]) for k in good], np.int64) for x in (ids_a, ids_b))
-        flat_a, flat_b = (np.fromiter(itertools.chain.from_iterable(x[k] for k in good), np.int64) for x in (ids_a, ids_b))
-        label = labels(np.cumsum(self.size_a[flat_a]), np.cumsum(self.size_b[flat_b]))
-        lasts, number = np.unique(label, return_inverse=True)
-        group_a, group_b = number[: len(flat_a)], number[len(flat_a) :]
-        last_a = np.append(np.flatnonzero(group_a[1:] != group_a[:-1]), len(flat_a) - 1)
-        pairs = (flat_a[last_a] << 32) | flat_b[lasts]
-        stop_a, stop_b = np.cumsum(n_a), np.cumsum(n_b)
-        stop_g = group_a[stop_a - 1] + 1
-        # All ids in the order of the groups, those of A first in each, with the mark that follows.
-        many = np.bincount(group_b, minlength=len(lasts))
-        at_a = np.arange(len(flat_a)) + (np.cumsum(many) - many)[group_a]
-        at_b = np.arange(len(flat_b)) + (last_a + 1)[group_b]
-        ids, mark = np.empty(len(flat_a) + len(flat_b), np.int64), np.full(len(flat_a) + len(flat_b), ord(","))
-        ids[at_a], ids[at_b] = flat_a, flat_b
-        mark[at_a[last_a]], mark[at_b[lasts]] = ord("|"), ord(";")
-        told = [b"%d%c" % x for x in zip(ids.tolist(), mark.tolist(), strict=True)]
-        pairs = pairs.tolist()
-        for k, (ia, ja), (ib, jb), (ig, jg) in zip(good, *(itertools.pairwise([0, *x.tolist()]) for x in (stop_a, stop_b, stop_g)), strict=True):
-            out[k] = Piece(ja - ia, jb - ib, b"".join(told[ia + ib : ja + jb])[:-1], pairs[ig:jg])
+        ids_a = [x.ids for x in self.one.encode_batch([" " + texts[k] for k in rest], add_special_tokens=False)]
+        ids_b = self.two.encode([texts[k] for k in rest], num_threads=1)
+        good = self.given_back([texts[k] for k in rest], ids_a, ids_b)
+        if good:
+            a, b = (np.fromiter(itertools.chain.from_iterable(x[k] for k in good), np.int64) for x in (ids_a, ids_b))
+            stop_a, stop_b = (np.cumsum([len(x[k]) for k in good]) for x in (ids_a, ids_b))
+            for k, x in zip(good, told_pieces(a, b, np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b]), stop_a, stop_b), strict=True):
+                out[rest[k]] = x
         return out
 
     def given_back(self, texts: list[str], ids_a: list[list[int]], ids_b: list[list[int]]) -> list[int]:
@@ -139,8 +196,8 @@ class Aligner:
             self.known.clear()
         found = [self.known.get(t, 0) for t in texts]
         new = [k for k, x in enumerate(found) if x == 0]
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
+        for at in range(0, len(new), 10_000):
+            some = new[at : at + 10_000]
             for k, x in zip(some, self.learn([texts[k] for k in some]), strict=True):
                 found[k] = x
                 if len(texts[k]) <= LONGEST:
@@ -226,7 +283,7 @@ def groups(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     return narrow(docs).mapInArrow(run, GROUPS)
 
 
-def blocks(docs: DataFrame, path_a: str, path_b: str, bytes_a_block: int = 32 << 20) -> DataFrame:
+def blocks(docs: DataFrame, path_a: str, path_b: str, bytes_a_block: int = 16 << 20) -> DataFrame:
     """Blocks of documents: what is known of each already, its links as (document, pair, times), and the block's pairs with their counts."""
 
     def run(batches):
@@ -287,7 +344,7 @@ def pair_counts(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     return found.select(F.shiftright("pair", 32).alias("a_id"), F.col("pair").bitwiseAND(F.lit(LOW)).alias("b_id"), "count", "best")
 
 
-def digest(docs: DataFrame, path_a: str, path_b: str, bytes_a_block: int = 32 << 20) -> DataFrame:
+def digest(docs: DataFrame, path_a: str, path_b: str, bytes_a_block: int = 16 << 20) -> DataFrame:
     """For each document its numbers of tokens, groups and links, how its links stand among all, and a hash of its groups."""
     held = saved(blocks(docs, path_a, path_b, bytes_a_block))
     rows = asked(held)
