@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import saved
+
 
 def col(name: str) -> Column:
     return F.col(f"`{name}`")
@@ -38,23 +40,71 @@ def unknown_ids(pairs: DataFrame, samples: DataFrame) -> DataFrame:
     return needed_samples(pairs).join(samples.select("iid"), "iid", "left_anti")
 
 
-def resolve_pairs(pairs: DataFrame, samples: DataFrame, on_unknown: str = "error") -> DataFrame:
-    """``pairs`` with idx1 <= idx2, the samples' places. Unknown people raise an error or, with ``drop``, lose their pairs."""
+#: Tables of people up to so many bytes, measured, go whole to all tasks; larger ones are shuffled.
+BROADCAST_BYTES = 64 << 20
+#: A person in more pairs than this has them dealt to several tasks where people are shuffled.
+HOT_PAIRS = 1_000_000
+
+
+def measured(df: DataFrame) -> int:
+    """Bytes of ``df``'s values: eight for a number, the length and sixteen more for text and for arrays of numbers."""
+    wide = [(c, F.octet_length(col(c)) if t in ("string", "binary") else 8 * F.size(col(c))) for c, t in df.dtypes if t in ("string", "binary") or t.startswith("array")]
+    found = df.agg(F.count("*").alias("n"), *(F.sum(n).alias(f"s{k}") for k, (_, n) in enumerate(wide))).first()
+    return found["n"] * (8 * (len(df.columns) - len(wide)) + 16 * len(wide)) + sum(found[f"s{k}"] or 0 for k in range(len(wide)))
+
+
+def one_of_each(people: DataFrame, columns: list[str], order: str | None) -> DataFrame:
+    """iid and ``columns``: of a person that is listed several times the first in ``order``; without it such a person fails the job."""
+    people = people.filter("iid is not null")
+    if order:
+        return first_of_each(people.select("iid", *map(col, dict.fromkeys([*columns, order]))), ["iid"], order).select("iid", *map(col, columns))
+    values = F.struct(*map(col, columns))
+    once = F.when(F.count("*") == 1, F.any_value(values)).otherwise(F.raise_error(F.concat_ws(" ", F.lit("people list"), F.col("iid"), F.lit("twice; give an order"))))
+    return people.groupBy("iid").agg(once.alias("_once")).select("iid", *(F.col(f"_once.`{c}`").alias(c) for c in columns))
+
+
+def _dealt(pairs: DataFrame, people: DataFrame, key: str, other: str, how: str, hot_pairs: int) -> DataFrame:
+    """``pairs`` with the columns of the person in ``key``; one in very many pairs is there several times, for a part of the pairs each."""
+    hot = pairs.groupBy(F.col(key).alias("_iid")).agg(F.count("*").alias("_n")).filter(F.col("_n") > hot_pairs).select("_iid", F.ceil(F.col("_n") / hot_pairs).cast("int").alias("_pieces"))
+    if not hot.limit(1).collect():
+        return pairs.join(people.withColumnRenamed("iid", key), key, how)
+    hot = saved(hot)
+    left = pairs.join(hot, F.col(key) == F.col("_iid"), "left").withColumn("_piece", F.coalesce(F.pmod(F.xxhash64(other), F.col("_pieces")), F.lit(0)).cast("int")).drop("_iid", "_pieces")
+    right = people.join(hot, F.col("iid") == F.col("_iid"), "left").withColumn("_piece", F.explode(F.sequence(F.lit(0), F.coalesce("_pieces", F.lit(1)) - 1))).drop("_iid", "_pieces").withColumnRenamed("iid", key)
+    return left.join(right, [key, "_piece"], how).drop("_piece")
+
+
+def with_people(pairs: DataFrame, people: DataFrame, columns: list[str], order: str | None = None, how: str = "left", broadcast_bytes: int = BROADCAST_BYTES, hot_pairs: int = HOT_PAIRS) -> DataFrame:
+    """``pairs`` (iid1, iid2 and others) with ``_a0``, ``_a1`` and so on, the ``columns`` of the first person, and ``_b0`` and so on of the second.
+
+    The table of people is measured: up to ``broadcast_bytes`` no pair is shuffled for it, beyond they meet by id, and the pairs
+    of somebody in more than ``hot_pairs`` of them are dealt to several tasks.
+    """
+    side = one_of_each(people, columns, order)
+    few = measured(side) <= broadcast_bytes
+    for key, other, letter in (("iid1", "iid2", "_a"), ("iid2", "iid1", "_b")):
+        own = side.select("iid", *(col(c).alias(f"{letter}{k}") for k, c in enumerate(columns)))
+        pairs = pairs.join(F.broadcast(own.withColumnRenamed("iid", key)), key, how) if few else _dealt(pairs, own, key, other, how, hot_pairs)
+    return pairs
+
+
+def resolve_pairs(pairs: DataFrame, samples: DataFrame, on_unknown: str = "error", **limits: int) -> DataFrame:
+    """``pairs`` with idx1 <= idx2, the samples' places. Unknown people raise an error or, with ``drop``, lose their pairs; ``limits`` as for ``with_people``."""
     if on_unknown == "error":
         some = unknown_ids(pairs, samples).limit(5).collect()
         if some:
             raise ValueError(f"pairs name people that are no samples, such as {', '.join(str(x[0]) for x in some)}")
-    place = samples.select("iid", "sample_idx")
-    pairs = pairs.join(place.select(F.col("iid").alias("iid1"), F.col("sample_idx").alias("idx1")), "iid1").join(place.select(F.col("iid").alias("iid2"), F.col("sample_idx").alias("idx2")), "iid2")
-    return canonical(pairs, "idx1", "idx2")
+    found = with_people(pairs, samples, ["sample_idx"], how="inner", **limits).withColumnsRenamed({"_a0": "idx1", "_b0": "idx2"})
+    return canonical(found, "idx1", "idx2").select(*map(col, pairs.columns), "idx1", "idx2")
 
 
-def crossprods(pairs: DataFrame, phenotypes: DataFrame, names: list[str]) -> DataFrame:
-    """iid1, iid2 and ``<name>_crossprod`` for each phenotype; null where either person has no value. All pairs stay."""
-    a = phenotypes.select(F.col("iid").alias("iid1"), *(col(x).alias(f"_a{k}") for k, x in enumerate(names)))
-    b = phenotypes.select(F.col("iid").alias("iid2"), *(col(x).alias(f"_b{k}") for k, x in enumerate(names)))
-    joined = pairs.select("iid1", "iid2").join(a, "iid1", "left").join(b, "iid2", "left")
-    return joined.select("iid1", "iid2", *((F.col(f"_a{k}") * F.col(f"_b{k}")).alias(f"{x}_crossprod") for k, x in enumerate(names)))
+def crossprods(pairs: DataFrame, phenotypes: DataFrame, names: list[str], order: str | None = None, keep: tuple[str, ...] = (), **limits: int) -> DataFrame:
+    """iid1, iid2, the columns ``keep`` of ``pairs`` and ``<name>_crossprod`` for each phenotype; null where either person has no value. All pairs stay.
+
+    Of a person that ``phenotypes`` lists several times the first in ``order`` counts; without it such a person fails the job.
+    """
+    joined = with_people(pairs.select("iid1", "iid2", *map(col, keep)), phenotypes, names, order, **limits)
+    return joined.select("iid1", "iid2", *map(col, keep), *((F.col(f"_a{k}") * F.col(f"_b{k}")).alias(f"{x}_crossprod") for k, x in enumerate(names)))
 
 
 def join_pairs(grm: DataFrame, products: DataFrame, values: list[str], order: str | None = None) -> DataFrame:
@@ -75,14 +125,34 @@ def join_pairs(grm: DataFrame, products: DataFrame, values: list[str], order: st
     return left.join(right, ["_lo", "_hi"], "left").drop("_lo", "_hi", *([order] if order else []))
 
 
-def pair_products(grm: DataFrame, phenotypes: DataFrame, name: str, order: str | None = None) -> DataFrame:
-    """``grm`` (iid1, iid2, grm) with ``<name>_crossprod``, its own two people's product: two joins on people, none of pairs.
+def pair_products(grm: DataFrame, phenotypes: DataFrame, names: str | list[str], order: str | None = None, keep: tuple[str, ...] = (), people_order: str | None = None, **limits: int) -> DataFrame:
+    """``grm`` (iid1, iid2, grm, and the columns ``keep``) with ``<name>_crossprod``, its own two people's products: two joins on people, none of pairs.
 
     A pair that is listed several times, either way round, counts once: the first in ``order``, or without it the row with
-    the least relatedness.
+    the least relatedness. Of people that are listed several times the first in ``people_order`` counts.
     """
-    first = F.struct(*([col(order)] if order else []), "grm", "iid1", "iid2")
-    once = grm.groupBy(F.least("iid1", "iid2").alias("_lo"), F.greatest("iid1", "iid2").alias("_hi")).agg(F.min(first).alias("_first")).select("_first.iid1", "_first.iid2", "_first.grm")
-    a = phenotypes.select(F.col("iid").alias("iid1"), col(name).alias("_a"))
-    b = phenotypes.select(F.col("iid").alias("iid2"), col(name).alias("_b"))
-    return once.join(a, "iid1", "left").join(b, "iid2", "left").select("iid1", "iid2", "grm", (F.col("_a") * F.col("_b")).alias(f"{name}_crossprod"))
+    names = [names] if isinstance(names, str) else names
+    own = list(dict.fromkeys(["iid1", "iid2", "grm", *keep]))
+    first = F.struct(*([col(order).alias("_order")] if order else []), F.col("grm"), F.col("iid1"), F.col("iid2"), *map(col, keep))
+    once = grm.groupBy(F.least("iid1", "iid2").alias("_lo"), F.greatest("iid1", "iid2").alias("_hi")).agg(F.min(first).alias("_first")).select(*(F.col(f"_first.`{c}`").alias(c) for c in own))
+    joined = with_people(once, phenotypes, names, people_order, **limits)
+    return joined.select(*map(col, own), *((F.col(f"_a{k}") * F.col(f"_b{k}")).alias(f"{x}_crossprod") for k, x in enumerate(names)))
+
+
+def store_pairs(df: DataFrame, table: str, buckets: int | None = None, order: str | None = None, by: tuple[str, ...] = ("lo", "hi")) -> DataFrame:
+    """``df`` (iid1, iid2 and others) as a table in the warehouse, with lo and hi, the two people in order, in ``buckets`` by these (or by ``by``) and sorted in them.
+
+    Tables with as many buckets join without being shuffled again. With ``order``, of a pair that is listed several times,
+    either way round, the first row is stored.
+    """
+    spark = df.sparkSession
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df = df.withColumns({"lo": F.least("iid1", "iid2"), "hi": F.greatest("iid1", "iid2")})
+    df = first_of_each(df, ["lo", "hi"], order) if order else df
+    df.repartition(buckets, *by).write.bucketBy(buckets, *by).sortBy(*by).saveAsTable(table)
+    return spark.table(table)
+
+
+def join_stored(grm: DataFrame, products: DataFrame, values: list[str]) -> DataFrame:
+    """As ``join_pairs``, for stored pairs; ``products`` must hold a pair once."""
+    return grm.join(products.select("lo", "hi", *map(col, values)), ["lo", "hi"], "left")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .bootstrap_sql import bootstrap_sql
 from .operators import grm as g
-from .operators import he, residuals
+from .operators import he, many, residuals
 from .operators import packed as k
 from .operators import pairs as p
 from .operators.binning import binned_stats
@@ -275,6 +275,86 @@ def he_chain(spark, sf):
     return out.select("interval", "n_pairs", *(F.round(F.col(c), 6).alias(c) for c in ("intercept", "slope", "r_squared", "mse", "intercept_se", "slope_se")))
 
 
+def allele_freqs_packed(spark, sf):
+    return k.allele_freqs_packed(*packed_codes(spark, sf)).select("variant_id", *r6("freq"), "n_obs")
+
+
+def sparse(spark, sf):
+    """Genotypes of which one row in five is not there at all."""
+    return genotypes(spark, sf).filter((F.col("sample_id") * 7 + F.col("variant_id") * 3) % 5 > 0)
+
+
+def sparse_grm(spark, sf, **options):
+    n = packed_codes(spark, sf)[1]
+    codes = k.pack_genotypes(sparse(spark, sf).withColumn("sample_idx", F.col("sample_id").cast("int")), n)
+    out = k.grm_from_packed(pairs(spark, sf).select(F.col("id1").alias("idx1"), F.col("id2").alias("idx2")), codes, samples=n, **options)
+    return out.select(F.col("idx1").cast("long").alias("id1"), F.col("idx2").cast("long").alias("id2"), "n_snps", *r6("grm"))
+
+
+def grm_packed_sparse(spark, sf):
+    """Absent rows are missing; frequencies are those of the packed rows themselves."""
+    return sparse_grm(spark, sf)
+
+
+def grm_missing_mean(spark, sf):
+    """Missing genotypes count as the variant's mean, and every pair's sum is divided by all variants."""
+    return sparse_grm(spark, sf, missing="mean", max_pairs=0)
+
+
+def grm_missing_mean_long(spark, sf):
+    long = sparse(spark, sf)
+    return g.grm_for_pairs(pairs(spark, sf), long, g.allele_freqs(long).withColumnRenamed("freq", "p"), missing="mean").select("id1", "id2", "n_snps", *r6("grm"))
+
+
+def order_people(spark, sf):
+    """A line for every order of a customer: people who are listed many times, with an order."""
+    return table(spark, sf, "orders").select(F.col("o_custkey").alias("iid"), (F.col("o_totalprice").cast("double") / 1000).alias("price"), F.col("o_orderkey").alias("o"))
+
+
+def crossprods_repeats(spark, sf):
+    """Of people that are listed several times the first line counts; the pairs' own numbers stay with them."""
+    listed = table(spark, sf, "lineitem").select((F.col("l_partkey") % 1000).alias("iid1"), (F.col("l_suppkey") * 7 % 1000).alias("iid2"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line"))
+    return p.crossprods(listed, order_people(spark, sf), ["price"], order="o", keep=("line",)).select("line", "iid1", "iid2", F.round("price_crossprod", 4).alias("price_crossprod"))
+
+
+def crossprods_shuffled(spark, sf):
+    """The same where people are too many to send to all tasks, and those in many pairs are dealt to several."""
+    listed = table(spark, sf, "lineitem").select((F.col("l_partkey") % 1000).alias("iid1"), (F.col("l_suppkey") * 7 % 1000).alias("iid2"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line"))
+    found = p.crossprods(listed, order_people(spark, sf), ["price"], order="o", keep=("line",), broadcast_bytes=0, hot_pairs=100)
+    return found.select("line", "iid1", "iid2", F.round("price_crossprod", 4).alias("price_crossprod"))
+
+
+MANY = [f"trait{j}" for j in range(200)]
+
+
+def many_people(spark, sf):
+    """Two hundred phenotypes, each of which some people lack."""
+    iid = F.col("iid")
+    value = lambda j: F.when((iid + j) % 11 > 0, F.col("acctbal") * F.lit((1.0 + j % 7) / (j + 1)) + ((iid * (j + 3)) % 101).cast("double"))
+    return people(spark, sf).select("iid", "sex", "age", "pc1", "row_complete", *(value(j).alias(name) for j, name in enumerate(MANY)))
+
+
+def many_products(spark, sf):
+    adjusted = many.residualise_many(many_people(spark, sf), MANY, ["age", "pc1"], group_col="sex")
+    return many.products_many(packed_grm(spark, sf), adjusted)
+
+
+def residualise_many(spark, sf):
+    """Residuals of two hundred phenotypes: for each how many there are, their sum of squares, and one that depends on the people."""
+    adjusted = many.residualise_many(many_people(spark, sf), MANY, ["age", "pc1"], group_col="sex").select("iid", F.posexplode("values").alias("j", "z")).filter("z is not null")
+    return adjusted.groupBy("j").agg(F.count("*").alias("n"), F.round(F.sum(F.col("z") * F.col("z")), 6).alias("squares"), F.round(F.sum(F.col("z") * (F.col("iid") % 13)), 6).alias("mixed"))
+
+
+def he_many(spark, sf):
+    out = many.he_regression_many(many_products(spark, sf), he.intervals(spark, CUTS), MANY)
+    return out.select("phenotype", "interval", "n_pairs", *(F.round(F.col(c), 5).alias(c) for c in ("intercept", "slope", "r_squared", "mse", "intercept_se", "slope_se")))
+
+
+def binned_many(spark, sf):
+    out = many.binned_stats_many(many_products(spark, sf), MANY, width=0.05, low=-0.5, high=0.5)
+    return out.select("phenotype", "bin", *r6("grm_bin", "grm_mean"), "grm_n", *r6("mean"), "n", *r6("se"))
+
+
 def allele_metrics(spark, sf):
     """Frequencies of a file in which every third variant counts the other allele, and every tenth one that the variant has not."""
     variants = genotypes(spark, sf).select("variant_id").distinct().select("variant_id", F.lit("A").alias("a1"), F.lit("B").alias("a2"))
@@ -439,6 +519,9 @@ QUERIES = {
     "read_freqs": read_freq_files, "read_pairs": read_pair_file, "pairs_in_order": pairs_in_order, "read_phenotype": read_single_phenotype, "read_crossprods": read_product_file,
     "read_results": read_result_file, "write_tsv": write_sorted, "read_genotypes": read_genotype_files, "grm_from_files": grm_from_files,
     "bootstrap_ci": bootstrap_ci, "heritability_pipeline": heritability_pipeline,
+    "allele_freqs_packed": allele_freqs_packed, "grm_packed_sparse": grm_packed_sparse, "grm_missing_mean": grm_missing_mean, "grm_missing_mean_long": grm_missing_mean_long,
+    "crossprods_repeats": crossprods_repeats, "crossprods_shuffled": crossprods_shuffled,
+    "residualise_many": residualise_many, "he_many": he_many, "binned_many": binned_many,
 }
 
 _GENO = """geno AS (SELECT vec_id AS sample_id, CAST(i - 1 AS INTEGER) AS variant_id, CASE WHEN abs(v) < 0.002::DOUBLE THEN NULL WHEN v < -0.08::DOUBLE THEN 0 WHEN v < 0.08::DOUBLE THEN 1 ELSE 2 END AS a1
@@ -489,7 +572,35 @@ r3 AS (SELECT iid, sex, y - (ay * pp - py * ap) / (aa * pp - ap * ap) * a - (py
 o3 AS (SELECT avg(r) AS m, stddev_samp(r) AS d FROM r3), k3 AS (SELECT iid, sex, r FROM r3, o3 WHERE abs(r - m) <= 5 * d),
 z3 AS (SELECT sex, avg(r) AS m, stddev_samp(r) AS d FROM k3 GROUP BY sex), adj AS (SELECT iid, (r - m) / d AS z FROM k3 JOIN z3 USING (sex))"""
 
+_SPARSE = _GRM.replace("frq AS (SELECT variant_id, avg(a1) / 2 AS p, count(a1) AS n_obs FROM geno GROUP BY variant_id)", "frq AS (SELECT variant_id, avg(a1) / 2 AS p FROM geno WHERE (sample_id * 7 + variant_id * 3) % 5 > 0 GROUP BY variant_id)").replace("WHERE a1 IS NOT NULL AND", "WHERE a1 IS NOT NULL AND (sample_id * 7 + variant_id * 3) % 5 > 0 AND")
+_MEAN = f"WITH {_SPARSE}, every AS (SELECT count(*) AS m FROM frq WHERE sqrt(2 * p * (1 - p)) >= 1e-8) SELECT prs.id1, prs.id2, m AS n_snps, round(coalesce(s, 0) / m, 6) AS grm FROM prs LEFT JOIN sums USING (id1, id2), every"
+_REPEATS = """WITH f AS (SELECT o_custkey AS iid, arg_min(CAST(o_totalprice AS DOUBLE) / 1000, o_orderkey) AS v FROM orders GROUP BY o_custkey),
+l AS (SELECT l_partkey % 1000 AS iid1, l_suppkey * 7 % 1000 AS iid2, l_orderkey * 10 + l_linenumber AS line FROM lineitem)
+SELECT line, iid1, iid2, round(a.v * b.v, 4) AS price_crossprod FROM l LEFT JOIN f a ON a.iid = iid1 LEFT JOIN f b ON b.iid = iid2"""
+#: Residuals of all phenotypes, each over the people who have it.
+_MANY = _PEOPLE + """, tr AS (SELECT j, iid, sex, age, pc1, acctbal * ((1.0::DOUBLE + j % 7) / (j + 1)) + (iid * (j + 3)) % 101 AS y FROM ppl, range(200) t(j) WHERE (iid + j) % 11 > 0 AND pc1 IS NOT NULL),
+cd AS (SELECT j, iid, sex, y - avg(y) OVER w AS y, age - avg(age) OVER w AS a, pc1 - avg(pc1) OVER w AS p FROM tr WINDOW w AS (PARTITION BY j)),
+sj AS (SELECT j, sum(a * a) AS aa, sum(p * p) AS pp, sum(a * p) AS ap, sum(a * y) AS ay, sum(p * y) AS py FROM cd GROUP BY j),
+rj AS (SELECT j, iid, sex, y - (ay * pp - py * ap) / (aa * pp - ap * ap) * a - (py * aa - ay * ap) / (aa * pp - ap * ap) * p AS r FROM cd JOIN sj USING (j)),
+oj AS (SELECT j, avg(r) AS m, stddev_samp(r) AS d FROM rj GROUP BY j), kj AS (SELECT j, iid, sex, r FROM rj JOIN oj USING (j) WHERE abs(r - m) <= 5 * d),
+zj AS (SELECT j, sex, avg(r) AS m, stddev_samp(r) AS d FROM kj GROUP BY j, sex), adj AS (SELECT j, iid, (r - m) / d AS z FROM kj JOIN zj USING (j, sex))"""
+_MANY_PAIRS = f"{_GRM}, {_MANY}, src AS (SELECT a.j, grm AS x, a.z * b.z AS y FROM grm JOIN adj a ON a.iid = id1 JOIN adj b ON b.iid = id2 AND b.j = a.j)"
+_OLS_MANY = _OLS.replace("SELECT k, count(*) AS n", "SELECT j, k, count(*) AS n").replace("GROUP BY k)", "GROUP BY j, k)").replace("SELECT m.k, n", "SELECT m.j, m.k, n").replace("JOIN m USING (k)", "JOIN m USING (j, k)").replace("GROUP BY m.k, n", "GROUP BY m.j, m.k, n").replace("fit AS (SELECT interval,", "fit AS (SELECT j, interval,").replace("FROM cuts LEFT JOIN e USING (k))", "FROM (SELECT * FROM cuts, range(200) t(j)) cuts LEFT JOIN e USING (j, k))")
+
 ORACLES = {
+    "allele_freqs_packed": f"WITH {_GENO} SELECT variant_id, round(p, 6) AS freq, n_obs FROM frq",
+    "grm_packed_sparse": f"WITH {_SPARSE} SELECT id1, id2, n_snps, round(grm, 6) AS grm FROM grm",
+    "grm_missing_mean": _MEAN,
+    "grm_missing_mean_long": _MEAN,
+    "crossprods_repeats": _REPEATS,
+    "crossprods_shuffled": _REPEATS,
+    "residualise_many": f"WITH {_MANY} SELECT CAST(j AS INTEGER) AS j, count(*) AS n, round(sum(z * z), 6) AS squares, round(sum(z * (iid % 13)), 6) AS mixed FROM adj GROUP BY j",
+    "he_many": f"""WITH {_MANY_PAIRS}, {_cuts(CUTS)}, {_OLS_MANY} SELECT 'trait' || j AS phenotype, interval, n_pairs, round(intercept, 5) AS intercept, round(slope, 5) AS slope, round(r_squared, 5) AS r_squared, round(mse, 5) AS mse,
+        round(intercept_se, 5) AS intercept_se, round(slope_se, 5) AS slope_se FROM fit""",
+    "binned_many": f"""WITH {_MANY_PAIRS}, bin AS (SELECT *, CAST(greatest(0, least(trunc((x - -0.5::DOUBLE) / 0.05::DOUBLE), trunc((0.5::DOUBLE - -0.5::DOUBLE) / 0.05::DOUBLE))) AS INTEGER) AS bin FROM (SELECT grm AS x FROM grm) WHERE x BETWEEN -0.5::DOUBLE AND 0.5::DOUBLE),
+        own AS (SELECT *, CAST(greatest(0, least(trunc((x - -0.5::DOUBLE) / 0.05::DOUBLE), trunc((0.5::DOUBLE - -0.5::DOUBLE) / 0.05::DOUBLE))) AS INTEGER) AS bin FROM src WHERE x BETWEEN -0.5::DOUBLE AND 0.5::DOUBLE),
+        st AS (SELECT j, bin, avg(y) AS mean, count(y) AS n, stddev_samp(y) / sqrt(count(y)) AS se FROM own GROUP BY j, bin), bs AS (SELECT bin, avg(x) AS grm_mean, count(*) AS grm_n FROM bin GROUP BY bin)
+        SELECT 'trait' || j AS phenotype, bin, round(-0.5::DOUBLE + bin * 0.05::DOUBLE, 6) AS grm_bin, round(grm_mean, 6) AS grm_mean, grm_n, round(mean, 6) AS mean, coalesce(n, 0) AS n, round(se, 6) AS se FROM (SELECT * FROM bs, range(200) t(j)) LEFT JOIN st USING (j, bin)""",
     "bootstrap_ci": f"""WITH {_LINES}, {_cuts(LINE_CUTS)}, srk AS (SELECT iid1 || '|' || iid2 AS key, x, y FROM ln), {bootstrap_sql()}
         SELECT interval, round(intercept_ci_lower, 3) AS intercept_ci_lower, round(intercept_ci_upper, 3) AS intercept_ci_upper, round(slope_ci_lower, 3) AS slope_ci_lower, round(slope_ci_upper, 3) AS slope_ci_upper FROM cuts LEFT JOIN boot USING (k)""",
     "heritability_pipeline": f"""WITH {_GRM}, {_PEOPLE}, {_RESID3}, {_cuts(CUTS)}, srk AS (SELECT id1 || '|' || id2 AS key, grm AS x, a.z * b.z AS y FROM grm LEFT JOIN adj a ON a.iid = id1 LEFT JOIN adj b ON b.iid = id2),
