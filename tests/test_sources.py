@@ -2,6 +2,7 @@
 
 import pytest
 
+from kinstats.sources import bed
 from kinstats.sources import (
     find_freqs, read_covariates, read_crossprods, read_freqs, read_genotypes, read_grm, read_joined_pairs, read_pairs, read_phenotype,
     read_phenotypes, read_results, read_samples, read_variants, write_genotypes, write_tsv,
@@ -109,3 +110,89 @@ def test_headers_of_several_files(spark, tmp_path):
         (folder / f"f{k}").write_text("\nIID y\n" + "".join(f"p{k}_{i} {i}\n" for i in range(20)))
     got = read_phenotype(spark, str(folder)).orderBy("file_order").collect()
     assert [x.iid for x in got] == [f"p{k}_{i}" for k in range(3) for i in range(20)]
+
+
+def folder_of(spark, tmp_path, name, n=1000, **options):
+    rows = [(k, bytes([k % 251, k // 251])) for k in range(n)]
+    path = str(tmp_path / name)
+    write_genotypes(spark.createDataFrame(rows, "variant_idx int, codes binary").repartition(5), path, **options)
+    return path, rows
+
+
+def test_wanted_rows_become_ranges_of_bytes(spark, tmp_path, monkeypatch):
+    path, rows = folder_of(spark, tmp_path, "ranges.bed", bytes_per_file=300)
+    for wanted in ((700, 701), (120, 131), [(999, 5000), (3, 4), (4, 6)], [(5, 9), (0, 7)], (9, 9), []):
+        spans = [wanted] if isinstance(wanted, tuple) else wanted
+        some = read_genotypes(spark, path, samples=7, variants_per_partition=64, variants=wanted)
+        assert sorted((x.variant_idx, bytes(x.codes)) for x in some.collect()) == [x for x in rows if any(a <= x[0] < b for a, b in spans)], wanted
+    # A frame keeps its rows whatever other queries ask of it.
+    every = read_genotypes(spark, path, samples=7)
+    assert [every.filter("variant_idx < 5").count(), every.count(), every.filter("variant_idx = 2 or variant_idx = 8").count(), every.count()] == [5, 1000, 2, 1000]
+    # What a reader touches besides each file's first three bytes.
+    reader = bed.GenotypeReader({"path": path, "samples": "7", "variantsPerPartition": "64", "variants": "[[140, 330]]"})
+    touched = []
+    real = bed.fs.LocalFileSystem.open_input_file
+
+    class Counting:
+        def __init__(self, file):
+            self.file = file
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *rest):
+            self.file.close()
+
+        def read_at(self, n, at):
+            touched.append(n)
+            return self.file.read_at(n, at)
+
+    parts = reader.partitions()
+    monkeypatch.setattr(bed, "store", lambda p, old=bed.store: (type("S", (), {"open_input_file": lambda self, name: Counting(real(old(p)[0], name))})(), p))
+    got = [i for part in parts for batch in reader.read(part) for i in batch.column(0).to_pylist()]
+    assert sorted(got) == list(range(140, 330)) and sum(touched) == 190 * 2
+
+
+def test_stores_that_only_spark_reads(spark, tmp_path):
+    path, rows = folder_of(spark, tmp_path, "whole.bed", bytes_per_file=100)
+    assert not bed.known_to_arrow("viewfs://store/x") and bed.known_to_arrow("file:///x") and bed.known_to_arrow("/x")
+    spark._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.beds.link./in", f"file://{tmp_path}")
+    far = "viewfs://beds/in/whole.bed"
+    assert sorted((x.variant_idx, bytes(x.codes)) for x in read_genotypes(spark, far, samples=7).collect()) == rows
+    some = read_genotypes(spark, far, samples=7, variants=(77, 205))
+    assert sorted(x.variant_idx for x in some.collect()) == list(range(77, 205))
+    assert len(some.inputFiles()) < len(read_genotypes(spark, far, samples=7).inputFiles()) / 3
+    assert read_genotypes(spark, far, samples=7, variants=(5000, 6000)).count() == 0
+    assert sorted(x.variant_idx for x in read_genotypes(spark, path, samples=7, variants=(77, 205)).collect()) == list(range(77, 205))
+
+
+@pytest.mark.parametrize("rows, says", [
+    ([(0, b"ab"), (2, b"cd")], "variant 2 follows 0"), ([(1, b"ab"), (2, b"cd")], "first variant is 1"), ([(0, b"ab"), (0, b"cd")], "0 follows 0"),
+    ([(0, b"ab"), (1, b"c")], "bytes"), ([(0, b"ab"), (None, b"cd")], "without variant_idx"),
+])
+def test_a_folder_is_whole_or_not_there(spark, tmp_path, rows, says):
+    frame = spark.createDataFrame(rows, "variant_idx int, codes binary")
+    with pytest.raises(Exception, match=says):
+        write_genotypes(frame, str(tmp_path / "bad.bed"))
+    assert not (tmp_path / "bad.bed").exists()
+
+
+def test_only_committed_attempts_leave_files(tmp_path):
+    import pyarrow as pa
+
+    make = lambda first, n: pa.RecordBatch.from_arrays([pa.array(range(first, first + n), pa.int32()), pa.array([bytes([k, k]) for k in range(first, first + n)], pa.binary())], ["variant_idx", "codes"])
+    writer = bed.GenotypeWriter({"path": str(tmp_path / "two.bed"), "bytesPerFile": "4"})
+    late = writer.write(iter([make(0, 3)]))
+    told = [writer.write(iter([make(3, 2)])), writer.write(iter([make(0, 3)])), writer.write(iter([])), None]
+    with pytest.raises(ValueError, match="not been written"):
+        bed.bed_files(str(tmp_path / "two.bed"))
+    writer.commit(told)
+    files = sorted((tmp_path / "two.bed").iterdir())
+    assert [x.name for x in files] == ["part-00000.bed", "part-00001.bed", "part-00002.bed"] and late.files
+    assert b"".join(x.read_bytes()[3:] for x in files) == bytes([0, 0, 1, 1, 2, 2, 3, 3, 4, 4])
+    with pytest.raises(FileExistsError):
+        bed.GenotypeWriter({"path": str(tmp_path / "two.bed")})
+    other = bed.GenotypeWriter({"path": str(tmp_path / "gone.bed")})
+    other.write(iter([make(0, 3)]))
+    other.abort([None])
+    assert not (tmp_path / "gone.bed").exists()
