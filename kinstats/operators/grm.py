@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.statistics import dosage_weight
+from ..watch import Watch, count_if, watched
 
 LEAST_DEVIATION = 1e-8
 #: How missing genotypes count: not at all for the pair, or as the variant's mean, over all variants that vary.
@@ -21,7 +22,7 @@ def allele_freqs(genotypes: DataFrame) -> DataFrame:
     return genotypes.groupBy("variant_id").agg((F.avg("a1") / 2).alias("freq"), F.count("a1").alias("n_obs"))
 
 
-def align_freqs(variants: DataFrame, freqs: DataFrame, key: str = "snp_id", strict: bool = True) -> DataFrame:
+def align_freqs(variants: DataFrame, freqs: DataFrame, key: str = "snp_id", strict: bool = True, watch: Watch | None = None) -> DataFrame:
     """``variants`` (key, a1) with ``p``, the frequency of a1: ``freq`` if that allele was counted, else one minus it.
 
     With ``strict``, variants without a frequency, or with several, are an error.
@@ -30,16 +31,18 @@ def align_freqs(variants: DataFrame, freqs: DataFrame, key: str = "snp_id", stri
     if strict:
         bad = out.groupBy(key).agg(F.count("*").alias("n"), F.count("freq").alias("k")).filter("n > 1 or k = 0").limit(1).collect()
         if bad:
-            raise ValueError(f"{bad[0][0]} has {bad[0]['k']} frequencies")
+            raise ValueError(f"{bad[0][0]} has {bad[0]['k']} frequencies; files whose rows belong together can be aligned by position")
+    flipped = F.col("counted_allele") != F.col("a1")
+    out = watched(watch, out, "align_freqs", n_variants=F.count("*"), n_flipped=count_if(flipped), n_fixed=count_if(~varies(F.col("p"))))
     return out.drop("counted_allele", "freq")
 
 
-def align_by_position(variants: DataFrame, freqs: DataFrame) -> DataFrame:
+def align_by_position(variants: DataFrame, freqs: DataFrame, watch: Watch | None = None) -> DataFrame:
     """As ``align_freqs``, for files whose rows belong together by ``variant_idx``; both must have as many."""
     n, k = variants.count(), freqs.count()
     if n != k:
         raise ValueError(f"{n} variants and {k} frequencies")
-    return align_freqs(variants, freqs, "variant_idx")
+    return align_freqs(variants, freqs, "variant_idx", watch=watch)
 
 
 def allele_metrics(variants: DataFrame, freqs: DataFrame, key: str = "snp_id") -> DataFrame:

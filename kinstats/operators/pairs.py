@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import saved
+from ..watch import Watch, count_if, watched
 
 
 def col(name: str) -> Column:
@@ -98,13 +99,22 @@ def resolve_pairs(pairs: DataFrame, samples: DataFrame, on_unknown: str = "error
     return canonical(found, "idx1", "idx2").select(*map(col, pairs.columns), "idx1", "idx2")
 
 
-def crossprods(pairs: DataFrame, phenotypes: DataFrame, names: list[str], order: str | None = None, keep: tuple[str, ...] = (), **limits: int) -> DataFrame:
+def crossprods(pairs: DataFrame, phenotypes: DataFrame, names: list[str], order: str | None = None, keep: tuple[str, ...] = (), watch: Watch | None = None, **limits: int) -> DataFrame:
     """iid1, iid2, the columns ``keep`` of ``pairs`` and ``<name>_crossprod`` for each phenotype; null where either person has no value. All pairs stay.
 
     Of a person that ``phenotypes`` lists several times the first in ``order`` counts; without it such a person fails the job.
     """
     joined = with_people(pairs.select("iid1", "iid2", *map(col, keep)), phenotypes, names, order, **limits)
-    return joined.select("iid1", "iid2", *map(col, keep), *((F.col(f"_a{k}") * F.col(f"_b{k}")).alias(f"{x}_crossprod") for k, x in enumerate(names)))
+    out = joined.select("iid1", "iid2", *map(col, keep), *((F.col(f"_a{k}") * F.col(f"_b{k}")).alias(f"{x}_crossprod") for k, x in enumerate(names)))
+    return watched(watch, out, "crossprods", **value_counts([f"{x}_crossprod" for x in names]))
+
+
+def value_counts(values: list[str]) -> dict[str, Column]:
+    """Pairs, those with some of ``values`` and those with none, as aggregates."""
+    some = F.lit(False)
+    for v in values:
+        some = some | col(v).isNotNull()
+    return {"n_pairs": F.count("*"), "n_with_value": count_if(some), "n_without_value": count_if(~some)}
 
 
 def join_pairs(grm: DataFrame, products: DataFrame, values: list[str], order: str | None = None) -> DataFrame:
@@ -125,7 +135,7 @@ def join_pairs(grm: DataFrame, products: DataFrame, values: list[str], order: st
     return left.join(right, ["_lo", "_hi"], "left").drop("_lo", "_hi", *([order] if order else []))
 
 
-def pair_products(grm: DataFrame, phenotypes: DataFrame, names: str | list[str], order: str | None = None, keep: tuple[str, ...] = (), people_order: str | None = None, **limits: int) -> DataFrame:
+def pair_products(grm: DataFrame, phenotypes: DataFrame, names: str | list[str], order: str | None = None, keep: tuple[str, ...] = (), people_order: str | None = None, watch: Watch | None = None, **limits: int) -> DataFrame:
     """``grm`` (iid1, iid2, grm, and the columns ``keep``) with ``<name>_crossprod``, its own two people's products: two joins on people, none of pairs.
 
     A pair that is listed several times, either way round, counts once: the first in ``order``, or without it the row with
@@ -136,7 +146,8 @@ def pair_products(grm: DataFrame, phenotypes: DataFrame, names: str | list[str],
     first = F.struct(*([col(order).alias("_order")] if order else []), F.col("grm"), F.col("iid1"), F.col("iid2"), *map(col, keep))
     once = grm.groupBy(F.least("iid1", "iid2").alias("_lo"), F.greatest("iid1", "iid2").alias("_hi")).agg(F.min(first).alias("_first")).select(*(F.col(f"_first.`{c}`").alias(c) for c in own))
     joined = with_people(once, phenotypes, names, people_order, **limits)
-    return joined.select(*map(col, own), *((F.col(f"_a{k}") * F.col(f"_b{k}")).alias(f"{x}_crossprod") for k, x in enumerate(names)))
+    out = joined.select(*map(col, own), *((F.col(f"_a{k}") * F.col(f"_b{k}")).alias(f"{x}_crossprod") for k, x in enumerate(names)))
+    return watched(watch, out, "pair_products", **value_counts([f"{x}_crossprod" for x in names]), n_grm=F.count("grm"))
 
 
 def store_pairs(df: DataFrame, table: str, buckets: int | None = None, order: str | None = None, by: tuple[str, ...] = ("lo", "hi")) -> DataFrame:

@@ -2,5 +2,6 @@
 
 from .heritability import heritability, products_of, run_metrics
 from .relatedness import relatedness
+from .study import study
 
-__all__ = ["heritability", "products_of", "relatedness", "run_metrics"]
+__all__ = ["heritability", "products_of", "relatedness", "run_metrics", "study"]

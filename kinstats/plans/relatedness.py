@@ -9,19 +9,30 @@ from ..operators.grm import align_by_position, align_freqs
 from ..operators.packed import grm_from_packed
 from ..operators.pairs import resolve_pairs
 from ..sources import find_freqs, read_freqs, read_genotypes, read_pairs, read_samples, read_variants
+from ..sources.text import ORDER
 from ..storage import saved
+from ..watch import Watch
 
 
-def relatedness(spark: SparkSession, prefix: str, pairs: str, freqs: str | None = None, by_position: bool = False, layout: str = "iid") -> DataFrame:
-    """iid1, iid2, n_snps, grm of the pairs listed in the file ``pairs``, from ``<prefix>.bed``, ``.fam``, ``.bim`` and frequencies.
+def relatedness(spark: SparkSession, prefix: str, pairs: str, freqs: str | None = None, by_position: bool = False, layout: str = "iid", missing: str = "exclude", watch: Watch | None = None) -> DataFrame:
+    """iid1, iid2, n_snps, grm and file_order of the pairs listed in the file ``pairs``, from ``<prefix>.bed``, ``.fam``, ``.bim`` and frequencies.
 
-    Frequencies belong to variants by name or, with ``by_position``, by row. Every listed line has a row, repeated ones too.
+    Frequencies are those of the file ``freqs``, else of ``<prefix>.afreq`` or ``.frq``; where there is none, they are counted in
+    the genotypes themselves. They belong to variants by name or, with ``by_position``, by row. Every listed line has a
+    row, repeated ones too.
     """
-    samples = saved(read_samples(spark, f"{prefix}.fam"))
-    listed = saved(resolve_pairs(read_pairs(spark, pairs, layout), samples).select("iid1", "iid2", "idx1", "idx2"))
-    variants = read_variants(spark, f"{prefix}.bim")
-    known = read_freqs(spark, freqs or find_freqs(spark, prefix))
-    aligned = align_by_position(variants, known) if by_position else align_freqs(variants, known)
-    codes = read_genotypes(spark, f"{prefix}.bed", samples.count()).withColumnRenamed("variant_idx", "variant_id")
-    found = grm_from_packed(listed.select("idx1", "idx2").distinct(), codes, aligned.select(F.col("variant_idx").alias("variant_id"), "p"))
-    return listed.join(found, ["idx1", "idx2"]).select("iid1", "iid2", "n_snps", "grm")
+    samples = saved(read_samples(spark, f"{prefix}.fam", watch))
+    listed = saved(resolve_pairs(read_pairs(spark, pairs, layout, watch=watch), samples).select("iid1", "iid2", "idx1", "idx2", ORDER))
+    n = samples.count()
+    codes = read_genotypes(spark, f"{prefix}.bed", n).withColumnRenamed("variant_idx", "variant_id")
+    try:
+        path = freqs or find_freqs(spark, prefix)
+    except FileNotFoundError:
+        path = None
+    known = None
+    if path:
+        variants, told = read_variants(spark, f"{prefix}.bim", watch), read_freqs(spark, path)
+        aligned = align_by_position(variants, told, watch) if by_position else align_freqs(variants, told, watch=watch)
+        known = aligned.select(F.col("variant_idx").alias("variant_id"), "p")
+    found = grm_from_packed(listed.select("idx1", "idx2").distinct(), codes, known, n, missing)
+    return listed.join(found, ["idx1", "idx2"]).select("iid1", "iid2", "n_snps", "grm", ORDER)

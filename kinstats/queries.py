@@ -17,12 +17,13 @@ from .operators import he, many, residuals
 from .operators import packed as k
 from .operators import pairs as p
 from .operators.binning import binned_stats
-from .plans import heritability, products_of, relatedness, run_metrics
+from .plans import heritability, products_of, relatedness, run_metrics, study
 from .sources import (
     find_freqs, numbered_lines, read_covariates, read_crossprods, read_freqs, read_genotypes, read_grm, read_joined_pairs, read_pairs, read_phenotype,
     read_phenotypes, read_results, read_samples, read_variants, write_genotypes, write_tsv,
 )
 from .storage import shared_dir
+from .watch import Watch
 
 CUTS = [(-0.5, -0.05), (-0.05, 0.05), (0.05, 0.2), (0.0, 0.2), (0.2, 0.6), (5.0, 6.0)]
 LINE_CUTS = [(0.0, 0.05), (0.05, 0.1), (0.02, 0.2), (3.0, 4.0)]
@@ -196,11 +197,9 @@ def he_ols(spark, sf):
 
 
 def grm_he_ols(spark, sf):
-    """Relatedness of pairs, joined with products of account balances named the other way round."""
-    grm = g.grm_for_pairs(pairs(spark, sf), genotypes(spark, sf), freqs(spark, sf)).select(F.col("id1").alias("iid1"), F.col("id2").alias("iid2"), "grm")
+    """Relatedness of pairs from packed genotypes, and regression of products of account balances on it."""
     scaled = people(spark, sf).withColumn("acctbal", F.col("acctbal") / 1000)
-    products = p.crossprods(grm.select(F.col("iid2").alias("iid1"), F.col("iid1").alias("iid2")), scaled, ["acctbal"])
-    out = he.he_regression(p.join_pairs(grm, products, ["acctbal_crossprod"]), he.intervals(spark, CUTS), "grm", "acctbal_crossprod")
+    out = he.he_regression(p.pair_products(packed_grm(spark, sf), scaled, "acctbal"), he.intervals(spark, CUTS), "grm", "acctbal_crossprod")
     return out.select("interval", "n_pairs", *(F.round(F.col(c), 5).alias(c) for c in ("intercept", "slope", "r_squared", "mse", "intercept_se", "slope_se")))
 
 
@@ -227,6 +226,50 @@ def metrics(spark, sf):
     return run_metrics(products.withColumn("grm", F.when(F.col("iid1") % 2 == 0, 1.0)), ["acctbal_crossprod", "age_crossprod"])
 
 
+def watched_run(spark, sf):
+    """What readers and operators count while a regression from files runs: lines left out, pairs without values."""
+    watch = Watch()
+    listed = lines(spark, sf).select("iid1", "iid2", "y", F.when(F.col("iid1") % 9 > 0, F.col("grm").cast("string")).otherwise(F.lit("NA")).alias("GRM_value"))
+    joined = read_joined_pairs(spark, as_file(spark, listed.select("iid1", "iid2", F.col("y").alias("price_product"), "GRM_value")), watch=watch)
+    ragged = listed.select(F.concat_ws(" ", "iid1", "iid2", F.when(F.col("iid2") % 3 > 0, F.lit("5")), F.when(F.col("iid2") % 3 > 0, F.col("GRM_value"))).alias("value"))
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    spark.createDataFrame([("a b n GRM",)], "value string").union(ragged).coalesce(1).write.text(path)
+    grm = read_grm(spark, path, watch)
+    some = people(spark, sf).select("iid", F.when(F.col("acctbal") > 0, F.col("acctbal")).alias("acctbal"), F.when(F.col("age") > 5, F.col("pc1")).alias("pc1"))
+    known = read_phenotypes(spark, as_file(spark, some), watch)
+    products = p.crossprods(grm, known, ["acctbal", "pc1"], watch=watch)
+    he.he_regression(joined, he.intervals(spark, LINE_CUTS)).write.format("noop").mode("overwrite").save()
+    products.write.format("noop").mode("overwrite").save()
+    return watch.frame(spark)
+
+
+def grm_own_freqs(spark, sf):
+    """The first step from files where there is none of frequencies."""
+    bed, n = genotype_folder(spark, sf, ".bed")
+    prefix = bed.removesuffix(".bed")
+    ids = table(spark, sf, "embeddings").select(F.lit("f"), F.col("vec_id").cast("string").alias("iid"), F.lit("0").alias("a"), F.lit("0").alias("b"), F.lit(0), F.lit(-9)).orderBy(F.col("vec_id"))
+    ids.write.option("sep", " ").csv(f"{prefix}.fam")
+    listed = as_file(spark, pairs(spark, sf).select(F.col("id1").alias("iid1"), F.col("id2").alias("iid2")))
+    return relatedness(spark, prefix, listed).select(F.col("iid1").cast("long").alias("id1"), F.col("iid2").cast("long").alias("id2"), "n_snps", *r6("grm"))
+
+
+def study_lines(spark, sf):
+    """The lines that a study from files writes, in their order: products of pairs, bins and regression of two phenotypes."""
+    out = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    grm = as_file(spark, lines(spark, sf).select((F.col("iid1") % 997).alias("IID1"), (F.col("iid2") + 2000).alias("IID2"), F.lit(9).alias("N_SNPs"), F.round("grm", 6).alias("GRM")).distinct().orderBy("IID1", "IID2", "GRM"))
+    c = table(spark, sf, "customer").select(F.when(F.col("c_custkey") % 7 == 0, F.col("c_custkey") / 7 + 2000).otherwise(F.col("c_custkey")).cast("long").alias("IID"), "c_custkey", F.col("c_acctbal").cast("double").alias("acctbal"), F.col("c_nationkey").alias("age"))
+    traits = as_file(spark, c.select("IID", F.round(F.col("acctbal") / 1000, 6).alias("one"), F.when(F.col("c_custkey") % 3 > 0, F.round(F.col("acctbal") / 100 + F.col("age"), 6)).alias("two")))
+    given = as_file(spark, c.select("IID", (F.col("c_custkey") % 2).alias("sex"), "age").orderBy("IID"))
+    study(spark, out, "", traits, given, he.intervals(spark, LINE_CUTS), grm=grm, width=0.01, low=0.0, high=0.2)
+    rows = read_crossprods(spark, f"{out}/products.tsv")
+    products = numbered_lines(rows).select(F.lit("products").alias("file"), F.col("idx").cast("long").alias("line"), F.concat_ws(" ", "iid1", "iid2").alias("who"), F.round("`one.crossprod`", 5).alias("a"), F.round("`two.crossprod`", 5).alias("b"))
+    results = spark.read.csv(f"{out}/results.tsv", sep="\t", header=True, nullValue="NA", inferSchema=True)
+    results = results.select(F.lit("results"), F.col("n_pairs").cast("long"), F.concat_ws(" ", "phenotype", "interval"), F.round(F.col("slope").cast("double"), 4), F.round(F.col("slope_se").cast("double"), 4))
+    bins = spark.read.csv(f"{out}/bins.tsv", sep="\t", header=True, nullValue="NA", inferSchema=True)
+    bins = bins.select(F.lit("bins"), F.col("n").cast("long"), F.concat_ws(" ", "phenotype", F.round(F.col("grm_bin") * 100).cast("int")), F.round(F.col("mean").cast("double"), 5), F.round(F.col("se").cast("double"), 5))
+    return products.union(results).union(bins)
+
+
 def bootstrap_ci(spark, sf):
     out = he.bootstrap_ci(lines(spark, sf), he.intervals(spark, LINE_CUTS))
     return out.select("interval", *(F.round(c, 3).alias(c) for c in ("intercept_ci_lower", "intercept_ci_upper", "slope_ci_lower", "slope_ci_upper")))
@@ -522,6 +565,7 @@ QUERIES = {
     "allele_freqs_packed": allele_freqs_packed, "grm_packed_sparse": grm_packed_sparse, "grm_missing_mean": grm_missing_mean, "grm_missing_mean_long": grm_missing_mean_long,
     "crossprods_repeats": crossprods_repeats, "crossprods_shuffled": crossprods_shuffled,
     "residualise_many": residualise_many, "he_many": he_many, "binned_many": binned_many,
+    "watched_run": watched_run, "grm_own_freqs": grm_own_freqs, "study_lines": study_lines,
 }
 
 _GENO = """geno AS (SELECT vec_id AS sample_id, CAST(i - 1 AS INTEGER) AS variant_id, CASE WHEN abs(v) < 0.002::DOUBLE THEN NULL WHEN v < -0.08::DOUBLE THEN 0 WHEN v < 0.08::DOUBLE THEN 1 ELSE 2 END AS a1
@@ -587,7 +631,35 @@ zj AS (SELECT j, sex, avg(r) AS m, stddev_samp(r) AS d FROM kj GROUP BY j, sex),
 _MANY_PAIRS = f"{_GRM}, {_MANY}, src AS (SELECT a.j, grm AS x, a.z * b.z AS y FROM grm JOIN adj a ON a.iid = id1 JOIN adj b ON b.iid = id2 AND b.j = a.j)"
 _OLS_MANY = _OLS.replace("SELECT k, count(*) AS n", "SELECT j, k, count(*) AS n").replace("GROUP BY k)", "GROUP BY j, k)").replace("SELECT m.k, n", "SELECT m.j, m.k, n").replace("JOIN m USING (k)", "JOIN m USING (j, k)").replace("GROUP BY m.k, n", "GROUP BY m.j, m.k, n").replace("fit AS (SELECT interval,", "fit AS (SELECT j, interval,").replace("FROM cuts LEFT JOIN e USING (k))", "FROM (SELECT * FROM cuts, range(200) t(j)) cuts LEFT JOIN e USING (j, k))")
 
+#: A study of two phenotypes over pairs from lines; people are numbered anew so that both sides of a pair are known.
+_STUDY = f"""{_LINES}, gr AS (SELECT *, row_number() OVER (ORDER BY id1, id2, x) - 1 AS line FROM (SELECT DISTINCT iid1 % 997 AS id1, iid2 + 2000 AS id2, round(x, 6) AS x FROM ln)),
+pp AS (SELECT CASE WHEN c_custkey % 7 = 0 THEN c_custkey // 7 + 2000 ELSE c_custkey END AS iid, c_custkey % 2 AS sex, CAST(c_nationkey AS DOUBLE) AS age, round(CAST(c_acctbal AS DOUBLE) / 1000, 6) AS one,
+  CASE WHEN c_custkey % 3 > 0 THEN round(CAST(c_acctbal AS DOUBLE) / 100 + c_nationkey, 6) END AS two FROM customer),
+t0 AS (SELECT 'one' AS v, iid, sex, age, one AS y FROM pp UNION ALL SELECT 'two', iid, sex, age, two FROM pp WHERE two IS NOT NULL),
+t1 AS (SELECT v, iid, sex, y - avg(y) OVER w AS y, age - avg(age) OVER w AS a FROM t0 WINDOW w AS (PARTITION BY v, sex)), t2 AS (SELECT v, sum(a * a) AS aa, sum(a * y) AS ay FROM t1 GROUP BY v),
+t3 AS (SELECT v, iid, sex, y - ay / aa * a AS r FROM t1 JOIN t2 USING (v)), t4 AS (SELECT v, avg(r) AS m, stddev_samp(r) AS d FROM t3 GROUP BY v),
+t5 AS (SELECT v, iid, sex, r FROM t3 JOIN t4 USING (v) WHERE abs(r - m) <= 5 * d), t6 AS (SELECT v, sex, avg(r) AS m, stddev_samp(r) AS d FROM t5 GROUP BY v, sex),
+adj AS (SELECT v, iid, (r - m) / d AS z FROM t5 JOIN t6 USING (v, sex)),
+pr AS (SELECT line, id1, id2, x, v, a.z * b.z AS y FROM gr CROSS JOIN (VALUES ('one'), ('two')) t(v) LEFT JOIN adj a USING (v) LEFT JOIN adj b USING (v) WHERE a.iid = id1 AND b.iid = id2),
+al AS (SELECT gr.line, id1, id2, gr.x, one.y AS a, two.y AS b FROM gr LEFT JOIN (SELECT line, y FROM pr WHERE v = 'one') one USING (line) LEFT JOIN (SELECT line, y FROM pr WHERE v = 'two') two USING (line)),
+oc AS (SELECT * FROM al QUALIFY row_number() OVER (PARTITION BY least(id1, id2), greatest(id1, id2) ORDER BY line) = 1),
+src AS (SELECT 0 AS j, x, a AS y FROM oc UNION ALL SELECT 1, x, b FROM oc)"""
+_STUDY_FIT = _OLS_MANY.replace("range(200) t(j)", "range(2) t(j)")
+_WATCHED = f"""WITH {_LINES}, {_PEOPLE}, s AS (SELECT CAST(iid AS VARCHAR) AS iid, CASE WHEN acctbal > 0 THEN acctbal END AS a, CASE WHEN age > 5 THEN pc1 END AS b FROM ppl), k AS (SELECT * FROM s WHERE a IS NOT NULL OR b IS NOT NULL),
+g AS (SELECT CAST(iid1 AS VARCHAR) AS iid1, CAST(iid2 AS VARCHAR) AS iid2, iid1 % 9 > 0 AS there FROM ln WHERE iid2 % 3 > 0),
+c AS (SELECT count(*) AS n, count(*) FILTER (WHERE p.a * q.a IS NOT NULL OR p.b * q.b IS NOT NULL) AS w FROM g LEFT JOIN k p ON p.iid = iid1 LEFT JOIN k q ON q.iid = iid2)
+SELECT 'read_joined_pairs' AS step, 'n_lines' AS name, count(*) AS value FROM ln UNION ALL SELECT 'read_joined_pairs', 'n_excluded', count(*) FROM ln WHERE iid1 % 9 = 0
+UNION ALL SELECT 'read_grm', 'n_lines', count(*) FROM ln UNION ALL SELECT 'read_grm', 'n_short', count(*) FROM ln WHERE iid2 % 3 = 0 UNION ALL SELECT 'read_grm_values', 'n_missing', count(*) FROM g WHERE NOT there
+UNION ALL SELECT 'read_phenotypes', 'n_lines', count(*) FROM s UNION ALL SELECT 'read_phenotypes', 'n_empty', (SELECT count(*) FROM s) - (SELECT count(*) FROM k)
+UNION ALL SELECT 'crossprods', 'n_pairs', n FROM c UNION ALL SELECT 'crossprods', 'n_with_value', w FROM c UNION ALL SELECT 'crossprods', 'n_without_value', n - w FROM c"""
+
 ORACLES = {
+    "watched_run": _WATCHED,
+    "grm_own_freqs": f"WITH {_GRM} SELECT id1, id2, n_snps, round(grm, 6) AS grm FROM grm",
+    "study_lines": f"""WITH {_STUDY}, {_cuts(LINE_CUTS)}, {_STUDY_FIT}, bn AS (SELECT j, x, y, CAST(least(trunc(x / 0.01::DOUBLE), trunc(0.2::DOUBLE / 0.01::DOUBLE)) AS INTEGER) AS bin FROM src WHERE x BETWEEN 0.0::DOUBLE AND 0.2::DOUBLE)
+        SELECT 'products' AS file, line, id1 || ' ' || id2 AS who, round(a, 5) AS a, round(b, 5) AS b FROM al
+        UNION ALL SELECT 'results', n_pairs, CASE j WHEN 0 THEN 'one' ELSE 'two' END || ' ' || interval, round(slope, 4), round(slope_se, 4) FROM fit
+        UNION ALL SELECT 'bins', count(y), CASE j WHEN 0 THEN 'one' ELSE 'two' END || ' ' || bin, round(avg(y), 5), round(stddev_samp(y) / sqrt(count(y)), 5) FROM bn GROUP BY j, bin""",
     "allele_freqs_packed": f"WITH {_GENO} SELECT variant_id, round(p, 6) AS freq, n_obs FROM frq",
     "grm_packed_sparse": f"WITH {_SPARSE} SELECT id1, id2, n_snps, round(grm, 6) AS grm FROM grm",
     "grm_missing_mean": _MEAN,

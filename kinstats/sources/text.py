@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numbers import missing_or_number, number, words_of
+from ..watch import Watch, count_if, watched
 
 ORDER = "file_order"
 RESULT = "interval string, n_pairs long, intercept double, slope double, r_squared double, mse double, intercept_se double, slope_se double, intercept_ci_lower double, intercept_ci_upper double, slope_ci_lower double, slope_ci_upper double"
@@ -69,15 +70,20 @@ def token(k: int) -> Column:
     return F.get("t", F.lit(k))
 
 
-def read_samples(spark: SparkSession, path: str) -> DataFrame:
+def long_enough(rows: DataFrame, least: int, step: str, watch: Watch | None) -> DataFrame:
+    """Lines of ``least`` tokens or more; a watch counts all and those left out."""
+    return watched(watch, rows, step, n_lines=F.count("*"), n_short=count_if(F.size("t") < least)).filter(F.size("t") >= least)
+
+
+def read_samples(spark: SparkSession, path: str, watch: Watch | None = None) -> DataFrame:
     """Six columns without a header; the place of a line is the sample's place in the genotype rows."""
-    rows = numbered_lines(lines(spark, path).filter(F.size("t") >= 2))
+    rows = numbered_lines(long_enough(lines(spark, path), 2, "read_samples", watch))
     return rows.select(F.col("idx").alias("sample_idx"), token(0).alias("fid"), token(1).alias("iid"), token(2).alias("pat"), token(3).alias("mat"), token(4).try_cast("int").alias("sex"), number(token(5)).alias("pheno"))
 
 
-def read_variants(spark: SparkSession, path: str) -> DataFrame:
+def read_variants(spark: SparkSession, path: str, watch: Watch | None = None) -> DataFrame:
     """Six columns without a header; the place of a line is the variant's row in the genotype matrix."""
-    rows = numbered_lines(lines(spark, path).filter(F.size("t") >= 6))
+    rows = numbered_lines(long_enough(lines(spark, path), 6, "read_variants", watch))
     return rows.select(F.col("idx").alias("variant_idx"), token(0).alias("chrom"), token(1).alias("snp_id"), number(token(2)).alias("cm"), token(3).try_cast("long").alias("bp"), token(4).alias("a1"), token(5).alias("a2"))
 
 
@@ -111,7 +117,7 @@ def find_freqs(spark: SparkSession, prefix: str) -> str:
     raise FileNotFoundError(f"{prefix}.afreq or {prefix}.frq")
 
 
-def read_pairs(spark: SparkSession, path: str, layout: str = "iid", with_header: bool | None = None) -> DataFrame:
+def read_pairs(spark: SparkSession, path: str, layout: str = "iid", with_header: bool | None = None, watch: Watch | None = None) -> DataFrame:
     """iid1, iid2; further columns and lines from ``#`` on are ignored. ``layout`` fid_iid has FID1 IID1 FID2 IID2."""
     rows = lines(spark, path).filter(~F.col("t")[0].startswith("#"))
     if with_header is None:
@@ -120,7 +126,7 @@ def read_pairs(spark: SparkSession, path: str, layout: str = "iid", with_header:
     a, b = (1, 3) if layout == "fid_iid" else (0, 1)
     if with_header:
         rows = without_header(rows)
-    return rows.filter(F.size("t") > b).select(token(a).alias("iid1"), token(b).alias("iid2"), ORDER)
+    return long_enough(rows, b + 1, "read_pairs", watch).select(token(a).alias("iid1"), token(b).alias("iid2"), ORDER)
 
 
 def wide(spark: SparkSession, path: str, ids: int, parse=number) -> tuple[DataFrame, list[str]]:
@@ -129,10 +135,11 @@ def wide(spark: SparkSession, path: str, ids: int, parse=number) -> tuple[DataFr
     return rows.select(*(token(k).alias(f"id{k + 1}") for k in range(ids)), *(parse(token(k)).alias(x) for k, x in enumerate(names[ids:], ids)), ORDER), names[ids:]
 
 
-def read_phenotypes(spark: SparkSession, path: str) -> DataFrame:
+def read_phenotypes(spark: SparkSession, path: str, watch: Watch | None = None) -> DataFrame:
     """iid and a column for each phenotype of the header; people without any value are left out."""
     rows, names = wide(spark, path, 1)
-    return rows.filter(F.coalesce(*(F.col(f"`{x}`") for x in names)).isNotNull()).withColumnRenamed("id1", "iid")
+    some = F.coalesce(*(F.col(f"`{x}`") for x in names)).isNotNull()
+    return watched(watch, rows, "read_phenotypes", n_lines=F.count("*"), n_empty=count_if(~some)).filter(some).withColumnRenamed("id1", "iid")
 
 
 def read_phenotype(spark: SparkSession, path: str) -> DataFrame:
@@ -141,7 +148,7 @@ def read_phenotype(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.col("id1").alias("iid"), F.col(f"`{names[0]}`"), ORDER)
 
 
-def read_covariates(spark: SparkSession, path: str) -> DataFrame:
+def read_covariates(spark: SparkSession, path: str, watch: Watch | None = None) -> DataFrame:
     """iid, the covariates, and ``row_complete``: whether all of them have a value."""
     rows, names = wide(spark, path, 1)
     if not names:
@@ -149,10 +156,11 @@ def read_covariates(spark: SparkSession, path: str) -> DataFrame:
     complete = F.lit(True)
     for x in names:
         complete = complete & F.col(f"`{x}`").isNotNull()
+    rows = watched(watch, rows, "read_covariates", n_lines=F.count("*"), n_incomplete=count_if(~complete))
     return rows.withColumnRenamed("id1", "iid").withColumn("row_complete", complete)
 
 
-def read_grm(spark: SparkSession, path: str) -> DataFrame:
+def read_grm(spark: SparkSession, path: str, watch: Watch | None = None) -> DataFrame:
     """iid1, iid2, n_snps (null if not given), grm: the column GRM or KINSHIP, or without such a header the third of three or fourth of four."""
     names = [x.upper() for x in header(spark, path)]
     rows = lines(spark, path)
@@ -164,7 +172,8 @@ def read_grm(spark: SparkSession, path: str) -> DataFrame:
     else:
         rows = without_header(rows)
     n = token(2).try_cast("long") if at == 3 else F.lit(None).cast("long")
-    return rows.filter(F.size("t") > at).select(token(0).alias("iid1"), token(1).alias("iid2"), n.alias("n_snps"), number(token(at)).alias("grm"), ORDER)
+    out = long_enough(rows, at + 1, "read_grm", watch).select(token(0).alias("iid1"), token(1).alias("iid2"), n.alias("n_snps"), number(token(at)).alias("grm"), ORDER)
+    return watched(watch, out, "read_grm_values", n_missing=count_if(F.col("grm").isNull()))
 
 
 def read_crossprods(spark: SparkSession, path: str) -> DataFrame:
@@ -175,24 +184,31 @@ def read_crossprods(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumnsRenamed({"id1": "iid1", "id2": "iid2"})
 
 
-def read_joined_pairs(spark: SparkSession, path: str, grm_col: str | None = None, pheno_col: str | None = None) -> DataFrame:
+def read_joined_pairs(spark: SparkSession, path: str, grm_col: str | None = None, pheno_col: str | None = None, watch: Watch | None = None) -> DataFrame:
     """iid1, iid2, grm, y. Without names: the last column whose name holds grm, relatedness or kinship, and the last with pheno, product or cross; else the third and fourth."""
     names = header(spark, path)
     last = lambda parts, other: max((k for k, x in enumerate(names) if any(p in x.lower() for p in parts)), default=other)
     g = names.index(grm_col) if grm_col else last(("grm", "relatedness", "kinship"), 2)
     y = names.index(pheno_col) if pheno_col else last(("pheno", "product", "cross"), 3)
     rows = without_header(lines(spark, path))
-    return rows.select(token(0).alias("iid1"), token(1).alias("iid2"), missing_or_number(token(g)).alias("grm"), missing_or_number(token(y)).alias("y"), ORDER)
+    out = rows.select(token(0).alias("iid1"), token(1).alias("iid2"), missing_or_number(token(g)).alias("grm"), missing_or_number(token(y)).alias("y"), ORDER)
+    return watched(watch, out, "read_joined_pairs", n_lines=F.count("*"), n_excluded=count_if(F.col("grm").isNull() | F.col("y").isNull()))
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, sep="\t", header=True, nullValue="NA", schema=RESULT)
 
 
-def write_tsv(df: DataFrame, path: str, order_by: list[str] | None = None, decimals: int | None = None) -> None:
-    """Tab-separated, with a header, NA for null; doubles in full or with fixed decimals."""
+def write_tsv(df: DataFrame, path: str, order_by: list[str] | None = None, decimals: int | None = None, columns: dict[str, str] | None = None) -> None:
+    """Tab-separated, with a header, NA for null; doubles in full or with fixed decimals.
+
+    With ``order_by``, lines come in that order, file after file; ``file_order`` of a reader, which operators keep where they
+    are asked to, gives that of its lines. ``columns``: which are written, and under what names.
+    """
     if order_by:
         df = df.orderBy(*(F.col(f"`{x}`") for x in order_by))
+    if columns:
+        df = df.select(*(F.col(f"`{x}`").alias(name) for x, name in columns.items()))
     if decimals is not None:
         fixed = lambda c: F.when(F.col(f"`{c}`").isNotNull(), F.format_string(f"%.{decimals}f", F.col(f"`{c}`"))).alias(c)
         df = df.select(*(fixed(c) if t == "double" else F.col(f"`{c}`") for c, t in df.dtypes))
