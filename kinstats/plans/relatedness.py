@@ -22,7 +22,8 @@ def relatedness(spark: SparkSession, prefix: str, pairs: str, freqs: str | None
     row, repeated ones too.
     """
     samples = saved(read_samples(spark, f"{prefix}.fam", watch))
-    listed = saved(resolve_pairs(read_pairs(spark, pairs, layout, watch=watch), samples).select("iid1", "iid2", "idx1", "idx2", ORDER))
+    named = saved(read_pairs(spark, pairs, layout, watch=watch))
+    listed = saved(resolve_pairs(named, samples).select("iid1", "iid2", "idx1", "idx2", ORDER))
     n = samples.count()
     codes = read_genotypes(spark, f"{prefix}.bed", n).withColumnRenamed("variant_idx", "variant_id")
     try:

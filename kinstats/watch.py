@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,8 +12,8 @@ from pyspark.sql import functions as F
 class Watch:
     """Readers and operators that are given a watch count what they see in whatever job runs them first; nothing is scanned for it.
 
-    ``values`` waits for these jobs, so it is asked after an action on the results. Counts of a stage that lost executors make run again
-    can be too high.
+    ``values`` waits for these jobs, so it is asked after an action on the results; the first action must read all rows, not
+    a few. Counts of a stage that lost executors make run again can be too high.
     """
 
     def __init__(self):
@@ -26,7 +27,13 @@ class Watch:
         return df.observe(self.seen[step], *(c.alias(name) for name, c in counts.items()))
 
     def values(self) -> dict[str, dict[str, int]]:
-        return {step: {k: v or 0 for k, v in x.get.items()} for step, x in self.seen.items()}
+        out = {}
+        for step, x in self.seen.items():
+            try:
+                out[step] = {k: v or 0 for k, v in x.get.items()}
+            except Py4JJavaError as error:
+                raise RuntimeError(f"{step} was not counted: the first job over it did not run to its end") from error
+        return out
 
     def frame(self, spark: SparkSession) -> DataFrame:
         """step, name and value of all counts."""
