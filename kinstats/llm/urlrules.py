@@ -2,7 +2,10 @@
 
 Defined cases: a null url, or one without ``://``, has an empty host and path and no tokens, so no rule fits and the
 default verdict holds; empty paths fit no rule (a rule's path starts with a slash); equal urls get equal verdicts; no
-labelled urls, or no rule that passes the thresholds: the default verdict; other columns are ignored.
+labelled urls, or no rule that passes the thresholds: the default verdict; other columns are ignored. Of listed rules that
+fit, the longest decides, of equally long ones the first by name; of mined rules the surest, then that of the most urls,
+of the most tokens, and the later verdict by name. Very long urls are cut into all of their tokens; rules can be of any
+number of them. Equal urls with different verdicts cannot be, as verdicts follow from the url.
 """
 
 from __future__ import annotations
@@ -13,6 +16,8 @@ from pyspark.sql import functions as F
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 LABEL = "label="
+#: A rule holds in so many of the sampled urls at least, however few these are.
+LEAST_COUNT = 5
 
 
 def host(url: Column) -> Column:
@@ -45,49 +50,84 @@ def tokens(url: Column) -> Column:
     return F.array_distinct(F.coalesce(F.concat(of("host", labels), of("path", segments), of("ending", endings), of("field", fields)), F.array().cast("array<string>")))
 
 
-def mine(labelled: DataFrame, support: float = 0.005, confidence: float = 0.9, sample_rows: int = 20_000) -> DataFrame:
-    """Rules (rule_id, items, verdict, confidence, support) from ``labelled`` (url, verdict).
+def classes_of(sample: DataFrame, least: int) -> DataFrame:
+    """(token, class) of the tokens of ``sample`` (url, verdict) that ``least`` urls have: tokens of the very same urls are one class, named by the first."""
+    found = sample.select(F.xxhash64("url").alias("u"), F.explode(tokens(F.col("url"))).alias("token")).groupBy("token").agg(F.sort_array(F.collect_list("u")).alias("urls")).filter(F.size("urls") >= least)
+    return found.groupBy("urls").agg(F.sort_array(F.collect_list("token")).alias("tokens")).select(F.explode("tokens").alias("token"), F.col("tokens")[0].alias("class"))
 
-    FP-growth runs on the ``sample_rows`` distinct urls with the smallest hashes. A rule stays if it has the support
-    and confidence, and no rule of fewer tokens for the same verdict, contained in it, is as sure.
+
+def without_contained(sets: DataFrame, confidence: float) -> DataFrame:
+    """Of ``sets`` (items, verdict, confidence, support), which hold every set that they contain, the rules of the confidence that hold no rule of fewer items for the same verdict that is as sure.
+
+    The surest rule inside a set is that of the sets with one item less, or inside one of these, so sizes are taken in turn
+    and each set asks for as many others as it has items.
+    """
+    from .common import cut
+
+    sets = cut(sets.withColumn("size", F.size("items")))
+    rule = F.when(F.col("confidence") >= confidence, F.col("confidence"))
+    known = cut(sets.filter("size = 1").select("items", "verdict", "confidence", "support", F.lit(None).cast("double").alias("inside"), rule.alias("top")))
+    done = [known]
+    for size in range(2, (sets.agg(F.max("size")).first()[0] or 0) + 1):
+        level = sets.filter(F.col("size") == size)
+        places = F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("k")
+        less = level.select(F.col("items").alias("whole"), "verdict", places).select("whole", "verdict", F.expr("filter(whole, (x, i) -> i <> k)").alias("items"))
+        inside = less.join(known.select("items", "verdict", "top"), ["items", "verdict"]).groupBy(F.col("whole").alias("items"), "verdict").agg(F.max("top").alias("inside"))
+        known = cut(level.join(inside, ["items", "verdict"], "left").select("items", "verdict", "confidence", "support", "inside", F.greatest(rule, "inside").alias("top")))
+        done.append(known)
+    out = done[0]
+    for x in done[1:]:
+        out = out.union(x)
+    return out.filter((F.col("confidence") >= confidence) & (F.col("inside").isNull() | (F.col("inside") < F.col("confidence")))).drop("inside", "top")
+
+
+def mine(labelled: DataFrame, support: float = 0.005, confidence: float = 0.9, sample_rows: int = 20_000, least_count: int = LEAST_COUNT) -> tuple[DataFrame, DataFrame]:
+    """Rules (rule_id, items, verdict, confidence, support) over classes of tokens, and the classes (token, class), from ``labelled`` (url, verdict).
+
+    FP-growth runs on the ``sample_rows`` distinct urls with the smallest hashes. A rule stays if it has the confidence and
+    the support, as a share of the sampled urls and in ``least_count`` of them, and no rule of fewer tokens for the same
+    verdict, contained in it, is as sure. Tokens that the very same urls have would make two to the power of their number
+    of rules; they count as one, as a rule needs no two of them.
     """
     from pyspark.ml.fpm import FPGrowth
 
-    sample = labelled.filter("url is not null").groupBy("url").agg(F.min("verdict").alias("verdict")).orderBy(F.xxhash64("url"), "url").limit(sample_rows)
-    baskets = sample.select(F.array_append(tokens(F.col("url")), F.concat(F.lit(LABEL), "verdict")).alias("items"))
-    sets = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets).freqItemsets
+    from .common import cut
+
+    sample = cut(labelled.filter("url is not null").groupBy("url").agg(F.min("verdict").alias("verdict")).orderBy(F.xxhash64("url"), "url").limit(sample_rows))
+    n = sample.count()
+    least = max(support, least_count / n if n else 1.0)
+    classes = cut(classes_of(sample, max(1, least_count)))
+    held = sample.select("url", F.explode(tokens(F.col("url"))).alias("token")).join(classes, "token").groupBy("url").agg(F.collect_set("class").alias("items"))
+    baskets = sample.join(held, "url", "left").select(F.array_append(F.coalesce("items", F.array().cast("array<string>")), F.concat(F.lit(LABEL), "verdict")).alias("items"))
+    sets = FPGrowth(itemsCol="items", minSupport=min(1.0, least), minConfidence=confidence).fit(baskets).freqItemsets
     labels = F.filter("items", lambda x: x.startswith(LABEL))
     rest = F.array_sort(F.filter("items", lambda x: ~x.startswith(LABEL)))
     sets = sets.select(rest.alias("items"), labels.alias("labels"), "freq")
     alone = sets.filter(F.size("labels") == 0).select("items", F.col("freq").alias("all"))
-    rules = sets.filter((F.size("labels") == 1) & (F.size("items") > 0)).join(alone, "items").select("items", F.substring(F.col("labels")[0], len(LABEL) + 1, 1 << 20).alias("verdict"), (F.col("freq") / F.col("all")).alias("confidence"), F.col("freq").alias("support")).filter(F.col("confidence") >= confidence)
-    rules = rules.withColumn("rule_id", F.xxhash64("verdict", "items"))
-    # An inverted index again: a rule's shorter ones are found by their tokens, never by comparing all with all.
-    token = rules.select("rule_id", "verdict", "confidence", F.size("items").alias("size"), F.explode("items").alias("token"))
-    short, long = token.alias("s"), token.alias("l")
-    inside = short.join(long, F.expr("s.token = l.token and s.verdict = l.verdict and s.size < l.size and s.confidence >= l.confidence")).groupBy("s.rule_id", "l.rule_id", "s.size").agg(F.count("*").alias("n")).filter("n = size").select(F.col("l.rule_id").alias("rule_id")).distinct()
-    return rules.join(inside, "rule_id", "left_anti")
-
-
-def match(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """url and the verdict of the surest rule whose tokens all occur in it, for the distinct ``url`` that have one."""
-    index = rules.select("rule_id", "verdict", "confidence", "support", F.size("items").alias("size"), F.explode("items").alias("token"))
-    found = urls.select("url").filter("url is not null").distinct().select("url", F.explode(tokens(F.col("url"))).alias("token"))
-    full = found.join(index, "token").groupBy("url", "rule_id", "size", "verdict", "confidence", "support").agg(F.count("*").alias("n")).filter("n = size")
+    both = sets.filter((F.size("labels") == 1) & (F.size("items") > 0)).join(alone, "items").select("items", F.substring(F.col("labels")[0], len(LABEL) + 1, 1 << 20).alias("verdict"), (F.col("freq") / F.col("all")).alias("confidence"), F.col("freq").alias("support"))
+    return without_contained(both, confidence).withColumn("rule_id", F.xxhash64("verdict", "items")), classes
+
+
+def match(urls: DataFrame, rules: DataFrame, classes: DataFrame) -> DataFrame:
+    """url and the verdict of the surest rule of whose classes it has a token each, for the distinct ``url`` that have one."""
+    index = rules.select("rule_id", "verdict", "confidence", "support", F.size("items").alias("size"), F.explode("items").alias("class"))
+    found = urls.select("url").filter("url is not null").distinct().select("url", F.explode(tokens(F.col("url"))).alias("token")).join(classes, "token").select("url", "class").distinct()
+    full = found.join(index, "class").groupBy("url", "rule_id", "size", "verdict", "confidence", "support").agg(F.count("*").alias("n")).filter("n = size")
     return full.groupBy("url").agg(F.max(F.struct("confidence", "support", "size", "verdict")).alias("best")).select("url", F.col("best.verdict").alias("mined"), F.col("best.confidence").alias("mined_confidence"))
 
 
-def judge(pages: DataFrame, rules: dict[str, str], default: str = "allow", support: float = 0.005, confidence: float = 0.9, sample_rows: int = 20_000) -> DataFrame:
+def judge(pages: DataFrame, rules: dict[str, str], default: str = "allow", support: float = 0.005, confidence: float = 0.9, sample_rows: int = 20_000, least_count: int = LEAST_COUNT) -> DataFrame:
     """page_id, host, path, rule, verdict, and the confidence of the mined rule where that decides."""
     from .common import cut
 
     at, rest = host(F.col("url")), path(F.col("url"))
     rule, said = first_rule(rules, F.col("host"), F.col("path"))
     pages = pages.select("page_id", F.col("url").cast("string").alias("url")).withColumns({"host": at, "path": rest}).withColumns({"rule": rule, "said": said})
-    mined = cut(mine(pages.filter("said is not null").select("url", F.col("said").alias("verdict")), support, confidence, sample_rows))
+    mined, classes = mine(pages.filter("said is not null").select("url", F.col("said").alias("verdict")), support, confidence, sample_rows, least_count)
+    mined = cut(mined)
     # Only pages that are undecided and have a url are joined. The verdicts are a table, so that Spark can split a url that very many pages have.
     undecided = F.col("said").isNull() & F.col("url").isNotNull()
-    verdicts = cut(match(pages.filter(undecided), mined))
+    verdicts = cut(match(pages.filter(undecided), mined, classes))
     found = pages.filter(undecided).join(verdicts, "url", "left").select("page_id", "host", "path", "rule", F.coalesce("mined", F.lit(default)).alias("verdict"), "mined_confidence")
     rest = pages.filter(~undecided).select("page_id", "host", "path", "rule", F.coalesce("said", F.lit(default)).alias("verdict"), F.lit(None).cast("double").alias("mined_confidence"))
     return rest.union(found)

@@ -204,7 +204,7 @@ def test_url_rules(spark):
     urls += [None, "", "no scheme", "://", "http://org", "http://org?x", "http://ORG/é", "x://y://org/a", "http://notorg/", "http://a.com/fr", "http://a.com/fr/", "h://com/fr/\nq?"]
     rows = [(k, u) for k, u in enumerate(urls + rng.sample(urls, 5))] + [(None, "http://org/")]
     frame = spark.createDataFrame([(*x, "h") for x in rows], "page_id long, url string, host string")
-    got = urlrules.judge(frame, rules, support=0.02).collect()
+    got = urlrules.judge(frame, rules, support=0.02, least_count=1).collect()
     assert len(got) == len(rows)
     by = {x.page_id: x for x in got}
     labelled = []
