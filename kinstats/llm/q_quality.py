@@ -7,11 +7,11 @@ from .common import table
 
 
 def op1_quality_rules(spark, sf_dir):
-    """All counts are columns of the result, so the cascade runs on them: its rules are ordered by what they reject."""
+    """The cascade over all documents, ordered by what a sample of them says that its rules cost and reject. All counts are columns of the result, so it reads those."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     ready = {name: F.col(name) for name in q.COUNTS}
+    rules = q.in_order(docs, q.RULES)
     counted = q.measure(docs).withColumn("base_failed", q.cascade(q.BASE, None, ready))
-    rules = q.in_order(docs, q.RULES, list(q.COUNTS))
     return counted.select("doc_id", *q.COUNTS, "base_failed", (~F.col("base_failed") & ~q.cascade(rules, None, ready)).alias("kept"))
 
 

@@ -83,3 +83,11 @@ def test_stages_by_force(spark, tmp_path):
     assert {(x[0], x[1]): x[3] for x in results[4]} == want
     run = corpus_pipeline.run(spark, str(tmp_path))
     assert {(x.doc_id, x.piece): x.length for x in run.collect()} == want
+
+
+def test_stages_without_documents(spark, tmp_path):
+    docs, items = corpus()
+    kinds = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame(docs, kinds).limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
