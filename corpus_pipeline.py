@@ -12,6 +12,7 @@ from kinstats.llm.lsa import matches
 from kinstats.llm.packing import best_fit
 from kinstats.llm.quality import keep_good
 from kinstats.llm.similar import one_of_each
+from kinstats.storage import scope
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,14 +53,16 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in turn over the documents; each result is written to the shared folder and read again.
+    """All stages in turn over the documents; each result is written to the shared folder and read again, and the tables
+    that a stage saved on its way are deleted.
 
     Other columns pass through to the last stage; texts of any length are taken whole; without documents no stage has rows.
     """
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
+        with scope(spark):
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
         docs = spark.read.parquet(f"{folder}/{k}-{name}")
     return docs
 
