@@ -14,8 +14,8 @@ def _subsets(items: str) -> str:
     return f"unnest(list_transform(range(1, CAST(pow(2, len({items})) AS BIGINT)), lambda m: list_filter({items}, lambda x, i: (m >> (i - 1)) & 1 = 1)))"
 
 
-#: Mining by force: all combinations of the tokens of each labelled url are counted (they are fewer than ``sample_rows``
-#: here), rules are those with the support and confidence, and combinations find them again.
+#: Mining by force: all combinations of the tokens of each labelled url are counted, rules are those with the support and
+#: confidence, and combinations find them again.
 SQL = rf"""
 WITH u AS (SELECT page_id, url, regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1) AS h, regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path FROM pages),
 p AS (SELECT page_id, url, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, path FROM u),
@@ -29,7 +29,7 @@ t AS (SELECT DISTINCT url, said, list_sort(list_distinct(list_concat(list_transf
     list_transform(list_filter(list_transform(string_split(regexp_extract(url, '(?s)\?([^#]*)', 1), '&'), lambda x: string_split(x, '=')[1]), lambda x: x <> ''), lambda x: 'field=' || x)))) AS items FROM s WHERE url IS NOT NULL),
 b AS (SELECT url, said, {_subsets("items")} AS items FROM t),
 c AS (SELECT items, said AS verdict, count(*) AS n, sum(count(*)) OVER (PARTITION BY items) AS whole FROM b WHERE said IS NOT NULL GROUP BY items, said),
-r AS (SELECT items, verdict, n AS support, n / CAST(whole AS DOUBLE) AS confidence, len(items) AS size FROM c WHERE n >= greatest(5, 0.005 * (SELECT count(*) FROM t WHERE said IS NOT NULL)) AND n / CAST(whole AS DOUBLE) >= 0.9),
+r AS (SELECT items, verdict, n AS support, n / CAST(whole AS DOUBLE) AS confidence, len(items) AS size FROM c WHERE n >= 0.005 * (SELECT count(*) FROM t WHERE said IS NOT NULL) AND n / CAST(whole AS DOUBLE) >= 0.9),
 w AS (SELECT items AS whole_items, verdict, confidence, {_subsets("items")} AS items FROM r),
 worse AS (SELECT DISTINCT whole_items, w.verdict FROM w JOIN r ON r.items = w.items AND r.verdict = w.verdict AND r.confidence >= w.confidence AND r.size < len(whole_items)),
 kept AS (SELECT r.* FROM r LEFT JOIN worse ON worse.whole_items = r.items AND worse.verdict = r.verdict WHERE worse.verdict IS NULL),
