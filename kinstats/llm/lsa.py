@@ -1,11 +1,11 @@
 """Decontamination by latent semantic retrieval of benchmark passages.
 
-1. Passages of the benchmark are cut into retrieval parts of ``PART`` words at most, which overlap by half. A sample of
-   passages of the documents joins them (about ``sample_passages``, by hash; the axes follow from it, never a decision).
-   Frequencies over all these weight the benchmark's words (TF-IDF), within ``WEIGHTS``, so that no passage is without
-   length however often it leaks.
-2. Parts are taken in spaces of ``SPACE`` at most. For each a randomised SVD of the sparse rows, whose products with a
-   thin matrix Spark adds up over tasks, gives latent axes, half as many as it has parts. ``TOGETHER`` spaces share a scan.
+1. Passages of the benchmark are cut into retrieval parts of ``PART`` words at most, which overlap by half. All passages
+   of ``PART`` words of all documents join them. Frequencies over all these weight the benchmark's words (TF-IDF), within
+   ``WEIGHTS``, so that no passage is without length however often it leaks.
+2. Parts are taken in spaces of ``SPACE`` at most. For each a randomised SVD of the sparse rows gives latent axes, half as
+   many as it has parts: Spark adds up the rows' products of words over tasks, in blocks, and multiplies these with a thin
+   matrix. ``TOGETHER`` spaces share a scan.
 3. Every document is cut into overlapping windows, laid along the axes. Windows and parts whose latent vectors have a
    cosine of ``cosine`` or more, and of which the window covers ``covers`` of the part's length, are candidates for the
    whole passage where the part says that it should stand.
@@ -23,6 +23,7 @@ or no passages: an empty result; other columns are ignored.
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +39,10 @@ BLOCK = 12
 PART, SHORT = 48, 30
 #: Least and largest weight of a word.
 WEIGHTS = 1.5, 6.0
-#: Share of the benchmark's energy that the sampled passages of the documents get in the SVD.
+#: Share of the benchmark's energy that the passages of the documents get in the SVD.
 SHARE = 0.25
+#: Most products of words that a task adds up at a time, about, and that a block of them has.
+BAND_CELLS, BLOCK_CELLS = 1 << 24, 1 << 16
 #: Most parts of a space, and spaces that are compared in one scan of the documents.
 SPACE, TOGETHER = 384, 8
 
@@ -85,12 +88,9 @@ def weighed(word: np.ndarray, counts: np.ndarray, row: np.ndarray, rows: int, we
     return x / np.sqrt(np.maximum(np.bincount(row, x * x, rows), 1e-12))[row]
 
 
-def sampled_rows(docs: DataFrame, vocabulary: Vocabulary, sample_passages: int) -> DataFrame:
-    """(words, counts): sparse rows of about ``sample_passages`` passages of the documents."""
+def passage_rows(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """(words, counts): sparse rows of all passages of ``PART`` words of all documents that hold a word of the benchmark."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    n = docs.count()
-    share = min(1.0, sample_passages / 4 / max(1, n))
-    few = docs.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)) + 1))
 
     def run(batches):
         vocabulary = shared.value
@@ -98,19 +98,15 @@ def sampled_rows(docs: DataFrame, vocabulary: Vocabulary, sample_passages: int)
             for part in pieces(batch, "text", 1 << 20):
                 split = [words_of(x) for x in part.column(part.schema.get_field_index("text")).to_pylist()]
                 lengths = np.array([len(x) for x in split], np.int64)
-                # Four passages a document at most, spread over it.
-                begin = np.cumsum(lengths) - lengths
+                begin, passages = np.cumsum(lengths) - lengths, -(-lengths // PART)
                 within = np.arange(int(lengths.sum())) - np.repeat(begin, lengths)
-                size = np.repeat(np.maximum(PART, -(-lengths // 4)), lengths)
-                keep = within % size < PART
-                row = np.repeat(np.arange(len(split)) * 4, lengths) + within // size
-                ids = vocabulary.of([w for x in split for w in x])
-                r, w, c = sparse(ids[keep], row[keep], vocabulary.size)
+                row = np.repeat(np.cumsum(passages) - passages, lengths) + within // PART
+                r, w, c = sparse(vocabulary.of([w for x in split for w in x]), row, vocabulary.size)
                 cuts = np.flatnonzero(np.concatenate(([True], r[1:] != r[:-1]))) if len(r) else np.zeros(0, np.int64)
                 offsets = pa.array(np.append(cuts, len(r)).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(offsets, pa.array(w)), pa.ListArray.from_arrays(offsets, pa.array(c.astype(np.int64)))], ["words", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int32))) for x in (w, c)], ["words", "counts"])
 
-    return few.select("text").mapInArrow(run, "words array<long>, counts array<long>")
+    return docs.select("text").mapInArrow(run, "words array<int>, counts array<int>")
 
 
 def flat(batch) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
@@ -122,48 +118,91 @@ def flat(batch) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
 
 def frequencies(rows: DataFrame, size: int) -> tuple[np.ndarray, int]:
     """Rows that hold each word, and all rows."""
+
+    def run(batches):
+        total = np.zeros(size, np.int64)
+        for batch in batches:
+            total += np.bincount(batch.column(0).flatten().to_numpy(), minlength=size)
+        held = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(total[held])], ["w", "n"])
+
     counts = np.zeros(size, np.int64)
-    for w, n in rows.select(F.explode("words").alias("w")).groupBy("w").agg(F.count("*")).collect():  # the vocabulary's size at most
+    for w, n in rows.select("words").mapInArrow(run, "w long, n long").groupBy("w").agg(F.sum("n")).collect():  # the vocabulary's size at most
         counts[w] = n
     return counts, rows.count()
 
 
+def products(rows: DataFrame, local: np.ndarray, weights: np.ndarray) -> DataFrame:
+    """(at, part): A' A, where A has the TF-IDF values of ``rows`` (words, counts, scale), times their scale; ``part`` has the
+    products of some words, from ``at`` on, with all words. Blocks without a product are left out.
+
+    A task adds up ``BAND_CELLS`` at a time; with more of them, the words are taken in bands and the rows read once for each.
+    """
+    size = len(weights)
+    width = max(1, BLOCK_CELLS // size)
+    band = max(1, BAND_CELLS // size // width) * width
+    shared = rows.sparkSession.sparkContext.broadcast((local, weights))
+
+    def of(low: int, high: int):
+        def run(batches):
+            local, weights = shared.value
+            total = np.zeros((high - low) * size, np.float32)
+            for batch in batches:
+                for some in (batch.slice(at, 512) for at in range(0, batch.num_rows, 512)):
+                    row, word, counts, n = flat(some)
+                    known = local[word] >= 0
+                    row, word, counts = row[known], local[word[known]], counts[known]
+                    x = (weighed(word, counts, row, n, weights) * some.column(2).to_numpy()[row]).astype(np.float32)
+                    lengths = np.bincount(row, minlength=n)
+                    begin = np.cumsum(lengths) - lengths
+                    # Each word of the band meets all words of its row.
+                    own = np.flatnonzero((word >= low) & (word < high))
+                    many = lengths[row[own]]
+                    left = np.repeat(own, many)
+                    right = np.arange(len(left)) + np.repeat(begin[row[own]] - (np.cumsum(many) - many), many)
+                    np.add.at(total, (word[left] - low) * size + word[right], x[left] * x[right])
+            for at in range(low, high, width):
+                block = total[(at - low) * size : (at - low + width) * size]
+                cells = np.flatnonzero(block)
+                if len(cells):
+                    yield pa.RecordBatch.from_arrays([pa.array([at]), *(pa.ListArray.from_arrays(pa.array([0, len(cells)], pa.int32()), x) for x in (pa.array(cells.astype(np.int32)), pa.array(block[cells])))], ["at", "cells", "sums"])
+
+        return run
+
+    def add(key, parts):
+        at = key[0].as_py()
+        cells, sums = (np.concatenate([x.flatten().to_numpy() for x in parts[name].chunks]) for name in ("cells", "sums"))
+        total = np.bincount(cells, sums, min(width, size - at) * size).astype(np.float32)
+        return pa.table({"at": pa.array([at]), "part": pa.ListArray.from_arrays(pa.array([0, len(total)], pa.int32()), pa.array(total))})
+
+    rows = rows.select("words", "counts", "scale")
+    bands = [rows.mapInArrow(of(low, min(size, low + band)), "at long, cells array<int>, sums array<float>") for low in range(0, size, band)]
+    return reduce(DataFrame.union, bands).groupBy("at").applyInArrow(add, "at long, part array<float>")
+
+
 def latent_axes(rows: DataFrame, local: np.ndarray, weights: np.ndarray, rank: int, rounds: int = 2, seed: int = 5) -> np.ndarray:
     """Orthonormal axes (word x rank): the right singular vectors of the TF-IDF matrix of ``rows`` (words, counts, scale),
-    by randomised subspace iteration; tasks multiply their rows, Spark adds up, the driver holds word x rank numbers.
+    by randomised subspace iteration over its saved ``products``; the driver holds word x rank numbers.
 
     ``local`` numbers the words of the space (-1: none of it), ``weights`` are theirs.
     """
     size = len(weights)
-    spark = rows.sparkSession
-    shared = spark.sparkContext.broadcast((local, weights))
+    blocks = saved(products(rows, local, weights))
 
     def times(thin: np.ndarray) -> np.ndarray:
         """A' A thin, where A has the rows, times their scale."""
-        right = spark.sparkContext.broadcast(thin)
+        right = rows.sparkSession.sparkContext.broadcast(thin)
 
         def run(batches):
-            local, weights = shared.value
-            total = np.zeros_like(right.value)
             for batch in batches:
-                row, word, counts, n = flat(batch)
-                known = local[word] >= 0
-                row, word, counts = row[known], local[word[known]], counts[known]
-                x = weighed(word, counts, row, n, weights)[:, None].astype(np.float32)
-                scale = batch.column(2).to_numpy()[row, None].astype(np.float32)
-                product = np.zeros((n, thin.shape[1]), np.float32)
-                np.add.at(product, row, x * scale * right.value[word])
-                np.add.at(total, word, x * scale * product[row])
-            for at in range(0, len(total), 1024):
-                yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([total[at : at + 1024].ravel().tolist()], pa.list_(pa.float32()))], ["at", "part"])
-
-        def add(key, parts):
-            total = np.sum([np.array(x, np.float64) for x in parts["part"].to_pylist()], 0)
-            return pa.table({"at": pa.array([key[0].as_py()]), "part": pa.array([total.tolist()], pa.list_(pa.float64()))})
+                for at in range(batch.num_rows):
+                    block = batch.column(1)[at].values.to_numpy().reshape(-1, len(right.value)) @ right.value
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 1), pa.array([block.ravel()], pa.list_(pa.float32()))], ["at", "part"])
 
         out = np.zeros(thin.shape)
-        for at, part in rows.select("words", "counts", "scale").mapInArrow(run, "at long, part array<float>").groupBy("at").applyInArrow(add, "at long, part array<double>").collect():  # words of the benchmark x rank
-            out[at : at + 1024] = np.array(part).reshape(-1, thin.shape[1])
+        for at, part in blocks.mapInArrow(run, "at long, part array<float>").collect():  # words of the benchmark x rank
+            block = np.array(part).reshape(-1, thin.shape[1])
+            out[at : at + len(block)] = block
         return out
 
     axes = np.random.default_rng(seed).standard_normal((size, min(rank + 16, size))).astype(np.float32)
@@ -193,7 +232,7 @@ def places(words) -> dict[int, int]:
     return out
 
 
-def matches(docs: DataFrame, items: DataFrame, cosine: float = 0.5, covers: float = 0.4, sure: float = 0.7, likely: float = 0.5, answer: float = 0.8, slice_bytes: int = 4 << 20, sample_passages: int = 8192) -> DataFrame:
+def matches(docs: DataFrame, items: DataFrame, cosine: float = 0.5, covers: float = 0.4, sure: float = 0.7, likely: float = 0.5, answer: float = 0.8, slice_bytes: int = 4 << 20) -> DataFrame:
     """(doc_id, item_id, cosine, lcs, answer, start): every document and passage of which it holds a copy or paraphrase;
     ``start`` is about where the passage begins, in words. The benchmark is collected ``slice_bytes`` at a time."""
     items = cut(items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null"))
@@ -205,7 +244,7 @@ def matches(docs: DataFrame, items: DataFrame, cosine: float = 0.5, covers: floa
         named = [(i, t) for i, t in sorted(map(tuple, some.collect()), key=str) if words_of(t)]  # slice_bytes, about
         if named:
             passages = Passages(named)
-            spaces = spaces_of(docs, passages, sample_passages)
+            spaces = spaces_of(docs, passages)
             for at in range(0, len(spaces), TOGETHER):
                 out = out.union(_compared(docs, passages, spaces[at : at + TOGETHER], cosine, covers, sure, likely, answer))
     return out
@@ -240,7 +279,7 @@ class Space:
         n += len(parts)
         weights = np.clip(np.log((n + 1) / (counts[own] + np.bincount(self.local[word], minlength=len(own)) + 1)), *WEIGHTS).astype(np.float32)
         cuts = np.append(np.flatnonzero(np.concatenate(([True], r[1:] != r[:-1]))), len(r)).astype(np.int32)
-        rows = spark.createDataFrame(pa.table({"words": pa.ListArray.from_arrays(pa.array(cuts), pa.array(word)), "counts": pa.ListArray.from_arrays(pa.array(cuts), pa.array(c.astype(np.int64)))}))
+        rows = spark.createDataFrame(pa.table({"words": pa.ListArray.from_arrays(pa.array(cuts), pa.array(word.astype(np.int32))), "counts": pa.ListArray.from_arrays(pa.array(cuts), pa.array(c.astype(np.int32)))}))
         scale = float(np.sqrt(SHARE * len(parts) / max(1, n - len(parts))))
         rows = others.withColumn("scale", F.lit(scale)).union(rows.withColumn("scale", F.lit(1.0)))
         axes = latent_axes(rows, self.local, weights, max(1, min(max(16, len(parts) // 2), n - 1)))
@@ -252,8 +291,8 @@ class Space:
         self.latent = latent / self.lengths[:, None]
 
 
-def spaces_of(docs: DataFrame, passages: Passages, sample_passages: int) -> list[Space]:
-    others = saved(sampled_rows(docs, passages.vocabulary, sample_passages))
+def spaces_of(docs: DataFrame, passages: Passages) -> list[Space]:
+    others = saved(passage_rows(docs, passages.vocabulary))
     counts, n = frequencies(others, passages.vocabulary.size)
     return [Space(passages, passages.parts[at : at + SPACE], others, counts, n) for at in range(0, len(passages.parts), SPACE)]
 

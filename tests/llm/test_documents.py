@@ -338,6 +338,39 @@ def test_decontamination_finds_passages_of_any_length(spark, n_docs):
     assert found.count((9000, 0)) == 2 * ((0, 0) in want)
 
 
+def test_decontamination_weighs_words_by_all_passages_of_all_documents(spark, monkeypatch):
+    rng = random.Random(16)
+    words = [f"w{k}" for k in range(300)]
+    docs = [(k, " ".join(rng.choice(words) for _ in range(rng.choice((0, 3, 47, 48, 49, 130))))) for k in range(3000)] + [(9000, " ".join(rng.choice(words) for _ in range(5000))), (9001, None)]
+    items = [(k, " ".join(rng.sample(words[:200], 20))) for k in range(12)]
+    seen, space = [], lsa.Space.__init__
+    monkeypatch.setattr(lsa.Space, "__init__", lambda self, passages, parts, others, counts, n: seen.append((passages.vocabulary.ids, counts, n)) or space(self, passages, parts, others, counts, n))
+    lsa.matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).count()
+    known = {w for _, t in items for w in t.split()}
+    rows = [known & set(own[at : at + lsa.PART]) for _, t in docs for own in [(t or "").split()] for at in range(0, len(own), lsa.PART)]
+    want = collections.Counter(w for x in rows for w in x)
+    (ids, counts, n), = seen
+    assert n == sum(map(bool, rows)) and {w.decode(): counts[k] for w, k in ids.items()} == dict(want)
+
+
+@pytest.mark.parametrize("cells", [(1 << 24, 1 << 16), (500, 100), (1, 1)])
+def test_products_of_words_in_bands_and_blocks(spark, monkeypatch, cells):
+    monkeypatch.setattr(lsa, "BAND_CELLS", cells[0])
+    monkeypatch.setattr(lsa, "BLOCK_CELLS", cells[1])
+    rng = np.random.default_rng(17)
+    a = np.where(rng.random((1300, 31)) < 0.3, rng.integers(1, 4, (1300, 31)), 0)
+    a[:, 7] = a[5] = 0
+    scale, weights = rng.random(1300), np.linspace(1, 2, 30).astype(np.float32)
+    frame = spark.createDataFrame([(np.flatnonzero(x).tolist(), x[x > 0].tolist(), float(s)) for x, s in zip(a, scale)], "words array<int>, counts array<int>, scale double").repartition(3)
+    got = np.zeros((30, 30))
+    for at, part in lsa.products(frame, np.arange(31) - 1, weights).collect():
+        block = np.array(part).reshape(-1, 30)
+        got[at : at + len(block)] += block
+    x = a[:, 1:] * weights
+    x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-6) * scale[:, None]
+    assert np.allclose(got, x.T @ x, rtol=1e-4, atol=1e-5)
+
+
 def test_latent_axes_are_singular_vectors(spark):
     rng = random.Random(10)
     rows = [[(w, rng.randint(1, 3)) for w in sorted(rng.sample(range(40), 12))] for _ in range(25)]
