@@ -91,3 +91,16 @@ def test_stages_without_documents(spark, tmp_path):
     spark.createDataFrame(docs, kinds).limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_decontamination_stage_weighs_words_by_all_passages(spark, tmp_path, monkeypatch):
+    from kinstats.llm import lsa
+
+    docs = [(k, " ".join(["often" if k % 3 else "seldom", *(f"x{j}" for j in range(k % 90))])) for k in range(3000)]
+    spark.createDataFrame([(1, "often seldom never. Often seldom never.")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    seen, space = [], lsa.Space.__init__
+    monkeypatch.setattr(lsa.Space, "__init__", lambda self, passages, parts, others, counts, n: seen.append((passages.vocabulary.ids, counts, n)) or space(self, passages, parts, others, counts, n))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    assert corpus_pipeline.benchmark_decontamination(spark, frame, str(tmp_path)).count() == 3000
+    (ids, counts, n), = seen
+    assert n == 3000 and {w: counts[k] for w, k in ids.items()} == {b"often": 2000, b"seldom": 1000, b"never": 0}
