@@ -28,6 +28,8 @@ from .simhash import distances, majority, near_in_table, pivots, shingle_hashes
 
 LAST = (1 << 63) - 1
 SKETCH = "doc long, same long, other long, fp long, draws array<long>"
+#: Which bits of an id's hash are its places in a bitmap.
+SHIFTS = (0, 32)
 
 
 def sketches(docs: DataFrame, size: int, bands: int, seed: int = 3) -> DataFrame:
@@ -54,16 +56,36 @@ def sketches(docs: DataFrame, size: int, bands: int, seed: int = 3) -> DataFrame
     return docs.select("doc", "text").mapInArrow(run, SKETCH)
 
 
-def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
-    """doc and its distinct shingles, as 32-bit hashes."""
+def bitmap(ids: DataFrame, bits: int = 1 << 23) -> bytes:
+    """``bits`` bits (a power of two), of which each ``doc`` of ``ids`` sets two; however many ids there are, no more reach the driver."""
+    at = ids.select(F.explode(F.array(*(F.shiftright(F.xxhash64("doc"), k).bitwiseAND(F.lit(bits - 1)) for k in SHIFTS))).alias("at"))
+    found = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("set")).toArrow()
+    words = np.zeros(bits // 64, np.int64)
+    words[found.column("word").to_numpy()] = found.column("set").to_numpy()
+    return words.tobytes()
+
+
+def shingle_sets(docs: DataFrame, size: int, wanted: DataFrame, bits: int = 1 << 23) -> DataFrame:
+    """doc and its distinct shingles, as 32-bit hashes, of the documents that are in ``wanted``.
+
+    Texts are not sent: each task passes over those that a bitmap of the wanted ids rules out, and of the others their
+    sets meet ``wanted``, which decides.
+    """
+    marks = docs.sparkSession.sparkContext.broadcast(bitmap(wanted, bits))
 
     def run(batches):
+        words = np.frombuffer(marks.value, np.int64)
         for whole in batches:
-            for batch in pieces(whole, "text"):
+            hashes = whole.column(2).to_numpy()
+            kept = np.ones(len(hashes), bool)
+            for k in SHIFTS:
+                at = (hashes >> k) & (bits - 1)
+                kept &= (words[at >> 6] >> (at & 63)) & 1 == 1
+            for batch in pieces(whole.filter(pa.array(kept)), "text"):
                 sets = [np.unique((np.array(shingle_hashes(x, size), np.uint64) >> np.uint64(32)).astype(np.uint32)).view(np.int32) for x in text_bytes(batch.column(1))]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int32()))], ["doc", "set"])
 
-    return docs.select("doc", "text").mapInArrow(run, "doc long, set array<int>")
+    return docs.select("doc", "text", F.xxhash64("doc").alias("hash")).mapInArrow(run, "doc long, set array<int>").join(wanted, "doc", "left_semi")
 
 
 def similar(a: Column, b: Column, similarity: float) -> Column:
@@ -93,8 +115,8 @@ def groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, bands: int =
     some = some.select("draw", F.explode(F.array_distinct(F.array(*(f"s{k}" for k in range(sampled))))).alias("s")).select("draw", "s.*")
     first = crowded.alias("a").join(some.alias("b"), (F.col("a.draw") == F.col("b.draw")) & (F.col("a.node") != F.col("b.node")) & near).select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b"))
     pairs = saved(pairs.union(first).distinct())
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc")).union(crowded.select(F.col("node").alias("doc"))).distinct()
-    sets = saved(shingle_sets(docs.join(wanted, "doc", "left_semi"), size).dropDuplicates(["doc"]))
+    wanted = saved(pairs.select(F.explode(F.array("a", "b")).alias("doc")).union(crowded.select(F.col("node").alias("doc"))).distinct())
+    sets = saved(shingle_sets(docs, size, wanted).dropDuplicates(["doc"]))
     links = saved(verified(pairs, sets, similarity))
     if not crowded.isEmpty():
         held = saved(crowded.select("node", "draw", "fp", "table").join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node")))

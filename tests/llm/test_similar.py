@@ -73,6 +73,34 @@ def test_groups_of_texts_that_repeat_phrases_match_brute_force(spark):
         assert dict(map(tuple, similar.groups(frame, hot=hot, sampled=2).collect())) == want, hot
 
 
+def exchanged(plan):
+    """Columns of what a plan sends, a line for each exchange."""
+    if plan.nodeName() == "AdaptiveSparkPlan":
+        plan = plan.initialPlan()
+    below = [x for k in range(plan.children().size()) for x in exchanged(plan.children().apply(k))]
+    return [plan.output().toString()] * (plan.nodeName() == "Exchange") + below
+
+
+def test_near_dedup_sends_no_texts(spark, monkeypatch):
+    sent, save = [], similar.saved
+    monkeypatch.setattr(similar, "saved", lambda df: sent.extend(exchanged(df._jdf.queryExecution().executedPlan())) or save(df))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if no table were small
+    try:
+        similar.groups(spark.createDataFrame([x for x in corpus() if x[0] is not None], "doc long, text string"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert any("set#" in x for x in sent) and not any("text#" in x for x in sent)
+
+
+@pytest.mark.parametrize("bits", [64, 1 << 23])
+def test_sets_of_wanted_documents_only(spark, bits):
+    docs = [(k * k - 50, f"a{k} b c d e f a{k} b c d e") for k in range(200)] + [(-1, None)]
+    wanted = [(d,) for d, _ in docs[::7]] + [(-1,)]
+    out = similar.shingle_sets(spark.createDataFrame(docs, "doc long, text string"), 5, spark.createDataFrame(wanted, "doc long"), bits)
+    got = {x.doc: len(x.set) for x in out.collect()}
+    assert got == {d: len(set(shingles(t, 5))) for d, t in docs if (d,) in wanted}
+
+
 def test_one_of_each_keeps_columns_and_least_ids(spark):
     rows = [(5, "a b c d e f g", "x"), (3, "A b c d e  f g", "y"), (9, "z z z", None), (9, "z z z", None), (None, "a b c d e f g", "n"), (None, None, "n")]
     frame = spark.createDataFrame(rows, "doc_id long, text string, same string")
