@@ -40,7 +40,7 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Sequences of at most 2048 tokens; a null or empty text is its end token alone."""
     import public_tokenizers
 
-    return best_fit(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return best_fit(docs, public_tokenizers.path("word_bpe_49k.json"), known=100_000)
 
 
 STAGES = [

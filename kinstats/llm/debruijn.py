@@ -29,6 +29,8 @@ from .spans import BASES, Rolling, anchors, covered
 
 LAST = (1 << 63) - 1
 KMER = 6
+#: Bytes of text that a task takes at a time, and words whose hashes it remembers: a worker keeps what its largest task took.
+PIECE, KNOWN = 1 << 20, 50_000
 
 
 def sources(docs: DataFrame, *more: str) -> DataFrame:
@@ -42,7 +44,7 @@ def _words(batch, cache):
     """Hashes of the words of all texts, end to end, and the number of words of each."""
     split = [x.split() for x in text_bytes(batch.column(batch.schema.get_field_index("text")))]
     lengths = np.array([len(x) for x in split], np.int64)
-    return word_hashes([w for x in split for w in x], cache), lengths
+    return word_hashes([w for x in split for w in x], cache, KNOWN), lengths
 
 
 def occurrences(docs: DataFrame, width: int) -> DataFrame:
@@ -51,7 +53,7 @@ def occurrences(docs: DataFrame, width: int) -> DataFrame:
     def run(batches):
         cache = {}
         for whole in batches:
-            for batch in pieces(whole, "text"):
+            for batch in pieces(whole, "text", PIECE):
                 words, lengths = _words(batch, cache)
                 document, place, first, n = anchors(Rolling(words).fixed(KMER), lengths, width, KMER)
                 runs = Rolling(words, BASES[1])
@@ -71,7 +73,7 @@ def path_windows(docs: DataFrame, width: int) -> DataFrame:
     def run(batches):
         cache = {}
         for whole in batches:
-            for batch in pieces(whole, "text"):
+            for batch in pieces(whole, "text", PIECE):
                 words, lengths = _words(batch, cache)
                 if not len(words):
                     continue
@@ -134,7 +136,7 @@ def digest(docs: DataFrame, width: int = 20) -> DataFrame:
 
     def run(batches):
         for whole in batches:
-            for batch in pieces(whole, "text"):
+            for batch in pieces(whole, "text", PIECE):
                 out = [(len(words), int(gone.sum()), hashlib.sha256(b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g] if gone.any() else words)).hexdigest()) for words, gone in removed_words(batch, width)]
                 yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")), *(pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.string())))], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
@@ -148,7 +150,7 @@ def without_repeats(docs: DataFrame, width: int = 20) -> DataFrame:
 
     def run(batches):
         for whole in batches:
-            for batch in pieces(whole, "text"):
+            for batch in pieces(whole, "text", PIECE):
                 old = batch.column(batch.schema.get_field_index("text")).to_pylist()
                 new = [b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g]).decode() if gone.any() else was for was, (words, gone) in zip(old, removed_words(batch, width), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()) if c == "text" else batch.column(batch.schema.get_field_index(f"_{k}")) for k, c in enumerate(names)], names)

@@ -112,18 +112,18 @@ class WordIds:
 
 
 @functools.lru_cache(maxsize=1)
-def word_ids(path: str) -> WordIds:
+def word_ids(path: str, limit: int) -> WordIds:
     """One for each worker process, whose tasks follow each other: what one has learnt helps the next."""
-    return WordIds(path)
+    return WordIds(path, limit)
 
 
-def cut_documents(docs: DataFrame, tokenizer: str, length: int = 2048, end: int = 0) -> DataFrame:
+def cut_documents(docs: DataFrame, tokenizer: str, length: int = 2048, end: int = 0, known: int = 400_000) -> DataFrame:
     """A row for each piece of each document: where it starts among its document's ids, its length, and the CRC-32 of its ids."""
 
     def run(batches):
-        ids = word_ids(tokenizer)
+        ids = word_ids(tokenizer, known)
         stop = np.array([end], "<u4").tobytes()
-        for batch in (part for whole in batches for part in pieces(whole, "text")):
+        for batch in (part for whole in batches for part in pieces(whole, "text", 1 << 20)):
             out = [[], [], [], [], []]
             for doc_id, raw in zip(batch.column(0).to_pylist(), ids.of(text_bytes(batch.column(1))), strict=True):
                 raw += stop
@@ -204,5 +204,6 @@ def pack(cut_up: DataFrame, length: int = 2048, group_rows: int = 100_000) -> Da
     return out.drop("full")
 
 
-def best_fit(docs: DataFrame, tokenizer: str, length: int = 2048, end: int = 0) -> DataFrame:
-    return pack(cut_documents(docs, tokenizer, length, end), length)
+def best_fit(docs: DataFrame, tokenizer: str, length: int = 2048, end: int = 0, known: int = 400_000) -> DataFrame:
+    """``known``: how many words a worker remembers; it holds them in the stages that follow, too."""
+    return pack(cut_documents(docs, tokenizer, length, end, known), length)

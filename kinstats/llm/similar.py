@@ -40,7 +40,7 @@ def sketches(docs: DataFrame, size: int, bands: int, seed: int = 3) -> DataFrame
         import xxhash
 
         for whole in batches:
-            for batch in pieces(whole, "text"):
+            for batch in pieces(whole, "text", 1 << 20):
                 out = [[], [], [], []]
                 for text in text_bytes(batch.column(1)):
                     hashes = np.unique(np.array(shingle_hashes(text, size), np.uint64))  # a set, as the similarity is of sets
@@ -81,7 +81,7 @@ def shingle_sets(docs: DataFrame, size: int, wanted: DataFrame, bits: int = 1 <<
             for k in SHIFTS:
                 at = (hashes >> k) & (bits - 1)
                 kept &= (words[at >> 6] >> (at & 63)) & 1 == 1
-            for batch in pieces(whole.filter(pa.array(kept)), "text"):
+            for batch in pieces(whole.filter(pa.array(kept)), "text", 1 << 20):
                 sets = [np.unique((np.array(shingle_hashes(x, size), np.uint64) >> np.uint64(32)).astype(np.uint32)).view(np.int32) for x in text_bytes(batch.column(1))]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int32()))], ["doc", "set"])
 
