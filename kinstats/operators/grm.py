@@ -100,12 +100,12 @@ def grm_for_pairs(pairs: DataFrame, genotypes: DataFrame, freqs: DataFrame, miss
     b = weights.select(F.col("sample_id").alias("id2"), "variant_id", F.col("w").alias("w2"))
     pairs = counted(pairs, "id1", "id2")
     sums = pairs.select("id1", "id2").join(a, "id1").join(b, ["id2", "variant_id"]).groupBy("id1", "id2").agg(F.count("*").alias("n_snps"), F.sum(F.col("w1") * F.col("w2")).alias("s"))
-    return divided(pairs, sums, ["id1", "id2"], n)
+    return divided(listed_again(pairs.join(sums, ["id1", "id2"], "left")), n)
 
 
-def divided(pairs: DataFrame, sums: DataFrame, ids: list[str], n: int | None = None) -> DataFrame:
-    """``pairs`` (ids, _times), each as often as it is listed, with n_snps and grm from ``sums`` (ids, n_snps, s); ``n``: what all sums are divided by."""
-    found = listed_again(pairs.join(sums, ids, "left"))
+def divided(found: DataFrame, n: int | None = None) -> DataFrame:
+    """``found`` with n_snps and grm from its sums (n_snps, s); ``n``: what all sums are divided by."""
+    rest = [c for c in found.columns if c not in ("n_snps", "s")]
     if n is not None:
-        return found.select(*ids, F.lit(n).cast("long").alias("n_snps"), (F.when(F.lit(n > 0), F.coalesce("s", F.lit(0.0)) / F.lit(float(max(n, 1))))).alias("grm"))
-    return found.select(*ids, F.coalesce("n_snps", F.lit(0)).cast("long").alias("n_snps"), F.when(F.col("n_snps") > 0, F.try_divide("s", "n_snps")).alias("grm"))
+        return found.select(*rest, F.lit(n).cast("long").alias("n_snps"), (F.when(F.lit(n > 0), F.coalesce("s", F.lit(0.0)) / F.lit(float(max(n, 1))))).alias("grm"))
+    return found.select(*rest, F.coalesce("n_snps", F.lit(0)).cast("long").alias("n_snps"), F.when(F.col("n_snps") > 0, F.try_divide("s", "n_snps")).alias("grm"))

@@ -137,6 +137,72 @@ def test_absent_rows_are_missing(spark, samples):
             pack_genotypes(spark.createDataFrame(bad, "sample_idx int, variant_id int, a1 int"), samples).collect()
 
 
+def few_and_brute(spark, samples=60, variants=30):
+    """Long genotypes, their packed rows, pairs of which some repeat either way round, and n_snps and relatedness by brute force."""
+    rng = np.random.default_rng(8)
+    a1, rows = random_genotypes(rng, samples, variants)
+    long = spark.createDataFrame(rows, "sample_id int, variant_id int, a1 int")
+    listed = [tuple(map(int, x)) for x in rng.integers(0, samples, (700, 2))] + [(3, 5), (5, 3), (3, 5), (7, 7)]
+    p = np.nanmean(a1, 0) / 2
+    w = (a1 - 2 * p) / np.sqrt(2 * p * (1 - p))
+    want = {(i, j): (int((~np.isnan(w[i] * w[j])).sum()), pytest.approx(np.nanmean(w[i] * w[j]))) for i, j in listed}
+    return long, pack_genotypes(long.withColumnRenamed("sample_id", "sample_idx"), samples), listed, want
+
+
+def test_ranges_deal_pairs_in_few_pieces_of_bounded_sums(spark, monkeypatch):
+    _, codes, listed, want = few_and_brute(spark)
+    pairs = spark.createDataFrame(listed, "idx1 int, idx2 int")
+    seen, real = [], packed.saved
+    monkeypatch.setattr(packed, "saved", lambda df: (seen.append(out := real(df)), out)[1])
+    got = grm_from_packed(pairs, codes, samples=60, max_pairs=0, samples_a_block=24).collect()
+    assert sorted((x.idx1, x.idx2) for x in got) == sorted(listed) and {(x.idx1, x.idx2): (x.n_snps, x.grm) for x in got} == want
+    pieces = [x for df in seen if "pieces" in df.columns for x in df.collect()]
+    assert len(pieces) == 9 and all(x.pieces == 1 for x in pieces)  # not as many as there are pairs
+    for tile_pairs, group_bytes in ((5, 64 << 20), (5, 50)):
+        got = grm_from_packed(pairs, codes, samples=60, max_pairs=0, samples_a_block=24, tile_pairs=tile_pairs, group_bytes=group_bytes).collect()
+        assert sorted((x.idx1, x.idx2) for x in got) == sorted(listed) and {(x.idx1, x.idx2): (x.n_snps, x.grm) for x in got} == want
+    # However wide a range is, sums are held tile by tile.
+    rng, shapes = np.random.default_rng(2), []
+    monkeypatch.setattr(packed, "TILE_WIDTH", 8)
+    monkeypatch.setattr(packed, "Tile", type("Seen", (packed.Tile,), {"sums": lambda self, old=packed.Tile.sums: (shapes.append(self.total.shape), old(self))[1]}))
+    rows, p, places = rng.integers(0, 256, (12, 20), np.uint8), rng.uniform(0.2, 0.8, 12), rng.integers(0, 80, (6000, 2))
+    n, s = packed.tiled_sums(rows, p, places, True)
+    assert len(shapes) >= 100 and max(np.prod(x) for x in shapes) <= 64
+    whole = packed.Tile(places, True)
+    packed.weigh(rows, p, np.arange(80), [whole])
+    assert (whole.sums()[0] == n).all() and whole.sums()[1] == pytest.approx(s)
+
+
+def test_lists_of_pairs_hold_each_as_often_as_it_is_listed(spark):
+    rng = np.random.default_rng(1)
+    listed = [tuple(map(int, x)) for x in rng.integers(0, 50, (2000, 2))] + [(70_000, 3), (3, 70_000), (1 << 30, 1 << 30)]
+    pairs = spark.createDataFrame(listed, "idx1 int, idx2 int")
+    found = []
+    for x in packed.in_lists(pairs, 16).collect():
+        keys = packed.from_list(x.n, x.kind, bytes(x.steps))
+        found += [(k // 16 + 16 * x.block1, k % 16 + 16 * x.block2) for k in keys.tolist()]
+    assert sorted(found) == sorted(listed)
+    once = [(x.idx1, x.idx2) for x in packed.pairs_once(pairs, 16).collect()]
+    assert sorted(once) == sorted({(min(x), max(x)) for x in listed})
+    for bad in ((None, 1), (-1, 2)):
+        with pytest.raises(Exception, match="null or below zero"):
+            packed.pairs_once(spark.createDataFrame([bad], "idx1 int, idx2 int")).collect()
+
+
+def test_few_genotypes_go_to_the_pairs(spark):
+    _, codes, listed, want = few_and_brute(spark)
+    pairs = spark.createDataFrame([(i, j, f"line {k}") for k, (i, j) in enumerate(listed)] + [(1, 60_000, "beyond")], "idx1 int, idx2 int, line string")
+    got = grm_from_packed(pairs, codes, samples=60, max_pairs=0, keep=("line",))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    rows = {x.line: x for x in got.collect()}
+    assert len(rows) == len(listed) + 1 and (rows["beyond"].n_snps, rows["beyond"].grm) == (0, None)
+    assert all((x.n_snps, x.grm) == want[x.idx1, x.idx2] and listed[int(k[5:])] == (x.idx1, x.idx2) for k, x in rows.items() if k != "beyond")
+    # By ranges, other columns stay too.
+    again = grm_from_packed(pairs.filter("line <> 'beyond'"), codes, samples=60, max_pairs=0, samples_a_block=8, keep=("line",)).collect()
+    assert len(again) == len(listed) and all((x.n_snps, x.grm) == want[x.idx1, x.idx2] and listed[int(x.line[5:])] == (x.idx1, x.idx2) for x in again)
+
+
 def test_dense_and_sparse_tiles_give_the_same_sums():
     rng = np.random.default_rng(4)
     codes, p, samples = rng.integers(0, 256, (150, 20), np.uint8), rng.uniform(0.2, 0.8, 150), np.arange(78)
