@@ -1,7 +1,7 @@
 """Genetic relatedness of listed pairs, without the matrix of all pairs.
 
-Here from long genotypes, by joins alone and with a row for each pair and variant; ``packed`` has the same from packed
-rows. A pair that is listed several times, or either way round, is judged alike and has a row each time.
+Here from long genotypes: those of few variants, all of them copies from 0 to 2, are packed and go to all tasks; others meet by
+joins alone, with a row for each pair and variant. ``packed`` has the same from packed rows. A pair that is listed several times, or either way round, is judged alike and has a row each time.
 """
 
 from __future__ import annotations
@@ -94,7 +94,12 @@ def grm_for_pairs(pairs: DataFrame, genotypes: DataFrame, freqs: DataFrame, miss
 
     With ``missing`` mean, a missing genotype counts as the mean and the sum is divided by all variants that vary.
     """
+    from .packed import grm_from_few  # which needs what is above
+
     n = all_variants(genotypes, freqs) if how(missing) else None
+    found = grm_from_few(pairs, genotypes, freqs, n)
+    if found is not None:
+        return found
     weights = standardise(genotypes, freqs)
     a = weights.select(F.col("sample_id").alias("id1"), "variant_id", F.col("w").alias("w1"))
     b = weights.select(F.col("sample_id").alias("id2"), "variant_id", F.col("w").alias("w2"))

@@ -14,12 +14,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..storage import saved
 from .grm import counted, divided, how, listed_again, usable, varies
+from .pairs import with_people
 
 #: Two-bit codes 0 to 3 as copies of A1; -1 is missing.
 CODES = np.array([2, -1, 1, 0], np.int8)
@@ -286,6 +287,48 @@ def _with_all_genotypes(pairs: DataFrame, rows: pa.Table, mean: bool, n: int) ->
     return pairs.mapInArrow(run, T.StructType([*pairs.schema.fields, T.StructField("n_snps", T.LongType()), T.StructField("grm", T.DoubleType())])).select(*names)
 
 
+def numbered(ids: DataFrame) -> DataFrame:
+    """``ids`` (one column, each value once) with ``place``, from 0; only partitions' sizes meet on the driver."""
+    name = ids.columns[0]
+    parted = saved(ids.withColumn("_part", F.spark_partition_id()))
+    at, starts = 0, []
+    for part, n in sorted(map(tuple, parted.groupBy("_part").count().collect())):
+        starts.append((part, at))
+        at += n
+    starts = parted.sparkSession.createDataFrame(starts, "_part int, _start int")
+    return saved(parted.withColumn("_k", F.row_number().over(Window.partitionBy("_part").orderBy(name))).join(F.broadcast(starts), "_part").select(name, (F.col("_start") + F.col("_k") - 1).cast("int").alias("place")))
+
+
+def grm_from_few(pairs: DataFrame, genotypes: DataFrame, freqs: DataFrame, n: int | None) -> DataFrame | None:
+    """What ``grm_for_pairs`` gives, from packed rows that go to all tasks: a join on people for either side, none of variants.
+
+    None if there are too many variants or samples for that, if a genotype is no number of copies from 0 to 2, or if a
+    sample has several of a variant. ``n``: what all sums are divided by.
+    """
+    spark = pairs.sparkSession
+    there = genotypes.filter("a1 is not null").select("sample_id", "variant_id", "a1")
+    known = there.select("variant_id").distinct().join(usable(freqs).select("variant_id", F.col("p").cast("double").alias("p")), "variant_id").limit(FEW_VARIANTS + 1).collect()
+    if len(known) > FEW_VARIANTS or len({x["variant_id"] for x in known}) < len(known):
+        return None
+    people = numbered(there.select("sample_id").distinct())
+    samples = people.count()
+    if len(known) * -(-samples // 4) > ALL_BYTES:
+        return None
+    copies = F.coalesce(F.col("a1").isin(0, 1, 2), F.lit(False))
+    if there.groupBy("sample_id", "variant_id").agg(F.count("*").alias("n"), F.bool_and(copies).alias("copies")).filter("n > 1 or not copies").limit(1).collect():
+        return None
+    order = spark.createDataFrame([(x["variant_id"], k) for k, x in enumerate(known)], T.StructType([there.schema["variant_id"], T.StructField("v", T.IntegerType())]))
+    long = there.join(F.broadcast(order), "variant_id").join(people, "sample_id").select(F.col("v").alias("variant_id"), F.col("place").alias("sample_idx"), "a1")
+    p = [x["p"] for x in known]
+    rows = pack_genotypes(long, samples).toArrow().sort_by("variant_id") if known else pa.table({"variant_id": pa.array([], pa.int32()), "codes": pa.array([], pa.binary())})
+    rows = rows.append_column("p", pa.array([p[k] for k in rows["variant_id"].to_pylist()], pa.float64()))
+    found = with_people(pairs.select(F.col("id1").alias("iid1"), F.col("id2").alias("iid2")), people.withColumnRenamed("sample_id", "iid"), ["place"])
+    # Who has no genotype has a place beyond the last.
+    place = lambda c: F.coalesce(c, F.lit((1 << 31) - 1))
+    found = found.select(place("_a0").alias("idx1"), place("_b0").alias("idx2"), F.col("iid1").alias("id1"), F.col("iid2").alias("id2"))
+    return _with_all_genotypes(found, rows, n is not None, n or 0).select("id1", "id2", "n_snps", "grm")
+
+
 def block_width(n_pairs: int, samples: int, group_bytes: int) -> int:
     """Samples in a range, a multiple of four: as many that tiles are sent about as many bytes of pairs as of genotypes.
 
