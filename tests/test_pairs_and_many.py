@@ -203,6 +203,30 @@ def test_few_genotypes_go_to_the_pairs(spark):
     assert len(again) == len(listed) and all((x.n_snps, x.grm) == want[x.idx1, x.idx2] and listed[int(x.line[5:])] == (x.idx1, x.idx2) for x in again)
 
 
+def test_few_long_genotypes_make_no_row_for_each_pair_and_variant(spark):
+    long, _, listed, want = few_and_brute(spark)
+    names = long.withColumns({"sample_id": F.concat(F.lit("s"), "sample_id"), "variant_id": F.concat(F.lit("v"), "variant_id")})
+    freqs = allele_freqs(names).withColumnRenamed("freq", "p")
+    pairs = spark.createDataFrame([(f"s{i}", f"s{j}") for i, j in listed] + [("s1", "nobody"), (None, "s2")], "id1 string, id2 string")
+    got = grm_for_pairs(pairs, names, freqs)
+    assert "variant_id" not in got._jdf.queryExecution().executedPlan().toString()
+    found = got.collect()
+    assert len(found) == len(listed) + 2 and [(x.n_snps, x.grm) for x in found if x.id1 is None or x.id2 == "nobody"] == [(0, None)] * 2
+    assert {(int(x.id1[1:]), int(x.id2[1:])): (x.n_snps, x.grm) for x in found if x.id1 and x.id2 != "nobody"} == want
+    # Dosages, and several genotypes of a sample, meet by joins as before.
+    one = spark.createDataFrame([("a", 1, 0.5), ("b", 1, 1.5), ("b", 1, 1.5)], "sample_id string, variant_id int, a1 double")
+    got = grm_for_pairs(spark.createDataFrame([("a", "b")], "id1 string, id2 string"), one, spark.createDataFrame([(1, 0.5)], "variant_id int, p double")).collect()
+    assert [(x.n_snps, round(x.grm, 9)) for x in got] == [(2, -0.5)]
+
+
+def test_pairs_known_to_come_once_are_not_shuffled(spark):
+    grm = spark.createDataFrame([(1, 2, 0.1), (2, 3, 0.2)], "iid1 long, iid2 long, grm double")
+    people = spark.createDataFrame([(1, 2.0), (2, 3.0), (3, 5.0)], "iid long, y double")
+    got = pair_products(grm, people, "y", once=True)
+    assert {(x.iid1, x.iid2): (x.grm, x.y_crossprod) for x in got.collect()} == {(1, 2): (0.1, 6.0), (2, 3): (0.2, 15.0)}
+    assert "least" not in got._jdf.queryExecution().executedPlan().toString().lower()
+
+
 def test_dense_and_sparse_tiles_give_the_same_sums():
     rng = np.random.default_rng(4)
     codes, p, samples = rng.integers(0, 256, (150, 20), np.uint8), rng.uniform(0.2, 0.8, 150), np.arange(78)
