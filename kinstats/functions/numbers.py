@@ -11,8 +11,9 @@ MISSING = ["", "NA", "nan", "NaN", ".", "-", "NULL"]
 
 
 def words_of(line: Column) -> Column:
-    """Tokens between white space."""
-    return F.split(F.trim(F.regexp_replace(line, r"\s+", " ")), " ")
+    """Tokens between white space; only lines with several blanks in a row take a pattern."""
+    plain = F.trim(F.translate(line, "\t\n\x0b\f\r", " " * 5))
+    return F.split(F.when(F.contains(plain, F.lit("  ")), F.regexp_replace(plain, " +", " ")).otherwise(plain), " ")
 
 
 def number(token: Column) -> Column:

@@ -14,16 +14,17 @@ from ..storage import saved
 from ..watch import Watch
 
 
-def relatedness(spark: SparkSession, prefix: str, pairs: str, freqs: str | None = None, by_position: bool = False, layout: str = "iid", missing: str = "exclude", watch: Watch | None = None) -> DataFrame:
-    """iid1, iid2, n_snps, grm and file_order of the pairs listed in the file ``pairs``, from ``<prefix>.bed``, ``.fam``, ``.bim`` and frequencies.
+def relatedness(spark: SparkSession, prefix: str, pairs: str, freqs: str | None = None, by_position: bool = False, layout: str = "iid", missing: str = "exclude", watch: Watch | None = None, order: bool = True) -> DataFrame:
+    """iid1, iid2, n_snps, grm and (with ``order``) file_order of the pairs listed in the file ``pairs``, from ``<prefix>.bed``, ``.fam``, ``.bim`` and frequencies.
 
     Frequencies are those of the file ``freqs``, else of ``<prefix>.afreq`` or ``.frq``; where there is none, they are counted in
     the genotypes themselves. They belong to variants by name or, with ``by_position``, by row. Every listed line has a
     row, repeated ones too.
     """
+    kept = ("iid1", "iid2", *([ORDER] if order else []))
     samples = saved(read_samples(spark, f"{prefix}.fam", watch))
-    named = saved(read_pairs(spark, pairs, layout, watch=watch))
-    listed = saved(resolve_pairs(named, samples).select("iid1", "iid2", "idx1", "idx2", ORDER))
+    # Lines are read once and stay where they are; one that names somebody unknown fails the job.
+    listed = resolve_pairs(read_pairs(spark, pairs, layout, watch=watch), samples, on_unknown="fail").select("idx1", "idx2", *kept)
     n = samples.count()
     codes = read_genotypes(spark, f"{prefix}.bed", n).withColumnRenamed("variant_idx", "variant_id")
     try:
@@ -35,5 +36,4 @@ def relatedness(spark: SparkSession, prefix: str, pairs: str, freqs: str | None
         variants, told = read_variants(spark, f"{prefix}.bim", watch), read_freqs(spark, path)
         aligned = align_by_position(variants, told, watch) if by_position else align_freqs(variants, told, watch=watch)
         known = aligned.select(F.col("variant_idx").alias("variant_id"), "p")
-    found = grm_from_packed(listed.select("idx1", "idx2").distinct(), codes, known, n, missing)
-    return listed.join(found, ["idx1", "idx2"]).select("iid1", "iid2", "n_snps", "grm", ORDER)
+    return grm_from_packed(listed, codes, known, n, missing, keep=kept).select("iid1", "iid2", "n_snps", "grm", *kept[2:])

@@ -199,11 +199,12 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, sep="\t", header=True, nullValue="NA", schema=RESULT)
 
 
-def write_tsv(df: DataFrame, path: str, order_by: list[str] | None = None, decimals: int | None = None, columns: dict[str, str] | None = None) -> None:
+def write_tsv(df: DataFrame, path: str, order_by: list[str] | None = None, decimals: int | None = None, columns: dict[str, str] | None = None, compression: str = "none") -> None:
     """Tab-separated, with a header, NA for null; doubles in full or with fixed decimals.
 
     With ``order_by``, lines come in that order, file after file; ``file_order`` of a reader, which operators keep where they
-    are asked to, gives that of its lines. ``columns``: which are written, and under what names.
+    are asked to, gives that of its lines. ``columns``: which are written, and under what names. Readers take files that are
+    compressed (``gzip``) as they take others.
     """
     if order_by:
         df = df.orderBy(*(F.col(f"`{x}`") for x in order_by))
@@ -213,4 +214,4 @@ def write_tsv(df: DataFrame, path: str, order_by: list[str] | None = None, decim
         fixed = lambda c: F.when(F.col(f"`{c}`").isNotNull(), F.format_string(f"%.{decimals}f", F.col(f"`{c}`"))).alias(c)
         df = df.select(*(fixed(c) if t == "double" else F.col(f"`{c}`") for c, t in df.dtypes))
     # Without a comment mark of its own the writer would put a header that begins with # in quotes.
-    df.write.option("sep", "\t").option("header", True).option("nullValue", "NA").option("comment", "\1").csv(path)
+    df.write.option("sep", "\t").option("header", True).option("nullValue", "NA").option("comment", "\1").option("compression", compression).csv(path)
