@@ -8,7 +8,7 @@ whose pivot distances or fingerprints, of distinct shingles, differ by more than
 
 A draw that more than ``hot`` nodes share is not paired all with all. Its nodes are compared with ``sampled`` of them
 first; then, with the components that these and all other links give, each node outside the draw's largest component
-is compared with the nodes of other components. Links inside a component change nothing, so none is lost.
+is compared with the nodes of other components (``crossing``). Links inside a component change nothing, so none is lost.
 
 Defined cases: a text shorter than a shingle is one shingle; null and blank texts are equal to each other; rows of
 equal doc_id stay or go together, and go only if all their texts do; texts of any length are taken whole; null ids count as the largest, each text as one of
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -100,7 +101,49 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").filter(similar(F.col("a_set"), F.col("b_set"), similarity)).select("a", "b")
 
 
-def groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, bands: int = 10, max_bits: int = 22, n_pivots: int = 16, hot: int = 64, sampled: int = 8) -> DataFrame:
+def crossing(held: DataFrame, similarity: float, max_bits: int, side: int = 512) -> DataFrame:
+    """(a, b): links between the nodes of a draw outside its largest component and those of other components.
+
+    ``held`` has draw, node, fp, component, the draw's ``largest`` component, and set. About ``side`` nodes outside meet about as
+    many of the draw in a task of their own; each set is looked up once in all of the others' items, not once for each of them.
+    """
+    tasks = 4 * int(held.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    away = F.col("component") != F.col("largest")
+    work = held.groupBy("draw").agg(F.ceil(F.count_if(away) / side).cast("int").alias("outs"), F.ceil(F.count("*") / side).cast("int").alias("alls")).filter("outs > 0")
+    dealt = saved(held.join(work, "draw"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    rest = ("node", "fp", "component", "set")
+    outside = dealt.filter(away).select("draw", own("outs").alias("i"), every("alls").alias("j"), *rest)
+    against = dealt.select("draw", every("outs").alias("i"), own("alls").alias("j"), *rest)
+
+    def between(key, left, right):
+        a, b = [], []
+        if left.num_rows and right.num_rows:
+            fps, parts, nodes = (right[c].to_numpy() for c in ("fp", "component", "node"))
+            values, at = np.unique(right["set"].combine_chunks().flatten().to_numpy(), return_inverse=True)
+            sizes = pc.list_value_length(right["set"]).to_numpy()
+            ends = np.cumsum(sizes)
+            for node, fp, part, items in zip(*(left[c].to_numpy() for c in ("node", "fp", "component")), left["set"].combine_chunks(), strict=True):
+                near = (parts != part) & (np.bitwise_count((fps ^ fp).view(np.uint64)) <= max_bits)
+                if not near.any():
+                    continue
+                items = items.values.to_numpy()
+                found = np.searchsorted(values, items)
+                there = np.zeros(len(values) + 1, bool)
+                there[found[values[np.minimum(found, len(values) - 1)] == items] if len(values) else found[:0]] = True
+                shared = np.concatenate(([0], np.cumsum(there[at], dtype=np.int64)))
+                both = shared[ends] - shared[ends - sizes]
+                for other in nodes[near & (both >= similarity * (len(items) + sizes - both) - 1e-9)].tolist():
+                    a.append(min(int(node), other))
+                    b.append(max(int(node), other))
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    keys = ("draw", "i", "j")
+    return outside.repartition(tasks, *keys).groupBy(*keys).cogroup(against.repartition(tasks, *keys).groupBy(*keys)).applyInArrow(between, "a long, b long")
+
+
+def groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, bands: int = 10, max_bits: int = 22, n_pivots: int = 16, hot: int = 64, sampled: int = 8, side: int = 512) -> DataFrame:
     """(doc, node): every document and the least of its group; ``docs`` has doc and text."""
     sketched = saved(sketches(docs, size, bands))
     nodes = sketched.groupBy("same", "other").agg(F.min("doc").alias("node"), F.min_by(F.struct("fp", "draws"), "doc").alias("s"))
@@ -122,9 +165,7 @@ def groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, bands: int =
         held = saved(crowded.select("node", "draw", "fp", "table").join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node")))
         largest = held.groupBy("draw", "component").agg(F.count("*").alias("n")).groupBy("draw").agg(F.max_by("component", F.struct("n", "component")).alias("largest"))
         held = saved(held.join(largest, "draw").join(sets.select(F.col("doc").alias("node"), "set"), "node"))
-        outside = held.filter("component <> largest")
-        apart = (F.col("a.draw") == F.col("b.draw")) & (F.col("a.component") != F.col("b.component")) & near & similar(F.col("a.set"), F.col("b.set"), similarity)
-        links = saved(links.union(outside.alias("a").join(held.alias("b"), apart).select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b"))))
+        links = saved(links.union(crossing(held, similarity, max_bits, side)))
     found = components(links)
     classes = nodes.select("same", "other", "node").join(found, "node", "left").select("same", "other", F.coalesce("component", "node").alias("node"))
     return sketched.select("doc", "same", "other").join(classes, ["same", "other"]).select("doc", "node").distinct()

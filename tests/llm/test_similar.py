@@ -128,3 +128,15 @@ def test_fingerprint_components_match_brute_force(spark, hot, monkeypatch):
     (null,) = [x for x in got if x[0] is None]
     assert null[1] == f"{prints[0]:016x}" and null[2] == want[0]
     assert simhash.near_duplicates(frame.limit(0)).count() == 0
+
+
+def test_links_between_components_of_a_draw_are_all_found(spark):
+    rng = random.Random(3)
+    sets = [sorted({rng.randrange(40) for _ in range(30)} | {1000 + k}) if k % 9 else [] for k in range(90)]
+    held = [(d, k, rng.getrandbits(6), k % 7 if k % 2 else 3, 3, sets[k]) for d in (1, 2) for k in range(90) if (k + d) % 5]
+    frame = spark.createDataFrame(held, "draw long, node long, fp long, component long, largest long, set array<int>")
+    alike = lambda x, y: len({*x} & {*y}) >= 0.6 * len({*x} | {*y}) - 1e-9
+    want = {(min(x[1], y[1]), max(x[1], y[1])) for x in held for y in held if x[0] == y[0] and x[3] != 3 and x[3] != y[3] and (x[2] ^ y[2]).bit_count() <= 3 and alike(x[5], y[5])}
+    assert len(want) > 20
+    for side in (512, 7):
+        assert {(x.a, x.b) for x in similar.crossing(frame, 0.6, 3, side).collect()} == want
