@@ -227,6 +227,15 @@ def test_pairs_known_to_come_once_are_not_shuffled(spark):
     assert "least" not in got._jdf.queryExecution().executedPlan().toString().lower()
 
 
+def test_people_in_no_pair_do_not_make_pairs_move(spark):
+    pairs = spark.createDataFrame([(1, 2), (2, 3), (3, 9_999_999), (None, 1)], "iid1 long, iid2 long")
+    people = spark.range(5000).select(F.col("id").alias("iid"), (F.col("id") * 2.0).alias("y"))
+    got = crossprods(pairs, people, ["y"], broadcast_bytes=200)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") == 2 and "SortMergeJoin" not in plan
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, 2, 8.0), (2, 3, 24.0), (3, 9_999_999, None), (None, 1, None)], key=str)
+
+
 def test_dense_and_sparse_tiles_give_the_same_sums():
     rng = np.random.default_rng(4)
     codes, p, samples = rng.integers(0, 256, (150, 20), np.uint8), rng.uniform(0.2, 0.8, 150), np.arange(78)
